@@ -115,18 +115,19 @@ def slices(strings: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Ar
         yield a, strings.slice(a, b - a)
 
 
-def word_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(strings: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts, and where each text's words begin.
 
     Null is the empty text. A word is a run of ASCII letters, digits and bytes above 127.
-    The second array has one entry more than there are texts.
+    The second array has one entry more than there are texts. With ``prefixes`` the first has a
+    column for the words and one for their beginnings of each given number of bytes.
     """
     lower = pc.utf8_lower(pc.fill_null(strings, "").cast(pa.large_string()))
     n = len(lower)
     offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + n + 1]
     first, last = int(offsets[0]), int(offsets[-1])
     if last == first:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(n + 1, np.int64)
     data = np.frombuffer(lower.buffers()[2], np.uint8)[first:last]
     offsets = offsets - first
     inside = _WORD[data]
@@ -140,7 +141,12 @@ def word_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
+    words, where = mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
+    if prefixes:
+        ends = [np.minimum(end, begin + k) for k in prefixes]
+        cuts = [mix((sums[e] - sums[begin]) * down[begin] + np.uint64(k)) for k, e in zip(prefixes, ends)]
+        words = np.stack([words, *cuts], 1)
+    return words, where
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
