@@ -150,6 +150,26 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def maybe(wanted: DataFrame, bits: int = 25):
+    """A filter that holds for all ids of ``wanted(doc_id)`` and for few others, before an exact semi join.
+
+    It is a bitmap of ``2**bits`` hash values, 4 MB however many ids there are, made by Spark.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = wanted.select(bit.alias("h")).selectExpr("shiftright(h, 6) as w", "shiftleft(1L, cast(h % 64 as int)) as b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[np.asarray(rows["w"])] = np.asarray(rows["b"])
+    sent = wanted.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def hit(h: pa.Array) -> pa.Array:
+        at = np.asarray(h) % (1 << bits)
+        return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda column: hit(F.xxhash64(column))
+
+
 def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id)`` of each document of ``docs(doc_id, text)``; class_id is the least id of its group.
 
@@ -168,7 +188,7 @@ def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: floa
     nodes = member.filter("doc_id = node and sketches is not null").select("node", "sketches").distinct()
     pairs = stored(links(nodes), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(base.join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    texts = stored(base.filter(maybe(wanted)("doc_id")).join(wanted, "doc_id", "left_semi").distinct(), "texts")
     both = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
