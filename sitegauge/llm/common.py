@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sitegauge/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files go as soon as the query that made them has ended: its result is in a table by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as a scratch table and read back: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,21 +64,29 @@ def drop(spark: SparkSession, path: str) -> None:
 # ---------------------------------------------------------------- files of bytes
 
 
+def name_parts(spark: SparkSession, path: str, suffix: str) -> None:
+    """Give the files that Spark wrote below ``path`` their suffix: the part's value or number is the name."""
+    fs, at = filesystem(spark, path)
+    files = fs.listFiles(at, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        name, folder = file.getName(), file.getParent()
+        if name.startswith("part-"):
+            new = folder.getName().split("=")[1] if "=" in folder.getName() else name.split("-c0")[0]
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder, new.split(".")[0] + suffix)
+            if not fs.rename(file, target):
+                raise OSError(f"cannot rename {file} to {target}")
+
+
 def write_blobs(df: DataFrame, path: str, separator: str, suffix: str) -> None:
     """Write the one binary column of ``df``, a file per partition, each value followed by ``separator``.
 
     Spark's text writer passes bytes through as they are, so the files get its commit protocol and
     go to any Hadoop file system. The file formats here allow for the separator.
     """
-    column = df.columns[0]
-    text = df.select(F.col(column).cast("string").alias("value"))
-    text.write.option("lineSep", separator).text(path)
-    fs, at = filesystem(df.sparkSession, path)
-    jvm = df.sparkSession._jvm
-    for status in fs.listStatus(at):
-        name = status.getPath().getName()
-        if name.startswith("part-"):
-            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(path, name.split(".")[0] + suffix))
+    with tidy(df.sparkSession):
+        df.select(F.col(df.columns[0]).cast("string").alias("value")).write.option("lineSep", separator).text(path)
+    name_parts(df.sparkSession, path, suffix)
 
 
 def read_blobs(spark: SparkSession, path: str, suffix: str) -> DataFrame:

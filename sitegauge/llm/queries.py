@@ -11,6 +11,7 @@ from .html_text import extract_pages
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .token_counts import token_counts
+from .token_ids import token_ids
 from .toxicity import toxicity
 
 
@@ -28,6 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's token ids, as read back from the files."""
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix_plan(table(spark, sf_dir, "documents")).drop("source")
@@ -49,7 +55,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_order_minhash, op3_token_counts, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
+    found = (op2_order_minhash, op3_token_counts, op4_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
     return {f.__name__: f for f in found}
 
 
