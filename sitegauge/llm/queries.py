@@ -13,12 +13,18 @@ from .near_dup import near_duplicates
 from .token_counts import token_counts
 from .token_ids import token_ids
 from .toxicity import toxicity
+from .warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, as read back from their archives."""
+    return archive(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of each document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -55,7 +61,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_order_minhash, op3_token_counts, op4_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
+    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
     return {f.__name__: f for f in found}
 
 
