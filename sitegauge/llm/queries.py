@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontaminate import contaminated
 from .html_text import extract_pages
+from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .token_counts import token_counts
@@ -40,6 +43,16 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat, exactly or nearly."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for each vector whose id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix_plan(table(spark, sf_dir, "documents")).drop("source")
@@ -61,7 +74,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
+    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
     return {f.__name__: f for f in found}
 
 
