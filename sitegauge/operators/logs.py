@@ -1,0 +1,115 @@
+"""Access logs and robots rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.urls import path_of
+
+#: Crawlers by the name in their user agent, with their role.
+BOTS = (("GPTBot", "training"), ("OAI-SearchBot", "search"), ("ChatGPT-User", "user"), ("ClaudeBot", "training"), ("PerplexityBot", "search"), ("Google-Extended", "training"), ("bingbot", "search"), ("Googlebot", "search"), ("CCBot", "training"), ("Bytespider", "training"))
+
+
+def parse_access_log(lines: DataFrame, col: str = "line") -> DataFrame:
+    """``ts``: the instant of a Common Log Format line, null where it cannot be read; the line is kept."""
+    stamp = F.regexp_extract(col, r"\[(\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]", 1)
+    return lines.withColumn("ts", F.try_to_timestamp(stamp, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
+
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+
+
+def mask_ips(col: str) -> Column:
+    """IPv4 keeps two octets, IPv6 its first group."""
+    v4 = F.regexp_replace(col, rf"(?<![\d.])({_OCTET}\.{_OCTET})\.{_OCTET}\.{_OCTET}(?![\d.])", "$1.x.x")
+    # at the start of a line or after a space; a clock time has no empty group and fewer than seven colons
+    v6 = r"(?<![^\s])([0-9A-Fa-f]{1,4}):(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){6})[0-9A-Fa-f:]*(?![0-9A-Fa-f:])"
+    return F.regexp_replace(F.regexp_replace(v4, r"(?<![^\s])([0-9A-Fa-f]{1,4})::[0-9A-Fa-f:]*(?![0-9A-Fa-f:])", "$1::x"), v6, "$1::x")
+
+
+def mask_client_ips(lines: DataFrame, col: str = "line") -> DataFrame:
+    return lines.withColumn(col, mask_ips(col))
+
+
+def bot_matches(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> DataFrame:
+    """A row per line and known bot that it names; one line may name several."""
+    low = F.lower(F.col(col))
+    hit = F.filter(F.array(*[F.when(F.contains(low, F.lit(b.lower())), F.lit(b)) for b, _ in bots]), lambda b: b.isNotNull())
+    return lines.withColumn("bot", F.explode(hit))
+
+
+def crawler_hits(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> DataFrame:
+    """Hits and role of each bot, never-seen ones with 0."""
+    spark = lines.sparkSession
+    known = spark.createDataFrame(list(bots), "bot string, role string")
+    hits = bot_matches(lines, bots, col).groupBy("bot").agg(F.count("*").alias("hits"))
+    return known.join(hits, "bot", "left").na.fill(0, ["hits"])
+
+
+def generic_bots(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> DataFrame:
+    """Lines that look like a bot's but name no known one."""
+    low = F.lower(F.col(col))
+    known = F.lit(False)
+    for b, _ in bots:
+        known = known | F.contains(low, F.lit(b.lower()))
+    return lines.filter(~known & low.rlike("bot|spider|crawler"))
+
+
+def robots_rules(docs: DataFrame) -> DataFrame:
+    """``(site, group_id, agent, kind, pattern)`` of robots.txt bodies: successive user-agent lines share a group,
+    one after a rule opens a new group, rules before the first are dropped, blank lines end nothing."""
+    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
+    rows = docs.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "raw")).select("site", "pos", F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"), F.contains(line, F.lit(":")).alias("ok"))
+    rows = rows.filter(F.col("ok") & F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    w = Window.partitionBy("site").orderBy("pos")
+    agent = F.col("field") == "user-agent"
+    rows = rows.withColumn("new", (agent & (F.coalesce(F.lag("field").over(w), F.lit("-")) != "user-agent")).cast("int")).withColumn("group_id", F.sum("new").over(w)).filter("group_id > 0")
+    agents = rows.filter(agent).select("site", "group_id", F.lower("value").alias("agent"))
+    rules = rows.filter(~agent).select("site", "group_id", F.col("field").alias("kind"), F.col("value").alias("pattern"), "pos")
+    return agents.join(rules, ["site", "group_id"]).select("site", "group_id", "agent", "kind", "pattern", "pos")
+
+
+def with_robots_policy(fetches: DataFrame) -> DataFrame:
+    s = F.col("status")
+    return fetches.withColumn("policy", F.when(s.isNull() | (s < 0) | (s >= 500), "disallow_all").when(s == 200, "parsed").when(s >= 400, "allow_all").otherwise("parsed"))
+
+
+def rule_regex(pattern: str) -> Column:
+    """A robots pattern as a regular expression from the beginning of the path."""
+    quoted = F.regexp_replace(pattern, r"([.+?^{}()|\[\]\\])", r"\\$1")
+    starred = F.replace(quoted, F.lit("*"), F.lit(".*"))
+    return F.concat(F.lit("^"), F.regexp_replace(starred, r"\$(?!$)", r"\\\$"))
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """The longest matching pattern decides, Allow wins ties, empty patterns match nothing, no match allows.
+    Groups that name the agent count, else those of ``*``."""
+    own = F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*")
+    r = rules.filter("kind in ('allow', 'disallow') and pattern != ''")
+    named = r.filter(own)
+    r = (r.filter(F.col("agent") == "*") if named.isEmpty() else named).select("kind", "pattern", rule_regex("pattern").alias("re")).distinct()
+    met = urls.withColumn("path", path_of("url")).join(F.broadcast(r), F.rlike("path", F.col("re")), "left")
+    best = met.groupBy("url").agg(F.max_by("kind", F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a"))).alias("kind"))
+    return best.select("url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
+
+
+def crawler_access_audit(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
+    """Per known bot: how its rules match, whether the root is blocked, how many paths are."""
+    spark = rules.sparkSession
+    known = spark.createDataFrame(list(bots), "bot string, role string").withColumn("agent", F.lower("bot"))
+    per = rules.filter("kind = 'disallow' and pattern != ''").groupBy("agent").agg(F.bool_or(F.col("pattern").isin("/", "/*")).alias("root"), F.count_distinct("pattern").alias("blocked"))
+    agents = rules.select("agent").distinct().withColumn("named", F.lit(True))
+    star = per.filter("agent = '*'").select(F.col("root").alias("s_root"), F.col("blocked").alias("s_blocked"))
+    rows = known.join(agents, "agent", "left").join(per, "agent", "left").join(F.broadcast(star), F.lit(True), "left")
+    named = F.coalesce("named", F.lit(False))
+    root = F.coalesce(F.when(named, F.col("root")).otherwise(F.col("s_root")), F.lit(False))
+    blocked = F.coalesce(F.when(named, F.col("blocked")).otherwise(F.col("s_blocked")), F.lit(0))
+    sev = F.when(root & (F.col("role") == "training"), "info").when(root, "high").when(blocked > 0, "medium").otherwise("none")
+    match = F.when(named, "exact").when(F.col("s_root").isNotNull(), "wildcard").otherwise("none")
+    return rows.select("bot", match.alias("matched"), root.alias("root_blocked"), blocked.cast("bigint").alias("blocked_patterns"), sev.alias("severity"))
+
+
+def unknown_agents(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
+    return rules.filter(~F.col("agent").isin("*", *[b.lower() for b, _ in bots])).select("agent").distinct()

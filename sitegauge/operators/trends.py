@@ -1,0 +1,154 @@
+"""Search performance and traffic over time."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Expected click rate by position, half-open bands; the last also holds below 1.
+CTR_BANDS = ((1, 2, 0.25), (2, 3, 0.15), (3, 5, 0.10), (5, 8, 0.06), (8, 11, 0.035), (11, 20, 0.015), (20, None, 0.005))
+
+
+def weekly_positions(rows: DataFrame, window_end: Column | None = None, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Monday weeks per key; the position is weighted by max(impressions, 1) over max(sum of impressions, 1).
+    A key's last week is dropped unless it is over by ``window_end``."""
+    weeks = rows.groupBy(*keys, F.date_trunc("week", F.col("d").cast("timestamp")).cast("date").alias("week_start")).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum(F.col("position") * F.greatest("impressions", F.lit(1))).alias("w"))
+    weeks = weeks.withColumn("avg_position", F.round(F.col("w") / F.greatest("impressions", F.lit(1)), 2)).drop("w")
+    if window_end is None:
+        return weeks
+    marked = weeks.withColumn("_last", F.max("week_start").over(Window.partitionBy(*keys)))
+    return marked.filter((F.col("week_start") < F.col("_last")) | (F.date_add("week_start", 6) <= window_end)).drop("_last")
+
+
+def position_changes(weekly: DataFrame, baseline_weeks: int = 4, least_change: float = 3.0, min_impressions: int = 10) -> DataFrame:
+    """Latest week against mean and deviation of up to four weeks before that are present; rounded before the test."""
+    w = Window.partitionBy("key").orderBy("week_start")
+    base = w.rowsBetween(-baseline_weeks, -1)
+    rows = weekly.select("key", "week_start", "impressions", "avg_position", F.round(F.avg("avg_position").over(base), 2).alias("baseline_avg"), F.round(F.stddev_pop("avg_position").over(base), 2).alias("baseline_stdev"), F.count("avg_position").over(base).alias("weeks_used"), F.row_number().over(Window.partitionBy("key").orderBy(F.desc("week_start"))).alias("rn"))
+    rows = rows.filter((F.col("rn") == 1) & (F.col("weeks_used") >= 1) & (F.col("impressions") >= min_impressions)).withColumn("delta", F.round(F.col("avg_position") - F.col("baseline_avg"), 2))
+    real = (F.abs("delta") >= least_change) & ((F.col("baseline_stdev") == 0) | (F.abs("delta") > F.col("baseline_stdev")))
+    return rows.withColumn("change", F.when(real & (F.col("delta") > 0), "drop").when(real & (F.col("delta") < 0), "improvement").otherwise("steady")).drop("rn")
+
+
+def with_expected_ctr(rows: DataFrame) -> DataFrame:
+    ctr = F.lit(CTR_BANDS[-1][2])
+    for low, high, rate in CTR_BANDS[:-1]:
+        ctr = F.when((F.col("position") >= low) & (F.col("position") < high), F.lit(rate)).otherwise(ctr)
+    return rows.withColumn("expected_ctr", ctr)
+
+
+def near_misses(rows: DataFrame) -> DataFrame:
+    """Rows with at least 10 impressions that rank beyond 10 or draw under 0.6 of the expected clicks."""
+    r = with_expected_ctr(rows.filter("impressions >= 10"))
+    reference = F.when(F.col("position") > 10, 0.06).otherwise(F.col("expected_ctr"))
+    flagged = (F.col("position") > 10) | (F.col("clicks") / F.col("impressions") < 0.6 * F.col("expected_ctr"))
+    return r.filter(flagged).withColumn("headroom", F.round(F.greatest(F.lit(0.0), F.col("impressions") * reference - F.col("clicks")), 2))
+
+
+def opportunities_by_query(flagged: DataFrame, n: int = 100) -> DataFrame:
+    rows = flagged.groupBy("key").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.round(F.sum("headroom"), 2).alias("headroom"), F.round(F.min("position"), 4).alias("best_position"), F.max_by("page", F.struct("headroom", "page")).alias("primary_page"))
+    return rows.orderBy(F.desc("headroom"), "key").limit(n)
+
+
+def _totals() -> list[Column]:
+    imp, clicks = F.sum("impressions"), F.sum("clicks")
+    pos = F.sum(F.col("position") * F.col("impressions"))
+    return [clicks.alias("clicks"), imp.alias("impressions"), F.round(F.try_divide(clicks, imp), 4).alias("ctr"), F.round(F.try_divide(pos, imp), 2).alias("position")]
+
+
+def performance_totals(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*_totals())
+
+
+def performance_delta(cur: DataFrame, prev: DataFrame, by: str) -> DataFrame:
+    p = prev.select(by, *[F.col(c).alias(f"p_{c}") for c in ("clicks", "impressions", "ctr", "position")])
+    both = cur.join(p, by, "full_outer")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(by, *[(z(c) - z(f"p_{c}")).alias(f"d_{c}") for c in ("clicks", "impressions")], *[F.round(F.col(c) - F.col(f"p_{c}"), 4).alias(f"d_{c}") for c in ("ctr", "position")])
+
+
+def performance_rollup(rows: DataFrame, posts: DataFrame) -> DataFrame:
+    """Post, section and site totals in one grouping."""
+    return rows.join(posts, "slug").rollup("section", "slug").agg(*_totals())
+
+
+def top_queries(rows: DataFrame, n: int = 50) -> DataFrame:
+    return rows.groupBy("key").agg(*_totals(), F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages")).orderBy(F.desc("clicks"), F.desc("impressions"), "key").limit(n)
+
+
+def dense_daily_series(rows: DataFrame, start: str, end: str) -> DataFrame:
+    spark = rows.sparkSession
+    days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as d")
+    daily = rows.groupBy("d").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    return days.join(daily, "d", "left").na.fill(0, ["clicks", "impressions"])
+
+
+def first_impression(posts: DataFrame, rows: DataFrame) -> DataFrame:
+    first = rows.filter("impressions > 0").groupBy("page").agg(F.min("d").alias("first_day"))
+    return posts.join(first, "page", "left").withColumn("state", F.when(F.col("first_day").isNull(), "awaiting").otherwise("receiving"))
+
+
+def select_tracked_keys(rows: DataFrame, topics: list[str], min_impressions: int) -> DataFrame:
+    """Keys that hold a topic; if none does or none is given, keys with enough impressions."""
+    totals = rows.groupBy("key").agg(F.sum("impressions").alias("impressions"))
+    hit = F.lit(False)
+    for t in topics:
+        hit = hit | F.contains(F.lower("key"), F.lit(t.lower()))
+    picked = totals.filter(hit)
+    return picked if topics and not picked.isEmpty() else totals.filter(F.col("impressions") >= min_impressions)
+
+
+def click_regressions(cur: DataFrame, prev: DataFrame, capped: bool = False) -> DataFrame:
+    """Pages that lost at least half and five of ten or more clicks; absent pages count as 0 unless a window was cut."""
+    p = prev.select("page", F.col("clicks").alias("before"))
+    rows = p.join(cur.select("page", "clicks"), "page", "inner" if capped else "left").withColumn("after", F.coalesce("clicks", F.lit(0))).drop("clicks")
+    drop = F.col("before") - F.col("after")
+    rows = rows.filter((F.col("before") >= 10) & (drop >= 0.5 * F.col("before")) & (drop >= 5))
+    return rows.withColumn("severity", F.when((drop >= 0.75 * F.col("before")) & (F.col("before") >= 30), "high").otherwise("medium"))
+
+
+def with_channel(rows: DataFrame) -> DataFrame:
+    host = F.lower("source")
+    chat = F.lit(False)
+    for known in ("chatgpt.com", "chat.openai.com"):
+        chat = chat | (host == known) | host.endswith(f".{known}")
+    paid = F.lower("medium").isin("cpc", "ppc", "paid", "paid_social")
+    return rows.withColumn("channel", F.when((host == "google") & (F.lower("medium") == "organic"), "google_organic").when(chat & ~paid, "chatgpt_referral").otherwise("other"))
+
+
+def traffic_totals(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    cut = with_channel(rows).withColumn("page", F.substring_index("page", "?", 1))
+    return cut.join(pages.select("page").distinct(), "page", "left_semi").groupBy("channel").agg(F.sum("sessions").alias("sessions"), F.sum("key_events").alias("key_events"))
+
+
+def validate_traffic(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Number of rows that break each rule."""
+    dup = rows.groupBy("d", "page", "source", "medium").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_key").alias("rule"), "n")
+    bad = rows.agg(
+        F.count_if((F.col("d") < F.lit(start).cast("date")) | (F.col("d") > F.lit(end).cast("date"))).alias("outside_window"),
+        F.count_if(~F.col("page").startswith("/")).alias("page_not_relative"), F.count_if((F.col("sessions") < 0) | (F.col("key_events") < 0)).alias("negative_metric"),
+    )
+    return bad.unpivot([], ["outside_window", "page_not_relative", "negative_metric"], "rule", "n").unionByName(dup)
+
+
+def traffic_comparison(rows: DataFrame, before: tuple[str, str], after: tuple[str, str], group: Column) -> DataFrame:
+    """Sessions per group and channel in two equal windows of whole weeks, and the difference in differences."""
+    d = F.col("d")
+    inside = lambda w: d.between(F.lit(w[0]).cast("date"), F.lit(w[1]).cast("date"))
+    sums = with_channel(rows).withColumn("grp", group).groupBy("channel").agg(*[F.coalesce(F.sum(F.when(inside(w) & (F.col("grp") == g), F.col("sessions"))), F.lit(0)).alias(f"{g}_{n}") for n, w in (("before", before), ("after", after)) for g in ("page", "control")])
+    delta = F.col("page_after") - F.col("page_before")
+    change = F.round(F.try_divide(delta, F.col("page_before")), 4)
+    control = F.round(F.try_divide(F.col("control_after") - F.col("control_before"), F.col("control_before")), 4)
+    return sums.select("channel", "page_before", "page_after", delta.alias("delta"), change.alias("change"), F.round(change - control, 4).alias("diff_in_diff"), F.when(F.col("page_before") + F.col("page_after") < 100, "insufficient").when(F.col("page_before") == 0, "new").otherwise("review").alias("decision"))
+
+
+def refresh_triggers(posts: DataFrame, perf: DataFrame) -> DataFrame:
+    """Posts whose clicks halved from ten or more between the last two runs, or that are old."""
+    w = Window.partitionBy("slug").orderBy("run")
+    last = perf.withColumn("before", F.lag("clicks").over(w)).withColumn("rn", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("run")))).filter("rn = 1")
+    rows = posts.join(last.select("slug", "clicks", "before"), "slug", "left")
+    made = F.array(F.when((F.col("before") >= 10) & (F.col("clicks") <= 0.5 * F.col("before")), "clicks_down"), F.when(F.col("age_days") > 180, "old"), F.when(F.col("clicks").isNull() & (F.col("age_days") > 45), "no_impressions"))
+    return rows.select("slug", F.explode(F.filter(made, lambda t: t.isNotNull())).alias("trigger_type"))
+
+
