@@ -50,9 +50,10 @@ def default_model() -> str:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Where its pre-tokenizer always cuts at spaces and line feeds and drops them (probed at the start),
-    the text between them is encoded once for each distinct piece of a batch and kept for the next
-    ones, at most ``most`` pieces; else whole texts are encoded.
+    Where its pre-tokenizer always cuts at spaces and line feeds and drops them, cuts between letters
+    and closing punctuation and lowers case (all probed at the start), the text is cut there, each
+    distinct piece of a batch is encoded once and kept for the next ones, at most ``most`` pieces; else
+    whole texts are encoded.
     """
 
     def __init__(self, path: str, most: int = 1 << 19):
@@ -64,8 +65,18 @@ class Encoder:
         self.t.no_padding()
         self.most = most
         self.clear()
-        probe = "Ab  cd'll 12 \u00e9\u0301 e \u0301x\n<|endoftext|> ?! it's\tok . \ufb01n\u00a0x  Z\n\n9"
-        self.cut = self.whole([probe])[0].tolist() == [i for p in probe.replace("\n", " ").split(" ") for i in self.whole([p])[0].tolist()]
+        probe = "Ab.  cd'll, EF!? G...h 12. x'. IT'S; 12 \u00e9\u0301 e \u0301x\n<|endoftext|> ?! it's\tok . \ufb01n\u00a0x  Z\n\n9"
+        parts = self.pieces(pa.array([probe])).flatten().to_pylist()
+        self.cut = self.whole([probe])[0].tolist() == [i for p in parts for i in self.whole([p])[0].tolist()]
+
+    @staticmethod
+    def pieces(texts: pa.Array) -> pa.Array:
+        """The pieces of each text between spaces, line feeds, and a letter and the punctuation that ends its word."""
+        texts = pc.replace_substring(texts, "\n", " ")
+        texts = pc.replace_substring_regex(texts, "([A-Za-z])([.,!?;:]+)( |$)", "\\1 \\2\\3")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
+            texts = pc.ascii_lower(texts)
+        return pc.split_pattern(texts, " ")
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -81,7 +92,7 @@ class Encoder:
         if not self.cut:
             ids = self.whole(texts.to_pylist())
             return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        lists = self.pieces(texts)
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) + len(pieces) > self.most:
