@@ -67,7 +67,12 @@ def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: flo
 
 def ngram_overlap(docs: DataFrame, corpus: DataFrame, n: int = 12) -> DataFrame:
     """``(doc_id, item_id, phrase)``: exact overlap of n words with a passage; one phrase per pair, the least."""
-    grams = lambda df, k: df.select(k, F.explode(F.array_distinct(ngrams(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0)), n))).alias("g")).select(k, "g", F.xxhash64("g").alias("h"))
+
+    def grams(df: DataFrame, k: str) -> DataFrame:
+        tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
+        once = df.select(k, F.explode(F.array(tokens)).alias("t"))  # a generator's column is computed once
+        return once.select(k, F.explode(F.array_distinct(ngrams(F.col("t"), n))).alias("g")).select(k, "g", F.xxhash64("g").alias("h"))
+
     items = grams(corpus, "item_id")
     met = grams(docs, "doc_id").join(items.withColumnRenamed("g", "g2"), "h").filter("g = g2")
     return met.groupBy("doc_id", "item_id").agg(F.min("g").alias("phrase"))
