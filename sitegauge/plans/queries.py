@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.pages import is_indexable
 from ..functions.text import STOP_WORDS
 from ..functions.urls import redact, url_key
-from ..operators import answers, diff, graph, logs, pages, texts, trends
-from ..sources import tables
+from ..operators import answers, checks, diff, graph, logs, pages, texts, trends
+from ..sources import crawl, tables, vendors
 from .views import Tables, host_sql, key_sql, oracle
 
 Q: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -315,6 +315,42 @@ def diff_broken(links: DataFrame) -> DataFrame:
     return links.filter(code.isNull() | (code >= 400)).withColumn("severity", F.when(code.isNull() | (code >= 500), "high").otherwise("medium"))
 
 
+# ---------------------------------------------------------------- served pages, vendors, evidence
+
+q("o033_js_dependency", lambda t: checks.js_dependency(t.sql("SELECT url, page_id, CASE WHEN page_id % 4 = 0 THEN concat(html, 'data-reactroot') ELSE html END AS html, CAST(page_id % 200 AS INT) AS word_count FROM pages")), "SELECT url, CAST(page_id % 200 AS INTEGER) AS word_count, CASE WHEN page_id % 200 < 30 THEN 'high' ELSE 'medium' END AS severity FROM pages WHERE page_id % 200 < 100 AND page_id % 4 = 0")
+q("o034_render_gap", lambda t: checks.render_gap(t.sql("SELECT url, page_id % 300 AS words FROM pages"), t.sql("SELECT url, page_id % 300 + (page_id % 3) * 150 AS words FROM pages")), "SELECT url, page_id % 300 AS raw_words, page_id % 300 + (page_id % 3) * 150 AS rendered_words, round(((page_id % 3) * 150) / greatest(page_id % 300 + (page_id % 3) * 150, 1), 4) AS gap, (page_id % 300 + (page_id % 3) * 150 > 1.5 * (page_id % 300) AND page_id % 300 + (page_id % 3) * 150 > 100) AS js_dependent FROM pages")
+_VIT = "SELECT p_partkey AS id, CAST(p_size * 120 AS DOUBLE) AS lcp, CAST(p_size * 12 AS DOUBLE) AS inp, p_size / 150.0 AS cls, CASE WHEN p_partkey % 9 = 0 THEN 'FAST' ELSE 'AVERAGE' END AS category FROM part"
+q("o035_rate_web_vitals", lambda t: vendors.rate_web_vitals(t.sql(_VIT)).select("id", "lcp_rating", "inp_rating", "cls_rating", "passes"), f"WITH x AS ({_VIT}), r AS (SELECT id, category, CASE WHEN lcp <= 2500 THEN 'good' WHEN lcp <= 4000 THEN 'needs_improvement' ELSE 'poor' END AS lcp_rating, CASE WHEN inp <= 200 THEN 'good' WHEN inp <= 500 THEN 'needs_improvement' ELSE 'poor' END AS inp_rating, CASE WHEN cls <= 0.1 THEN 'good' WHEN cls <= 0.25 THEN 'needs_improvement' ELSE 'poor' END AS cls_rating FROM x) SELECT id, lcp_rating, inp_rating, cls_rating, category = 'FAST' OR NOT ('poor' IN (lcp_rating, inp_rating, cls_rating)) AS passes FROM r")
+q("o041_block_signals", lambda t: checks.crawler_block_signals(t.sql("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 403 WHEN 1 THEN 503 ELSE 200 END AS status, CASE WHEN page_id % 3 = 0 THEN 'Just a moment' ELSE 'x' END AS body, '' AS headers FROM pages")).select("page_id", "blocked", "challenge"), "SELECT page_id, page_id % 4 < 2 AS blocked, page_id % 4 < 2 AND page_id % 3 = 0 AS challenge FROM pages")
+_VAR = "SELECT url, r.role, CASE WHEN r.role = 'bot' AND page_id % 7 = 0 THEN 403 WHEN r.role = 'human_after' AND page_id % 11 = 0 THEN 500 ELSE 200 END AS status, concat('h', CASE WHEN r.role = 'human_after' AND page_id % 2 = 0 THEN 1 ELSE 0 END) AS hash, 100 + CASE WHEN r.role = 'human_after' THEN page_id % 20 WHEN r.role = 'bot' THEN -(page_id % 60) ELSE 0 END AS words FROM pages CROSS JOIN (SELECT 'human_before' AS role UNION ALL SELECT 'human_after' UNION ALL SELECT 'bot') r"
+q("o082_served_divergence", lambda t: checks.served_content_divergence(t.sql(_VAR)), "WITH x AS (SELECT url, page_id, page_id % 11 = 0 AS bad, CASE WHEN page_id % 2 = 0 THEN (page_id % 20) / greatest(100 + page_id % 20, 1) ELSE 0 END AS nat, 100 - page_id % 60 AS w, 100 + page_id % 20 AS h2 FROM pages) SELECT url, 'bot' AS role, CASE WHEN bad THEN 'not_checked' WHEN page_id % 7 = 0 THEN 'blocked' WHEN abs(w - 100) / greatest(w, 100) > greatest(0.15, 3 * nat) AND abs(w - h2) / greatest(w, h2) > greatest(0.15, 3 * nat) THEN 'diverges' ELSE 'same' END AS state FROM x")
+_HL = "SELECT concat('https://h.example/', page_id) AS url, CASE WHEN page_id % 3 = 0 THEN array(named_struct('hreflang', 'en', 'href', concat('https://h.example/', page_id + 1))) WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN array(named_struct('hreflang', 'de', 'href', concat('http://www.h.example/', page_id - 1, '/'))) ELSE array() END AS hreflang FROM pages"
+q("o058_hreflang", lambda t: checks.hreflang_not_reciprocal(t.sql(_HL)), "SELECT 'https://h.example/' || page_id AS src, 'https://h.example/' || (page_id + 1) AS dst FROM pages WHERE page_id % 3 = 0 AND (page_id + 1) % 2 <> 0 AND page_id + 1 IN (SELECT page_id FROM pages)")
+q("o060_noindex_evidence", lambda t: checks.noindex_evidence(pages.noindex_pages(t.v_crawl).filter("crawl_id = 'B'"), t.pages.filter("page_id % 2 = 0").select(url_key("url").alias("key")), t.pages.filter("page_id % 5 = 0").select(url_key("url").alias("key"), F.lit(3).alias("impressions")).distinct()), f"WITH s AS (SELECT DISTINCT {_K} AS key FROM pages WHERE page_id % 2 = 0), i AS (SELECT DISTINCT {_K} AS key FROM pages WHERE page_id % 5 = 0) SELECT url, CASE WHEN {_K} IN (SELECT key FROM i) THEN 'high' WHEN {_K} IN (SELECT key FROM s) THEN 'medium' ELSE 'none' END AS severity FROM v_crawl WHERE crawl_id = 'B' AND {_NOINDEX}", "v_crawl")
+q("o061_canonical_disagreement", lambda t: checks.canonical_disagreement(t.sql("SELECT url, url AS declared, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN url ELSE concat('https://z.example/', page_id) END AS selected FROM pages")), "SELECT url, CASE page_id % 3 WHEN 0 THEN 'not_selected_yet' WHEN 1 THEN 'agrees' ELSE 'disagrees' END AS state FROM pages")
+q("o047_assert_pages", lambda t: checks.assert_pages(t.sql("SELECT url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, 200 AS status, '' AS canonical FROM pages WHERE page_id = (SELECT MIN(page_id) FROM pages) OR page_id % 2 = 0"), t.sql("SELECT url, 'text_present' AS kind, '<article>' AS expected FROM pages UNION ALL SELECT url, 'text_absent', '<article>' FROM pages UNION ALL SELECT url, 'status', '200' FROM pages")), "WITH k AS (SELECT DISTINCT url, true AS known FROM pages WHERE page_id % 2 = 0) SELECT url, kind, expected, coalesce(known, false) AND kind <> 'text_absent' AS pass FROM pages LEFT JOIN k USING (url), (VALUES ('text_present', '<article>'), ('text_absent', '<article>'), ('status', '200')) AS a(kind, expected)")
+q("o083_network_footprint", lambda t: checks.network_footprint(t.sql("SELECT source_domain AS site, url_to AS link FROM (SELECT concat('d', l_suppkey % 40, '.example') AS source_domain, concat('https://', CASE l_partkey % 3 WHEN 0 THEN 'a.sib.example' WHEN 1 THEN 'www.sib.example' ELSE 'other.example' END, '/', l_partkey) AS url_to FROM lineitem)"), ["sib.example"]), "SELECT concat('d', l_suppkey % 40, '.example') AS site, COUNT(*) AS links FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1")
+_MD = "SELECT doc_id, concat('# T\n\n## One\n', substring(text, 1, 80), ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' \n## Two\n') AS text FROM documents"
+_MDD = "SELECT doc_id, concat('# T', chr(10), chr(10), '## One', chr(10), substring(text, 1, 80), ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' ', chr(10), '## Two', chr(10)) AS text FROM documents"
+q("o045_document_links", lambda t: texts.doc_links(t.sql(_MD)), "SELECT doc_id, 'lab' AS label, concat('https://e', doc_id % 9, '.example/x') AS url FROM documents UNION ALL SELECT doc_id, 'two', 'https://own.example/y' FROM documents")
+q("o045_document_facts", lambda t: texts.document_facts(t.documents).select("doc_id", "links", "headings", "numbers"), f"SELECT doc_id, CAST(0 AS INTEGER) AS links, CAST(0 AS INTEGER) AS headings, CAST(len(list_distinct({_NUM('text')})) AS INTEGER) AS numbers FROM documents")
+q("o120_rewrite_guard", lambda t: texts.rewrite_guard(t.sql(_MD), t.sql(_MD.replace("and [two]", "or 777 [three]").replace("https://own.example/y", "https://own.example/z"))).select("doc_id", "numbers_lost", "links_lost", "links_added", "headings_changed"), "SELECT doc_id, CAST(0 AS INTEGER) AS numbers_lost, CAST(1 AS INTEGER) AS links_lost, CAST(1 AS INTEGER) AS links_added, false AS headings_changed FROM documents")
+q("o081_citation_sources", lambda t: checks.citation_sources(t.sql("SELECT l_orderkey AS doc_id, concat('https://e', l_partkey % 9, '.example/x') AS url, l_linenumber AS pos FROM lineitem"), t.sql("SELECT o_orderkey AS doc_id, 'https://e3.example/x' AS url, 1 AS pos FROM orders"), "e0.example"), "WITH f AS (SELECT l_orderkey AS doc_id, concat('https://e', l_partkey % 9, '.example/x') AS url, MIN(l_linenumber) AS pos FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2) SELECT * FROM f UNION ALL SELECT o_orderkey, 'https://e3.example/x', 1000001 FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM f WHERE url = 'https://e3.example/x')")
+_RED = "SELECT page_id, concat('https://r.example/', page_id) AS url, CASE WHEN page_id % 5 = 1 THEN concat('https://r.example/', page_id, '/') ELSE concat('https://r.example/n', page_id) END AS final_url, '' AS error_type, {chain} AS redirect_chain FROM pages"
+_HOP = "named_struct('url', {a}, 'status', 301, 'location', {b})"
+_U = "concat('https://r.example/', page_id)"
+_CH = "CASE page_id % 5 WHEN 0 THEN array(" + _HOP.format(a=_U, b="concat('https://r.example/n', page_id)") + ") WHEN 1 THEN array(" + _HOP.format(a=_U, b=f"concat({_U}, '/')") + ") WHEN 2 THEN array(" + _HOP.format(a=_U, b="'https://r.example/m'") + ", " + _HOP.format(a="'https://r.example/m'", b="concat('https://r.example/n', page_id)") + ") WHEN 3 THEN array(" + _HOP.format(a=_U, b="'https://r.example/m'") + ", " + _HOP.format(a="'https://r.example/m'", b=_U) + ", " + _HOP.format(a=_U, b="concat('https://r.example/n', page_id)") + ") ELSE array() END"
+q("o089_redirect_classes", lambda t: diff.redirect_classes(t.sql(_RED.format(chain=_CH))), "SELECT concat('https://r.example/', page_id) AS url, CASE page_id % 5 WHEN 0 THEN 'single_redirect' WHEN 1 THEN 'normalizing_redirect' WHEN 2 THEN 'redirect_chain' ELSE 'redirect_loop' END AS type, CASE page_id % 5 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS hops, CASE page_id % 5 WHEN 2 THEN 'medium' WHEN 3 THEN 'critical' ELSE 'info' END AS severity FROM pages WHERE page_id % 5 <> 4")
+q("o009_sitemap_urls", lambda t: crawl.sitemap_urls(t.pages.select(F.concat(F.lit("s"), "page_id").alias("sitemap"), F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>")).alias("body"))), "SELECT 's' || page_id AS sitemap, 'urlset' AS kind, url AS loc, false AS truncated FROM pages")
+q("o012_backlinks", lambda t: vendors.normalize_backlinks(t.sql("SELECT to_json(named_struct('url_from', concat('https://www.d', l_suppkey, '.example/', l_orderkey), 'url_to', concat('/', l_partkey), 'first_seen', CAST(CAST(l_shipdate AS DATE) AS STRING), 'domain_rating_source', CASE WHEN l_partkey % 3 = 0 THEN 'junk' ELSE CAST(l_partkey AS STRING) END)) AS json FROM lineitem"), "ahrefs").select("url_from", "url_to", "first_seen", F.coalesce("domain_rating_source", F.lit(-1.0)).alias("rating"), "source_domain"), "SELECT concat('https://www.d', l_suppkey, '.example/', l_orderkey) AS url_from, concat('/', l_partkey) AS url_to, CAST(l_shipdate AS DATE) AS first_seen, CASE WHEN l_partkey % 3 = 0 THEN -1.0::DOUBLE ELSE CAST(l_partkey AS DOUBLE) END AS rating, concat('d', l_suppkey, '.example') AS source_domain FROM lineitem")
+q("o014_social_posts", lambda t: vendors.normalize_social_posts(t.sql("SELECT to_json(named_struct('id', CAST(event_id AS STRING), 'permalink', concat('/r/', event_id), 'title', event_type, 'ups', event_id % 9, 'num_comments', event_id % 4)) AS json FROM events"), "reddit").select("platform", "id", "url", "title", "score", "comments"), "SELECT 'reddit' AS platform, CAST(event_id AS VARCHAR) AS id, concat('/r/', event_id) AS url, event_type AS title, event_id % 9 AS score, event_id % 4 AS comments FROM events")
+q("o015_page_speed", lambda t: vendors.flatten_page_speed(t.sql("SELECT url, concat('{\"lighthouseResult\":{\"audits\":{\"a\":{\"score\":', CASE WHEN page_id % 2 = 0 THEN '0.5' ELSE '1' END, ',\"details\":{\"overallSavingsMs\":', page_id, '}},\"b\":{\"score\":null}}}}') AS json FROM pages"))[1].select("url", "audit", "savings_ms"), "SELECT url, 'a' AS audit, CAST(page_id AS DOUBLE) AS savings_ms FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'b', 0.0::DOUBLE FROM pages")
+q("o017_serp_position", lambda t: vendors.serp_position(t.sql("SELECT concat('k', page_id) AS keyword, concat('{\"items\":[{\"type\":\"ad\",\"url\":\"https://x.example/\",\"rank_absolute\":1},{\"type\":\"organic\",\"url\":\"https://o', page_id % 3, '.example/\",\"rank_absolute\":2},{\"type\":\"organic\",\"url\":\"https://www.sub.o1.example/p\",\"rank_absolute\":3}]}') AS json FROM pages"), "o1.example").select("keyword", "rank", "url"), "SELECT concat('k', page_id) AS keyword, CAST(CASE WHEN page_id % 3 = 1 THEN 2 ELSE 3 END AS INTEGER) AS rank, CASE WHEN page_id % 3 = 1 THEN 'https://o1.example/' ELSE 'https://www.sub.o1.example/p' END AS url FROM pages")
+q("o040_structured_data", lambda t: vendors.validate_structured_data(vendors.json_ld_nodes(t.sql("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' WHEN 1 THEN '{\"@graph\":[{\"@type\":\"HowTo\"},{\"name\":\"x\"}]}' ELSE '{\"@type\":[\"Product\",\"Thing\"],\"name\":\"n\",\"offers\":[],\"image\":\"i\"}' END AS json FROM pages"))), "SELECT page_id, 'Article' AS type, 'error' AS severity, 'missing headline' AS issue FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'HowTo', 'info', 'retired type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, '', 'error', 'no @type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'Product', 'warning', 'missing offers' FROM pages WHERE page_id % 3 = 2")
+q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring(text, 1, 40) AS title FROM documents")))
+q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")))
+
+
 # ---------------------------------------------------------------- entry points
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {
@@ -63,13 +65,12 @@ class Tables:
 
     def sql(self, query: str) -> DataFrame:
         """A query over the driver's tables and the views above, with nothing registered in the session."""
-        import re
-
-        def placed(text: str) -> str:
-            return re.sub(r"\b(FROM|JOIN|from|join) (" + "|".join(BASE) + r")\b", r"\1 {\2}", text)
-
-        used = {t: getattr(self, t) for t in BASE if "{" + t + "}" in placed(query)}
-        return self.spark.sql(placed(query), **used)
+        names = r"\b(FROM|JOIN|from|join) (" + "|".join(BASE) + r")\b"
+        used = {name: getattr(self, name) for _, name in re.findall(names, query)}
+        if not used:
+            return self.spark.sql(query)
+        literal = query.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(re.sub(names, r"\1 {\2}", literal), **used)
 
 
 def oracle(body: str, *views: str) -> str:
