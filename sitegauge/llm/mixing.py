@@ -146,11 +146,24 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows that share an id are taken as their mean, in whole copies."""
-    plan = mix_plan(docs, **options).filter("size > 0").groupBy("doc_id", "size", "source").agg(F.avg(F.col("taken") / F.col("size")).alias("_n"))
+    """``docs`` with each row as often as the mix takes it. Rows that share an id are taken as their mean, in whole copies.
+
+    Sources that are taken a whole number of times need no decision per document; only the texts of
+    the others are shuffled, to meet theirs.
+    """
+    full = stored(mix_plan(docs, **options), "mix-plan")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = full.groupBy("source").agg(F.max(ratio).alias("_ratio")).select(F.col("source").alias("_psource"), "_ratio", (F.abs(F.col("_ratio") - F.round("_ratio")) < _EPS).alias("_whole"))
+    sources = docs.sparkSession.createDataFrame(sources.collect(), "_psource string, _ratio double, _whole boolean")  # mix_plan bounds them
+    plan = full.filter("size > 0").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_psource"))).filter("not _whole")
+    plan = plan.groupBy("doc_id", "size", "source").agg(F.avg(F.col("taken") / F.col("size")).alias("_n"))
     keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_size", words_in()).withColumn("_source", F.col("source").cast("string"))
+    keyed = keyed.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_psource"))).drop("_psource")
+    even = keyed.filter("_whole and _size > 0").withColumn("_n", F.col("_ratio"))
+    keyed = keyed.filter("not _whole")
     met = keyed.join(
         plan.select(F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.col("source").alias("_psource"), "_n"),
         F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_size") == F.col("_psize")) & F.col("_source").eqNullSafe(F.col("_psource")),
     )
+    met = met.select(*docs.columns, "_n").unionByName(even.select(*docs.columns, "_n"))
     return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.round("_n").cast("int")))).select(docs.columns)

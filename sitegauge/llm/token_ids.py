@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import name_parts, scratch, slices, stored
 
 MAGIC, HEADER = b"TIDB", struct.Struct("<4sIIIIqI")
-END_ID, BLOCK_IDS, BATCH_BYTES = 1, 1 << 20, 1 << 20
+END_ID, BLOCK_IDS, BATCH_BYTES = 1, 1 << 19, 1 << 19
 _NULL = np.iinfo(np.int64).min
 #: Byte lengths of the four ranks that a control byte stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], 1).astype(np.int64)
@@ -52,11 +52,11 @@ class Encoder:
 
     Where its pre-tokenizer always cuts at spaces and line feeds and drops them, cuts between letters
     and closing punctuation and lowers case (all probed at the start), the text is cut there, each
-    distinct piece of a batch is encoded once and kept for the next ones, at most ``most`` pieces; else
-    whole texts are encoded.
+    distinct piece of a batch is encoded once and kept for the next ones; else whole texts are encoded.
+    At most about ``most`` pieces are kept; when there are more, those seen but once go.
     """
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 17):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,9 +80,19 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.again: set[str] = set()
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def shrink(self) -> None:
+        keep = [p for p in self.again if p in self.known]
+        if len(keep) > self.most // 2:
+            return self.clear()
+        rows = np.array([self.known[p] for p in keep], np.int64)
+        begin, size = (np.cumsum(self.size) - self.size)[rows], self.size[rows]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self.flat, self.size, self.known, self.again = self.flat[at], size, dict(zip(keep, range(len(keep)))), set()
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,9 +106,10 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) + len(pieces) > self.most:
-            self.clear()
+            self.shrink()
         new = [p for p in pieces if p not in self.known]
-        ids = self.whole(new)
+        self.again.update(p for p in pieces if p in self.known)
+        ids = [x for at in range(0, len(new), 2048) for x in self.whole(new[at : at + 2048])]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         self.size = np.concatenate([self.size, [len(x) for x in ids]]).astype(np.int64)
         self.flat = np.concatenate([self.flat, *ids])
