@@ -29,7 +29,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def wilson(hits: Column, trials: Column, z: float = 1.96) -> Column:
     """``(rate, low, high)`` of a share with its 95 % interval, 4 decimals; (0, 0, 1) without trials."""
-    n, p = trials.cast("double"), hits / F.when(trials > 0, trials)
+    n = F.when(trials > 0, trials.cast("double"))
+    p = hits / n
     mid, half = p + z * z / (2 * n), z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
     low, high = (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
     r = lambda c: F.round(c, 4)

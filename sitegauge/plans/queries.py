@@ -11,7 +11,7 @@ from ..functions.pages import is_indexable
 from ..functions.text import STOP_WORDS
 from ..functions.urls import redact, url_key
 from ..operators import answers, checks, diff, graph, logs, pages, texts, trends
-from ..sources import crawl, tables, vendors
+from ..sources import crawl, html, tables, vendors
 from .views import Tables, host_sql, key_sql, oracle
 
 Q: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -351,6 +351,9 @@ q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS
 q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")))
 
 
+q("o145_extract_html", lambda t: html.pages_to_records(t.pages).select("page_id", "url", "lang", F.size("internal_links").cast("bigint").alias("n_links"), F.size("h1").alias("n_h1")), f"WITH {_FACTS} SELECT page_id, url, lang, n_links, CAST(CASE WHEN h1_text = '' THEN 0 ELSE 1 END AS INTEGER) AS n_h1 FROM facts")
+
+
 # ---------------------------------------------------------------- entry points
 
 
