@@ -137,9 +137,13 @@ def _page(urn: str | None) -> int | None:
 
 
 def train_dictionary(pages: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the first bytes of a bounded sample: the ``sample`` pages of least id hash."""
-    rows = pages.select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("h")).filter("length(h) > 0")
-    parts = [r.h.encode() for r in rows.orderBy(F.xxhash64("page_id"), "h").limit(sample).collect()]
+    """A dictionary from the first bytes of a bounded sample: the ``sample`` pages of least id hash.
+
+    The ids are chosen first, from their column alone; then only the chosen pages' bytes come to the driver.
+    """
+    ids = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    rows = pages.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, SAMPLE_BYTES)).alias("h")).filter("length(h) > 0")
+    parts = [r.h.encode() for r in rows.orderBy("page_id").collect()]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) > 15 else b"".join(parts)[:size]
     except zstandard.ZstdError:  # too little or too even material to train on: the samples themselves
