@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, scratch_path
 
 
 def alias_map(pages: DataFrame) -> DataFrame:
@@ -39,18 +39,25 @@ def inbound_counts(edges: DataFrame) -> DataFrame:
 
 
 def link_depths(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``(node, depth)`` of all nodes reachable from ``roots(node)``: frontier rounds, each cut by a stored table."""
+    """``(node, depth)`` of all nodes reachable from ``roots(node)``.
+
+    Each round joins the frontier to the edges and leaves out what was reached before; its new nodes
+    are written as one more partition of a scratch table, so nothing is written twice and the plan of
+    a round never holds an earlier one.
+    """
     spark = edges.sparkSession
     edges = checkpointed(edges.select("src", "dst").distinct(), "edges")
-    front = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)), "front")
-    seen = front
+    path = scratch_path(spark, "depths")
+    kind = dict(roots.dtypes)["node"]
+    roots.select("node").distinct().write.parquet(f"{path}/depth=0")
     for depth in range(1, max_rounds):
-        reached = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        front = checkpointed(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
+        seen = spark.read.schema(f"node {kind}, depth int").parquet(path)
+        front = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
+        reached = edges.join(front, "src").select(F.col("dst").alias("node")).distinct()
+        reached.join(seen, "node", "left_anti").write.parquet(f"{path}/depth={depth}")
+        if spark.read.schema(f"node {kind}").parquet(f"{path}/depth={depth}").isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(front), "seen")
-    raise RuntimeError(f"deeper than {max_rounds} clicks in {spark.sparkContext.appName}")
+    raise RuntimeError(f"deeper than {max_rounds} clicks")
 
 
 def depth_histogram(depths: DataFrame) -> DataFrame:

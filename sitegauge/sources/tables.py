@@ -19,9 +19,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_folder(spark)}/sitegauge/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """Written and read back: loops keep short plans and survive lost executors."""
-    path = f"{scratch_folder(df.sparkSession)}/sitegauge/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
