@@ -348,7 +348,7 @@ q("o015_page_speed", lambda t: vendors.flatten_page_speed(t.sql("SELECT url, con
 q("o017_serp_position", lambda t: vendors.serp_position(t.sql("SELECT concat('k', page_id) AS keyword, concat('{\"items\":[{\"type\":\"ad\",\"url\":\"https://x.example/\",\"rank_absolute\":1},{\"type\":\"organic\",\"url\":\"https://o', page_id % 3, '.example/\",\"rank_absolute\":2},{\"type\":\"organic\",\"url\":\"https://www.sub.o1.example/p\",\"rank_absolute\":3}]}') AS json FROM pages"), "o1.example").select("keyword", "rank", "url"), "SELECT concat('k', page_id) AS keyword, CAST(CASE WHEN page_id % 3 = 1 THEN 2 ELSE 3 END AS INTEGER) AS rank, CASE WHEN page_id % 3 = 1 THEN 'https://o1.example/' ELSE 'https://www.sub.o1.example/p' END AS url FROM pages")
 q("o040_structured_data", lambda t: vendors.validate_structured_data(vendors.json_ld_nodes(t.sql("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' WHEN 1 THEN '{\"@graph\":[{\"@type\":\"HowTo\"},{\"name\":\"x\"}]}' ELSE '{\"@type\":[\"Product\",\"Thing\"],\"name\":\"n\",\"offers\":[],\"image\":\"i\"}' END AS json FROM pages"))), "SELECT page_id, 'Article' AS type, 'error' AS severity, 'missing headline' AS issue FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'HowTo', 'info', 'retired type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, '', 'error', 'no @type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'Product', 'warning', 'missing offers' FROM pages WHERE page_id % 3 = 2")
 q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring(text, 1, 40) AS title FROM documents")))
-q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")))
+q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")), """WITH f AS (SELECT regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_split_to_array(html, '[ \\t\\n\\r\\f\\v]+')) AS words FROM pages), c AS (SELECT unnest(['few_h2', 'missing_og_title', 'no_json_ld', CASE WHEN lang = '' THEN 'missing_lang' END, CASE WHEN h1 = '' THEN 'not_one_h1' END, CASE WHEN words < 300 THEN 'few_words' END]) AS code FROM f) SELECT code, COUNT(*) AS pages FROM c WHERE code IS NOT NULL GROUP BY code""")
 
 
 q("o145_extract_html", lambda t: html.pages_to_records(t.pages).select("page_id", "url", "lang", F.size("internal_links").cast("bigint").alias("n_links"), F.size("h1").alias("n_h1")), f"WITH {_FACTS} SELECT page_id, url, lang, n_links, CAST(CASE WHEN h1_text = '' THEN 0 ELSE 1 END AS INTEGER) AS n_h1 FROM facts")
