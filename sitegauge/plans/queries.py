@@ -351,6 +351,10 @@ q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS
 q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")), """WITH f AS (SELECT regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_split_to_array(html, '[ \\t\\n\\r\\f\\v]+')) AS words FROM pages), c AS (SELECT unnest(['few_h2', 'missing_og_title', 'no_json_ld', CASE WHEN lang = '' THEN 'missing_lang' END, CASE WHEN h1 = '' THEN 'not_one_h1' END, CASE WHEN words < 300 THEN 'few_words' END]) AS code FROM f) SELECT code, COUNT(*) AS pages FROM c WHERE code IS NOT NULL GROUP BY code""")
 
 
+_LD = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' ELSE '{\"@type\":\"Organization\",\"name\":\"n\",\"url\":\"u\"}' END AS json FROM pages WHERE page_id % 4 <> 1"
+q("o117_structured_data_summary", lambda t: vendors.structured_data_summary(t.sql("SELECT page_id, page_id % 4 <> 1 AS has_data FROM pages"), vendors.validate_structured_data(vendors.json_ld_nodes(t.sql(_LD)))), "SELECT COUNT(*) AS pages, CAST(count_if(page_id % 4 <> 1) AS BIGINT) AS with_data, CAST(count_if(page_id % 4 <> 1 AND page_id % 3 = 0) AS BIGINT) AS with_errors, CAST(count_if(page_id % 4 <> 1 AND page_id % 3 <> 0) AS BIGINT) AS with_warnings FROM pages")
+q("o016_inspection", lambda t: vendors.flatten_inspection(t.sql("SELECT url, concat('{\"inspectionResult\":{\"indexStatusResult\":{\"verdict\":\"PASS\",\"userCanonical\":\"https://i.example/', page_id, '\",\"googleCanonical\":\"http://www.i.example/', CASE WHEN page_id % 3 = 0 THEN page_id + 1 ELSE page_id END, '/\"}}}') AS json FROM pages")).select("url", "verdict", "canonical_mismatch"), "SELECT url, 'PASS' AS verdict, page_id % 3 = 0 AS canonical_mismatch FROM pages")
+q("o018_ai_samples", lambda t: vendors.flatten_ai_samples(t.sql("SELECT 'r' AS run, url AS prompt, 'p' AS provider, 1 AS sample, concat('{\"annotations\":[{\"type\":\"url_citation\",\"url\":\"https://A', page_id % 5, '.example/\"},{\"type\":\"url_citation\",\"url\":\"https://a', page_id % 3, '.example/\"},{\"type\":\"file\",\"url\":\"x\"}]}') AS json FROM pages")).groupBy("prompt").agg(F.count("*").alias("citations")), "SELECT url AS prompt, CAST(CASE WHEN page_id % 5 = page_id % 3 THEN 1 ELSE 2 END AS BIGINT) AS citations FROM pages")
 q("o145_extract_html", lambda t: html.pages_to_records(t.pages).select("page_id", "url", "lang", F.size("internal_links").cast("bigint").alias("n_links"), F.size("h1").alias("n_h1")), f"WITH {_FACTS} SELECT page_id, url, lang, n_links, CAST(CASE WHEN h1_text = '' THEN 0 ELSE 1 END AS INTEGER) AS n_h1 FROM facts")
 
 
