@@ -19,9 +19,11 @@ table makes an empty file set.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,11 @@ _NULL = np.iinfo(np.int64).min
 #: Byte lengths of the four ranks that a control byte stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], 1).astype(np.int64)
 _models: dict = {}
+#: Composed lower-case Latin letters, which normalizing and lowering leave as they are.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+")
+#: Byte-level models write the bytes that do not print as the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 def default_model() -> str:
@@ -53,7 +60,9 @@ class Encoder:
     Where its pre-tokenizer always cuts at spaces and line feeds and drops them, cuts between letters
     and closing punctuation and lowers case (all probed at the start), the text is cut there, each
     distinct piece of a batch is encoded once and kept for the next ones; else whole texts are encoded.
-    At most about ``most`` pieces are kept; when there are more, those seen but once go.
+    At most about ``most`` pieces are kept; when there are more, those seen but once go. Lower-case
+    words of Latin letters go straight to the library's model where that gives the same ids (probed, too):
+    its normalizer and pre-tokenizer leave them as one word.
     """
 
     def __init__(self, path: str, most: int = 1 << 17):
@@ -67,6 +76,12 @@ class Encoder:
         self.clear()
         probe = "Ab.  cd'll, EF!? G...h 12. x'. IT'S; 12 \u00e9\u0301 e \u0301x\n<|endoftext|> ?! it's\tok . \ufb01n\u00a0x  Z\n\n9"
         parts = self.pieces(pa.array([probe])).flatten().to_pylist()
+        self.model = self.t.model
+        trial = [*"abyz", "hello", "unbelievableness", "é", "ñandú", "straße", "réseaux", "zß", "œuvre", "þing", "ÿ"]
+        try:
+            self.direct = [self._word(w) for w in trial] == [x.tolist() for x in self.whole(trial)]
+        except Exception:  # another kind of model
+            self.direct = False
         self.cut = self.whole([probe])[0].tolist() == [i for p in parts for i in self.whole([p])[0].tolist()]
 
     @staticmethod
@@ -84,6 +99,17 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _word(self, word: str) -> list[int]:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
+        return [k.id for k in self.model.tokenize(shown)]
+
+    def new_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces that are not known yet."""
+        plain = [self.direct and _LATIN.fullmatch(p) is not None for p in pieces]
+        rest = [p for p, ok in zip(pieces, plain) if not ok]
+        others = iter([x for at in range(0, len(rest), 2048) for x in self._lists(rest[at : at + 2048])])
+        return [self._word(p) if ok else next(others) for p, ok in zip(pieces, plain)]
+
     def shrink(self) -> None:
         keep = [p for p in self.again if p in self.known]
         if len(keep) > self.most // 2:
@@ -93,8 +119,11 @@ class Encoder:
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         self.flat, self.size, self.known, self.again = self.flat[at], size, dict(zip(keep, range(len(keep)))), set()
 
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x, np.uint32) for x in self._lists(texts)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
@@ -109,11 +138,11 @@ class Encoder:
             self.shrink()
         new = [p for p in pieces if p not in self.known]
         self.again.update(p for p in pieces if p in self.known)
-        ids = [x for at in range(0, len(new), 2048) for x in self.whole(new[at : at + 2048])]
+        ids = self.new_ids(new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.size = np.concatenate([self.size, [len(x) for x in ids]]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, *ids])
-        own = np.array([self.known[p] for p in pieces], np.int64)[np.asarray(coded.indices)]
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        own = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
         size = self.size[own]
         ends = np.cumsum(size)
         begin = (np.cumsum(self.size) - self.size)[own]
