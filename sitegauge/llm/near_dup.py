@@ -7,9 +7,11 @@ Documents that share a sketch are compared: the aligned shingles ``m`` (longest
 searched within the band that the threshold leaves) must reach ``m / (n1 + n2 - m) >= threshold``.
 
 Two documents of similarity s share a sketch with a chance near s*s, so that of 16 sketches none is
-shared at s = 0.8 in 1 of 12 million cases. Within a sketch's bucket nobody emits all pairs: every
-document is compared with the bucket's least document, and again within the finer buckets made of
-two and of three consecutive sketches, so that those which differ from the least one still meet.
+shared at s = 0.8 in 1 of 12 million cases. Buckets are compared in two steps. First every document
+meets the bucket's least document, and again within the finer buckets made of two and of three
+consecutive sketches; that joins most groups. Then all pairs of a bucket whose documents are not in
+one group yet are compared, in cells of bounded size: what the counts of shingles or their histograms
+already rule out (both are upper bounds of the aligned shingles) is left out, all others are verified.
 
 Cases: null texts are in no group; texts that are equal byte for byte share a class, empty ones too;
 texts without any word are only grouped with equal ones; fewer than five words make one shingle.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import components, mix, shingles, slices, stored, with_group, word_hashes
 
 SHINGLE, SKETCHES, THRESHOLD = 5, 16, 0.8
+BINS, CELL = 512, 512
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -63,6 +66,15 @@ def sketch(h: np.ndarray, n_sketches: int = SKETCHES) -> np.ndarray:
     return mix(h[early] * np.uint64(3) + mix(h[late]) + _SEEDS[:n_sketches])
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """Counts of shingle hashes by ``BINS`` bins; the sum of two texts' lesser counts is at least what they share.
+
+    Where a count is over 255 all are set to 255, which rules nothing out.
+    """
+    counts = np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=BINS)
+    return (counts if counts.max() < 256 else np.full(BINS, 255)).astype(np.uint8).tobytes()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the longest common subsequence m of a and b has m / (len(a) + len(b) - m) >= least."""
     n, m = len(a), len(b)
@@ -98,18 +110,21 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], n_sketches: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("sketches", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("sketches", pa.list_(pa.int64())), ("n", pa.int64()), ("bins", pa.binary())])
     for batch in batches:
         text = batch.column("text")
         for at, part in slices(text):
             words, where = word_hashes(part)
-            lists = []
+            lists, sizes, bins = [], [], []
             for i in range(len(part)):
                 w = words[where[i] : where[i + 1]]
-                lists.append(sketch(shingles(w, SHINGLE), n_sketches).view(np.int64) if len(w) else None)
+                s = shingles(w, SHINGLE)
+                lists.append(sketch(s, n_sketches).view(np.int64) if len(w) else None)
+                sizes.append(len(s))
+                bins.append(histogram(s))
             ids = batch.column("doc_id").slice(at, len(part))
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("copy").slice(at, len(part)), pa.array(lists, pa.list_(pa.int64()))], schema=schema
+                [ids, batch.column("copy").slice(at, len(part)), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], schema=schema
             )
 
 
@@ -150,6 +165,80 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _cell_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of a cell that may be similar, in batches of rows sorted by cell."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        node, root, n, side, own = (table[c].to_numpy() for c in ("node", "root", "n", "side", "own"))
+        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        cell = table["cell"].to_numpy()
+        last = np.searchsorted(cell, cell, side="right")
+        count = last - np.arange(len(cell)) - 1
+        done = np.cumsum(count)
+        at = 0
+        while at < len(cell):
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 17), side="right")))
+            c = count[at:to]
+            x = np.repeat(np.arange(at, to), c)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            need = np.ceil(least * (low + high) / (1 + least) - 1e-9)
+            ok = (low >= need) & (root[x] != root[y]) & (own[x] | own[y])
+            ok &= (side[x] < 0) | (side[x] != side[y])  # in a cell of two blocks only pairs across
+            x, y, need = x[ok], y[ok], need[ok]
+            for k in range(0, len(x), 2048):
+                i, j = x[k : k + 2048], y[k : k + 2048]
+                good = np.minimum(bins[i], bins[j]).sum(1, dtype=np.int64) >= need[k : k + 2048]
+                i, j = node[i[good]], node[j[good]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], schema=schema)
+            at = to
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        cell = batch.column("cell").to_numpy()
+        if held and held[-1].column("cell")[-1].as_py() != cell[0]:
+            yield from pairs(pa.Table.from_batches(held))
+            held = []
+        cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+        if cut:
+            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def other_links(nodes: DataFrame, roots: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, sketches, n, bins)`` that share a sketch, have other roots and may be similar.
+
+    Similar texts have sizes within the threshold of each other, so rows meet in size classes of that
+    ratio: in their own and, as smaller ones, in the next. Larger groups are cut into blocks of about
+    ``cell`` rows, each pair of which is a cell.
+    """
+    known = nodes.join(roots, "node", "left").select("node", "sketches", "n", "bins", F.coalesce("root", "node").alias("root"))
+    known = stored(known, "rooted")
+    rows = known.select("node", "n", "root", F.explode(F.array_distinct("sketches")).alias("k1"))
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.0001 / threshold))).cast("int")
+    rows = rows.select("node", "n", "root", "k1", F.explode(F.array(size, size + 1)).alias("class"), size.alias("_own"))
+    rows = rows.select("node", "root", F.xxhash64("k1", "class").alias("key"), (F.col("_own") == F.col("class")).alias("own"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("own").alias("_own"))
+    mixed = mixed.filter("_low < _high and _own").select("key", F.ceil(F.col("rows") / cell).cast("int").alias("blocks"))
+    met = with_group(rows, stored(mixed, "mixed"), "key")
+    met = met.select("node", "key", "own", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
+    met = met.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
+    met = met.select(
+        "node", "own", F.xxhash64("key", F.least("at", "with"), F.greatest("at", "with")).alias("cell"),
+        F.when(F.col("at") == F.col("with"), -1).otherwise(F.col("at")).alias("side"),
+    )
+    full = met.join(known.select("node", "root", "n", "bins"), "node").select("cell", "node", "root", "n", "side", "own", "bins")
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cell_pairs(it, threshold), "a bigint, b bigint").distinct()
+
+
 def maybe(wanted: DataFrame, bits: int = 25):
     """A filter that holds for all ids of ``wanted(doc_id)`` and for few others, before an exact semi join.
 
@@ -170,6 +259,18 @@ def maybe(wanted: DataFrame, bits: int = 25):
     return lambda column: hit(F.xxhash64(column))
 
 
+def _verified(base: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose texts are similar; the texts of ``pairs`` alone are shuffled."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(base.filter(maybe(wanted)("doc_id")).join(wanted, "doc_id", "left_semi").distinct(), "texts")
+    both = (
+        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+    )
+    return stored(both.mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint"), "verified")
+
+
 def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id)`` of each document of ``docs(doc_id, text)``; class_id is the least id of its group.
 
@@ -179,22 +280,17 @@ def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: floa
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     marked = base.withColumn("copy", F.md5("text"))
     marks = stored(
-        marked.mapInArrow(lambda it: _sketches(it, n_sketches), "doc_id bigint, copy string, sketches array<bigint>"), "sketches"
+        marked.mapInArrow(lambda it: _sketches(it, n_sketches), "doc_id bigint, copy string, sketches array<bigint>, n bigint, bins binary"), "sketches"
     )
     least = marks.filter("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    member = with_group(marks.filter("copy is not null"), least, "copy").select("doc_id", "node", "sketches")
-    member = member.unionByName(marks.filter("copy is null").select("doc_id", F.col("doc_id").alias("node"), F.lit(None).cast("array<bigint>").alias("sketches")))
+    member = with_group(marks.filter("copy is not null"), least, "copy").select("doc_id", "node", "sketches", "n", "bins")
+    member = member.unionByName(marks.filter("copy is null").select("doc_id", F.col("doc_id").alias("node"), F.lit(None).cast("array<bigint>").alias("sketches"), "n", "bins"))
     member = stored(member, "members")
-    nodes = member.filter("doc_id = node and sketches is not null").select("node", "sketches").distinct()
-    pairs = stored(links(nodes), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(base.filter(maybe(wanted)("doc_id")).join(wanted, "doc_id", "left_semi").distinct(), "texts")
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    true = stored(both.mapInArrow(lambda it: _verify(it, threshold), "a bigint, b bigint"), "verified")
+    nodes = member.filter("doc_id = node and sketches is not null").select("node", "sketches", "n", "bins").distinct()
+    pairs = stored(links(nodes.select("node", "sketches").distinct()), "pairs")
+    true = _verified(base, pairs, threshold)
+    more = other_links(nodes, stored(components(true), "roots"), threshold).join(pairs, ["a", "b"], "left_anti")
+    true = true.unionByName(_verified(base, stored(more, "pairs"), threshold))
     roots = stored(components(true), "roots")
     return (
         member.select("doc_id", "node").join(roots, "node", "left")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from conftest import words
 
-from sitegauge.llm.near_dup import aligned, keep_one, labelled, near_duplicates, shingles, word_hashes
+from sitegauge.llm.near_dup import aligned, keep_one, labelled, near_duplicates, other_links, shingles, word_hashes
 
 
 def classes(df):
@@ -64,3 +64,34 @@ def test_all_links_of_the_table(spark, sf):
         for j in range(i):
             if min(len(seqs[i]), len(seqs[j])) >= 0.8 * max(len(seqs[i]), len(seqs[j])) and aligned(seqs[i], seqs[j], 0.8):
                 assert got[ids[i]] == got[ids[j]]
+
+
+def test_copies_of_an_original_in_the_middle(docs):
+    """Independently edited copies are similar to their original alone, which is not the least id."""
+    r = random.Random(8)
+    base, rows = words(40, 300), []
+    for i in range(240):
+        text = list(base)
+        for k in r.sample(range(300), 0 if i == 120 else 5):
+            text[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(text)))
+    w, at = word_hashes(docs(rows).toArrow()["text"].combine_chunks())
+    seqs = [labelled(shingles(w[at[i] : at[i + 1]])) for i in range(len(rows))]
+    root = list(range(len(rows)))  # classes by brute force over all pairs
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and aligned(seqs[i], seqs[j], 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert root.count(0) > 200
+    assert classes(near_duplicates(docs(rows))) == dict(enumerate(root))
+
+
+def test_cells_hold_all_pairs(spark):
+    """Blocks and size classes lose no pair of a bucket."""
+    sizes = [int(8 * 1.03**k) for k in range(90)]
+    nodes = spark.createDataFrame([(i, [1, 1, 2], n, b"\xff" * 512) for i, n in enumerate(sizes)], "node bigint, sketches array<bigint>, n bigint, bins binary")
+    roots = spark.createDataFrame([(3, 2)], "node bigint, root bigint")
+    want = {(i, j) for i in range(90) for j in range(i) if min(sizes[i], sizes[j]) >= int(np.ceil(0.8 * (sizes[i] + sizes[j]) / 1.8 - 1e-9)) and (i, j) != (3, 2)}
+    for cell in (512, 7):
+        assert {(p.a, p.b) for p in other_links(nodes, roots, 0.8, cell).collect()} == want
