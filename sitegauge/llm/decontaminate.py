@@ -8,8 +8,9 @@ least ``threshold`` are retrieved. A segment's heaviest words are its essential
 misses more than ``1 - threshold`` of their weight cannot reach the threshold, and passages of which
 that holds for every segment are passed over at once (in numpy). The others are searched by WAND,
 which skips blocks of postings by their largest weights. What is found is verified in the text around the passage: of the five-word shingles
-of the item's question and of its answer at least ``overlap`` each must occur there. The answer is
-the last sentence of the item, the question what stands before; one sentence is a question alone.
+of the whole item, or of its question and of its answer each, at least ``overlap`` must occur there.
+The answer is the last sentence of the item, the question what stands before; one sentence is a
+question alone. A changed word of a short answer thus does not hide an item that is there else.
 
 The index of one round holds at most ``shard`` items; larger benchmarks take several rounds over the
 documents, so what is sent to the executors never grows with the benchmark.
@@ -51,6 +52,7 @@ class Index:
         self.items = [i for i, _ in items]
         halves = [question_answer(t or "") for _, t in items]
         self.need: list[list[np.ndarray]] = []
+        self.whole: list[np.ndarray] = []
         segments: list[np.ndarray] = []
         self.of: list[int] = []
         self.words_of: list[int] = []
@@ -60,6 +62,7 @@ class Index:
             self.words_of.append(len(own))
             qw, aw = (word_hashes(pa.array([x]))[0] for x in (q, a))
             self.need.append([shingles(x, min(5, len(x))) for x in (qw, aw) if len(x)] if len(own) else [])
+            self.whole.append(shingles(own, min(5, len(own))))
             parts = -(-len(own) // SEGMENT)
             for part in np.array_split(own, parts) if parts else []:
                 segments.append(part)
@@ -196,7 +199,8 @@ class Index:
                 for need, size in zip(self.need[item], self.sizes[item]):
                     have = shingles(near, min(5, size))
                     shares.append(float(np.isin(need, have).mean()))
-                if shares and min(shares) >= overlap:
+                whole = np.isin(self.whole[item], shingles(near, min(5, self.words_of[item]))).mean()
+                if shares and (min(shares) >= overlap or whole >= overlap):
                     key = (d, item)
                     new = (score, shares[0], shares[-1] if len(shares) > 1 else shares[0])
                     found[key] = max(found.get(key, new), new)

@@ -9,6 +9,7 @@ import pytest
 from conftest import words
 
 from sitegauge.llm import token_ids as ti
+from sitegauge.llm.common import shingles, word_hashes
 from sitegauge.llm.decontaminate import Index, contaminated, decontaminate, question_answer
 from sitegauge.llm.line_dedup import dedup_lines
 from sitegauge.llm.token_counts import default_model, parts, token_counts
@@ -101,6 +102,22 @@ def test_decontamination(spark, docs):
     assert contaminated(docs([]), bench).collect() == []
 
 
+def test_one_changed_word_anywhere(spark, sf):
+    """Any one-word change that leaves 0.8 of an item's shingles is found, also in a short last sentence."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index = Index(items)
+    tried = 0
+    for n, (item, text) in enumerate(items):
+        own = word_hashes(pa.array([text]))[0]
+        for k in range(len(own)):
+            changed = own.copy()
+            changed[k] = 1
+            if np.isin(shingles(own), shingles(changed)).mean() >= 0.8:
+                tried += 1
+                assert item in {m[1] for m in index.matches(changed, np.array([0, len(own)]), 0.8)}, (item, k)
+    assert tried > 100
+
+
 def test_wand_is_the_plain_sum():
     rng = np.random.default_rng(2)
     vocabulary = words(5, 60)
