@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,14 +66,18 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def name_parts(spark: SparkSession, path: str, suffix: str) -> None:
-    """Give the files that Spark wrote below ``path`` their suffix: the part's value or number is the name."""
+    """Give the files that Spark wrote below ``path`` their suffix; the name is the part's number, or the
+    folder's value with the numbers of task and file, as several tasks may write into one folder."""
     fs, at = filesystem(spark, path)
     files = fs.listFiles(at, True)
     while files.hasNext():
         file = files.next().getPath()
         name, folder = file.getName(), file.getParent()
         if name.startswith("part-"):
-            new = folder.getName().split("=")[1] if "=" in folder.getName() else name.split("-c0")[0]
+            new = name.split("-c0")[0]
+            if "=" in folder.getName():
+                task, number = re.match(r"part-(\d+)-.*[.-]c(\d+)", name).groups()
+                new = f"{folder.getName().split('=')[1]}-{task}-{number}"
             target = spark._jvm.org.apache.hadoop.fs.Path(folder, new.split(".")[0] + suffix)
             if not fs.rename(file, target):
                 raise OSError(f"cannot rename {file} to {target}")

@@ -6,7 +6,7 @@ byte; control bytes and data bytes are kept apart, so that numpy decodes a block
 lengths in a table and gathering bytes, without a loop over ids.
 
 Below the output folder: ``ranks`` is a table of one row per id (bounded by the vocabulary), and
-``ids/part=K/K.tid`` hold the documents in ascending doc_id order, through the parts as within them.
+``ids/part=K/K-*.tid`` hold the documents in ascending doc_id order, through the parts as within them.
 A file is a run of blocks, each a header (magic, documents, ids, control bytes, data bytes, ids
 before the block, crc32 of the rest), doc_ids (int64, with a null mark), lengths (uint32), control
 bytes and data bytes, closed by one line feed.

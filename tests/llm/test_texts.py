@@ -48,6 +48,32 @@ def test_token_id_files(spark, docs, tmp_path):
     assert ti.token_ids(docs([])).collect() == []
 
 
+def test_token_id_files_of_several_tasks(spark, docs, tmp_path):
+    """A doc_id range whose encoded blocks are read by several tasks gives several files."""
+    rows = [(k, " ".join(words(k, 600))) for k in range(60)]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    small = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k) for k in small}
+    encode, sizes = ti._encode, (ti.BLOCK_IDS, ti.BATCH_BYTES)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        hadoop.set("parquet.block.row.count.limit", "5")
+        # as another function than the module's it travels by value, with the small sizes
+        ti.BLOCK_IDS, ti.BATCH_BYTES, ti._encode = 500, 2000, lambda *of: encode(*of)
+        ti.write_token_ids(docs(rows), f"file://{tmp_path}/many")
+    finally:
+        ti._encode, (ti.BLOCK_IDS, ti.BATCH_BYTES) = encode, sizes
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        hadoop.unset("parquet.block.row.count.limit")
+    files = [f for _, _, names in os.walk(tmp_path / "many" / "ids") for f in names if f.endswith(".tid")]
+    assert len(files) > 1
+    got = sorted(ti.read_token_ids(spark, f"file://{tmp_path}/many").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == list(range(60))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(60)]
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
