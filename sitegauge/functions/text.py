@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that titles and topics are compared without.
-STOP_WORDS = (
-    "a an and are as at be by for from has how in into is it of on or our than that the their this to up vs was were "
-    "will with your you we i us"
-).split()
+#: Words that metadata, links and topics are compared without.
+METADATA_STOP_WORDS = """
+a an and are as at be by for from has how in into is it of on or our than that the their this to up vs was were will with
+your you we i us
+""".split()
+LINK_STOP_WORDS = """
+a an and are as at be by for from has have how in into is it its of on or our than that the their this to up vs was were
+will with your you we i us about all also can more not one out so if no do does get new use used using
+""".split()
+TOPIC_STOP_WORDS = """
+a an and are as at be by for from has have how in into is it its of on or our than that the their this to up vs was were
+will with your you we i us about all also can more not one out so if no do does get new use used using what why when
+which who should
+""".split()
+#: Profile -> pattern of a token, stop words.
+PROFILES = {
+    "topic": (r"[a-z0-9]+(?:'[a-z]+)?", TOPIC_STOP_WORDS),
+    "link": (r"[a-z0-9]+(?:'[a-z]+)?", LINK_STOP_WORDS),
+    "metadata": (r"[a-z0-9]+", METADATA_STOP_WORDS),
+}
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def terms(col, pattern: str = r"[a-z0-9]+(?:'[a-z]+)?", least: int = 3) -> Column:
-    """Lower-cased tokens of at least ``least`` letters that are no stop words, in order, repeats kept."""
+def terms(col, profile: str = "topic", least: int = 3) -> Column:
+    """Lower-cased tokens of at least ``least`` letters that are no stop words of the profile, in order, repeats kept."""
+    pattern, stop = PROFILES[profile]
     found = F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(pattern), F.lit(0))
-    return F.filter(found, lambda w: (F.char_length(w) >= least) & ~w.isin(STOP_WORDS))
+    return F.filter(found, lambda w: (F.char_length(w) >= least) & ~w.isin(stop))
 
 
 def jaccard(a: Column, b: Column) -> Column:

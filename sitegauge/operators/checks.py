@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pages import is_indexable, is_noindex
+from ..functions.sites import keys
 from ..functions.urls import host_key, url_key
 
 #: Traces of client-side frameworks in markup.
-HYDRATION = ("__NEXT_DATA__", "__NUXT__", "data-reactroot", "ng-version", "window.__INITIAL_STATE__", "data-server-rendered")
+HYDRATION = ("__NEXT_DATA__", "__NUXT__", "data-reactroot", "ng-version", "data-sveltekit", "astro-island")
 CHALLENGE = ("just a moment", "attention required", "captcha", "verify you are human")
 
 
+def _empty_mount() -> Column:
+    """Whether an element of id root or app holds fewer than ten words. Where an element of its kind stands in it,
+    its end is not known, and all that follows counts."""
+    open_ = r"""(?is)<(\w+)[^>]*\bid\s*=\s*["']?(?:root|app)["'\s>]"""
+    bare = F.regexp_replace("html", r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ")
+    tag = F.lower(F.regexp_extract(bare, open_, 1))
+    rest = F.regexp_extract(bare, open_ + r"[^>]*>?(.*)", 2)
+    inner = F.regexp_extract(bare, open_ + r"[^>]*>?(.*?)</\1\s*>", 2)
+    nested = F.contains(F.lower(inner), F.concat(F.lit("<"), tag))
+    words = F.regexp_count(F.regexp_replace(F.when(nested | (inner == ""), F.when(inner == "", F.lit("")).otherwise(rest)).otherwise(inner), "<[^>]*>", " "), F.lit(r"\S+"))
+    return (tag != "") & (words < 10)
+
+
 def js_dependency(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Pages with few words and a trace of client-side rendering, or an empty mount node."""
-    marker = F.lit(False)
+    """Pages with few words and a trace of client-side rendering, or a mount node with next to no text."""
+    marker = _empty_mount()
     for m in HYDRATION:
         marker = marker | F.col("html").contains(m)
-    empty = F.col("html").rlike(r"""(?is)<div[^>]*id=["'](?:root|app)["'][^>]*>\s*</div>""") & (F.col("word_count") < 10)
-    return pages.filter((F.col("word_count") < least) & (marker | empty)).select("url", "word_count", F.when(F.col("word_count") < 30, "high").otherwise("medium").alias("severity"))
+    return pages.filter((F.col("word_count") < least) & marker).select(*keys(pages), "url", "word_count", F.when(F.col("word_count") < 30, "high").otherwise("medium").alias("severity"))
 
 
 def render_gap(raw: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -105,3 +119,13 @@ def site_conformance(pages: DataFrame) -> DataFrame:
     ]
     made = F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(code)) for c, code in rules])
     return pages.select("url", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("code")).groupBy("code").agg(F.count("*").alias("pages"))
+
+
+def sitemap_mismatch(crawl: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """Indexable self-canonical pages (with their ``key``) that the sitemap lacks, and sitemap pages that it should not list."""
+    by = keys(crawl, sitemap)
+    elsewhere = (F.col("canonical") != "") & (url_key("canonical") != F.col("key"))
+    lacking = crawl.filter(is_indexable() & ~elsewhere).join(sitemap, [*by, "key"], "left_anti").select(*by, "url", F.lit("missing_from_sitemap").alias("reasons"))
+    why = F.concat_ws(", ", F.when(F.col("status") != 200, "not_200"), F.when(is_noindex(), "noindex"), F.when(elsewhere, "canonical_elsewhere"))
+    listed = crawl.filter("error_type = ''").join(sitemap, [*by, "key"], "left_semi").select(*by, "url", why.alias("reasons")).filter("reasons != ''")
+    return lacking.unionByName(listed)

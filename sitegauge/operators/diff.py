@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pages import findings, is_indexable, is_noindex
+from ..functions.sites import keys, sited
 from ..functions.urls import host_key, url_key
+from .graph import first_joined
 
 
 def find_baseline(meta: DataFrame, min_age_days: int = 0) -> DataFrame:
     """As-of join: for each snapshot the newest earlier one of the site with the same page limit, neither cut
-    off, at least ``min_age_days`` older; else the reason for the refusal."""
-    cur = meta.select("site", F.col("crawl_id").alias("cur"), F.col("finished_at").alias("at"), F.col("max_pages").alias("mp"), F.col("truncated").alias("tr"))
-    prev = meta.select("site", "crawl_id", "finished_at", "max_pages", "truncated")
-    earlier = cur.join(prev, "site", "left").filter(F.col("crawl_id").isNull() | (F.col("finished_at") < F.col("at")) | (F.col("crawl_id") == F.col("cur")))
-    real = F.col("finished_at") < F.col("at")
-    fits = real & (F.col("max_pages") == F.col("mp")) & ~F.col("truncated") & ~F.col("tr") & (F.datediff("at", "finished_at") >= min_age_days)
-    best = earlier.groupBy("site", "cur", "tr").agg(F.max_by(F.when(fits, F.col("crawl_id")), F.when(fits, F.struct("finished_at", "crawl_id"))).alias("baseline"), F.count_if(real).alias("n"), F.count_if(real & (F.col("max_pages") == F.col("mp"))).alias("same"), F.count_if(real & (F.col("max_pages") == F.col("mp")) & ~F.col("truncated")).alias("whole"))
-    reason = F.when(F.col("baseline").isNotNull(), "").when(F.col("tr"), "current_truncated").when(F.col("n") == 0, "no_earlier_snapshot").when(F.col("same") == 0, "other_page_limit").when(F.col("whole") == 0, "baseline_truncated").otherwise("too_recent")
-    return best.select("site", F.col("cur").alias("crawl_id"), "baseline", reason.alias("reason"))
+    off, at least ``min_age_days`` older; else the reason for the refusal. Frames over the site's snapshots in
+    order of time, so the work grows with their number."""
+    at, day = F.unix_micros(F.col("finished_at").cast("timestamp")), F.datediff("finished_at", F.lit("1970-01-01").cast("date"))
+    rows = meta.withColumn("_at", at).withColumn("_day", day)
+    before = Window.partitionBy("site").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("site", "max_pages").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    old = same if min_age_days <= 0 else Window.partitionBy("site", "max_pages").orderBy("_day").rangeBetween(Window.unboundedPreceding, -min_age_days)
+    limited = F.col("max_pages").isNotNull()
+    rows = rows.withColumn("_n", F.count("_at").over(before)).withColumn("_same", F.when(limited, F.count("_at").over(same)).otherwise(0)).withColumn("_whole", F.when(limited, F.count(F.when(~F.col("truncated"), F.col("_at"))).over(same)).otherwise(0))
+    best = F.max(F.when(~F.col("truncated"), F.struct("finished_at", "crawl_id"))).over(old)
+    rows = rows.withColumn("baseline", F.when(~F.col("truncated") & limited, best["crawl_id"]))
+    reason = F.when(F.col("baseline").isNotNull(), "").when(F.col("truncated"), "current_truncated").when(F.col("_n") == 0, "no_earlier_snapshot").when(F.col("_same") == 0, "other_page_limit").when(F.col("_whole") == 0, "baseline_truncated").otherwise("too_recent")
+    return rows.select("site", "crawl_id", "baseline", reason.alias("reason"))
 
 
 def latest_snapshot(meta: DataFrame, now: Column, max_age_days: int, min_pages: int) -> DataFrame:
@@ -34,8 +40,9 @@ def complete_snapshots(pages: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def paired(prev: DataFrame, cur: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    p = prev.select("key", *[F.col(c).alias(f"p_{c}") for c in columns])
-    return cur.select("key", *columns).join(p, "key", how)
+    by = [*keys(prev, cur), "key"]
+    p = prev.select(*by, *[F.col(c).alias(f"p_{c}") for c in columns])
+    return cur.select(*by, *columns).join(p, by, how)
 
 
 _FIELDS = ["url", "status", "error_type", "meta_robots", "x_robots_tag", "canonical"]
@@ -49,32 +56,35 @@ def crawl_regressions(prev: DataFrame, cur: DataFrame) -> DataFrame:
     cross = (new != "") & (host_key(new) != host_key("url"))
     failed = F.col("error_type") != ""
     return findings(
-        both,
+        both.select(*keys(prev, cur), *[c for c in both.columns if c != "site"]),
         (~F.col("p_noindex") & F.col("noindex"), "new_noindex", "critical", F.lit("")),
         (was_ok & failed, "fetch_error", "medium", F.col("error_type")),
         (was_ok & ~failed & (F.col("status") != 200), "status_code_regression", F.when(F.col("status") >= 500, "critical").otherwise("high"), F.col("status")),
         ((old != new) & cross, "cross_domain_canonical", "critical", new),
         ((old != new) & ~cross & (old != "") & (new == ""), "canonical_removed", "medium", old),
         ((old != new) & ~cross & (old != "") & (new != "") & (url_key(old) != url_key(new)), "canonical_changed", "medium", new),
+        keep=(*keys(prev, cur), "url"),
     )
 
 
 def pages_disappeared(prev: DataFrame, cur: DataFrame, truncated: bool = False) -> DataFrame:
     """Indexable before, absent now. Nothing is said if either crawl was cut off."""
-    gone = prev.filter(is_indexable()).join(cur.select("key"), "key", "left_anti").select("url", F.lit("page_disappeared").alias("type"), F.lit("high").alias("severity"))
+    by = keys(prev, cur)
+    gone = prev.filter(is_indexable()).join(cur.select(*by, "key"), [*by, "key"], "left_anti").select(*by, "url", F.lit("page_disappeared").alias("type"), F.lit("high").alias("severity"))
     return gone.limit(0) if truncated else gone
 
 
 def content_changed(prev: DataFrame, cur: DataFrame, column: str = "content_version") -> DataFrame:
     both = paired(prev, cur, ["url", "status", column])
-    return both.filter((F.col("status") == 200) & (F.col("p_status") == 200) & (F.col(column) != F.col(f"p_{column}"))).select("key", "url")
+    return both.filter((F.col("status") == 200) & (F.col("p_status") == 200) & (F.col(column) != F.col(f"p_{column}"))).select(*keys(prev, cur), "key", "url")
 
 
 def newly_broken_links(prev_edges: DataFrame, cur_edges: DataFrame, status: DataFrame) -> DataFrame:
     """Links that are new on a page and lead to a broken target; the first five listed."""
-    bad = status.filter("status >= 400 and error_type = ''").select(F.col("node").alias("dst"))
-    rows = cur_edges.join(prev_edges, ["src", "dst"], "left_anti").join(bad, "dst", "left_semi")
-    return rows.groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set("dst")), 1, 5), lambda s: s.cast("string")), ",").alias("targets"))
+    by = keys(prev_edges, cur_edges, status)
+    bad = status.filter("status >= 400 and error_type = ''").select(*by, F.col("node").alias("dst"))
+    rows = cur_edges.join(prev_edges, [*by, "src", "dst"], "left_anti").join(bad, [*by, "dst"], "left_semi")
+    return rows.groupBy(*by, "src").agg(F.count("*").alias("n")).join(first_joined(rows.select(*by, "src", "dst").distinct(), [*by, "src"], "dst", 5, "targets"), [*by, "src"])
 
 
 def new_redirects(prev: DataFrame, cur: DataFrame) -> DataFrame:
@@ -82,7 +92,7 @@ def new_redirects(prev: DataFrame, cur: DataFrame) -> DataFrame:
     both = paired(prev, cur, ["url", "final_url", "status"])
     direct = (F.col("p_status") == 200) & (url_key("p_url") == url_key("p_final_url"))
     moved = both.filter(direct & (url_key("url") != url_key("final_url")))
-    return moved.select("url", "final_url", F.when(host_key("url") != host_key("final_url"), "high").otherwise("medium").alias("severity"))
+    return moved.select(*keys(prev, cur), "url", "final_url", F.when(host_key("url") != host_key("final_url"), "high").otherwise("medium").alias("severity"))
 
 
 def backlink_diff(prev: DataFrame, cur: DataFrame, streaks: DataFrame, prev_run_date: Column) -> DataFrame:
@@ -137,24 +147,63 @@ def text_changes(prev: DataFrame, cur: DataFrame, most: int = 40) -> DataFrame:
     return votes.filter("n != 0").groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
 
 
+def _rule_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of ``pages(site, path)`` with each rule ``(site, source)`` that fits: the exact path, or the part
+    up to ``*`` or ``:`` as its beginning. Rules whose beginning has a whole first segment meet the pages of
+    that segment alone."""
+    first = r"^(/[^/*:]+)/"
+    r = rules.select("site", "source", F.regexp_extract("source", r"^([^*:]*)", 1).alias("_prefix"), F.col("source").rlike(r"[*:]").alias("_open")).distinct()
+    exact = pages.join(r.filter("not _open").select("site", F.col("source").alias("path"), "source"), ["site", "path"])
+    wide = r.filter("_open and _prefix != ''").withColumn("_segment", F.regexp_extract("_prefix", first, 1))
+    rows = pages.withColumn("_segment", F.regexp_extract(F.concat("path", F.lit("/")), first, 1))
+    near = rows.join(wide.filter("_segment != ''"), ["site", "_segment"]).filter(F.startswith("path", F.col("_prefix")))
+    far = rows.join(wide.filter("_segment = ''").drop("_segment"), "site").filter(F.startswith("path", F.col("_prefix")))
+    columns = [*pages.columns, "source"]
+    return exact.select(columns).unionByName(near.select(columns)).unionByName(far.select(columns))
+
+
 def expected_redirects(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """Each declared rule against the first crawled page it matches: exact, or by prefix up to ``*`` or ``:``."""
-    r = rules.withColumn("prefix", F.regexp_extract("source", r"^([^*:]*)", 1)).withColumn("open", F.col("source").rlike(r"[*:]"))
-    hit = F.when(F.col("open"), F.col("path").startswith(F.col("prefix"))).otherwise(F.col("path") == F.col("source"))
-    met = pages.join(F.broadcast(r), hit).groupBy("source").agg(F.min_by(F.struct("path", "landing"), "fetch_seq").alias("m"))
-    rows = rules.join(met, "source", "left")
+    by = keys(rules, pages)
+    met = _rule_hits(sited(pages), sited(rules)).groupBy("site", "source").agg(F.min_by(F.struct("path", "landing"), "fetch_seq").alias("m"))
+    rows = sited(rules).join(met, ["site", "source"], "left")
     state = F.when(F.col("m").isNull(), "not_observed").when(F.col("m.landing").isNull(), "not_honoured").when(F.col("m.landing") != F.col("target"), "wrong_destination").otherwise("confirmed")
-    return rows.select("source", "target", F.col("m.path").alias("path"), state.alias("state"))
+    return rows.select(*by, "source", "target", F.col("m.path").alias("path"), state.alias("state"))
+
+
+def undeclared_redirects(rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages that redirect although no rule fits their path."""
+    by = keys(rules, pages)
+    moved = sited(pages).filter("landing is not null")
+    ruled = _rule_hits(moved.select("site", "path").distinct(), sited(rules)).select("site", "path").distinct()
+    return moved.join(ruled, ["site", "path"], "left_anti").select(*by, "path", "landing", F.lit("low").alias("severity"))
 
 
 def migration_coverage(old_urls: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether each old path redirects now or has a rule; else why not."""
-    r = F.broadcast(rules.select(F.regexp_extract("source", r"^([^*:]*)", 1).alias("prefix"), F.col("source").rlike(r"[*:]").alias("open"), "source"))
-    hit = F.when(F.col("open"), F.col("path").startswith(F.col("prefix"))).otherwise(F.col("path") == F.col("source"))
-    ruled = old_urls.join(r, hit, "left_semi").select("path", F.lit(True).alias("ruled"))
-    rows = old_urls.join(pages.select("path", "status", "landing"), "path", "left").join(ruled, "path", "left")
-    state = F.when(F.col("landing").isNotNull(), "covered_live").when(F.col("ruled"), "covered_by_rule").when(F.col("status") == 200, "still_200").otherwise("unreachable")
-    return rows.select("path", state.alias("state"))
+    """Whether each old path redirects now or has a rule; else why not. A loop counts as missing whatever rule there is."""
+    by = keys(old_urls, pages, rules)
+    old, seen = sited(old_urls).select("site", "path"), sited(pages)
+    seen = seen if "error_type" in seen.columns else seen.withColumn("error_type", F.lit(""))
+    ruled = _rule_hits(old.distinct(), sited(rules)).select("site", "path").distinct().withColumn("ruled", F.lit(True))
+    rows = old.join(seen.select("site", "path", "status", "landing", "error_type"), ["site", "path"], "left").join(ruled, ["site", "path"], "left")
+    state = (
+        F.when(F.col("error_type") == "too_many_redirects", "redirect_loops").when(F.col("landing").isNotNull(), "covered_live").when(F.col("ruled"), "covered_by_rule")
+        .when(F.col("status") == 200, "still_200").otherwise("unreachable")
+    )
+    return rows.select(*by, "path", state.alias("state"))
+
+
+def migration_summary(coverage: DataFrame) -> DataFrame:
+    """Old paths, how many are covered and missing, and whether the launch must wait, for each site."""
+    covered = F.col("state").isin("covered_live", "covered_by_rule")
+    counts = F.count("*").alias("old_urls"), F.count_if(covered).alias("covered"), F.count_if(~covered).alias("missing"), F.coalesce(F.bool_or(~covered), F.lit(False)).alias("launch_blocker")
+    return coverage.groupBy(*keys(coverage)).agg(*counts)
+
+
+def broken_backlinks(links: DataFrame) -> DataFrame:
+    """Links to targets that answer 400 or more; unknown and server errors weigh more."""
+    code = F.col("http_code")
+    return links.filter(code.isNull() | (code >= 400)).withColumn("severity", F.when(code.isNull() | (code >= 500), "high").otherwise("medium"))
 
 
 def redirect_classes(pages: DataFrame) -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sites import keys
 from ..functions.urls import path_of
 
 #: Crawlers by the name in their user agent, with their role.
-BOTS = (("GPTBot", "training"), ("OAI-SearchBot", "search"), ("ChatGPT-User", "user"), ("ClaudeBot", "training"), ("PerplexityBot", "search"), ("Google-Extended", "training"), ("bingbot", "search"), ("Googlebot", "search"), ("CCBot", "training"), ("Bytespider", "training"))
+BOTS = (
+    ("GPTBot", "training_only"), ("OAI-SearchBot", "citation_index"), ("ChatGPT-User", "live_fetch"), ("ClaudeBot", "training_only"),
+    ("Claude-SearchBot", "citation_index"), ("Claude-User", "live_fetch"), ("PerplexityBot", "citation_index"), ("Perplexity-User", "live_fetch"),
+    ("Google-Extended", "training_only"), ("Applebot-Extended", "training_only"), ("Amazonbot", "citation_index"), ("bingbot", "citation_index"),
+    ("BingPreview", "citation_index"), ("Bytespider", "training_only"), ("Meta-ExternalAgent", "training_only"), ("CCBot", "training_only"),
+)
 
 
 def parse_access_log(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -40,12 +46,20 @@ def bot_matches(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> Data
     return lines.withColumn("bot", F.explode(hit))
 
 
-def crawler_hits(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> DataFrame:
-    """Hits and role of each bot, never-seen ones with 0."""
-    spark = lines.sparkSession
+def crawler_hits(lines: DataFrame, bots: tuple = BOTS, col: str = "line", order: str | None = None, samples: int = 2) -> DataFrame:
+    """Hits and role of each bot, never-seen ones with 0. With ``order``, a column, also its first lines by it,
+    masked and cut to 500 characters, joined by line feeds."""
+    spark, by = lines.sparkSession, keys(lines)
     known = spark.createDataFrame(list(bots), "bot string, role string")
-    hits = bot_matches(lines, bots, col).groupBy("bot").agg(F.count("*").alias("hits"))
-    return known.join(hits, "bot", "left").na.fill(0, ["hits"])
+    known = lines.select(*by).distinct().crossJoin(F.broadcast(known)) if by else known  # a row for each bot
+    found = bot_matches(lines, bots, col)
+    out = known.join(found.groupBy(*by, "bot").agg(F.count("*").alias("hits")), [*by, "bot"], "left").na.fill(0, ["hits"])
+    if order:
+        rank = F.row_number().over(Window.partitionBy(*by, "bot").orderBy(order, col))
+        first = found.select(*by, "bot", order, col).withColumn("_rn", rank).filter(F.col("_rn") <= samples).withColumn("_s", F.substring(mask_ips(col), 1, 500))
+        first = first.groupBy(*by, "bot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_s"))), lambda s: s["_s"]), "\n").alias("samples"))
+        out = out.join(first, [*by, "bot"], "left").na.fill("", ["samples"])
+    return out
 
 
 def generic_bots(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> DataFrame:
@@ -83,33 +97,53 @@ def rule_regex(pattern: str) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(starred, r"\$(?!$)", r"\\\$"))
 
 
+def _applying(rules: DataFrame, agents: DataFrame) -> DataFrame:
+    """The rules of each ``(site, agent)`` of ``agents``: those of all groups that name it, else those of ``*``;
+    ``matched`` tells which."""
+    r = rules.select("site", F.col("agent").alias("_group"), "group_id", "kind", "pattern")
+    named = agents.join(r, (agents["site"] == r["site"]) & (agents["agent"] == r["_group"])).select(agents["site"], agents["agent"], "group_id", "kind", "pattern", F.lit("exact").alias("matched"))
+    others = agents.join(named.select("site", "agent").distinct(), ["site", "agent"], "left_anti")
+    return named.unionByName(others.join(r.filter("_group = '*'"), "site").select("site", "agent", "group_id", "kind", "pattern", F.lit("wildcard").alias("matched")))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """The longest matching pattern decides, Allow wins ties, empty patterns match nothing, no match allows.
-    Groups that name the agent count, else those of ``*``."""
-    own = F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*")
-    r = rules.filter("kind in ('allow', 'disallow') and pattern != ''")
-    named = r.filter(own)
-    r = (r.filter(F.col("agent") == "*") if named.isEmpty() else named).select("kind", "pattern", rule_regex("pattern").alias("re")).distinct()
-    met = urls.withColumn("path", path_of("url")).join(F.broadcast(r), F.rlike("path", F.col("re")), "left")
-    best = met.groupBy("url").agg(F.max_by("kind", F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a"))).alias("kind"))
-    return best.select("url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
+    Groups that name the agent count, else those of ``*``, on each site for itself."""
+    by = keys(urls, rules)
+    u = (urls if by else urls.drop("site").withColumn("site", F.lit(""))).withColumn("path", path_of("url"))
+    r = rules if by else rules.drop("site").withColumn("site", F.lit(""))
+    r = r if "group_id" in r.columns else r.withColumn("group_id", F.lit(1))
+    agents = r.select("site").distinct().withColumn("agent", F.lit(agent.strip().lower()))
+    r = _applying(r, agents).filter("kind in ('allow', 'disallow') and pattern != ''").select("site", "kind", "pattern").distinct().withColumn("re", rule_regex("pattern"))
+    met = u.join(r, (u["site"] == r["site"]) & F.rlike("path", F.col("re")), "left").select(u["site"], "url", "kind", "pattern")
+    best = met.groupBy("site", "url").agg(F.max_by("kind", F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a"))).alias("kind"))
+    return best.select(*by, "url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
 
 
 def crawler_access_audit(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
-    """Per known bot: how its rules match, whether the root is blocked, how many paths are."""
-    spark = rules.sparkSession
-    known = spark.createDataFrame(list(bots), "bot string, role string").withColumn("agent", F.lower("bot"))
-    per = rules.filter("kind = 'disallow' and pattern != ''").groupBy("agent").agg(F.bool_or(F.col("pattern").isin("/", "/*")).alias("root"), F.count_distinct("pattern").alias("blocked"))
-    agents = rules.select("agent").distinct().withColumn("named", F.lit(True))
-    star = per.filter("agent = '*'").select(F.col("root").alias("s_root"), F.col("blocked").alias("s_blocked"))
-    rows = known.join(agents, "agent", "left").join(per, "agent", "left").join(F.broadcast(star), F.lit(True), "left")
-    named = F.coalesce("named", F.lit(False))
-    root = F.coalesce(F.when(named, F.col("root")).otherwise(F.col("s_root")), F.lit(False))
-    blocked = F.coalesce(F.when(named, F.col("blocked")).otherwise(F.col("s_blocked")), F.lit(0))
-    sev = F.when(root & (F.col("role") == "training"), "info").when(root, "high").when(blocked > 0, "medium").otherwise("none")
-    match = F.when(named, "exact").when(F.col("s_root").isNotNull(), "wildcard").otherwise("none")
-    return rows.select("bot", match.alias("matched"), root.alias("root_blocked"), blocked.cast("bigint").alias("blocked_patterns"), sev.alias("severity"))
+    """Per site and known bot: how its rules match, whether the root is blocked and by which rule (the longest
+    that matches the root), how many other paths are blocked. Blocked training bots are notes, no findings."""
+    by, spark = keys(rules), rules.sparkSession
+    r = rules if by else rules.withColumn("site", F.lit(""))
+    r = r if "group_id" in r.columns else r.withColumn("group_id", F.lit(1))
+    known = F.broadcast(spark.createDataFrame([(b, role, b.lower()) for b, role in bots], "bot string, role string, agent string"))
+    asked = r.select("site").distinct().crossJoin(known)
+    met = _applying(r, asked.select("site", "agent"))
+    root = (F.col("pattern") != "") & F.trim(F.regexp_replace("pattern", r"^[*$]+|[*$]+$", "")).isin("", "/")
+    size = lambda kind: F.max(F.when(root & (F.col("kind") == kind), F.length("pattern")))
+    off = F.col("kind") == "disallow"
+    per = met.groupBy("site", "agent").agg(
+        F.max("matched").alias("matched"), size("disallow").alias("_off"), size("allow").alias("_on"),
+        F.max_by(F.when(root & off, F.col("pattern")), F.when(root & off, F.struct(F.length("pattern"), "pattern"))).alias("_rule"),
+        F.count_distinct(F.when(off & ~root & (F.col("pattern") != ""), F.col("pattern"))).alias("_paths"),
+    )
+    rows = asked.join(per, ["site", "agent"], "left")
+    blocked = F.coalesce(F.col("_off") > F.coalesce("_on", F.lit(0)), F.lit(False))
+    paths = F.when(blocked, 0).otherwise(F.coalesce("_paths", F.lit(0))).cast("bigint")
+    note = F.col("role") == "training_only"
+    sev = F.when(blocked & note, "info").when(blocked, "high").when((paths > 0) & ~note, "medium").otherwise("none")
+    return rows.select(*by, "bot", F.coalesce("matched", F.lit("none")).alias("matched"), blocked.alias("root_blocked"), F.when(blocked, F.col("_rule")).otherwise("").alias("blocking_rule"), paths.alias("blocked_patterns"), sev.alias("severity"))
 
 
 def unknown_agents(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
-    return rules.filter(~F.col("agent").isin("*", *[b.lower() for b, _ in bots])).select("agent").distinct()
+    return rules.filter(~F.col("agent").isin("*", *[b.lower() for b, _ in bots])).select(*keys(rules), "agent").distinct()

@@ -7,33 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pages import findings, is_indexable, is_nofollow, is_noindex, severity_rank
+from ..functions.sites import keys
 from ..functions.text import jaccard, terms
 from ..functions.urls import host_key, same_site, url_key
+from ..sources.tables import checkpointed
 
 
 def resolve_url_identity(df: DataFrame, col: str = "url", key: str = "key") -> DataFrame:
     return df.withColumn(key, url_key(col))
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+def first_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """One row per key, the first by ``order``; a key may hold any share of the rows (partial aggregates)."""
-    columns = [c for c in df.columns if c not in keys]
+    columns = [c for c in df.columns if c not in by]
     names = [f"_o{i}" for i in range(len(order))]
-    rows = df.select(*keys, F.struct(*[o.alias(n) for o, n in zip(order, names)]).alias("_o"), F.struct(*columns).alias("_r"))
-    return rows.groupBy(*keys).agg(F.min_by("_r", "_o").alias("_r")).select(*keys, "_r.*").select(df.columns)
+    rows = df.select(*by, F.struct(*[o.alias(n) for o, n in zip(order, names)]).alias("_o"), F.struct(*columns).alias("_r"))
+    return rows.groupBy(*by).agg(F.min_by("_r", "_o").alias("_r")).select(*by, "_r.*").select(df.columns)
 
 
-def last_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    columns = [c for c in df.columns if c not in keys]
+def last_by(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    columns = [c for c in df.columns if c not in by]
     names = [f"_o{i}" for i in range(len(order))]
-    rows = df.select(*keys, F.struct(*[o.alias(n) for o, n in zip(order, names)]).alias("_o"), F.struct(*columns).alias("_r"))
-    return rows.groupBy(*keys).agg(F.max_by("_r", "_o").alias("_r")).select(*keys, "_r.*").select(df.columns)
+    rows = df.select(*by, F.struct(*[o.alias(n) for o, n in zip(order, names)]).alias("_o"), F.struct(*columns).alias("_r"))
+    return rows.groupBy(*by).agg(F.max_by("_r", "_o").alias("_r")).select(*by, "_r.*").select(df.columns)
 
 
 def dedupe_by_identity(pages: DataFrame, keep: str = "first", url: str = "url", group: tuple[str, ...] = ("crawl_id",)) -> DataFrame:
     """One record per identity and crawl: the first or last by ``fetch_seq``."""
     keyed = pages.withColumn("key", url_key(url))
-    return (first_by if keep == "first" else last_by)(keyed, [*group, "key"], F.col("fetch_seq"))
+    return (first_by if keep == "first" else last_by)(keyed, [*keys(pages), *group, "key"], F.col("fetch_seq"))
 
 
 def pages_on_site(pages: DataFrame, host: str, include_subdomains: bool = False) -> DataFrame:
@@ -41,7 +43,7 @@ def pages_on_site(pages: DataFrame, host: str, include_subdomains: bool = False)
 
 
 def cross_host_canonical(pages: DataFrame) -> DataFrame:
-    return pages.filter((F.col("canonical") != "") & (host_key("canonical") != host_key("url"))).select("crawl_id", "url", F.lit("cross_domain_canonical").alias("type"), F.lit("critical").alias("severity"), F.col("canonical").alias("detail"))
+    return pages.filter((F.col("canonical") != "") & (host_key("canonical") != host_key("url"))).select(*keys(pages), "crawl_id", "url", F.lit("cross_domain_canonical").alias("type"), F.lit("critical").alias("severity"), F.col("canonical").alias("detail"))
 
 
 def noindex_pages(pages: DataFrame) -> DataFrame:
@@ -60,10 +62,10 @@ def metadata_issues(pages: DataFrame) -> DataFrame:
     """Missing or ill-sized titles and descriptions, missing cards and headings, title unlike the heading."""
     title, desc = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("meta_description", F.lit("")))
     n, m = F.char_length(title), F.char_length(desc)
-    word = r"[a-z0-9]+"
     h1 = F.coalesce(F.get("h1", 0), F.lit(""))
-    alike = jaccard(F.array_distinct(terms(title, word)), F.array_distinct(terms(h1, word)))
-    both = (F.size(terms(title, word)) > 0) & (F.size(terms(h1, word)) > 0)
+    a, b = (F.array_distinct(terms(c, "metadata")) for c in (title, h1))
+    alike = jaccard(a, b)
+    both = (F.size(a) > 0) & (F.size(b) > 0)
     gone = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return findings(
         pages,
@@ -73,6 +75,7 @@ def metadata_issues(pages: DataFrame) -> DataFrame:
         (gone("og_title"), "missing_og_title", "low", F.lit("")), (gone("og_description"), "missing_og_description", "low", F.lit("")),
         (gone("og_image"), "missing_og_image", "low", F.lit("")), (gone("twitter_card"), "missing_twitter_card", "low", F.lit("")),
         (F.coalesce(F.size("h1"), F.lit(0)) == 0, "missing_h1", "medium", F.lit("")), (both & (alike < 0.15), "title_h1_mismatch", "low", F.lit("")),
+        keep=(*keys(pages), "url"),
     )
 
 
@@ -87,10 +90,12 @@ def page_opportunities(pages: DataFrame, sample: int = 10) -> DataFrame:
         (ok & (F.coalesce(F.size("h1"), F.lit(0)) > 1), "multiple_h1", "low", F.lit("")),
         (ok & (F.col("word_count") > 0) & (F.col("word_count") < 150), "thin_content", "medium", F.lit("")),
         (ok & (F.coalesce("lang", F.lit("")) == ""), "missing_lang", "low", F.lit("")),
+        keep=(*keys(pages), "url"),
     )
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("type").orderBy("url")))
-    top = ranked.filter(F.col("rn") <= sample).groupBy("type").agg(F.array_join(F.array_sort(F.collect_list("url")), "\n").alias("sample_urls"))
-    return rows.groupBy("type").agg(F.count("*").alias("pages")).join(top, "type")
+    by = [*keys(pages), "type"]
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("url")))
+    top = ranked.filter(F.col("rn") <= sample).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("url")), "\n").alias("sample_urls"))
+    return rows.groupBy(*by).agg(F.count("*").alias("pages")).join(top, by)
 
 
 def register_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -99,9 +104,10 @@ def register_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataF
 
 
 def duplicate_values(pages: DataFrame, col: str = "title") -> DataFrame:
-    """Values that more than one identity shows: ``(value, pages, urls)``."""
-    value = F.trim(F.coalesce(F.col(col), F.lit("")))
-    return pages.select(value.alias("value"), "url").filter("value != ''").groupBy("value").agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list("url")), "\n").alias("urls")).filter("pages > 1")
+    """Values that more than one identity shows: a row ``(value, pages, url)`` for each, so that no value gathers its urls."""
+    by = [*keys(pages), "value"]
+    rows = pages.select(*keys(pages), F.trim(F.coalesce(F.col(col), F.lit(""))).alias("value"), "url").filter("value != ''")
+    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("pages")).filter("pages > 1"), by).select(*by, "pages", "url")
 
 
 def finding_rollup(rows: DataFrame) -> DataFrame:
@@ -117,12 +123,18 @@ def crawl_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("crawl_id").agg(F.count("*").alias("pages"), F.count_if(F.col("error_type") != "").alias("errors"), F.count_if(F.col("status") != 200).alias("not_ok"))
 
 
-def page_map(pages: DataFrame) -> DataFrame:
-    """Indexable titled pages grouped by their first path segment."""
-    path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/([^/?#]+)/", 1)
-    rows = pages.filter(is_indexable() & (F.coalesce("title", F.lit("")) != ""))
-    rows = rows.select(F.when(path == "", "top-level").otherwise(path).alias("segment"), "url", "title")
-    return rows.groupBy("segment").agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list("url")), "\n").alias("urls"))
+def page_map(pages: DataFrame, max_pages: int = 500) -> DataFrame:
+    """Of the first ``max_pages`` indexable titled pages in order of fetching: ``(segment, url, title, description)``,
+    by first path segment and url."""
+    path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/+([^?#]*)", 1)
+    first = F.regexp_extract(path, "^([^/]*)", 1)
+    rows = pages.filter(is_indexable() & (F.trim(F.coalesce("title", F.lit(""))) != ""))
+    rows = rows.select(*keys(pages), "fetch_seq", F.when(first == "", "top-level").otherwise(first).alias("segment"), "url", F.trim("title").alias("title"), F.trim(F.coalesce("meta_description", F.lit(""))).alias("description"))
+    if keys(pages):
+        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("site").orderBy("fetch_seq", "url"))).filter(F.col("_rn") <= max_pages).drop("_rn")
+    else:
+        rows = rows.orderBy("fetch_seq", "url").limit(max_pages)
+    return rows.drop("fetch_seq").orderBy(*keys(pages), "segment", "url")
 
 
 def infer_schema_type(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -158,13 +170,24 @@ def stride_sample(df: DataFrame, n: int, by: str = "url") -> DataFrame:
     return with_global_rank(df, by).filter((F.pmod(F.col("rank") - 1, F.lit(stride)) == 0) & (F.col("rank") <= stride * n)).drop("rank")
 
 
-def with_global_rank(df: DataFrame, by: str) -> DataFrame:
-    """Row numbers over the whole table by way of range partitions and their sizes (one row per task)."""
-    parts = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+def with_global_rank(df: DataFrame, *by: str | Column, name: str = "rank") -> DataFrame:
+    """Row numbers over the whole table by way of range partitions and their sizes (one row per task).
+
+    The partitions are written first: their bounds are drawn by sampling, so a second run might cut elsewhere.
+    """
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = checkpointed(parts, "ranked")
     low = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("n")).collect()
-    start, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        start[r["_p"]], total = total, total + r["n"]
-    offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-    return parts.withColumn("rank", F.element_at(offsets, F.col("_p")) + low + 1).drop("_p", "_m")
+    start, total = [], 0
+    for r in sorted(parts.groupBy("_p").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_p"]):
+        start.append((r["_p"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(start, "_p int, _start bigint")
+    return parts.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + low + 1).select(*df.columns, name)
+
+
+def with_group_rank(df: DataFrame, group: list[str], *by: str | Column, name: str = "rank") -> DataFrame:
+    """Row numbers within each group, which may hold any share of the rows: ranks over all less the group's first."""
+    ranked = checkpointed(with_global_rank(df, *group, *by, name="_all"), "group-ranked")
+    first = ranked.groupBy(*group).agg(F.min("_all").alias("_first"))
+    return ranked.join(first, group).withColumn(name, F.col("_all") - F.col("_first") + 1).select(*df.columns, name)

@@ -10,8 +10,11 @@ from ..functions.text import headings, links, ngrams, numbers, plain_words, term
 from .pages import first_by
 
 
-def text_terms(df: DataFrame, col: str = "text", by: str = "doc_id") -> DataFrame:
-    return df.select(by, F.explode(terms(col)).alias("term")).groupBy(by, "term").agg(F.count("*").alias("n"))
+def text_terms(df: DataFrame, col: str = "text", by: str = "doc_id", profile: str = "topic") -> DataFrame:
+    """``(by, term, n)`` of a profile of ``functions.text``; the metadata profile is a set, so n is 1."""
+    found = terms(col, profile)
+    rows = df.select(by, F.explode(F.array_distinct(found) if profile == "metadata" else found).alias("term"))
+    return rows.groupBy(by, "term").agg(F.count("*").alias("n"))
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def doc_links(docs: DataFrame) -> DataFrame:
 
 
 def weighted_terms(df: DataFrame, by: str, **weights: int) -> DataFrame:
-    """``(by, term, w)``: term counts of several columns times their weights."""
-    parts = [F.transform(terms(c), _weigh(n)) for c, n in weights.items()]
+    """``(by, term, w)``: link terms of several columns, counted times their weights."""
+    parts = [F.transform(terms(c, "link"), _weigh(n)) for c, n in weights.items()]
     return df.select(by, F.explode(F.concat(*parts)).alias("t")).select(by, "t.*").groupBy(by, "term").agg(F.sum("w").alias("w"))
 
 
@@ -35,12 +38,45 @@ def _weigh(n: int):
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``(a, b, score)`` of term vectors ``(a, term, w)`` and ``(b, term, w)`` by an inverted-index join on the
-    term; pairs without a common term never meet."""
+    """``(a, b, score)`` of term vectors ``(a, term, w)`` and ``(b, term, w)`` with a cosine of at least ``least``.
+
+    An inverted-index join on the term by prefixes: a pair that reaches ``least`` shares a term outside the
+    tail of the left vector whose norm stays below that share of the whole, so only the rarest terms before
+    the tail look for partners, and common ones seldom do. What meets is summed over all terms.
+    """
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"n{k}"))
-    met = left.withColumnRenamed("w", "wa").join(right.withColumnRenamed("w", "wb"), "term")
-    dots = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return dots.join(norm(left, "a"), "a").join(norm(right, "b"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score")).filter(F.col("score") >= least)
+    na, nb = norm(left, "a"), norm(right, "b")
+    common = right.groupBy("term").agg(F.count("*").alias("df"))
+    rare_last = Window.partitionBy("a").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = left.join(common, "term").join(na, "a").withColumn("_tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rare_last)) / F.col("na"))
+    seekers = ranked.filter(F.col("_tail") >= least - 1e-9).select("a", "term")  # the commonest terms together stay below
+    pairs = seekers.join(right.select("b", "term"), "term").select("a", "b").distinct()
+    dots = pairs.join(left.withColumnRenamed("w", "wa"), "a").join(right.withColumnRenamed("w", "wb"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    return dots.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score")).filter(F.col("score") >= least)
+
+
+#: Weights of a keyword's priority in a competitor's topic.
+PRIORITY = {"high": 1.0, "medium": 0.7, "low": 0.4}
+
+
+def competitor_signal(topics: DataFrame, competitor_topics: DataFrame, least: float = 0.5) -> DataFrame:
+    """For each topic ``(a, title, source)`` the largest cosine with a competitor's ``(b, title, priority)``, times
+    the weight of its priority; 1 for topics that came from a competitor, 0 without any."""
+    va, vb = text_terms(topics, "title", "a").withColumnRenamed("n", "w"), text_terms(competitor_topics, "title", "b").withColumnRenamed("n", "w")
+    weight = F.coalesce(*[F.when(F.col("priority") == k, F.lit(v)) for k, v in PRIORITY.items()], F.lit(0.7))
+    best = cosine_pairs(va, vb, least).join(competitor_topics.select("b", weight.alias("weight")), "b").groupBy("a").agg(F.max(F.col("score") * F.col("weight")).alias("best"))
+    signal = F.when(F.col("source") == "competitor", 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("best", F.lit(0.0))))
+    return topics.select("a", "source").join(best, "a", "left").select("a", F.round(signal, 4).alias("signal"))
+
+
+def geo_signal(topics: DataFrame, gaps: DataFrame, least: float = 0.4) -> DataFrame:
+    """For each topic ``(a, title, keyword)`` the largest gap among the AI-answer prompts ``(b, text, gap)`` that it
+    matches; a null or zero gap counts as 0.5."""
+    both = topics.select("a", F.concat_ws(" ", "title", F.coalesce("keyword", F.lit(""))).alias("text"))
+    va, vb = text_terms(both, "text", "a").withColumnRenamed("n", "w"), text_terms(gaps, "text", "b").withColumnRenamed("n", "w")
+    gap = F.least(F.lit(1.0), F.coalesce(F.when(F.col("gap") != 0, F.col("gap")), F.lit(0.5)))
+    best = cosine_pairs(va, vb, least).join(gaps.select("b", gap.alias("gap")), "b").groupBy("a").agg(F.max("gap").alias("best"))
+    return topics.select("a").join(best, "a", "left").select("a", F.round(F.coalesce("best", F.lit(0.0)), 4).alias("signal"))
 
 
 def near_duplicate_topics(new: DataFrame, existing: DataFrame, least: float = 0.6) -> DataFrame:
@@ -57,25 +93,32 @@ def best_match(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     return texts.select("a").join(best, "a", "left")
 
 
-def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: float = 0.08) -> DataFrame:
-    """Top k other pages per target by cosine of weighted terms, ordered by the rounded score, then id."""
-    va = weighted_terms(targets, "a", title=3, h1=3, h2=1)
-    vb = weighted_terms(pages, "b", title=3, h1=3, h2=1)
+def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: float = 0.08, n_terms: int = 12) -> DataFrame:
+    """Top k other pages per target by cosine of weighted terms of title, h1, h2 and og, ordered by the rounded
+    score, then id; ``shared`` are the first shared terms by product of their weights, then by name."""
+    weights = {"title": 3, "h1": 3, "h2": 1, "og": 1}
+    va, vb = weighted_terms(targets, "a", **weights), weighted_terms(pages, "b", **weights)
     rows = cosine_pairs(va, vb, least).filter("a != b").withColumn("score", F.round("score", 4))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= k)
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= k)
+    met = top.select("a", "b").join(va.withColumnRenamed("w", "wa"), "a").join(vb.withColumnRenamed("w", "wb"), ["b", "term"])
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("wa") * F.col("wb")).alias("p"), "term"))), 1, n_terms)
+    shared = met.groupBy("a", "b").agg(F.array_join(F.transform(best, lambda t: t["term"]), " ").alias("shared"))
+    return top.join(shared, ["a", "b"])
 
 
-def ngram_overlap(docs: DataFrame, corpus: DataFrame, n: int = 12) -> DataFrame:
-    """``(doc_id, item_id, phrase)``: exact overlap of n words with a passage; one phrase per pair, the least."""
+def ngram_overlap(docs: DataFrame, corpus: DataFrame, n: int = 12, most: int = 20) -> DataFrame:
+    """``(doc_id, item_id, phrase)``: exact overlap of n words with a passage; one phrase per pair, the least, and
+    the first ``most`` passages of a document. Documents travel as two 64-bit hashes of their runs."""
 
-    def grams(df: DataFrame, k: str) -> DataFrame:
+    def hashed(df: DataFrame, k: str, *more: str) -> DataFrame:
         tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
-        once = df.select(k, F.explode(F.array(tokens)).alias("t"))  # a generator's column is computed once
-        return once.select(k, F.explode(F.array_distinct(ngrams(F.col("t"), n))).alias("g")).select(k, "g", F.xxhash64("g").alias("h"))
+        once = df.select(k, F.explode(F.array(tokens)).alias("t")).filter(F.size("t") >= n)  # a generator's column is computed once
+        runs = once.select(k, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))).alias("g"))
+        return runs.select(k, F.xxhash64("g").alias("h"), F.xxhash64(F.lit(1), "g").alias("h2"), *[F.array_join("g", " ").alias(c) for c in more])
 
-    items = grams(corpus, "item_id")
-    met = grams(docs, "doc_id").join(items.withColumnRenamed("g", "g2"), "h").filter("g = g2")
-    return met.groupBy("doc_id", "item_id").agg(F.min("g").alias("phrase"))
+    items = hashed(corpus, "item_id", "phrase").distinct()
+    met = hashed(docs, "doc_id").join(items, ["h", "h2"]).groupBy("doc_id", "item_id").agg(F.min("phrase").alias("phrase"))
+    return met.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))).filter(F.col("_rn") <= most).drop("_rn")
 
 
 def _squeezed(col: str) -> Column:
@@ -122,14 +165,34 @@ def rewrite_guard(before: DataFrame, after: DataFrame) -> DataFrame:
     ).withColumn("length_ok", F.col("length_ratio").between(0.7, 1.4))
 
 
-def staleness_phrases(pages: DataFrame, year: int, col: str = "text") -> DataFrame:
-    """``(page_id, kind, phrase)``: past years, relative-time phrases and past copyright years."""
-    t = F.coalesce(F.col(col), F.lit(""))
-    years = F.filter(F.regexp_extract_all(t, F.lit(r"\b20[0-9]{2}\b"), F.lit(0)), lambda y: y.cast("int") < year)
-    relative = F.regexp_extract_all(F.lower(t), F.lit(r"\b(?:last year|this year|recently|currently|coming soon|upcoming)\b"), F.lit(0))
-    old = F.regexp_extract_all(t, F.lit(r"(?:©|\(c\)|[Cc]opyright)\s*20[0-9]{2}"), F.lit(0))
-    tag = lambda a, kind: F.transform(F.array_distinct(a), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase")))
-    return pages.select("page_id", F.explode(F.concat(tag(years, "past_year"), tag(relative, "relative_time"), tag(old, "copyright_year"))).alias("m")).select("page_id", "m.*")
+#: Phrases of relative time, version strings, and what tells prices and ratings near them.
+RELATIVE_TIME = r"(?i)\b(?:last year|this year|next year|earlier this year|as of \d{4}|currently in \d{4}|in \d{4} so far)\b"
+VERSION = r"(?i:\b(?:version|ver\.?|v)\s?\d+(?:\.\d+){1,3}\b)|\b[A-Z][A-Za-z0-9+#.]{1,20}\s+\d+\.\d+(?:\.\d+)?\b"
+PRICE_OR_RATING = ("$", "€", "£", "rated", "stars", "out of", "price", "per month")
+
+
+def _found(text: str, pattern: str, kind: str) -> Column:
+    """``(kind, phrase, start)`` of all matches; they are marked in the text, which is then cut at the marks."""
+    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "\u0001")
+    clean = F.transform(parts, lambda p: F.replace(p, F.lit("\u0002"), F.lit("")))
+    ends = F.aggregate(clean, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.char_length(p)))
+    made = F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), F.substring_index(p, "\u0002", 1).alias("phrase"), F.get(ends, i).alias("start")))
+    return F.slice(made, 2, F.greatest(F.size(made) - 1, F.lit(0)))
+
+
+def staleness_phrases(pages: DataFrame, year: int, col: str = "text", around: int = 60, guard: int = 20) -> DataFrame:
+    """``(page_id, kind, phrase, context)``: past years, relative-time phrases, past copyright years, versions, with
+    ``around`` characters of context on both sides. Versions within ``guard`` characters of a price or rating are left out."""
+    rows = pages.select("page_id", F.translate(F.coalesce(F.col(col), F.lit("")), "\u0001\u0002", "  ").alias("_t"))
+    kinds = [_found("_t", r"\b20[0-9]{2}\b", "hardcoded_year"), _found("_t", RELATIVE_TIME, "relative_time_phrase"), _found("_t", r"(?i)(?:©|\(c\)|copyright)\s*20[0-9]{2}", "copyright_year"), _found("_t", VERSION, "version_reference")]
+    rows = rows.select("page_id", "_t", F.explode(F.concat(*kinds)).alias("m")).select("page_id", "_t", "m.*")
+    window = lambda n: F.substring("_t", F.greatest(F.col("start") - n, F.lit(0)) + 1, F.char_length("phrase") + n + F.least(F.col("start"), F.lit(n)))
+    priced = F.lit(False)
+    for mark in PRICE_OR_RATING:
+        priced = priced | F.contains(F.lower(window(guard)), F.lit(mark))
+    dated = F.col("kind").isin("hardcoded_year", "copyright_year")
+    ok = F.when(dated, F.substring("phrase", -4, 4).cast("int") < year).when(F.col("kind") == "version_reference", ~priced).otherwise(True)
+    return rows.filter(ok).select("page_id", "kind", "phrase", F.trim(window(around)).alias("context"))
 
 
 def boilerplate_matches(matches: DataFrame, n_pages: int) -> DataFrame:
@@ -144,15 +207,24 @@ def stale_candidates(unchanged: DataFrame, matches: DataFrame, boilerplate: Data
     return rows.orderBy(F.desc("signals"), F.desc("inbound"), "page_id")
 
 
-def anchor_phrases(paragraphs: DataFrame, titles: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
-    """For each paragraph ``(para_id, text)`` the longest run of title words found in it, one use per title.
-    One paragraph per title and one title per paragraph are chosen by rank, not greedily in page order."""
-    runs = lambda col, key: F.explode(F.array_distinct(F.concat(*[ngrams(F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"[a-z0-9]+"), F.lit(0)), n) for n in range(least, most + 1)]))).alias("phrase")
-    a, b = paragraphs.select("para_id", runs("text", "para_id")), titles.select("title_id", runs("title", "title_id"))
-    met = a.join(b.filter(F.char_length("phrase") >= 6), "phrase").withColumn("n", F.size(F.split("phrase", " ")))
-    order = [F.desc("n"), F.asc("phrase")]
-    per_para = first_by(met, ["para_id"], -F.col("n"), F.col("phrase"), F.col("title_id"))
-    return per_para.withColumn("rn", F.row_number().over(Window.partitionBy("title_id").orderBy(*order, "para_id"))).filter("rn = 1").select("para_id", "title_id", "phrase")
+def anchor_phrases(paragraphs: DataFrame, titles: DataFrame, least: int = 2, most: int = 5, cosine: float = 0.12) -> DataFrame:
+    """For each paragraph ``(para_id, text)`` the target ``(title_id, title, text)`` of largest cosine, at least
+    ``cosine``, of whose title a run of ``least`` to ``most`` words (and 6 characters) stands in the paragraph outside
+    its links; ``phrase`` is the longest such run. Each target is used once. One paragraph per target and one target
+    per paragraph are chosen by rank, not greedily in page order."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9'’-]+"), F.lit(0))
+    runs = lambda c: F.explode(F.array_distinct(F.concat(*[ngrams(words(c), n) for n in range(least, most + 1)]))).alias("phrase")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"\[[^\]]*\]\([^)]*\)", " \u0001 ")
+    cut = paragraphs.select("para_id", F.explode(F.split(plain, "[^A-Za-z0-9'’ -]+")).alias("part"))  # a run stands between marks
+    a = cut.select("para_id", runs(F.col("part"))).distinct()
+    b = titles.select("title_id", runs(F.coalesce("title", F.lit("")))).filter(F.char_length("phrase") >= 6)
+    met = first_by(a.join(b, "phrase"), ["para_id", "title_id"], -F.char_length("phrase"), F.col("phrase"))
+    va, vb = text_terms(paragraphs, "text", "para_id"), text_terms(titles, "text", "title_id")
+    norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"n_{k}"))
+    dots = met.join(va.withColumnRenamed("n", "wa"), "para_id").join(vb.withColumnRenamed("n", "wb"), ["title_id", "term"]).groupBy("para_id", "title_id", "phrase").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    scored = dots.join(norm(va, "para_id"), "para_id").join(norm(vb, "title_id"), "title_id").withColumn("score", F.round(F.col("dot") / (F.col("n_para_id") * F.col("n_title_id")), 4)).filter(F.col("score") >= cosine)
+    per_para = first_by(scored.select("para_id", "title_id", "phrase", "score"), ["para_id"], -F.col("score"), F.col("title_id"))
+    return first_by(per_para, ["title_id"], -F.col("score"), F.col("para_id")).select("para_id", "title_id", "phrase", "score")
 
 
 def topic_coverage(topics: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sites import keys as site_keys
+
 #: Expected click rate by position, half-open bands; the last also holds below 1.
 CTR_BANDS = ((1, 2, 0.25), (2, 3, 0.15), (3, 5, 0.10), (5, 8, 0.06), (8, 11, 0.035), (11, 20, 0.015), (20, None, 0.005))
 
@@ -13,6 +15,7 @@ CTR_BANDS = ((1, 2, 0.25), (2, 3, 0.15), (3, 5, 0.10), (5, 8, 0.06), (8, 11, 0.0
 def weekly_positions(rows: DataFrame, window_end: Column | None = None, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """Monday weeks per key; the position is weighted by max(impressions, 1) over max(sum of impressions, 1).
     A key's last week is dropped unless it is over by ``window_end``."""
+    keys = (*site_keys(rows), *keys)
     weeks = rows.groupBy(*keys, F.date_trunc("week", F.col("d").cast("timestamp")).cast("date").alias("week_start")).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum(F.col("position") * F.greatest("impressions", F.lit(1))).alias("w"))
     weeks = weeks.withColumn("avg_position", F.round(F.col("w") / F.greatest("impressions", F.lit(1)), 2)).drop("w")
     if window_end is None:
@@ -23,9 +26,10 @@ def weekly_positions(rows: DataFrame, window_end: Column | None = None, keys: tu
 
 def position_changes(weekly: DataFrame, baseline_weeks: int = 4, least_change: float = 3.0, min_impressions: int = 10) -> DataFrame:
     """Latest week against mean and deviation of up to four weeks before that are present; rounded before the test."""
-    w = Window.partitionBy("key").orderBy("week_start")
+    own = [*site_keys(weekly), "key"]
+    w = Window.partitionBy(*own).orderBy("week_start")
     base = w.rowsBetween(-baseline_weeks, -1)
-    rows = weekly.select("key", "week_start", "impressions", "avg_position", F.round(F.avg("avg_position").over(base), 2).alias("baseline_avg"), F.round(F.stddev_pop("avg_position").over(base), 2).alias("baseline_stdev"), F.count("avg_position").over(base).alias("weeks_used"), F.row_number().over(Window.partitionBy("key").orderBy(F.desc("week_start"))).alias("rn"))
+    rows = weekly.select(*own, "week_start", "impressions", "avg_position", F.round(F.avg("avg_position").over(base), 2).alias("baseline_avg"), F.round(F.stddev_pop("avg_position").over(base), 2).alias("baseline_stdev"), F.count("avg_position").over(base).alias("weeks_used"), F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("week_start"))).alias("rn"))
     rows = rows.filter((F.col("rn") == 1) & (F.col("weeks_used") >= 1) & (F.col("impressions") >= min_impressions)).withColumn("delta", F.round(F.col("avg_position") - F.col("baseline_avg"), 2))
     real = (F.abs("delta") >= least_change) & ((F.col("baseline_stdev") == 0) | (F.abs("delta") > F.col("baseline_stdev")))
     return rows.withColumn("change", F.when(real & (F.col("delta") > 0), "drop").when(real & (F.col("delta") < 0), "improvement").otherwise("steady")).drop("rn")
@@ -47,8 +51,16 @@ def near_misses(rows: DataFrame) -> DataFrame:
 
 
 def opportunities_by_query(flagged: DataFrame, n: int = 100) -> DataFrame:
-    rows = flagged.groupBy("key").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.round(F.sum("headroom"), 2).alias("headroom"), F.round(F.min("position"), 4).alias("best_position"), F.max_by("page", F.struct("headroom", "page")).alias("primary_page"))
-    return rows.orderBy(F.desc("headroom"), "key").limit(n)
+    by = site_keys(flagged)
+    rows = flagged.groupBy(*by, "key").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.round(F.sum("headroom"), 2).alias("headroom"), F.round(F.min("position"), 4).alias("best_position"), F.max_by("page", F.struct("headroom", "page")).alias("primary_page"))
+    return first_of_site(rows, by, n, F.desc("headroom"), F.col("key"))
+
+
+def first_of_site(rows: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
+    """The first n rows by ``order``, of each site where there are sites."""
+    if not by:
+        return rows.orderBy(*order).limit(n)
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def _totals() -> list[Column]:
@@ -58,51 +70,65 @@ def _totals() -> list[Column]:
 
 
 def performance_totals(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*_totals())
+    return rows.groupBy(*site_keys(rows), *by).agg(*_totals())
 
 
 def performance_delta(cur: DataFrame, prev: DataFrame, by: str) -> DataFrame:
-    p = prev.select(by, *[F.col(c).alias(f"p_{c}") for c in ("clicks", "impressions", "ctr", "position")])
-    both = cur.join(p, by, "full_outer")
+    own = [*site_keys(cur, prev), by]
+    p = prev.select(*own, *[F.col(c).alias(f"p_{c}") for c in ("clicks", "impressions", "ctr", "position")])
+    both = cur.join(p, own, "full_outer")
     z = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(by, *[(z(c) - z(f"p_{c}")).alias(f"d_{c}") for c in ("clicks", "impressions")], *[F.round(F.col(c) - F.col(f"p_{c}"), 4).alias(f"d_{c}") for c in ("ctr", "position")])
+    return both.select(*own, *[(z(c) - z(f"p_{c}")).alias(f"d_{c}") for c in ("clicks", "impressions")], *[F.round(F.col(c) - F.col(f"p_{c}"), 4).alias(f"d_{c}") for c in ("ctr", "position")])
 
 
 def performance_rollup(rows: DataFrame, posts: DataFrame) -> DataFrame:
     """Post, section and site totals in one grouping."""
-    return rows.join(posts, "slug").rollup("section", "slug").agg(*_totals())
+    by = site_keys(rows, posts)
+    sets = [[*by, "section", "slug"], [*by, "section"], by]
+    return rows.join(posts, [*by, "slug"]).groupingSets(sets, *by, "section", "slug").agg(*_totals())
 
 
 def top_queries(rows: DataFrame, n: int = 50) -> DataFrame:
-    return rows.groupBy("key").agg(*_totals(), F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages")).orderBy(F.desc("clicks"), F.desc("impressions"), "key").limit(n)
+    """The n queries of most clicks with all their pages, which are gathered for those queries alone."""
+    by = site_keys(rows)
+    top = first_of_site(rows.groupBy(*by, "key").agg(*_totals()), by, n, F.desc("clicks"), F.desc("impressions"), F.col("key"))
+    pages = rows.join(F.broadcast(top.select(*by, "key")) if not by else top.select(*by, "key"), [*by, "key"], "left_semi").groupBy(*by, "key").agg(F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"))
+    return top.join(pages, [*by, "key"])
 
 
 def dense_daily_series(rows: DataFrame, start: str, end: str) -> DataFrame:
     spark = rows.sparkSession
     days = spark.sql(f"select explode(sequence(date'{start}', date'{end}', interval 1 day)) as d")
-    daily = rows.groupBy("d").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    return days.join(daily, "d", "left").na.fill(0, ["clicks", "impressions"])
+    by = site_keys(rows)
+    daily = rows.groupBy(*by, "d").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    grid = rows.select(*by).distinct().crossJoin(F.broadcast(days)) if by else days  # a row for each site and day
+    return grid.join(daily, [*by, "d"], "left").na.fill(0, ["clicks", "impressions"])
 
 
 def first_impression(posts: DataFrame, rows: DataFrame) -> DataFrame:
-    first = rows.filter("impressions > 0").groupBy("page").agg(F.min("d").alias("first_day"))
-    return posts.join(first, "page", "left").withColumn("state", F.when(F.col("first_day").isNull(), "awaiting").otherwise("receiving"))
+    own = [*site_keys(posts, rows), "page"]
+    first = rows.filter("impressions > 0").groupBy(*own).agg(F.min("d").alias("first_day"))
+    return posts.join(first, own, "left").withColumn("state", F.when(F.col("first_day").isNull(), "awaiting").otherwise("receiving"))
 
 
 def select_tracked_keys(rows: DataFrame, topics: list[str], min_impressions: int) -> DataFrame:
-    """Keys that hold a topic; if none does or none is given, keys with enough impressions."""
-    totals = rows.groupBy("key").agg(F.sum("impressions").alias("impressions"))
+    """Keys that hold a topic; on sites where none does or none is given, keys with enough impressions."""
+    by = site_keys(rows)
+    totals = rows.groupBy(*by, "key").agg(F.sum("impressions").alias("impressions"))
     hit = F.lit(False)
     for t in topics:
         hit = hit | F.contains(F.lower("key"), F.lit(t.lower()))
-    picked = totals.filter(hit)
-    return picked if topics and not picked.isEmpty() else totals.filter(F.col("impressions") >= min_impressions)
+    marked = totals.withColumn("_hit", hit)
+    any_ = marked.groupBy(*by).agg(F.max("_hit").alias("_any"))
+    marked = marked.join(any_, by) if by else marked.crossJoin(F.broadcast(any_))  # one row
+    return marked.filter(F.when(F.col("_any"), F.col("_hit")).otherwise(F.col("impressions") >= min_impressions)).drop("_hit", "_any")
 
 
 def click_regressions(cur: DataFrame, prev: DataFrame, capped: bool = False) -> DataFrame:
     """Pages that lost at least half and five of ten or more clicks; absent pages count as 0 unless a window was cut."""
-    p = prev.select("page", F.col("clicks").alias("before"))
-    rows = p.join(cur.select("page", "clicks"), "page", "inner" if capped else "left").withColumn("after", F.coalesce("clicks", F.lit(0))).drop("clicks")
+    own = [*site_keys(cur, prev), "page"]
+    p = prev.select(*own, F.col("clicks").alias("before"))
+    rows = p.join(cur.select(*own, "clicks"), own, "inner" if capped else "left").withColumn("after", F.coalesce("clicks", F.lit(0))).drop("clicks")
     drop = F.col("before") - F.col("after")
     rows = rows.filter((F.col("before") >= 10) & (drop >= 0.5 * F.col("before")) & (drop >= 5))
     return rows.withColumn("severity", F.when((drop >= 0.75 * F.col("before")) & (F.col("before") >= 30), "high").otherwise("medium"))
@@ -119,7 +145,8 @@ def with_channel(rows: DataFrame) -> DataFrame:
 
 def traffic_totals(rows: DataFrame, pages: DataFrame) -> DataFrame:
     cut = with_channel(rows).withColumn("page", F.substring_index("page", "?", 1))
-    return cut.join(pages.select("page").distinct(), "page", "left_semi").groupBy("channel").agg(F.sum("sessions").alias("sessions"), F.sum("key_events").alias("key_events"))
+    by = site_keys(rows, pages)
+    return cut.join(pages.select(*by, "page").distinct(), [*by, "page"], "left_semi").groupBy(*by, "channel").agg(F.sum("sessions").alias("sessions"), F.sum("key_events").alias("key_events"))
 
 
 def validate_traffic(rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -136,19 +163,34 @@ def traffic_comparison(rows: DataFrame, before: tuple[str, str], after: tuple[st
     """Sessions per group and channel in two equal windows of whole weeks, and the difference in differences."""
     d = F.col("d")
     inside = lambda w: d.between(F.lit(w[0]).cast("date"), F.lit(w[1]).cast("date"))
-    sums = with_channel(rows).withColumn("grp", group).groupBy("channel").agg(*[F.coalesce(F.sum(F.when(inside(w) & (F.col("grp") == g), F.col("sessions"))), F.lit(0)).alias(f"{g}_{n}") for n, w in (("before", before), ("after", after)) for g in ("page", "control")])
+    by = [*site_keys(rows), "channel"]
+    sums = with_channel(rows).withColumn("grp", group).groupBy(*by).agg(*[F.coalesce(F.sum(F.when(inside(w) & (F.col("grp") == g), F.col("sessions"))), F.lit(0)).alias(f"{g}_{n}") for n, w in (("before", before), ("after", after)) for g in ("page", "control")])
     delta = F.col("page_after") - F.col("page_before")
     change = F.round(F.try_divide(delta, F.col("page_before")), 4)
     control = F.round(F.try_divide(F.col("control_after") - F.col("control_before"), F.col("control_before")), 4)
-    return sums.select("channel", "page_before", "page_after", delta.alias("delta"), change.alias("change"), F.round(change - control, 4).alias("diff_in_diff"), F.when(F.col("page_before") + F.col("page_after") < 100, "insufficient").when(F.col("page_before") == 0, "new").otherwise("review").alias("decision"))
-
-
-def refresh_triggers(posts: DataFrame, perf: DataFrame) -> DataFrame:
-    """Posts whose clicks halved from ten or more between the last two runs, or that are old."""
-    w = Window.partitionBy("slug").orderBy("run")
-    last = perf.withColumn("before", F.lag("clicks").over(w)).withColumn("rn", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("run")))).filter("rn = 1")
-    rows = posts.join(last.select("slug", "clicks", "before"), "slug", "left")
-    made = F.array(F.when((F.col("before") >= 10) & (F.col("clicks") <= 0.5 * F.col("before")), "clicks_down"), F.when(F.col("age_days") > 180, "old"), F.when(F.col("clicks").isNull() & (F.col("age_days") > 45), "no_impressions"))
-    return rows.select("slug", F.explode(F.filter(made, lambda t: t.isNotNull())).alias("trigger_type"))
-
-
+    return sums.select(*by, "page_before", "page_after", delta.alias("delta"), change.alias("change"), F.round(change - control, 4).alias("diff_in_diff"), F.when(F.col("page_before") + F.col("page_after") < 100, "insufficient").when(F.col("page_before") == 0, "new").otherwise("review").alias("decision"))
+
+
+#: Fixed value: a year with a figure beside it.
+DATED_FIGURE = r"(?:\$?\d[\d,.]*%?\s+\w+\s+(?:in|for|of)\s+(20\d\d)\b)|(?:\b(20\d\d)\b[^.\n]{0,40}\$?\d[\d,.]*%)"
+
+
+def refresh_triggers(posts: DataFrame, perf: DataFrame, year: int | None = None) -> DataFrame:
+    """Posts ``(slug, age_days[, updated_days, text])`` whose clicks halved from ten or more between the last two runs
+    (of the same ``period``, where there is one), that are old and not updated since, that never had impressions, or
+    whose text has figures dated before the year before ``year``."""
+    by = site_keys(posts, perf)
+    w = Window.partitionBy(*by, "slug").orderBy("run")
+    same = F.coalesce(F.lag("period").over(w) == F.col("period"), F.lit(False)) if "period" in perf.columns else F.lit(True)
+    rank = F.row_number().over(Window.partitionBy(*by, "slug").orderBy(F.desc("run")))
+    last = perf.withColumn("before", F.when(same, F.lag("clicks").over(w))).withColumn("rn", rank).filter("rn = 1")
+    rows = posts.join(last.select(*by, "slug", "clicks", "before"), [*by, "slug"], "left")
+    updated = F.coalesce("updated_days", "age_days") if "updated_days" in posts.columns else F.col("age_days")
+    made = [
+        F.when((F.col("before") >= 10) & (F.col("clicks") <= 0.5 * F.col("before")), "clicks_down"), F.when((F.col("age_days") > 180) & (updated > 180), "old"),
+        F.when(F.col("clicks").isNull() & (F.col("age_days") > 45), "no_impressions"),
+    ]
+    if year and "text" in posts.columns:
+        years = F.concat(*[F.regexp_extract_all("text", F.lit(DATED_FIGURE), F.lit(i)) for i in (1, 2)])
+        made.append(F.when(F.exists(years, lambda y: F.try_to_number(y, F.lit("9999")) < year - 1), "dated_figures"))
+    return rows.select(*by, "slug", F.explode(F.filter(F.array(*made), lambda t: t.isNotNull())).alias("trigger_type"))

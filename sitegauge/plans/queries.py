@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pages import is_indexable
-from ..functions.text import STOP_WORDS
+from ..functions.text import LINK_STOP_WORDS, METADATA_STOP_WORDS, TOPIC_STOP_WORDS
 from ..functions.urls import redact, url_key
 from ..operators import answers, checks, diff, graph, logs, pages, texts, trends
 from ..sources import crawl, html, tables, vendors
+from ..streaming import jobs
 from .views import Tables, host_sql, key_sql, oracle
 
 Q: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -24,13 +25,7 @@ def q(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None, *vi
 # ---------------------------------------------------------------- pages and identity
 
 def page_facts(t: Tables) -> DataFrame:
-    """Pages with title, first heading, language and number of links, as raw text of the markup."""
-    rx = lambda p, g=1: F.regexp_extract("html", p, g)
-    return t.pages.select(
-        "page_id", F.col("page_id").alias("fetch_seq"), "url", rx("(?is)<title[^>]*>(.*?)</title>").alias("title"), rx("(?is)<h1[^>]*>(.*?)</h1>").alias("h1_text"), rx('(?is)<html[^>]*lang="([^"]*)"').alias("lang"),
-        F.regexp_count("html", F.lit('<a href="')).cast("bigint").alias("n_links"), F.lit("A").alias("crawl_id"), F.lit(200).alias("status"), F.lit("").alias("error_type"), F.lit("text/html").alias("content_type"), F.lit("").alias("meta_robots"), F.lit("").alias("x_robots_tag"),
-        F.lit("").alias("meta_description"), F.lit("").alias("og_title"), F.lit("").alias("og_description"), F.lit("").alias("og_image"), F.lit("").alias("twitter_card"), F.size(F.split("html", r"\s+")).alias("word_count"),
-    ).withColumn("h1", F.filter(F.array("h1_text"), lambda h: h != ""))
+    return html.markup_facts(t.pages)
 
 
 _FACTS = """facts AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1_text,
@@ -48,7 +43,7 @@ _INDEXABLE = f"(error_type = '' AND status = 200 AND NOT {_NOINDEX})"
 q("o029_noindex_pages", lambda t: pages.noindex_pages(t.v_crawl).select("crawl_id", "url"), f"SELECT crawl_id, url FROM v_crawl WHERE {_NOINDEX}", "v_crawl")
 q("o029_nofollow_pages", lambda t: pages.nofollow_pages(t.v_crawl).select("crawl_id", "url"), "SELECT crawl_id, url FROM v_crawl WHERE meta_robots = 'none'", "v_crawl")
 q("o030_indexable_pages", lambda t: pages.indexable_pages(t.v_crawl).select("crawl_id", "url"), f"SELECT crawl_id, url FROM v_crawl WHERE {_INDEXABLE}", "v_crawl")
-_STOP = "'" + "','".join(STOP_WORDS) + "'"
+_STOP, _TSTOP, _LSTOP = ("'" + "','".join(w) + "'" for w in (METADATA_STOP_WORDS, TOPIC_STOP_WORDS, LINK_STOP_WORDS))
 _TERMS = lambda c, p="[a-z0-9]+": f"list_filter(regexp_extract_all(lower({c}), '{p}'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))"
 _META = f"""WITH {_FACTS}, t AS (SELECT url, trim(title) AS title, h1_text, list_distinct({_TERMS('trim(title)')}) AS a, list_distinct({_TERMS('h1_text')}) AS b FROM facts)
  SELECT url, 'missing_title' AS type, 'high' AS severity, '' AS detail FROM t WHERE title = '' UNION ALL
@@ -63,11 +58,11 @@ q("o032_page_opportunities", lambda t: pages.page_opportunities(page_facts(t)),
  k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY url) AS rn, COUNT(*) OVER (PARTITION BY type) AS n FROM r)
  SELECT type, CAST(max(n) AS BIGINT) AS pages, string_agg(url, chr(10) ORDER BY url) AS sample_urls FROM k WHERE rn <= 10 GROUP BY type""")
 q("o144_register_rules", lambda t: pages.register_rules(t.v_crawl, [("server_error", "high", "status >= 500"), ("failed", "medium", "error_type <> ''"), ("self_canonical", "info", "canonical = url")]), """SELECT url, 'server_error' AS type, 'high' AS severity, 'status >= 500' AS detail FROM v_crawl WHERE status >= 500 UNION ALL SELECT url, 'failed', 'medium', 'error_type <> ''''' FROM v_crawl WHERE error_type <> '' UNION ALL SELECT url, 'self_canonical', 'info', 'canonical = url' FROM v_crawl WHERE canonical = url""", "v_crawl")
-q("o085_duplicate_titles", lambda t: pages.duplicate_values(pages.dedupe_by_identity(page_facts(t))), f"WITH {_FACTS}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key_sql('url')} ORDER BY page_id) AS rn FROM facts) WHERE rn = 1) SELECT trim(title) AS value, COUNT(*) AS pages, string_agg(url, chr(10) ORDER BY url) AS urls FROM d WHERE trim(title) <> '' GROUP BY trim(title) HAVING COUNT(*) > 1")
+q("o085_duplicate_titles", lambda t: pages.duplicate_values(pages.dedupe_by_identity(page_facts(t))), f"WITH {_FACTS}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key_sql('url')} ORDER BY page_id) AS rn FROM facts) WHERE rn = 1 AND trim(title) <> '') SELECT * FROM (SELECT trim(title) AS value, COUNT(*) OVER (PARTITION BY trim(title)) AS pages, url FROM d) WHERE pages > 1")
 q("o086_finding_rollup", lambda t: pages.finding_rollup(pages.metadata_issues(page_facts(t))), f"WITH m AS ({_META}) SELECT severity, type, COUNT(*) AS n FROM m GROUP BY GROUPING SETS ((severity), (type), ())")
 q("o130_order_by_severity", lambda t: pages.order_by_severity(pages.cross_host_canonical(t.v_crawl)), f"SELECT crawl_id, url, 'cross_domain_canonical' AS type, 'critical' AS severity, canonical AS detail FROM v_crawl WHERE canonical <> '' AND {host_sql('canonical')} <> {host_sql('url')} ORDER BY url", "v_crawl")
 q("o088_crawl_summary", lambda t: pages.crawl_summary(t.v_crawl), "SELECT crawl_id, COUNT(*) AS pages, CAST(count_if(error_type <> '') AS BIGINT) AS errors, CAST(count_if(status <> 200) AS BIGINT) AS not_ok FROM v_crawl GROUP BY crawl_id", "v_crawl")
-q("o024_page_map", lambda t: pages.page_map(page_facts(t)), f"WITH {_FACTS} SELECT CASE WHEN seg = '' THEN 'top-level' ELSE seg END AS segment, COUNT(*) AS pages, string_agg(url, chr(10) ORDER BY url) AS urls FROM (SELECT *, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^/?#]+)/', 1) AS seg FROM facts WHERE title <> '') GROUP BY 1")
+q("o024_page_map", lambda t: pages.page_map(page_facts(t)), f"WITH {_FACTS} SELECT CASE WHEN seg = '' THEN 'top-level' ELSE seg END AS segment, url, trim(title) AS title, '' AS description FROM (SELECT *, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/+([^/?#]*)', 1) AS seg FROM facts WHERE trim(title) <> '' ORDER BY page_id, url LIMIT 500)")
 q("o038_page_kind", lambda t: pages.with_page_kind(t.pages).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^/?#]*)', 1) = '' THEN 'home' ELSE 'other' END AS kind, COUNT(*) AS n FROM pages GROUP BY 1")
 q("o039_infer_schema_type", lambda t: pages.infer_schema_type(t.pages, [("^/en/[0-9]+", "Article"), (r"\.html$", "WebPage")]), r"SELECT url, CASE WHEN regexp_matches(p, '^/en/[0-9]+') THEN 'Article' WHEN regexp_matches(p, '\.html$') THEN 'WebPage' WHEN p IN ('', '/') THEN 'Organization' END AS schema_type FROM (SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages) WHERE schema_type IS NOT NULL")
 q("o131_key_pages", lambda t: pages.key_pages(t.v_crawl.filter("crawl_id = 'A'"), t.sql("SELECT url, page_id AS clicks FROM pages"), 20), f"WITH r AS (SELECT {key_sql('url')} AS key, 1 AS pri, CAST(fetch_seq AS DOUBLE) AS pos FROM v_crawl WHERE crawl_id = 'A' AND {_INDEXABLE} UNION ALL SELECT {key_sql('url')}, 2, -CAST(page_id AS DOUBLE) FROM pages), b AS (SELECT key, pri, pos, row_number() OVER (PARTITION BY key ORDER BY pri, pos) AS rn FROM r) SELECT key, pri FROM b WHERE rn = 1 ORDER BY pri, pos, key LIMIT 20", "v_crawl")
@@ -101,18 +96,7 @@ q("o059_sitemap_mismatch", lambda t: _sitemap(t), f"WITH b AS (SELECT *, {_K} AS
 
 def _sitemap(t: Tables) -> DataFrame:
     crawl = t.v_crawl.filter("crawl_id = 'B'").withColumn("key", url_key("url"))
-    return pages_sitemap(crawl, t.pages.filter("page_id % 3 <> 0").select(url_key("url").alias("key")))
-
-
-def pages_sitemap(crawl: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Indexable self-canonical pages that the sitemap lacks, and sitemap pages that it should not list."""
-    from ..functions.pages import is_noindex
-
-    elsewhere = (F.col("canonical") != "") & (url_key("canonical") != F.col("key"))
-    lacking = crawl.filter(is_indexable() & ~elsewhere).join(sitemap, "key", "left_anti").select("url", F.lit("missing_from_sitemap").alias("reasons"))
-    why = F.concat_ws(", ", F.when(F.col("status") != 200, "not_200"), F.when(is_noindex(), "noindex"), F.when(elsewhere, "canonical_elsewhere"))
-    listed = crawl.filter("error_type = ''").join(sitemap, "key", "left_semi").select("url", why.alias("reasons")).filter("reasons != ''")
-    return lacking.unionByName(listed)
+    return checks.sitemap_mismatch(crawl, t.pages.filter("page_id % 3 <> 0").select(url_key("url").alias("key")))
 
 
 # ---------------------------------------------------------------- link graph
@@ -146,9 +130,9 @@ def _html_edges(t: Tables) -> DataFrame:
 
 
 q("o084_inbound_counts", lambda t: graph.inbound_counts(t.v_edges), "SELECT dst, COUNT(DISTINCT src) AS inbound FROM v_edges GROUP BY dst", "v_edges")
-q("o134_link_depths", lambda t: graph.link_depths(t.v_edges, _root(t)), _rec("SELECT node, depth FROM dep"))
+q("o134_link_depths", lambda t: graph.link_depths(t.v_edges, t.sql("SELECT CAST(0 AS BIGINT) AS node UNION ALL SELECT CAST(-5 AS BIGINT)")), _rec("SELECT node, depth FROM dep UNION ALL SELECT CAST(-5 AS BIGINT), NULL"))
 q("o087_depth_histogram", lambda t: graph.depth_histogram(graph.link_depths(t.v_edges, _root(t))), _rec("SELECT depth, COUNT(*) AS pages FROM dep GROUP BY depth"))
-q("o135_orphan_pages", lambda t: graph.orphan_pages(t.sql("SELECT page_id AS node FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT CAST(1000000 AS BIGINT)"), graph.link_depths(t.v_edges, _root(t)), _nodes(t), t.pages.count()), _rec("SELECT CAST(page_id AS VARCHAR) AS node, 'orphan_page' AS type, 'high' AS severity, '' AS reason FROM pages WHERE page_id % 2 = 0 AND page_id NOT IN (SELECT node FROM dep) AND page_id % 9 <> 4 UNION ALL SELECT '1000000', 'orphan_candidate', 'low', ''"))
+q("o135_orphan_pages", lambda t: graph.orphan_pages(t.sql("SELECT page_id AS node FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT CAST(1000000 AS BIGINT)"), graph.link_depths(t.v_edges, _root(t)), _nodes(t), _nodes(t)), _rec("SELECT CAST(page_id AS VARCHAR) AS node, 'orphan_page' AS type, 'high' AS severity, '' AS reason FROM pages WHERE page_id % 2 = 0 AND page_id NOT IN (SELECT node FROM dep) AND page_id % 9 <> 4 UNION ALL SELECT '1000000', 'orphan_candidate', 'low', ''"))
 q("o136_link_graph_audit", lambda t: graph.link_graph_audit(_nodes(t), graph.link_depths(t.v_edges, _root(t)), t.v_edges, 3), _rec(", i AS (SELECT dst, COUNT(*) AS inbound FROM v_edges GROUP BY dst), x AS (SELECT page_id AS node, depth, inbound FROM pages LEFT JOIN dep ON node = page_id LEFT JOIN i ON dst = page_id WHERE page_id % 9 <> 4) SELECT node, 'unreachable' AS type, 'high' AS severity FROM x WHERE depth IS NULL UNION ALL SELECT node, 'too_deep', 'medium' FROM x WHERE depth > 3 UNION ALL SELECT node, 'single_inbound', 'low' FROM x WHERE inbound = 1 AND depth > 0"))
 q("o133_url_universe", lambda t: graph.url_universe(t.sql("SELECT 'sitemap' AS source, url FROM pages WHERE page_id % 3 <> 0"), t.sql("SELECT 'search' AS source, url FROM pages WHERE page_id % 2 = 0"))[1], f"SELECT source, COUNT(DISTINCT k) AS urls FROM (SELECT 'sitemap' AS source, {key_sql('url')} AS k FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT 'search', {key_sql('url')} FROM pages WHERE page_id % 2 = 0) GROUP BY source")
 q("o052_broken_internal_links", lambda t: graph.broken_internal_links(t.v_edges, t.sql("SELECT page_id AS node, CASE WHEN page_id % 17 = 4 THEN 404 WHEN page_id % 23 = 6 THEN 503 ELSE 200 END AS status FROM pages")), "WITH s AS (SELECT page_id AS node, CASE WHEN page_id % 17 = 4 THEN 404 WHEN page_id % 23 = 6 THEN 503 ELSE 200 END AS status FROM pages) SELECT dst, status, COUNT(*) AS linkers, array_to_string(list_sort(list(src))[1:20], ',') AS first_linkers, CASE WHEN status >= 500 THEN 'high' ELSE 'medium' END AS severity FROM v_edges JOIN s ON node = dst WHERE status >= 400 GROUP BY dst, status", "v_edges")
@@ -159,7 +143,7 @@ q("o056_newly_broken_links", lambda t: diff.newly_broken_links(t.v_edges.filter(
 
 _WEEK = "wk AS (SELECT key, CAST(date_trunc('week', d) AS DATE) AS week_start, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks, round(SUM(position * greatest(impressions, 1)) / greatest(SUM(impressions), 1), 2) AS avg_position FROM v_search GROUP BY 1, 2), wl AS (SELECT * FROM wk WHERE week_start < (SELECT MAX(week_start) FROM wk k2 WHERE k2.key = wk.key) OR week_start + 6 <= DATE '2024-01-30')"
 _END = "2024-01-30"
-q("o007_search_rows", lambda t: t.v_search.filter("size(array(key, page)) >= 2").select("key", "page", "d", "clicks", "impressions"), "SELECT key, page, d, clicks, impressions FROM v_search", "v_search")
+q("o007_read_search_analytics", lambda t: _landed(t, t.v_search.selectExpr("CASE WHEN clicks % 5 = 4 THEN array(key, page) ELSE array(key, page, CAST(d AS STRING)) END AS keys", "clicks", "impressions", "position"), "json", crawl.read_search_analytics, dimensions=["key", "page", "day"]).select("key", "page", "day", "clicks", "impressions", "hit_cap"), "SELECT key, page, CAST(d AS VARCHAR) AS day, clicks, impressions, false AS hit_cap FROM v_search WHERE clicks % 5 <> 4", "v_search")
 q("o090_weekly_positions", lambda t: trends.weekly_positions(t.v_search, F.lit(_END).cast("date")), f"WITH {_WEEK} SELECT key, week_start, impressions, clicks, avg_position FROM wl", "v_search")
 q("o121_position_changes", lambda t: trends.position_changes(trends.weekly_positions(t.v_search, F.lit(_END).cast("date")), 4, 1.0), f"WITH {_WEEK}, x AS (SELECT key, week_start, impressions, avg_position, round(AVG(avg_position) OVER b, 2) AS baseline_avg, round(stddev_pop(avg_position) OVER b, 2) AS baseline_stdev, COUNT(avg_position) OVER b AS weeks_used, row_number() OVER (PARTITION BY key ORDER BY week_start DESC) AS rn FROM wl WINDOW b AS (PARTITION BY key ORDER BY week_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)), y AS (SELECT *, round(avg_position - baseline_avg, 2) AS delta FROM x WHERE rn = 1 AND weeks_used >= 1 AND impressions >= 10) SELECT key, week_start, impressions, avg_position, baseline_avg, baseline_stdev, weeks_used, delta, CASE WHEN abs(delta) >= 1 AND (baseline_stdev = 0 OR abs(delta) > baseline_stdev) THEN CASE WHEN delta > 0 THEN 'drop' WHEN delta < 0 THEN 'improvement' ELSE 'steady' END ELSE 'steady' END AS change FROM y", "v_search")
 _CTR = "CASE WHEN position >= 20 OR position < 1 THEN 0.005::DOUBLE WHEN position < 2 THEN 0.25 WHEN position < 3 THEN 0.15 WHEN position < 5 THEN 0.10 WHEN position < 8 THEN 0.06 WHEN position < 11 THEN 0.035 ELSE 0.015 END"
@@ -196,8 +180,8 @@ q("o066_backlink_diff", lambda t: diff.backlink_diff(t.v_backlinks.filter("run =
  z AS (SELECT *, CAST(CASE WHEN live THEN 0 ELSE os + 1 END AS INTEGER) AS streak, before OR os > 0 AS known FROM j)
  SELECT url_from, url_to, CASE WHEN live AND NOT known AND fs >= DATE '1998-06-01' - 7 THEN 'new' WHEN live AND NOT known THEN 'appeared_not_recent' WHEN live THEN 'kept' WHEN flagged OR streak >= 2 THEN 'lost' ELSE 'possibly_lost' END AS state, streak FROM z""", "v_backlinks")
 q("o067_referring_domain_diff", lambda t: diff.referring_domain_diff(t.v_backlinks.filter("run = 1 and source_domain <> 'd3.example'"), t.v_backlinks.filter("run = 2 and source_domain <> 'd7.example'")), "WITH p AS (SELECT DISTINCT source_domain FROM v_backlinks WHERE run = 1 AND source_domain <> 'd3.example'), c AS (SELECT DISTINCT source_domain FROM v_backlinks WHERE run = 2 AND NOT is_lost AND source_domain <> 'd7.example') SELECT source_domain, 'new' AS change FROM c WHERE source_domain NOT IN (SELECT * FROM p) UNION ALL SELECT source_domain, 'lost' FROM p WHERE source_domain NOT IN (SELECT * FROM c)", "v_backlinks")
-q("o068_broken_backlinks", lambda t: t.sql("SELECT l_orderkey AS id, CASE WHEN l_partkey % 40 = 1 THEN 404 WHEN l_partkey % 40 = 2 THEN 500 WHEN l_partkey % 40 = 3 THEN NULL ELSE 200 END AS http_code FROM lineitem").transform(diff_broken).drop("http_code"), "SELECT id, CASE WHEN http_code IS NULL OR http_code >= 500 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT l_orderkey AS id, CASE WHEN l_partkey % 40 = 1 THEN 404 WHEN l_partkey % 40 = 2 THEN 500 WHEN l_partkey % 40 = 3 THEN NULL ELSE 200 END AS http_code FROM lineitem) WHERE http_code IS NULL OR http_code >= 400")
-q("o125_missing_streaks", lambda t: diff.missing_streaks(t.sql("SELECT concat('k', user_id) AS key, CAST(day(ts) AS INT) AS run FROM events WHERE user_id % 3 = 0")), "WITH r AS (SELECT DISTINCT concat('k', user_id) AS key, day(ts) AS run FROM events WHERE user_id % 3 = 0), n AS (SELECT DISTINCT run FROM r), s AS (SELECT key, MAX(run) AS seen FROM r GROUP BY key) SELECT key, (SELECT COUNT(*) FROM n WHERE n.run > s.seen) AS streak FROM s")
+q("o068_broken_backlinks", lambda t: t.sql("SELECT l_orderkey AS id, CASE WHEN l_partkey % 40 = 1 THEN 404 WHEN l_partkey % 40 = 2 THEN 500 WHEN l_partkey % 40 = 3 THEN NULL ELSE 200 END AS http_code FROM lineitem").transform(diff.broken_backlinks).drop("http_code"), "SELECT id, CASE WHEN http_code IS NULL OR http_code >= 500 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT l_orderkey AS id, CASE WHEN l_partkey % 40 = 1 THEN 404 WHEN l_partkey % 40 = 2 THEN 500 WHEN l_partkey % 40 = 3 THEN NULL ELSE 200 END AS http_code FROM lineitem) WHERE http_code IS NULL OR http_code >= 400")
+q("o125_missing_streaks", lambda t: diff.missing_streaks(t.sql("SELECT concat('k', user_id) AS key, CAST(day(ts) AS INT) AS run FROM events ")), "WITH r AS (SELECT DISTINCT concat('k', user_id) AS key, day(ts) AS run FROM events), n AS (SELECT DISTINCT run FROM r), s AS (SELECT key, MAX(run) AS seen FROM r GROUP BY key) SELECT key, (SELECT COUNT(*) FROM n WHERE n.run > s.seen) AS streak FROM s")
 q("o069_domain_intersection", lambda t: texts.domain_intersection(t.sql("SELECT concat('d', o_custkey % 7) AS domain, concat('k', o_orderkey % 900) AS keyword FROM orders"), "d1", "d2"), "WITH r AS (SELECT DISTINCT concat('d', o_custkey % 7) AS domain, concat('k', o_orderkey % 900) AS keyword FROM orders), a AS (SELECT keyword FROM r WHERE domain = 'd1'), b AS (SELECT keyword FROM r WHERE domain = 'd2') SELECT keyword, 'both' AS kind FROM a WHERE keyword IN (SELECT keyword FROM b) UNION ALL SELECT keyword, 'gap' FROM b WHERE keyword NOT IN (SELECT keyword FROM a)")
 _H = "SELECT user_id % 5 AS dim, concat('k', user_id) AS key, CAST(ts AS DATE) AS d, COUNT(*) AS v FROM events"
 q("o019_current_history", lambda t: tables.current_version(t.sql("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS schema_version FROM events")), "SELECT event_id, 2 AS schema_version FROM events WHERE event_id % 3 <> 0")
@@ -212,7 +196,8 @@ q("o071_ranking_pages", lambda t: tables.top_per_group(t.sql("SELECT concat('q',
 # ---------------------------------------------------------------- documents and topics
 
 _TOPIC = "[a-z0-9]+(?:''[a-z]+)?".replace("''", "'")
-_TT = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+(?:''[a-z]+)?'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))"
+_TT = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+(?:''[a-z]+)?'), lambda w: length(w) >= 3 AND w NOT IN ({_TSTOP}))"
+_TL = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+(?:''[a-z]+)?'), lambda w: length(w) >= 3 AND w NOT IN ({_LSTOP}))"
 q("o044_text_terms", lambda t: texts.text_terms(t.benchmark, "text", "item_id"), f"SELECT item_id, term, COUNT(*) AS n FROM (SELECT item_id, unnest({_TT('text')}) AS term FROM benchmark) GROUP BY ALL")
 _VEC = f"v AS (SELECT slug, term, COUNT(*) AS w FROM (SELECT slug, unnest({_TT('title')}) AS term FROM v_posts) GROUP BY ALL), nn AS (SELECT slug, sqrt(SUM(w * w)) AS n FROM v GROUP BY slug), c AS (SELECT x.slug AS a, y.slug AS b, SUM(x.w * y.w) / (any_value(p.n) * any_value(r.n)) AS score FROM v x JOIN v y USING (term) JOIN nn p ON p.slug = x.slug JOIN nn r ON r.slug = y.slug"
 _NEWP = lambda t: t.v_posts.filter("age_days % 5 = 0").selectExpr("slug as a", "title")
@@ -220,36 +205,47 @@ _OLDP = lambda t: t.v_posts.filter("age_days % 5 <> 0").selectExpr("slug as b",
 _SIDES = "WHERE x.slug IN (SELECT slug FROM v_posts WHERE age_days % 5 = 0) AND y.slug IN (SELECT slug FROM v_posts WHERE age_days % 5 <> 0) GROUP BY 1, 2)"
 q("o072_near_duplicate_topics", lambda t: texts.near_duplicate_topics(_NEWP(t), _OLDP(t), 0.6), f"WITH {_VEC} {_SIDES}, h AS (SELECT a, b, round(score, 4) AS score FROM c WHERE score >= 0.6) SELECT a, arg_min(b, struct_pack(s := -score, b := b)) AS b, MAX(score) AS score, COUNT(*) AS matches FROM h GROUP BY a", "v_posts")
 q("o073_best_match", lambda t: texts.best_match(_NEWP(t), _OLDP(t)), f"WITH {_VEC} {_SIDES}, h AS (SELECT a, b, round(score, 4) AS score FROM c WHERE score >= 1e-9), m AS (SELECT a, arg_min(b, struct_pack(s := -score, b := b)) AS b, MAX(score) AS score FROM h GROUP BY a) SELECT p.slug AS a, b, score FROM v_posts p LEFT JOIN m ON m.a = p.slug WHERE age_days % 5 = 0", "v_posts")
-q("o074_topic_signal", lambda t: texts.cosine_pairs(texts.text_terms(_NEWP(t), "title", "a").withColumnRenamed("n", "w"), texts.text_terms(_OLDP(t), "title", "b").withColumnRenamed("n", "w"), 0.5).groupBy("a").agg(F.round(F.max("score"), 4).alias("signal")), f"WITH {_VEC} {_SIDES} SELECT a, round(MAX(score), 4) AS signal FROM c WHERE score >= 0.5 GROUP BY a", "v_posts")
-q("o077_ngram_overlap", lambda t: texts.ngram_overlap(t.documents, t.benchmark), "WITH src AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark), tok AS (SELECT k, id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM src), gr AS (SELECT k, id, string_agg(w, ' ') OVER s AS g, COUNT(*) OVER s AS n FROM tok WINDOW s AS (PARTITION BY k, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)), g AS (SELECT DISTINCT k, id, g FROM gr WHERE n = 12) SELECT x.id AS doc_id, y.id AS item_id, MIN(x.g) AS phrase FROM g x JOIN g y ON x.g = y.g AND x.k = 'd' AND y.k = 'b' GROUP BY 1, 2")
-q("o078_verify_passages", lambda t: texts.verify_passages(t.sql("SELECT doc_id AS source_id, substring(text, 11, 40) AS passage, CASE WHEN doc_id % 3 = 0 THEN sha2(text, 256) ELSE 'x' END AS sha FROM documents WHERE doc_id % 5 < 2"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents WHERE doc_id % 5 <> 1")), r"SELECT d.doc_id AS source_id, coalesce(contains(trim(regexp_replace(s.text, '\s+', ' ', 'g')), trim(regexp_replace(substring(d.text, 11, 40), '\s+', ' ', 'g'))), false) AS found, coalesce(d.doc_id % 3 = 0 AND s.doc_id IS NOT NULL, false) AS hash_ok FROM documents d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 1) s USING (doc_id) WHERE d.doc_id % 5 < 2")
-q("o079_verify_quotes", lambda t: texts.verify_quotes(t.sql("SELECT doc_id AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'zz not there zz' ELSE substring(text, 1, 60) END AS quote FROM documents"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents")), "WITH n AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(CASE WHEN doc_id % 4 = 0 THEN 'zz not there zz' ELSE substring(text, 1, 60) END), '[a-z0-9$%.,]+'), ' ') AS q, array_to_string(regexp_extract_all(lower(text), '[a-z0-9$%.,]+'), ' ') AS b FROM documents) SELECT doc_id AS source_id, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 1 ELSE 0 END AS BIGINT) AS kept, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 0 ELSE 1 END AS BIGINT) AS dropped FROM n")
+_COMP = "SELECT *, CASE age_days % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'other' END AS priority, CASE WHEN age_days % 10 = 0 THEN 'competitor' ELSE 'own' END AS source, CAST(age_days % 5 AS DOUBLE) / 4 AS gap FROM v_posts"
+
+
+def _topics(t: Tables, new: bool) -> DataFrame:
+    rows = t.v_posts.selectExpr("*", "CASE age_days % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'other' END AS priority", "CASE WHEN age_days % 10 = 0 THEN 'competitor' ELSE 'own' END AS source", "CAST(age_days % 5 AS DOUBLE) / 4 AS gap")
+    return rows.filter(f"age_days % 5 {'=' if new else '<>'} 0").withColumnRenamed("slug", "a" if new else "b")
+
+
+q("o074_competitor_signal", lambda t: texts.competitor_signal(_topics(t, True), _topics(t, False)), f"WITH {_VEC} {_SIDES}, m AS (SELECT a, MAX(score * CASE priority WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.4 ELSE 0.7 END) AS best FROM c JOIN ({_COMP}) x ON x.slug = b WHERE score >= 0.5 GROUP BY a) SELECT slug AS a, round(CASE WHEN source = 'competitor' THEN 1.0::DOUBLE ELSE least(1.0, coalesce(best, 0.0)) END, 4) AS signal FROM ({_COMP}) p LEFT JOIN m ON m.a = p.slug WHERE age_days % 5 = 0", "v_posts")
+q("o074_geo_signal", lambda t: texts.geo_signal(_topics(t, True).withColumn("keyword", F.col("section")), _topics(t, False).withColumn("text", F.concat_ws(" ", "title", "section"))), f"WITH {_VEC.replace(_TT('title'), _TT(chr(40) + 'title || chr(32) || section' + chr(41)))} {_SIDES}, m AS (SELECT a, MAX(least(1.0, CASE WHEN gap <> 0 THEN gap ELSE 0.5 END)) AS best FROM c JOIN ({_COMP}) x ON x.slug = b WHERE score >= 0.4 GROUP BY a) SELECT slug AS a, round(coalesce(best, 0.0::DOUBLE), 4) AS signal FROM v_posts p LEFT JOIN m ON m.a = p.slug WHERE age_days % 5 = 0", "v_posts")
+q("o077_ngram_overlap", lambda t: texts.ngram_overlap(t.documents, t.benchmark), "WITH src AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[a-z0-9]+') FROM benchmark), tok AS (SELECT k, id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM src), gr AS (SELECT k, id, string_agg(w, ' ') OVER s AS g, COUNT(*) OVER s AS n FROM tok WINDOW s AS (PARTITION BY k, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)), g AS (SELECT DISTINCT k, id, g FROM gr WHERE n = 12) SELECT x.id AS doc_id, y.id AS item_id, MIN(x.g) AS phrase FROM g x JOIN g y ON x.g = y.g AND x.k = 'd' AND y.k = 'b' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY y.id) <= 20")
+_PASSAGE = "CASE WHEN doc_id % 5 = 1 THEN 'zz not there zz' ELSE substring(text, CAST(floor(length(text) / 2) AS INT) + 1) END"
+q("o078_verify_passages", lambda t: texts.verify_passages(t.sql(f"SELECT doc_id AS source_id, {_PASSAGE} AS passage, CASE WHEN doc_id % 3 = 0 THEN sha2(text, 256) ELSE 'x' END AS sha FROM documents"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents")), rf"SELECT doc_id AS source_id, coalesce(contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace({_PASSAGE}, '\s+', ' ', 'g'))), false) AS found, doc_id % 3 = 0 AS hash_ok FROM documents")
+_QUOTE = _PASSAGE.replace("% 5 = 1", "% 4 = 0")
+q("o079_verify_quotes", lambda t: texts.verify_quotes(t.sql(f"SELECT doc_id AS source_id, {_QUOTE} AS quote FROM documents"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents")), f"WITH n AS (SELECT doc_id, array_to_string(regexp_extract_all(lower({_QUOTE}), '[a-z0-9$%.,]+'), ' ') AS q, array_to_string(regexp_extract_all(lower(text), '[a-z0-9$%.,]+'), ' ') AS b FROM documents) SELECT doc_id AS source_id, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 1 ELSE 0 END AS BIGINT) AS kept, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 0 ELSE 1 END AS BIGINT) AS dropped FROM n")
 _NUM = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), lambda x: length(x) > 1)".replace("\\\\", "\\")
 q("o080_verify_numbers", lambda t: texts.verify_numbers(t.documents, t.sql("SELECT doc_id, text AS body FROM documents WHERE doc_id % 2 = 0")), f"SELECT DISTINCT doc_id, unnest({_NUM('text')}) AS number FROM documents WHERE doc_id % 2 <> 0")
 q("o119_repetitive_text", lambda t: texts.repetitive_text(t.documents), r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_words FROM w WHERE len(list_distinct(w)) < least(10, greatest(1, floor(len(w) / 10)))")
 q("o138_text_changes", lambda t: diff.text_changes(t.documents.select("doc_id", "text"), t.sql("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN concat(substring(text, 30), '. Added one. Added two') ELSE text END AS text FROM documents")), r"WITH s AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 6 = 0 THEN concat(substring(text, 30), '. Added one. Added two') ELSE text END, '. ')) AS s, 1 AS n FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, '. ')), -1 FROM documents), v AS (SELECT doc_id, s, SUM(n) AS n FROM s GROUP BY ALL HAVING SUM(n) <> 0) SELECT doc_id, CAST(SUM(greatest(n, 0)) AS BIGINT) AS added, CAST(SUM(greatest(-n, 0)) AS BIGINT) AS removed FROM v WHERE doc_id % 6 = 0 GROUP BY doc_id")
-q("o046_staleness_phrases", lambda t: texts.staleness_phrases(t.sql("SELECT doc_id AS page_id, concat(text, ' In 2019 and 2031, recently (c) 2020 last year') AS text FROM documents"), 2026), r"WITH x AS (SELECT doc_id AS page_id, concat(text, ' In 2019 and 2031, recently (c) 2020 last year') AS t FROM documents) SELECT DISTINCT page_id, kind, phrase FROM (SELECT page_id, 'past_year' AS kind, unnest(list_filter(regexp_extract_all(t, '\b20[0-9]{2}\b'), lambda y: CAST(y AS INT) < 2026)) AS phrase FROM x UNION ALL SELECT page_id, 'relative_time', unnest(regexp_extract_all(lower(t), '\b(?:last year|this year|recently|currently|coming soon|upcoming)\b')) FROM x UNION ALL SELECT page_id, 'copyright_year', unnest(regexp_extract_all(t, '(?:©|\(c\)|[Cc]opyright)\s*20[0-9]{2}')) FROM x)")
+_STALE = "concat(text, ' In 2019 and 2031, (c) 2020 last year, as of 2021 in 2024 so far. Copyright 2040. Widget', doc_id % 7, ' 2.3 and v 1.4.2 came out. We offer Gadget 9.9 price and it is rated by Stars 4.5 people')"
+q("o046_staleness_phrases", lambda t: texts.staleness_phrases(t.sql(f"SELECT doc_id AS page_id, {_STALE} AS text FROM documents"), 2026).select("page_id", "kind", "phrase").distinct(), rf"WITH x AS (SELECT doc_id AS page_id, {_STALE} AS t FROM documents) SELECT DISTINCT page_id, kind, phrase FROM (SELECT page_id, 'hardcoded_year' AS kind, unnest(list_filter(regexp_extract_all(t, '\b20[0-9]{{2}}\b'), lambda y: CAST(y AS INT) < 2026)) AS phrase FROM x UNION ALL SELECT page_id, 'relative_time_phrase', unnest(regexp_extract_all(t, '(?i)\b(?:last year|this year|next year|earlier this year|as of \d{{4}}|currently in \d{{4}}|in \d{{4}} so far)\b')) FROM x UNION ALL SELECT page_id, 'copyright_year', unnest(list_filter(regexp_extract_all(t, '(?i)(?:©|\(c\)|copyright)\s*20[0-9]{{2}}'), lambda y: CAST(right(y, 4) AS INT) < 2026)) FROM x UNION ALL SELECT page_id, 'version_reference', unnest(list_filter(regexp_extract_all(t, '(?i:\b(?:version|ver\.?|v)\s?\d+(?:\.\d+){{1,3}}\b)|\b[A-Z][A-Za-z0-9+#.]{{1,20}}\s+\d+\.\d+(?:\.\d+)?\b'), lambda v: v NOT IN ('Gadget 9.9', 'Stars 4.5'))) FROM x)")
 _SP = "SELECT page_id, 'p' AS kind, concat('x', page_id % 6) AS phrase FROM pages UNION ALL SELECT page_id, 'p', 'all' FROM pages WHERE page_id % 4 <> 0"
 q("o106_boilerplate", lambda t: texts.boilerplate_matches(t.sql(_SP), t.pages.count()), f"SELECT kind, phrase, COUNT(DISTINCT page_id) AS pages FROM ({_SP}) GROUP BY ALL HAVING COUNT(DISTINCT page_id) >= 5 AND COUNT(DISTINCT page_id) > 0.5 * (SELECT COUNT(*) FROM pages)")
-q("o107_stale_candidates", lambda t: texts.stale_candidates(t.pages.filter("page_id % 3 = 0"), t.sql(_SP), texts.boilerplate_matches(t.sql(_SP), t.pages.count()), graph.inbound_counts(t.v_edges)), f"WITH i AS (SELECT dst, COUNT(*) AS inbound FROM v_edges GROUP BY dst) SELECT page_id, COUNT(*) AS signals, coalesce(any_value(inbound), 0) AS inbound FROM ({_SP}) LEFT JOIN i ON dst = page_id WHERE phrase <> 'all' AND page_id % 3 = 0 GROUP BY page_id", "v_edges")
-q("o075_link_candidates", lambda t: _candidates(t).select("a", "b", "score", "rank"), f"WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages), v AS (SELECT page_id, term, SUM(w) AS w FROM (SELECT page_id, unnest({_TT('title')}) AS term, 3 AS w FROM f UNION ALL SELECT page_id, unnest({_TT('h1')}), 3 FROM f) GROUP BY ALL), n AS (SELECT page_id, sqrt(SUM(w * w)) AS n FROM v GROUP BY page_id), c AS (SELECT x.page_id AS a, y.page_id AS b, SUM(x.w * y.w) / (any_value(p.n) * any_value(r.n)) AS score FROM v x JOIN v y USING (term) JOIN n p ON p.page_id = x.page_id JOIN n r ON r.page_id = y.page_id WHERE x.page_id % 5 = 0 AND x.page_id <> y.page_id GROUP BY 1, 2 HAVING score >= 0.08), k AS (SELECT a, b, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, b) AS INTEGER) AS rank FROM c) SELECT * FROM k WHERE rank <= 5")
-
-
+_UNCHANGED = "SELECT a.fetch_seq AS page_id FROM v_crawl a JOIN v_crawl b ON a.fetch_seq = b.fetch_seq AND a.content_version = b.content_version WHERE a.crawl_id = 'A' AND b.crawl_id = 'B'"
+q("o107_stale_candidates", lambda t: texts.stale_candidates(t.v_crawl.filter("crawl_id = 'A'").join(t.v_crawl.filter("crawl_id = 'B'").select("fetch_seq", "content_version"), ["fetch_seq", "content_version"]).selectExpr("fetch_seq AS page_id"), t.sql(_SP), texts.boilerplate_matches(t.sql(_SP), t.pages.count()), graph.inbound_counts(t.v_edges)), f"WITH i AS (SELECT dst, COUNT(*) AS inbound FROM v_edges GROUP BY dst) SELECT page_id, COUNT(*) AS signals, coalesce(any_value(inbound), 0) AS inbound FROM ({_SP}) LEFT JOIN i ON dst = page_id WHERE phrase <> 'all' AND page_id IN ({_UNCHANGED}) GROUP BY page_id", "v_edges", "v_crawl")
+q("o075_link_candidates", lambda t: _candidates(t).select("a", "b", "score", "rank", "shared"), f"WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages), v AS (SELECT page_id, term, SUM(w) AS w FROM (SELECT page_id, unnest({_TL('title')}) AS term, 4 AS w FROM f UNION ALL SELECT page_id, unnest({_TL('h1')}), 4 FROM f) GROUP BY ALL), n AS (SELECT page_id, sqrt(SUM(w * w)) AS n FROM v GROUP BY page_id), c AS (SELECT x.page_id AS a, y.page_id AS b, SUM(x.w * y.w) / (any_value(p.n) * any_value(r.n)) AS score, array_to_string(list_sort(list(struct_pack(p := -x.w * y.w, t := term)))[1:12].list_transform(lambda z: z.t), ' ') AS shared FROM v x JOIN v y USING (term) JOIN n p ON p.page_id = x.page_id JOIN n r ON r.page_id = y.page_id WHERE x.page_id % 5 = 0 AND x.page_id <> y.page_id GROUP BY 1, 2 HAVING score >= 0.08), k AS (SELECT a, b, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, b) AS INTEGER) AS rank, shared FROM c) SELECT * FROM k WHERE rank <= 5")
 def _candidates(t: Tables) -> DataFrame:
-    rows = page_facts(t).select("page_id", "title", F.col("h1_text").alias("h1"), F.lit("").alias("h2"))
+    rows = page_facts(t).select("page_id", "title", F.col("h1_text").alias("h1"), F.col("h1_text").alias("h2"), F.col("title").alias("og"))
     return texts.link_candidates(rows.filter("page_id % 5 = 0").withColumnRenamed("page_id", "a"), rows.withColumnRenamed("page_id", "b"))
 
 
 q("o113_topic_coverage", lambda t: texts.topic_coverage(t.sql("SELECT p_brand AS pillar, (p_size % 3 = 0) AS covered FROM part")), "SELECT p_brand AS pillar, COUNT(*) AS topics, CAST(count_if(p_size % 3 = 0) AS BIGINT) AS covered, round(1 - count_if(p_size % 3 = 0) / COUNT(*), 4) AS authority FROM part GROUP BY 1")
 _SIG = "SELECT concat('p', p_partkey) AS slug, (p_partkey % 11) / 10.0D AS competitor, (p_partkey % 7) / 7.0D AS geo, (p_partkey % 5) / 5.0D AS cluster, (p_partkey % 3) / 3.0D AS authority, (p_partkey % 13) / 13.0D AS social, (p_partkey % 10) / 12.0D AS overlap, CAST(p_size * 100 AS DOUBLE) AS volume, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS difficulty FROM part"
 q("o114_topic_scores", lambda t: texts.topic_scores(t.sql(_SIG)), "WITH s AS (" + __import__("re").sub(r"([0-9.]+)D\b", r"CAST(\1 AS DOUBLE)", _SIG) + "), x AS (SELECT *, least(1.0, log10(volume + 1) / 4) * (CASE WHEN difficulty IS NULL THEN 0.75 ELSE 1 - difficulty / 200 END) AS seo FROM s WHERE overlap < 0.6) SELECT slug, round(competitor * CAST(0.15 AS DOUBLE) + geo * CAST(0.20 AS DOUBLE) + seo * CAST(0.15 AS DOUBLE) + cluster * CAST(0.15 AS DOUBLE) + authority * CAST(0.15 AS DOUBLE) + social * CAST(0.10 AS DOUBLE) - CASE WHEN overlap >= 0.4 THEN CAST(0.30 AS DOUBLE) * overlap ELSE 0 END, 4) AS score FROM x ORDER BY score DESC, slug LIMIT 50")
-q("o115_social_volume", lambda t: texts.social_volume(t.sql("SELECT concat('k', user_id % 30) AS keyword, event_id % 9 AS score, event_id % 4 AS comments FROM events WHERE event_id % 9 = 0")), "SELECT keyword, COUNT(*) AS posts, round(least(1.0::DOUBLE, COUNT(*) / 40 + least(SUM(score + 2 * comments), 5000) / 10000), 4) AS signal FROM (SELECT concat('k', user_id % 30) AS keyword, event_id % 9 AS score, event_id % 4 AS comments FROM events WHERE event_id % 9 = 0) GROUP BY keyword")
+q("o115_social_volume", lambda t: texts.social_volume(t.sql("SELECT concat('k', user_id % 30) AS keyword, event_id % 9 AS score, event_id % 4 AS comments FROM events")), "SELECT keyword, COUNT(*) AS posts, round(least(1.0::DOUBLE, COUNT(*) / 40 + least(SUM(score + 2 * comments), 5000) / 10000), 4) AS signal FROM (SELECT concat('k', user_id % 30) AS keyword, event_id % 9 AS score, event_id % 4 AS comments FROM events) GROUP BY keyword")
 q("o116_competitor_inventory", lambda t: texts.competitor_inventory(t.sql("SELECT concat('p', p_partkey) AS slug, CASE WHEN p_partkey % 3 = 0 THEN 'given' ELSE '' END AS keyword, p_name AS title, p_size AS published FROM part")), f"SELECT concat('p', p_partkey) AS slug, CASE WHEN p_partkey % 3 = 0 THEN 'given' ELSE array_to_string({_TT('p_name')}[1:4], ' ') END AS keyword, p_size AS published FROM part ORDER BY published DESC, slug LIMIT 50")
 q("o070_keyword_context", lambda t: texts.attach_keyword_context(trends.opportunities_by_query(trends.near_misses(t.v_search)).select("key", "headroom"), t.sql("SELECT concat('q', p_partkey) AS key, CAST(p_size AS DOUBLE) AS volume FROM part WHERE p_partkey % 2 = 0")).na.fill(0.0), f"WITH {_FLAG} SELECT o.key, headroom, coalesce(CAST(p_size AS DOUBLE), 0) AS volume FROM (SELECT key, round(SUM(headroom), 2) AS headroom FROM nm GROUP BY key) o LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON concat('q', p_partkey) = o.key", "v_search")
 q("o048_fresh_evidence", lambda t: texts.evidence_is_fresh(t.sql("SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'customer' ELSE 'rumour' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'r' END AS reference, CAST(o_orderdate AS DATE) AS observed FROM orders"), F.lit("1998-01-31").cast("date")), "SELECT * FROM (SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'customer' ELSE 'rumour' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'r' END AS reference, CAST(o_orderdate AS DATE) AS observed FROM orders) WHERE kind <> 'rumour' AND reference <> '' AND datediff('day', observed, DATE '1998-01-31') BETWEEN 0 AND 90")
-q("o132_rank_demand", lambda t: texts.rank_demand(t.sql("SELECT p_partkey AS id, p_size AS value, p_partkey % 6 AS effort FROM part"), t.sql("SELECT l_partkey AS id FROM lineitem WHERE l_orderkey % 50 = 0")), "SELECT p_partkey AS id, p_size AS value, p_partkey % 6 AS effort, coalesce(n, 0) AS evidence, n IS NOT NULL AS ready FROM part LEFT JOIN (SELECT l_partkey, COUNT(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) ON l_partkey = p_partkey")
-q("o126_refresh_triggers", lambda t: trends.refresh_triggers(t.v_posts.withColumn("age_days", F.col("age_days") * 10), t.sql("SELECT concat('p', user_id) AS slug, CAST(day(ts) / 10 AS INT) AS run, COUNT(*) AS clicks FROM events GROUP BY ALL")), "WITH p AS (SELECT concat('p', user_id) AS slug, CAST(floor(day(ts) / 10) AS INT) AS run, COUNT(*) AS clicks FROM events GROUP BY ALL), l AS (SELECT slug, clicks, lag(clicks) OVER w AS before, row_number() OVER (PARTITION BY slug ORDER BY run DESC) AS rn FROM p WINDOW w AS (PARTITION BY slug ORDER BY run)), x AS (SELECT v.slug, age_days * 10 AS age, clicks, before FROM v_posts v LEFT JOIN l ON l.slug = v.slug AND rn = 1) SELECT slug, 'clicks_down' AS trigger_type FROM x WHERE before >= 10 AND clicks <= 0.5 * before UNION ALL SELECT slug, 'old' FROM x WHERE age > 180 UNION ALL SELECT slug, 'no_impressions' FROM x WHERE clicks IS NULL AND age > 45", "v_posts")
-
+q("o132_rank_demand", lambda t: texts.rank_demand(t.sql("SELECT p_partkey AS id, p_size AS value, p_partkey % 6 AS effort FROM part"), t.sql("SELECT l_partkey AS id FROM lineitem")), "SELECT p_partkey AS id, p_size AS value, p_partkey % 6 AS effort, coalesce(n, 0) AS evidence, n IS NOT NULL AS ready FROM part LEFT JOIN (SELECT l_partkey, COUNT(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+_POSTED = "SELECT slug, age_days * 10 AS age_days, age_days * 10 - 200 * (age_days % 2) AS updated_days, concat(title, ' Sales grew, 45% growth in 20', 10 + age_days % 30, '.') AS text FROM v_posts"
+q("o126_refresh_triggers", lambda t: trends.refresh_triggers(t.v_posts.selectExpr("slug", "age_days * 10 AS age_days", "age_days * 10 - 200 * (age_days % 2) AS updated_days", "concat(title, ' Sales grew, 45% growth in 20', 10 + age_days % 30, '.') AS text"), t.sql("SELECT concat('p', user_id) AS slug, CAST(day(ts) / 10 AS INT) AS run, COUNT(*) AS clicks, 'week' AS period FROM events GROUP BY ALL"), 2026), f"WITH v AS ({_POSTED}), p AS (SELECT concat('p', user_id) AS slug, CAST(floor(day(ts) / 10) AS INT) AS run, COUNT(*) AS clicks FROM events GROUP BY ALL), l AS (SELECT slug, clicks, lag(clicks) OVER w AS before, row_number() OVER (PARTITION BY slug ORDER BY run DESC) AS rn FROM p WINDOW w AS (PARTITION BY slug ORDER BY run)), x AS (SELECT v.slug, age_days AS age, updated_days AS upd, text, clicks, before FROM v LEFT JOIN l ON l.slug = v.slug AND rn = 1) SELECT slug, 'clicks_down' AS trigger_type FROM x WHERE before >= 10 AND clicks <= 0.5 * before UNION ALL SELECT slug, 'old' FROM x WHERE age > 180 AND upd > 180 UNION ALL SELECT slug, 'no_impressions' FROM x WHERE clicks IS NULL AND age > 45 UNION ALL SELECT slug, 'dated_figures' FROM x WHERE CAST(regexp_extract(text, '(20[0-9][0-9])[.]$', 1) AS INT) < 2025", "v_posts")
 # ---------------------------------------------------------------- answers
 
 _BRANDS = {"that": ["that"], "the": ["the", "thes"], "none": ["zzzz"]}
@@ -259,11 +255,15 @@ _MEN = f"mm AS (SELECT conv_id, turn, 'that' AS entity, {_CNT('that')} AS n FROM
 _WIL = lambda h, n: f"round({h} / {n}, 4) AS rate, round(greatest(0.0, ({h} / {n} + 3.8416 / (2 * {n}) - 1.96 * sqrt(({h} / {n} * (1 - {h} / {n}) + 3.8416 / (4 * {n})) / {n})) / (1 + 3.8416 / {n})), 4) AS low, round(least(1.0, ({h} / {n} + 3.8416 / (2 * {n}) + 1.96 * sqrt(({h} / {n} * (1 - {h} / {n}) + 3.8416 / (4 * {n})) / {n})) / (1 + 3.8416 / {n})), 4) AS high"
 
 
+#: Every third answer ends with an address whose words are no mentions.
+_ANSWERS = "SELECT conv_id, turn, concat(text, CASE WHEN turn % 3 = 1 THEN ' see https://that.example/the-that and www.the.example' ELSE '' END) AS text FROM conversations WHERE role = 'assistant'"
+
+
 def _mentions(t: Tables) -> DataFrame:
-    return answers.brand_mentions(t.v_answers.filter("text not like '%http%' and text not like '%www.%'"), _BRANDS)
+    return answers.brand_mentions(t.sql(_ANSWERS), _BRANDS)
 
 
-_CLEAN = "v_clean AS (SELECT * FROM v_answers WHERE text NOT LIKE '%http%' AND text NOT LIKE '%www.%')"
+_CLEAN = rf"v_clean AS (SELECT conv_id, turn, regexp_replace(text, '(?i)\b(?:https?://|www\.)\S+', ' ', 'g') AS text FROM ({_ANSWERS}))"
 _MEN = f"{_CLEAN}, " + _MEN.replace("FROM v_answers", "FROM v_clean")
 q("o098_brand_mentions", lambda t: _mentions(t).select("conv_id", "turn", "entity", "n"), f"WITH {_MEN} SELECT conv_id, turn, entity, n FROM mm", "v_answers")
 q("o099_mention_stats", lambda t: answers.mention_stats(_mentions(t), "that").drop("prominence"), f"WITH {_MEN}, g AS (SELECT entity, CAST(count_if(n > 0) AS BIGINT) AS mentioned, COUNT(*) AS answers, CAST(SUM(n) AS BIGINT) AS total FROM mm GROUP BY entity) SELECT entity, mentioned, answers, total, coalesce(round(total / nullif((SELECT SUM(total) FROM g), 0), 4), 0.0::DOUBLE) AS share, {_WIL('mentioned', 'answers')}, entity = 'that' AS is_brand FROM g", "v_answers")
@@ -274,7 +274,7 @@ q("o097_wilson_rate", lambda t: answers.with_wilson_rate(t.sql("SELECT user_id,
 _VOTE = "vv AS (SELECT run_date, prompt_id, provider, CAST(count_if(outcome <> 'error') AS BIGINT) AS valid, CAST(count_if(outcome = 'cited') AS BIGINT) AS cited FROM v_samples GROUP BY ALL), vs AS (SELECT *, CASE WHEN valid = 0 THEN 'error' WHEN cited = 0 THEN 'not_cited' WHEN cited >= ceil(valid / 2) THEN 'cited' ELSE 'mixed' END AS state FROM vv)"
 q("o104_vote_samples", lambda t: answers.vote_samples(t.v_samples), f"WITH {_VOTE} SELECT run_date, prompt_id, provider, valid, cited, state FROM vs", "v_samples")
 q("o124_citation_changes", lambda t: diff.citation_changes(answers.vote_samples(t.v_samples).withColumn("urls", F.array(F.concat(F.lit("u"), F.col("cited") % 2)))), f"WITH {_VOTE}, l AS (SELECT *, lag(state, 1) OVER w AS p, lag(state, 2) OVER w AS pp, lag(cited, 1) OVER w AS pc FROM vs WINDOW w AS (PARTITION BY prompt_id, provider ORDER BY run_date)) SELECT run_date, prompt_id, provider, state, CASE WHEN p IS NULL THEN 'baseline' WHEN state = 'error' OR p = 'error' THEN 'indeterminate' WHEN p = 'not_cited' AND state IN ('cited', 'mixed') THEN 'newly_cited' WHEN p IN ('cited', 'mixed') AND state = 'not_cited' THEN 'possible_loss' WHEN state = 'not_cited' AND p = 'not_cited' AND pp IN ('cited', 'mixed') THEN 'confirmed_loss' WHEN state = p AND state IN ('cited', 'mixed') AND cited % 2 <> pc % 2 THEN 'cited_other_pages' WHEN state = p THEN 'unchanged' ELSE 'state_changed' END AS change FROM l", "v_samples")
-q("o102_citations_by_page", lambda t: answers.citations_by_page(t.sql("SELECT event_id AS sample_id, concat('/p/', user_id % 60) AS url FROM events WHERE event_id % 3 = 0"), 10000), "SELECT url, COUNT(*) AS answers, round(COUNT(*) / 10000, 4) AS rate FROM (SELECT DISTINCT event_id, concat('/p/', user_id % 60) AS url FROM events WHERE event_id % 3 = 0) GROUP BY url ORDER BY answers DESC, url LIMIT 30")
+q("o102_citations_by_page", lambda t: answers.citations_by_page(t.sql("SELECT event_id AS sample_id, concat('/p/', user_id % 60) AS url FROM events"), 10000), "SELECT url, COUNT(*) AS answers, round(COUNT(*) / 10000, 4) AS rate FROM (SELECT DISTINCT event_id, concat('/p/', user_id % 60) AS url FROM events) GROUP BY url ORDER BY answers DESC, url LIMIT 30")
 
 # ---------------------------------------------------------------- logs and robots
 
@@ -286,38 +286,55 @@ def _lines(t: Tables) -> DataFrame:
 
 
 _SLINE = "ln AS (SELECT event_id, ts, " + _LINE.format(f="strftime(ts, '%d/%b/%Y:%H:%M:%S')") + " AS line FROM v_log)"
-q("o005_log_lines", lambda t: _lines(t), f"WITH {_SLINE} SELECT event_id, line FROM ln", "v_log")
+q("o005_read_access_logs", lambda t: _landed(t, _lines(t).select("line"), "text", crawl.read_access_logs), f"WITH {_SLINE} SELECT line FROM ln", "v_log")
 q("o006_parse_access_log", lambda t: logs.parse_access_log(_lines(t)).select("event_id", F.unix_timestamp("ts").alias("epoch")), "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM v_log", "v_log")
 q("o042_mask_client_ips", lambda t: logs.mask_client_ips(_lines(t)), f"WITH {_SLINE} SELECT event_id, regexp_replace(line, '^10[.]0[.][0-9]+[.]7', '10.0.x.x') AS line FROM ln", "v_log")
-q("o105_crawler_hits", lambda t: logs.crawler_hits(_lines(t)), "SELECT bot, role, (SELECT COUNT(*) FROM v_log WHERE contains(lower(agent), lower(bot))) AS hits FROM (VALUES " + ", ".join(f"('{b}', '{r}')" for b, r in logs.BOTS) + ") AS b(bot, role)", "v_log")
+q("o105_crawler_hits", lambda t: logs.crawler_hits(_lines(t), order="event_id"), f"WITH {_SLINE}, b AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{r}')" for b, r in logs.BOTS) + ") AS b(bot, role)), m AS (SELECT bot, event_id, left(regexp_replace(line, '^10[.]0[.][0-9]+[.]7', '10.0.x.x'), 500) AS s, row_number() OVER (PARTITION BY bot ORDER BY event_id) AS rn FROM ln JOIN b ON contains(lower(line), lower(bot))) SELECT b.bot, role, COUNT(s) AS hits, coalesce(string_agg(s, chr(10) ORDER BY rn) FILTER (rn <= 2), '') AS samples FROM b LEFT JOIN m ON m.bot = b.bot GROUP BY b.bot, role", "v_log")
 q("o105_generic_bots", lambda t: logs.generic_bots(_lines(t)).agg(F.count("*").alias("n")), "SELECT COUNT(*) AS n FROM v_log WHERE agent = 'SomeSpider/1'", "v_log")
+
+
+def _landed(t: Tables, rows: DataFrame, form: str, read: Callable, *by: str, **options) -> DataFrame:
+    """What a reader gives for ``rows`` written as files of a format."""
+    path = tables.scratch_path(t.spark, "landed")
+    writer = rows.write.partitionBy(*by) if by else rows.write
+    writer.format(form).save(path)
+    return read(t.spark, path, **options)
+
+
 _ROB = "User-agent: *\nDisallow: /private\nAllow: /private/ok # fine\nDisallow: /*.html$\nDisallow:\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nAllow: /en\n"
 
 
 def _rules(t: Tables) -> DataFrame:
-    return logs.robots_rules(t.sql("SELECT 'x' AS site").withColumn("body", F.lit(_ROB)))
+    """A robots file for each page's own site."""
+    return logs.robots_rules(t.pages.select(F.col("url").alias("site"), F.concat(F.lit(_ROB), F.lit("Disallow: /p"), F.col("page_id")).alias("body")))
 
 
-q("o010_robots_rules", lambda t: logs.robots_rules(t.pages.select(F.col("url").alias("site"), F.concat(F.lit(_ROB), F.lit("Disallow: /p"), F.col("page_id")).alias("body"))).select("site", "group_id", "agent", "kind", "pattern"), "SELECT url AS site, CAST(g AS BIGINT) AS group_id, agent, kind, pattern FROM pages, (VALUES (1, '*', 'disallow', '/private'), (1, '*', 'allow', '/private/ok'), (1, '*', 'disallow', '/*.html$'), (1, '*', 'disallow', ''), (2, 'gptbot', 'disallow', '/'), (2, 'gptbot', 'allow', '/en'), (2, 'ccbot', 'disallow', '/'), (2, 'ccbot', 'allow', '/en')) AS r(g, agent, kind, pattern) UNION ALL SELECT url, CAST(2 AS BIGINT), a, 'disallow', concat('/p', page_id) FROM pages, (VALUES ('gptbot'), ('ccbot')) AS x(a)")
+q("o010_robots_rules", lambda t: _rules(t).select("site", "group_id", "agent", "kind", "pattern"), "SELECT url AS site, CAST(g AS BIGINT) AS group_id, agent, kind, pattern FROM pages, (VALUES (1, '*', 'disallow', '/private'), (1, '*', 'allow', '/private/ok'), (1, '*', 'disallow', '/*.html$'), (1, '*', 'disallow', ''), (2, 'gptbot', 'disallow', '/'), (2, 'gptbot', 'allow', '/en'), (2, 'ccbot', 'disallow', '/'), (2, 'ccbot', 'allow', '/en')) AS r(g, agent, kind, pattern) UNION ALL SELECT url, CAST(2 AS BIGINT), a, 'disallow', concat('/p', page_id) FROM pages, (VALUES ('gptbot'), ('ccbot')) AS x(a)")
 q("o011_robots_policy", lambda t: logs.with_robots_policy(t.sql("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN -1 WHEN 4 THEN 401 END AS status FROM pages")).drop("status"), "SELECT page_id, CASE WHEN status IS NULL OR status < 0 OR status >= 500 THEN 'disallow_all' WHEN status = 200 THEN 'parsed' WHEN status >= 400 THEN 'allow_all' ELSE 'parsed' END AS policy FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN -1 WHEN 4 THEN 401 END AS status FROM pages)")
-q("o064_robots_allowed_any", lambda t: logs.robots_allowed(t.pages.select("url"), _rules(t), "SomeBot"), "SELECT url, NOT (path LIKE '/private%' OR path LIKE '/%.html') AS allowed FROM (SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)")
-q("o064_robots_allowed_named", lambda t: logs.robots_allowed(t.pages.select("url"), _rules(t), "GPTBot"), "SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) LIKE '/en%' AS allowed FROM pages")
-q("o065_crawler_access_audit", lambda t: logs.crawler_access_audit(t.v_robots), "SELECT bot, CASE WHEN bot = 'GPTBot' THEN 'exact' ELSE 'wildcard' END AS matched, bot = 'GPTBot' AS root_blocked, CAST(CASE WHEN bot = 'GPTBot' THEN 1 ELSE 2 END AS BIGINT) AS blocked_patterns, CASE WHEN bot = 'GPTBot' THEN 'info' ELSE 'medium' END AS severity FROM (VALUES " + ", ".join(f"('{b}')" for b, _ in logs.BOTS) + ") AS b(bot)")
+q("o064_robots_allowed_any", lambda t: logs.robots_allowed(t.sql("SELECT url AS site, url FROM pages"), _rules(t), "SomeBot").drop("site"), "SELECT url, NOT (path LIKE '/private%' OR path LIKE '/%.html') AS allowed FROM (SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)")
+q("o064_robots_allowed_named", lambda t: logs.robots_allowed(t.sql("SELECT url AS site, url FROM pages"), _rules(t), "GPTBot").drop("site"), "SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) LIKE '/en%' AS allowed FROM pages")
+_OWN = "bot IN ('GPTBot', 'CCBot')"
+q("o065_crawler_access_audit", lambda t: logs.crawler_access_audit(_rules(t)), f"SELECT url AS site, bot, CASE WHEN {_OWN} THEN 'exact' ELSE 'wildcard' END AS matched, {_OWN} AS root_blocked, CASE WHEN {_OWN} THEN '/' ELSE '' END AS blocking_rule, CAST(CASE WHEN {_OWN} THEN 0 ELSE 2 END AS BIGINT) AS blocked_patterns, CASE WHEN {_OWN} THEN 'info' WHEN role = 'training_only' THEN 'none' ELSE 'medium' END AS severity FROM (SELECT DISTINCT url FROM pages), (VALUES " + ", ".join(f"('{b}', '{r}')" for b, r in logs.BOTS) + ") AS b(bot, role)")
+q("o065_unknown_agents", lambda t: logs.unknown_agents(_rules(t), logs.BOTS[1:]), "SELECT DISTINCT url AS site, 'gptbot' AS agent FROM pages")
 _PATHS = "SELECT page_id AS fetch_seq, concat('/old/', page_id) AS path, CASE WHEN page_id % 3 = 0 THEN NULL ELSE concat('/new/', page_id) END AS landing, CASE WHEN page_id % 3 = 0 THEN 200 ELSE 301 END AS status FROM pages"
 _RULES = "SELECT concat('/old/', page_id) AS source, CASE WHEN page_id % 5 = 0 THEN '/other' ELSE concat('/new/', page_id) END AS target FROM pages WHERE page_id % 10 < 8 UNION ALL SELECT '/gone/*', '/x' UNION ALL SELECT '/old/1*', '/new/1'"
 q("o062_redirect_rules", lambda t: diff.expected_redirects(t.sql(_RULES), t.sql(_PATHS)), f"WITH r AS ({_RULES}), p AS ({_PATHS}), m AS (SELECT source, arg_min(struct_pack(path := path, landing := landing), fetch_seq) AS m FROM r JOIN p ON (contains(source, '*') AND starts_with(path, replace(source, '*', ''))) OR path = source GROUP BY source) SELECT r.source, target, m.path AS path, CASE WHEN m IS NULL THEN 'not_observed' WHEN m.landing IS NULL THEN 'not_honoured' WHEN m.landing <> target THEN 'wrong_destination' ELSE 'confirmed' END AS state FROM r LEFT JOIN m ON m.source = r.source")
-q("o063_migration_coverage", lambda t: diff.migration_coverage(t.sql("SELECT concat('/old/', page_id) AS path FROM pages UNION ALL SELECT '/gone/7' UNION ALL SELECT '/lost'"), t.sql(_PATHS), t.sql("SELECT '/gone/*' AS source, '/x' AS target UNION ALL SELECT '/old/3*', '/y'")), f"WITH p AS ({_PATHS}), o AS (SELECT concat('/old/', page_id) AS path FROM pages UNION ALL SELECT '/gone/7' UNION ALL SELECT '/lost') SELECT o.path, CASE WHEN landing IS NOT NULL THEN 'covered_live' WHEN o.path LIKE '/gone/%' OR o.path LIKE '/old/3%' THEN 'covered_by_rule' WHEN status = 200 THEN 'still_200' ELSE 'unreachable' END AS state FROM o LEFT JOIN p USING (path)")
+_OLD = "SELECT concat('/old/', page_id) AS path FROM pages UNION ALL SELECT '/gone/7' UNION ALL SELECT '/lost'"
+_LOOPS = _PATHS.replace("SELECT page_id AS fetch_seq,", "SELECT page_id AS fetch_seq, CASE WHEN page_id % 12 = 5 THEN 'too_many_redirects' ELSE '' END AS error_type,")
+_COVER = f"WITH p AS ({_LOOPS}), o AS ({_OLD}), c AS (SELECT o.path, CASE WHEN error_type = 'too_many_redirects' THEN 'redirect_loops' WHEN landing IS NOT NULL THEN 'covered_live' WHEN o.path LIKE '/gone/%' OR o.path LIKE '/old/3%' THEN 'covered_by_rule' WHEN status = 200 THEN 'still_200' ELSE 'unreachable' END AS state FROM o LEFT JOIN p USING (path))"
 
 
-def diff_broken(links: DataFrame) -> DataFrame:
-    """Links to targets that answer 400 or more; unknown and server errors weigh more."""
-    code = F.col("http_code")
-    return links.filter(code.isNull() | (code >= 400)).withColumn("severity", F.when(code.isNull() | (code >= 500), "high").otherwise("medium"))
+def _coverage(t: Tables) -> DataFrame:
+    return diff.migration_coverage(t.sql(_OLD), t.sql(_LOOPS), t.sql("SELECT '/gone/*' AS source, '/x' AS target UNION ALL SELECT '/old/3*', '/y'"))
 
 
+q("o063_migration_coverage", _coverage, f"{_COVER} SELECT path, state FROM c")
+q("o063_migration_summary", lambda t: diff.migration_summary(_coverage(t)), f"{_COVER} SELECT COUNT(*) AS old_urls, CAST(count_if(state LIKE 'covered%') AS BIGINT) AS covered, CAST(count_if(state NOT LIKE 'covered%') AS BIGINT) AS missing, bool_or(state NOT LIKE 'covered%') AS launch_blocker FROM c")
+q("o062_undeclared_redirects", lambda t: diff.undeclared_redirects(t.sql(_RULES), t.sql(_PATHS)), f"WITH r AS ({_RULES}), p AS ({_PATHS}) SELECT path, landing, 'low' AS severity FROM p WHERE landing IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r WHERE (contains(source, '*') AND starts_with(path, replace(source, '*', ''))) OR path = source)")
 # ---------------------------------------------------------------- served pages, vendors, evidence
 
-q("o033_js_dependency", lambda t: checks.js_dependency(t.sql("SELECT url, page_id, CASE WHEN page_id % 4 = 0 THEN concat(html, 'data-reactroot') ELSE html END AS html, CAST(page_id % 200 AS INT) AS word_count FROM pages")), "SELECT url, CAST(page_id % 200 AS INTEGER) AS word_count, CASE WHEN page_id % 200 < 30 THEN 'high' ELSE 'medium' END AS severity FROM pages WHERE page_id % 200 < 100 AND page_id % 4 = 0")
+_MOUNT = "SELECT url, page_id, CASE page_id % 4 WHEN 0 THEN concat(html, '<i data-sveltekit></i>') WHEN 1 THEN concat(html, '<div class=x id=\"app\"><p>just a few</p></div>') WHEN 2 THEN concat(html, '<main id=\"root\"><b>one two three four five</b> six seven eight nine ten</main>') ELSE html END AS html, CAST(page_id % 200 AS INT) AS word_count FROM pages"
+q("o033_js_dependency", lambda t: checks.js_dependency(t.sql(_MOUNT)), "SELECT url, CAST(page_id % 200 AS INTEGER) AS word_count, CASE WHEN page_id % 200 < 30 THEN 'high' ELSE 'medium' END AS severity FROM pages WHERE page_id % 200 < 100 AND page_id % 4 < 2")
 q("o034_render_gap", lambda t: checks.render_gap(t.sql("SELECT url, page_id % 300 AS words FROM pages"), t.sql("SELECT url, page_id % 300 + (page_id % 3) * 150 AS words FROM pages")), "SELECT url, page_id % 300 AS raw_words, page_id % 300 + (page_id % 3) * 150 AS rendered_words, round(((page_id % 3) * 150) / greatest(page_id % 300 + (page_id % 3) * 150, 1), 4) AS gap, (page_id % 300 + (page_id % 3) * 150 > 1.5 * (page_id % 300) AND page_id % 300 + (page_id % 3) * 150 > 100) AS js_dependent FROM pages")
 _VIT = "SELECT p_partkey AS id, CAST(p_size * 120 AS DOUBLE) AS lcp, CAST(p_size * 12 AS DOUBLE) AS inp, p_size / 150.0 AS cls, CASE WHEN p_partkey % 9 = 0 THEN 'FAST' ELSE 'AVERAGE' END AS category FROM part"
 q("o035_rate_web_vitals", lambda t: vendors.rate_web_vitals(t.sql(_VIT)).select("id", "lcp_rating", "inp_rating", "cls_rating", "passes"), f"WITH x AS ({_VIT}), r AS (SELECT id, category, CASE WHEN lcp <= 2500 THEN 'good' WHEN lcp <= 4000 THEN 'needs_improvement' ELSE 'poor' END AS lcp_rating, CASE WHEN inp <= 200 THEN 'good' WHEN inp <= 500 THEN 'needs_improvement' ELSE 'poor' END AS inp_rating, CASE WHEN cls <= 0.1 THEN 'good' WHEN cls <= 0.25 THEN 'needs_improvement' ELSE 'poor' END AS cls_rating FROM x) SELECT id, lcp_rating, inp_rating, cls_rating, category = 'FAST' OR NOT ('poor' IN (lcp_rating, inp_rating, cls_rating)) AS passes FROM r")
@@ -330,8 +347,8 @@ q("o060_noindex_evidence", lambda t: checks.noindex_evidence(pages.noindex_pages
 q("o061_canonical_disagreement", lambda t: checks.canonical_disagreement(t.sql("SELECT url, url AS declared, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN url ELSE concat('https://z.example/', page_id) END AS selected FROM pages")), "SELECT url, CASE page_id % 3 WHEN 0 THEN 'not_selected_yet' WHEN 1 THEN 'agrees' ELSE 'disagrees' END AS state FROM pages")
 q("o047_assert_pages", lambda t: checks.assert_pages(t.sql("SELECT url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, 200 AS status, '' AS canonical FROM pages WHERE page_id = (SELECT MIN(page_id) FROM pages) OR page_id % 2 = 0"), t.sql("SELECT url, 'text_present' AS kind, '<article>' AS expected FROM pages UNION ALL SELECT url, 'text_absent', '<article>' FROM pages UNION ALL SELECT url, 'status', '200' FROM pages")), "WITH k AS (SELECT DISTINCT url, true AS known FROM pages WHERE page_id % 2 = 0) SELECT url, kind, expected, coalesce(known, false) AND kind <> 'text_absent' AS pass FROM pages LEFT JOIN k USING (url), (VALUES ('text_present', '<article>'), ('text_absent', '<article>'), ('status', '200')) AS a(kind, expected)")
 q("o083_network_footprint", lambda t: checks.network_footprint(t.sql("SELECT source_domain AS site, url_to AS link FROM (SELECT concat('d', l_suppkey % 40, '.example') AS source_domain, concat('https://', CASE l_partkey % 3 WHEN 0 THEN 'a.sib.example' WHEN 1 THEN 'www.sib.example' ELSE 'other.example' END, '/', l_partkey) AS url_to FROM lineitem)"), ["sib.example"]), "SELECT concat('d', l_suppkey % 40, '.example') AS site, COUNT(*) AS links FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1")
-_MD = "SELECT doc_id, concat('# T\n\n## One\n', substring(text, 1, 80), ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' \n## Two\n') AS text FROM documents"
-_MDD = "SELECT doc_id, concat('# T', chr(10), chr(10), '## One', chr(10), substring(text, 1, 80), ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' ', chr(10), '## Two', chr(10)) AS text FROM documents"
+_MD = "SELECT doc_id, concat('# T\n\n## One\n', text, ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' \n## Two\n') AS text FROM documents"
+_MDD = "SELECT doc_id, concat('# T', chr(10), chr(10), '## One', chr(10), text, ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' ', chr(10), '## Two', chr(10)) AS text FROM documents"
 q("o045_document_links", lambda t: texts.doc_links(t.sql(_MD)), "SELECT doc_id, 'lab' AS label, concat('https://e', doc_id % 9, '.example/x') AS url FROM documents UNION ALL SELECT doc_id, 'two', 'https://own.example/y' FROM documents")
 q("o045_document_facts", lambda t: texts.document_facts(t.documents).select("doc_id", "links", "headings", "numbers"), f"SELECT doc_id, CAST(0 AS INTEGER) AS links, CAST(0 AS INTEGER) AS headings, CAST(len(list_distinct({_NUM('text')})) AS INTEGER) AS numbers FROM documents")
 q("o120_rewrite_guard", lambda t: texts.rewrite_guard(t.sql(_MD), t.sql(_MD.replace("and [two]", "or 777 [three]").replace("https://own.example/y", "https://own.example/z"))).select("doc_id", "numbers_lost", "links_lost", "links_added", "headings_changed"), "SELECT doc_id, CAST(0 AS INTEGER) AS numbers_lost, CAST(1 AS INTEGER) AS links_lost, CAST(1 AS INTEGER) AS links_added, false AS headings_changed FROM documents")
@@ -341,18 +358,25 @@ _HOP = "named_struct('url', {a}, 'status', 301, 'location', {b})"
 _U = "concat('https://r.example/', page_id)"
 _CH = "CASE page_id % 5 WHEN 0 THEN array(" + _HOP.format(a=_U, b="concat('https://r.example/n', page_id)") + ") WHEN 1 THEN array(" + _HOP.format(a=_U, b=f"concat({_U}, '/')") + ") WHEN 2 THEN array(" + _HOP.format(a=_U, b="'https://r.example/m'") + ", " + _HOP.format(a="'https://r.example/m'", b="concat('https://r.example/n', page_id)") + ") WHEN 3 THEN array(" + _HOP.format(a=_U, b="'https://r.example/m'") + ", " + _HOP.format(a="'https://r.example/m'", b=_U) + ", " + _HOP.format(a=_U, b="concat('https://r.example/n', page_id)") + ") ELSE array() END"
 q("o089_redirect_classes", lambda t: diff.redirect_classes(t.sql(_RED.format(chain=_CH))), "SELECT concat('https://r.example/', page_id) AS url, CASE page_id % 5 WHEN 0 THEN 'single_redirect' WHEN 1 THEN 'normalizing_redirect' WHEN 2 THEN 'redirect_chain' ELSE 'redirect_loop' END AS type, CASE page_id % 5 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END AS hops, CASE page_id % 5 WHEN 2 THEN 'medium' WHEN 3 THEN 'critical' ELSE 'info' END AS severity FROM pages WHERE page_id % 5 <> 4")
-q("o009_sitemap_urls", lambda t: crawl.sitemap_urls(t.pages.select(F.concat(F.lit("s"), "page_id").alias("sitemap"), F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>")).alias("body"))), "SELECT 's' || page_id AS sitemap, 'urlset' AS kind, url AS loc, false AS truncated FROM pages")
+_XML = "SELECT concat('s', page_id) AS sitemap, concat('<?xml version=\"1.0\"?>\n<x:urlset xmlns:x=\"http://n.example/\"><x:url><x:loc> ', replace(url, '&', '&amp;'), ' </x:loc><x:lastmod>2020</x:lastmod></x:url><x:url><x:loc>https://x.example/?a=1&#38;b=&quot;2&quot;</x:loc></x:url></x:urlset>') AS body FROM pages UNION ALL SELECT concat('i', page_id), concat('<sitemapindex><sitemap><loc>s', page_id, '</loc></sitemap></sitemapindex>') FROM pages UNION ALL SELECT concat('b', page_id), '<rss><loc>x</loc></rss>' FROM pages UNION ALL SELECT concat('c', page_id), '<urlset><url><loc>x' FROM pages"
+q("o009_sitemap_urls", lambda t: crawl.sitemap_urls(t.sql(_XML)), "SELECT k || page_id AS sitemap, CASE k WHEN 's' THEN 'urlset' ELSE 'index' END AS kind, CASE u WHEN 0 THEN url ELSE 'https://x.example/?a=1&b=\"2\"' END AS loc, false AS truncated FROM pages, (VALUES ('s'), ('i')) AS k(k), (VALUES (0), (1)) AS u(u)")
 q("o012_backlinks", lambda t: vendors.normalize_backlinks(t.sql("SELECT to_json(named_struct('url_from', concat('https://www.d', l_suppkey, '.example/', l_orderkey), 'url_to', concat('/', l_partkey), 'first_seen', CAST(CAST(l_shipdate AS DATE) AS STRING), 'domain_rating_source', CASE WHEN l_partkey % 3 = 0 THEN 'junk' ELSE CAST(l_partkey AS STRING) END)) AS json FROM lineitem"), "ahrefs").select("url_from", "url_to", "first_seen", F.coalesce("domain_rating_source", F.lit(-1.0)).alias("rating"), "source_domain"), "SELECT concat('https://www.d', l_suppkey, '.example/', l_orderkey) AS url_from, concat('/', l_partkey) AS url_to, CAST(l_shipdate AS DATE) AS first_seen, CASE WHEN l_partkey % 3 = 0 THEN -1.0::DOUBLE ELSE CAST(l_partkey AS DOUBLE) END AS rating, concat('d', l_suppkey, '.example') AS source_domain FROM lineitem")
 q("o014_social_posts", lambda t: vendors.normalize_social_posts(t.sql("SELECT to_json(named_struct('id', CAST(event_id AS STRING), 'permalink', concat('/r/', event_id), 'title', event_type, 'ups', event_id % 9, 'num_comments', event_id % 4)) AS json FROM events"), "reddit").select("platform", "id", "url", "title", "score", "comments"), "SELECT 'reddit' AS platform, CAST(event_id AS VARCHAR) AS id, concat('/r/', event_id) AS url, event_type AS title, event_id % 9 AS score, event_id % 4 AS comments FROM events")
 q("o015_page_speed", lambda t: vendors.flatten_page_speed(t.sql("SELECT url, concat('{\"lighthouseResult\":{\"audits\":{\"a\":{\"score\":', CASE WHEN page_id % 2 = 0 THEN '0.5' ELSE '1' END, ',\"details\":{\"overallSavingsMs\":', page_id, '}},\"b\":{\"score\":null}}}}') AS json FROM pages"))[1].select("url", "audit", "savings_ms"), "SELECT url, 'a' AS audit, CAST(page_id AS DOUBLE) AS savings_ms FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'b', 0.0::DOUBLE FROM pages")
 q("o017_serp_position", lambda t: vendors.serp_position(t.sql("SELECT concat('k', page_id) AS keyword, concat('{\"items\":[{\"type\":\"ad\",\"url\":\"https://x.example/\",\"rank_absolute\":1},{\"type\":\"organic\",\"url\":\"https://o', page_id % 3, '.example/\",\"rank_absolute\":2},{\"type\":\"organic\",\"url\":\"https://www.sub.o1.example/p\",\"rank_absolute\":3}]}') AS json FROM pages"), "o1.example").select("keyword", "rank", "url"), "SELECT concat('k', page_id) AS keyword, CAST(CASE WHEN page_id % 3 = 1 THEN 2 ELSE 3 END AS INTEGER) AS rank, CASE WHEN page_id % 3 = 1 THEN 'https://o1.example/' ELSE 'https://www.sub.o1.example/p' END AS url FROM pages")
 q("o040_structured_data", lambda t: vendors.validate_structured_data(vendors.json_ld_nodes(t.sql("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' WHEN 1 THEN '{\"@graph\":[{\"@type\":\"HowTo\"},{\"name\":\"x\"}]}' ELSE '{\"@type\":[\"Product\",\"Thing\"],\"name\":\"n\",\"offers\":[],\"image\":\"i\"}' END AS json FROM pages"))), "SELECT page_id, 'Article' AS type, 'error' AS severity, 'missing headline' AS issue FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'HowTo', 'info', 'retired type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, '', 'error', 'no @type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'Product', 'warning', 'missing offers' FROM pages WHERE page_id % 3 = 2")
-q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring(text, 1, 40) AS title FROM documents")))
+_RUN = lambda of, key, text: f"SELECT DISTINCT {key}, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z0-9''’-]+') AS w FROM {of}), (VALUES (2), (3), (4), (5)) AS n(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)"
+_TERM_VECTOR = lambda of, id_, key: f"SELECT *, sqrt(SUM(n * n) OVER (PARTITION BY {key})) AS norm FROM (SELECT {id_} AS {key}, term, COUNT(*) AS n FROM (SELECT {id_}, unnest({_TT('text')}) AS term FROM {of}) GROUP BY ALL)"
+q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring_index(text, '.', 1) AS title, text FROM documents")), rf"""WITH p AS (SELECT item_id AS para_id, unnest(regexp_split_to_array(regexp_replace(text, '\[[^\]]*\]\([^)]*\)', ' | ', 'g'), '[^A-Za-z0-9''’ -]+')) AS part FROM benchmark), d AS (SELECT doc_id AS title_id, split_part(text, '.', 1) AS title FROM documents),
+ a AS ({_RUN('p', 'para_id', 'part')}), b AS ({_RUN('d', 'title_id', 'title')}), m AS (SELECT para_id, title_id, phrase FROM a JOIN b USING (phrase) WHERE length(phrase) >= 6 QUALIFY row_number() OVER (PARTITION BY para_id, title_id ORDER BY length(phrase) DESC, phrase) = 1),
+ va AS ({_TERM_VECTOR('benchmark', 'item_id', 'para_id')}), vb AS ({_TERM_VECTOR('documents', 'doc_id', 'title_id')}), s AS (SELECT m.para_id, m.title_id, m.phrase, round(SUM(va.n * vb.n) / (any_value(va.norm) * any_value(vb.norm)), 4) AS score FROM m JOIN va ON va.para_id = m.para_id JOIN vb ON vb.title_id = m.title_id AND vb.term = va.term GROUP BY ALL),
+ f AS (SELECT * FROM s WHERE score >= 0.12 QUALIFY row_number() OVER (PARTITION BY para_id ORDER BY score DESC, title_id) = 1) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY score DESC, para_id) = 1""")
 q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")), """WITH f AS (SELECT regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_split_to_array(html, '[ \\t\\n\\r\\f\\v]+')) AS words FROM pages), c AS (SELECT unnest(['few_h2', 'missing_og_title', 'no_json_ld', CASE WHEN lang = '' THEN 'missing_lang' END, CASE WHEN h1 = '' THEN 'not_one_h1' END, CASE WHEN words < 300 THEN 'few_words' END]) AS code FROM f) SELECT code, COUNT(*) AS pages FROM c WHERE code IS NOT NULL GROUP BY code""")
 
 
 _LD = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' ELSE '{\"@type\":\"Organization\",\"name\":\"n\",\"url\":\"u\"}' END AS json FROM pages WHERE page_id % 4 <> 1"
-q("o117_structured_data_summary", lambda t: vendors.structured_data_summary(t.sql("SELECT page_id, page_id % 4 <> 1 AS has_data FROM pages"), vendors.validate_structured_data(vendors.json_ld_nodes(t.sql(_LD)))), "SELECT COUNT(*) AS pages, CAST(count_if(page_id % 4 <> 1) AS BIGINT) AS with_data, CAST(count_if(page_id % 4 <> 1 AND page_id % 3 = 0) AS BIGINT) AS with_errors, CAST(count_if(page_id % 4 <> 1 AND page_id % 3 <> 0) AS BIGINT) AS with_warnings FROM pages")
+q("o117_structured_data_summary", lambda t: vendors.structured_data_summary(t.sql("SELECT page_id, page_id % 4 <> 1 AS has_data, page_id % 6 <> 5 AS checked FROM pages"), vendors.validate_structured_data(vendors.json_ld_nodes(t.sql(_LD)))), "SELECT CAST(count_if(page_id % 6 <> 5) AS BIGINT) AS pages, CAST(count_if(page_id % 6 = 5) AS BIGINT) AS skipped, CAST(count_if(page_id % 6 <> 5 AND page_id % 4 <> 1) AS BIGINT) AS with_data, CAST(count_if(page_id % 6 <> 5 AND page_id % 4 <> 1 AND page_id % 3 = 0) AS BIGINT) AS with_errors, CAST(count_if(page_id % 6 <> 5 AND page_id % 4 <> 1 AND page_id % 3 <> 0) AS BIGINT) AS with_warnings FROM pages")
+q("o117_structured_data_types", lambda t: vendors.structured_data_types(vendors.json_ld_nodes(t.sql(_LD))), "SELECT CASE page_id % 3 WHEN 0 THEN 'Article' ELSE 'Organization' END AS type, COUNT(*) AS n FROM pages WHERE page_id % 4 <> 1 GROUP BY 1")
 q("o016_inspection", lambda t: vendors.flatten_inspection(t.sql("SELECT url, concat('{\"inspectionResult\":{\"indexStatusResult\":{\"verdict\":\"PASS\",\"userCanonical\":\"https://i.example/', page_id, '\",\"googleCanonical\":\"http://www.i.example/', CASE WHEN page_id % 3 = 0 THEN page_id + 1 ELSE page_id END, '/\"}}}') AS json FROM pages")).select("url", "verdict", "canonical_mismatch"), "SELECT url, 'PASS' AS verdict, page_id % 3 = 0 AS canonical_mismatch FROM pages")
 q("o018_ai_samples", lambda t: vendors.flatten_ai_samples(t.sql("SELECT 'r' AS run, url AS prompt, 'p' AS provider, 1 AS sample, concat('{\"annotations\":[{\"type\":\"url_citation\",\"url\":\"https://A', page_id % 5, '.example/\"},{\"type\":\"url_citation\",\"url\":\"https://a', page_id % 3, '.example/\"},{\"type\":\"file\",\"url\":\"x\"}]}') AS json FROM pages")).groupBy("prompt").agg(F.count("*").alias("citations")), "SELECT url AS prompt, CAST(CASE WHEN page_id % 5 = page_id % 3 THEN 1 ELSE 2 END AS BIGINT) AS citations FROM pages")
 q("o145_extract_html", lambda t: html.pages_to_records(t.pages).select("page_id", "url", "lang", F.size("internal_links").cast("bigint").alias("n_links"), F.size("h1").alias("n_h1")), f"WITH {_FACTS} SELECT page_id, url, lang, n_links, CAST(CASE WHEN h1_text = '' THEN 0 ELSE 1 END AS INTEGER) AS n_h1 FROM facts")
@@ -361,6 +385,96 @@ q("o145_extract_html", lambda t: html.pages_to_records(t.pages).select("page_id"
 # ---------------------------------------------------------------- entry points
 
 
+# ---------------------------------------------------------------- files and streams
+
+_FETCHED = "CAST((fetch_seq * 7919) % 997 AS DOUBLE)"
+_RECORD = ["crawl_id", "url", "final_url", "status", "content_type", "error_type", "meta_robots", "x_robots_tag", "canonical", f"{_FETCHED} AS fetched_at"]
+q("o001_read_crawl", lambda t: _landed(t, t.v_crawl.selectExpr(*_RECORD), "json", crawl.read_crawl, "crawl_id").select("crawl_id", "url", "fetch_seq"), f"SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY {_FETCHED}, url) AS fetch_seq FROM v_crawl", "v_crawl")
+
+
+def _written_crawl(t: Tables) -> DataFrame:
+    """Two snapshots, of which one has no provenance row yet."""
+    path = tables.scratch_path(t.spark, "crawl")
+    meta = t.v_crawl.filter("crawl_id = 'A'").groupBy("crawl_id").agg(F.count("*").alias("pages_crawled")).selectExpr("'x' AS site", "crawl_id", "'crawler' AS producer", "500 AS max_pages", "pages_crawled", "false AS truncated", "timestamp'1998-01-01 00:00:00' AS finished_at")
+    crawl.write_crawl(t.v_crawl.selectExpr("'x' AS site", "crawl_id", "url", "status"), meta, path)
+    return crawl.read_complete(t.spark, path).select("site", "crawl_id", "url", "status")
+
+
+q("o002_write_crawl", _written_crawl, "SELECT 'x' AS site, crawl_id, url, status FROM v_crawl WHERE crawl_id = 'A'", "v_crawl")
+_EXPORT = "struct('p' AS property, 'UTC' AS timezone, month AS site_url, true AS complete, false AS sampled, false AS thresholded, month AS start, month AS end, collect_list(struct(CAST(d AS STRING) AS date, page, source, medium, sessions, key_events)) AS rows)"
+
+
+def _exports(t: Tables) -> DataFrame:
+    """An export file for each month."""
+    rows = t.v_traffic.withColumn("month", F.date_format("d", "yyyy-MM")).groupBy("month").agg(F.expr(f"to_json({_EXPORT})").alias("value"))
+    return _landed(t, rows, "text", lambda spark, path: crawl.read_traffic_export(spark, path)[0], "month").select("d", "page", "source", "medium", "sessions", "key_events")
+
+
+q("o008_read_traffic_export", _exports, "SELECT d, page, source, medium, sessions, key_events FROM v_traffic", "v_traffic")
+
+
+def _written_findings(t: Tables) -> DataFrame:
+    path = tables.scratch_path(t.spark, "findings")
+    tables.write_findings(pages.cross_host_canonical(t.v_crawl), path, "canonicals", "1998-01-01")
+    return t.spark.read.parquet(path).select("type", "severity", "url", "detail", F.element_at("evidence", "crawl_id").alias("crawl_id"), "report", F.col("run_date").cast("string").alias("run_date"))
+
+
+q("o023_write_findings", _written_findings, f"SELECT 'cross_domain_canonical' AS type, 'critical' AS severity, url, canonical AS detail, crawl_id, 'canonicals' AS report, '1998-01-01' AS run_date FROM v_crawl WHERE canonical <> '' AND {host_sql('canonical')} <> {host_sql('url')}", "v_crawl")
+
+
+def _streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """``rows`` as a stream of files through ``job``; what its last state (or all its batches) wrote."""
+    source, out, state = (tables.scratch_path(t.spark, n) for n in ("stream", "streamed", "state"))
+    rows.write.parquet(source)
+    made = job(t.spark.readStream.schema(rows.schema).parquet(source))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+
+    made.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return t.spark.read.schema(made.schema).parquet(out)
+
+
+q("o139_stream_crawler_hits", lambda t: _streamed(t, _lines(t).select("line"), jobs.stream_crawler_hits, "complete").select(F.to_date("start").alias("d"), "bot", "hits"), "SELECT CAST(ts AS DATE) AS d, CASE WHEN agent LIKE 'GPT%' THEN 'GPTBot' ELSE 'bingbot' END AS bot, COUNT(*) AS hits FROM v_log WHERE agent LIKE 'GPT%' OR agent LIKE '%bingbot%' GROUP BY 1, 2", "v_log")
+q("o140_stream_new_events", lambda t: _streamed(t, t.sql("SELECT CAST(ts AS TIMESTAMP_LTZ) AS ts, event_type AS source, concat('k', user_id % 50) AS dedupe_key FROM events"), jobs.stream_new_events, "append").select("source", "dedupe_key"), "SELECT DISTINCT event_type AS source, concat('k', user_id % 50) AS dedupe_key FROM events")
+
+
+def _merged(t: Tables) -> DataFrame:
+    """A history table into which two batches of a stream are merged."""
+    at = [tables.scratch_path(t.spark, "history")]
+    t.sql("SELECT o_custkey AS k, CAST(0 AS BIGINT) AS v FROM orders").distinct().write.parquet(at[0])
+
+    def write(rows: DataFrame) -> None:
+        path = tables.scratch_path(t.spark, "history")
+        rows.write.parquet(path)
+        at.append(path)
+
+    new = t.sql("SELECT c_custkey AS k, c_custkey * 2 AS v FROM customer WHERE c_custkey % 2 = 0")
+    source, state = tables.scratch_path(t.spark, "stream"), tables.scratch_path(t.spark, "state")
+    new.write.parquet(source)
+    merge = jobs.stream_history(lambda: t.spark.read.parquet(at[-1]), write, ["k"], ["v"])
+    t.spark.readStream.schema(new.schema).parquet(source).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return t.spark.read.parquet(at[-1])
+
+
+q("o141_stream_history", _merged, "SELECT coalesce(c_custkey, o_custkey) AS k, coalesce(c_custkey * 2, 0) AS v FROM (SELECT DISTINCT o_custkey FROM orders) o FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON c_custkey = o_custkey")
+_RUNS = "SELECT concat('u', user_id) AS key, CAST(day(ts) AS BIGINT) AS run, bool_or(event_type = 'click') AS present FROM events GROUP BY user_id, CAST(day(ts) AS BIGINT)"
+q("o142_stream_missing_streak", lambda t: _streamed(t, t.sql(_RUNS), jobs.stream_missing_streak, "update").select("key", "run", "streak", "state"), f"WITH r AS ({_RUNS}), s AS (SELECT key, MAX(run) AS run, CAST(count_if(run > coalesce(seen, -1)) AS BIGINT) AS streak FROM (SELECT *, MAX(run) FILTER (present) OVER (PARTITION BY key) AS seen FROM r) GROUP BY key) SELECT key, run, streak, CASE streak WHEN 0 THEN 'kept' WHEN 1 THEN 'possibly_lost' ELSE 'lost' END AS state FROM s")
+
+
+def _stream_regressions(t: Tables) -> DataFrame:
+    """A stream of provenance rows; each new snapshot is compared with its baseline."""
+    meta = t.v_crawl.groupBy("crawl_id").agg(F.count("*").alias("pages_crawled")).selectExpr("'x' AS site", "crawl_id", "date'1998-01-01' + CASE crawl_id WHEN 'B' THEN 7 ELSE 0 END AS finished_at", "500 AS max_pages", "false AS truncated", "pages_crawled")
+    source, out, state = (tables.scratch_path(t.spark, n) for n in ("stream", "streamed", "state"))
+    meta.write.parquet(source)
+    job = jobs.stream_page_regressions(lambda c: _crawl(t, c), lambda: t.spark.read.parquet(source), lambda rows: rows.write.mode("append").parquet(out))
+    t.spark.readStream.schema(meta.schema).parquet(source).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(job).start().awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+q("o143_stream_page_regressions", _stream_regressions, Q["o054_crawl_regressions"][1].replace("SELECT url, '", "SELECT 'B' AS crawl_id, url, '").replace("SELECT url, CASE", "SELECT 'B' AS crawl_id, url, CASE"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: metadata findings of all pages, one record per identity."""
     t = Tables(spark, sf_dir)

@@ -44,10 +44,9 @@ FROM orders GROUP BY CAST(o_orderdate AS DATE), o_custkey""",
     "v_log": """SELECT event_id, ts, user_id % 256 AS octet,
   CASE event_type WHEN 'view' THEN 'GPTBot/1.0' WHEN 'click' THEN 'Mozilla/5.0 bingbot/2.0' WHEN 'signup' THEN 'SomeSpider/1' ELSE 'Mozilla/5.0' END AS agent
 FROM events""",
-    "v_robots": "SELECT * FROM (VALUES ('*','disallow','/private'),('*','allow','/private/ok'),('*','disallow','/*.html$'),('gptbot','disallow','/'),('gptbot','allow','/en'),('*','disallow','')) AS t(agent, kind, pattern)",
     "v_meta": """SELECT concat('s', o_custkey % 50) AS site, concat('c', o_orderkey) AS crawl_id, CAST(o_orderdate AS DATE) AS finished_at,
   CASE WHEN o_orderkey % 5 = 0 THEN 200 ELSE 500 END AS max_pages, (o_orderkey % 7 = 0) AS truncated, CAST(o_orderkey % 600 AS BIGINT) AS pages_crawled
-FROM orders WHERE o_custkey % 10 < 3""",
+FROM orders""",
 }
 BASE = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "lineitem", "orders", "part", "customer", "supplier", "nation", "region")
 

@@ -12,13 +12,16 @@ META = "site string, crawl_id string, producer string, max_pages int, pages_craw
 
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """Page records with ``crawl_id`` (the file) and ``fetch_seq`` (rank by time of fetching, then url)."""
-    rows = spark.read.schema(PAGE).option("mode", "DROPMALFORMED").json(path).withColumn("crawl_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[a-z]+)*$", 1))
+    """Page records with ``crawl_id`` (the folder ``crawl_id=..``, else the file) and ``fetch_seq`` (rank by time of fetching, then url)."""
+    folder, file = (F.regexp_extract(F.col("_metadata.file_path"), p, 1) for p in (r"/crawl_id=([^/]+)/", r"([^/]+?)(?:\.[a-z]+)*$"))
+    rows = spark.read.schema(PAGE).option("mode", "DROPMALFORMED").json(path).withColumn("crawl_id", F.when(folder != "", folder).otherwise(file))
     return with_fetch_seq(rows)
 
 
 def with_fetch_seq(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("fetch_seq", F.row_number().over(Window.partitionBy("crawl_id").orderBy(F.asc_nulls_last("fetched_at"), "url")).cast("bigint"))
+    from ..operators.pages import with_group_rank
+
+    return with_group_rank(rows, ["crawl_id"], F.asc_nulls_last("fetched_at"), "url", name="fetch_seq")
 
 
 def write_crawl(pages: DataFrame, meta: DataFrame, path: str) -> None:
@@ -53,16 +56,21 @@ def read_traffic_export(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def sitemap_urls(docs: DataFrame, max_children: int = 50, max_urls: int = 100_000) -> DataFrame:
-    """``(sitemap, kind, loc, truncated)`` of sitemap bodies ``(sitemap, body)``: index files are followed one level."""
-    name = r"<(?:[A-Za-z]+:)?"
-    kind = F.when(F.col("body").rlike(name + r"urlset[\s>]"), "urlset").when(F.col("body").rlike(name + r"sitemapindex[\s>]"), "index").otherwise("unknown")
-    locs = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<(?:[a-z]+:)?loc>\s*(.*?)\s*</(?:[a-z]+:)?loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
-    rows = docs.select("sitemap", kind.alias("kind"), F.posexplode(locs).alias("pos", "loc"))
+    """``(sitemap, kind, loc, truncated)`` of sitemap bodies ``(sitemap, body)``: index files are followed one level,
+    bodies that are no XML or of another kind are left out."""
+    entry = "array<struct<loc: string>>"
+    xml = F.from_xml("body", f"url {entry}, sitemap {entry}", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+    root = F.regexp_extract("body", r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![^>]*>|\uFEFF)*<(?:[\w.-]+:)?([\w.-]+)", 1)
+    kind = F.when(root == "urlset", "urlset").when(root == "sitemapindex", "index").otherwise("unknown")
+    parsed = docs.select("sitemap", kind.alias("kind"), F.explode(F.array(xml)).alias("x"))
+    entries = F.filter(F.transform(F.when(F.col("kind") == "index", F.col("x.sitemap")).otherwise(F.col("x.url")), lambda e: F.trim(e["loc"])), lambda u: u.isNotNull() & (u != ""))
+    rows = parsed.filter("kind != 'unknown'").select("sitemap", "kind", F.posexplode(entries).alias("pos", "loc"))
     children = rows.filter(F.col("kind") == "index").withColumn("cut", F.col("pos") >= max_children)
     own = rows.filter(F.col("kind") == "urlset").select(F.col("sitemap").alias("child"), "pos", F.col("loc").alias("url"))
     links = children.filter("not cut").select("sitemap", F.col("loc").alias("child"), F.col("pos").alias("o1"))
     nested = links.join(own, "child").select("sitemap", F.lit("index").alias("kind"), F.col("url").alias("loc"), "o1", F.col("pos").alias("o2"))
     flat = rows.filter(F.col("kind") == "urlset").select("sitemap", "kind", "loc", F.lit(0).alias("o1"), F.col("pos").alias("o2")).unionByName(nested)
     many = children.groupBy("sitemap").agg(F.bool_or("cut").alias("cut"))
-    ranked = flat.withColumn("rn", F.row_number().over(Window.partitionBy("sitemap").orderBy("o1", "o2"))).withColumn("n", F.count("*").over(Window.partitionBy("sitemap")))
-    return ranked.join(many, "sitemap", "left").filter(F.col("rn") <= max_urls).select("sitemap", "kind", "loc", (F.coalesce("cut", F.lit(False)) | (F.col("n") > max_urls)).alias("truncated"))
+    size = flat.groupBy("sitemap").agg(F.count("*").alias("n"))
+    ranked = flat.withColumn("rn", F.row_number().over(Window.partitionBy("sitemap").orderBy("o1", "o2"))).filter(F.col("rn") <= max_urls).join(size, "sitemap")
+    return ranked.join(many, "sitemap", "left").select("sitemap", "kind", "loc", (F.coalesce("cut", F.lit(False)) | (F.col("n") > max_urls)).alias("truncated"))

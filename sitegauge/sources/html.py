@@ -115,6 +115,17 @@ def record(page_id: int | None, url: str | None, html: str | None) -> dict:
     return {"page_id": page_id, "url": url} | reader.r | {"word_count": len(text.split()), "content_hash": hashlib.sha256(text.encode()).hexdigest()[:16]}
 
 
+def markup_facts(pages: DataFrame) -> DataFrame:
+    """Pages ``(page_id, url, html)`` with title, first heading, language and number of links as raw text of the markup, and the
+    other columns of a page record empty: a quick native look where ``pages_to_records`` would parse all of the page."""
+    rx = lambda p, g=1: F.regexp_extract("html", p, g)
+    return pages.select(
+        "page_id", F.col("page_id").alias("fetch_seq"), "url", rx("(?is)<title[^>]*>(.*?)</title>").alias("title"), rx("(?is)<h1[^>]*>(.*?)</h1>").alias("h1_text"), rx('(?is)<html[^>]*lang="([^"]*)"').alias("lang"),
+        F.regexp_count("html", F.lit('<a href="')).cast("bigint").alias("n_links"), F.lit("A").alias("crawl_id"), F.lit(200).alias("status"), F.lit("").alias("error_type"), F.lit("text/html").alias("content_type"), F.lit("").alias("meta_robots"), F.lit("").alias("x_robots_tag"),
+        F.lit("").alias("meta_description"), F.lit("").alias("og_title"), F.lit("").alias("og_description"), F.lit("").alias("og_image"), F.lit("").alias("twitter_card"), F.size(F.split("html", r"\s+")).alias("word_count"),
+    ).withColumn("h1", F.filter(F.array("h1_text"), lambda h: h != ""))
+
+
 def pages_to_records(pages: DataFrame) -> DataFrame:
     """A record of each row of ``pages(page_id, url, html)``."""
 

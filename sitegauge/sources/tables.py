@@ -11,11 +11,15 @@ from pyspark.sql.window import Window
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of this machine where it is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, one of this machine; a cluster's
+    executors would not share that, so there the setting must be made."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sitegauge-")
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 

@@ -119,11 +119,15 @@ def json_ld_nodes(docs: DataFrame) -> DataFrame:
     return docs.select("page_id", F.explode(items).alias("node"))
 
 
-def validate_structured_data(nodes: DataFrame) -> DataFrame:
-    """``(page_id, type, severity, issue)``: required and recommended properties that are missing or empty, retired types, nodes without type."""
+def _typed(nodes: DataFrame) -> DataFrame:
     raw = F.get_json_object("node", "$.@type")
     kinds = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw)).otherwise(F.array(F.lit("")))
-    rows = nodes.select("page_id", "node", F.explode(kinds).alias("type"))
+    return nodes.select("page_id", "node", F.explode(kinds).alias("type"))
+
+
+def validate_structured_data(nodes: DataFrame) -> DataFrame:
+    """``(page_id, type, severity, issue)``: required and recommended properties that are missing or empty, retired types, nodes without type."""
+    rows = _typed(nodes)
 
     def missing(p: str) -> Column:
         value = F.trim(F.coalesce(F.get_json_object("node", f"$.{p}"), F.lit("")))
@@ -137,5 +141,13 @@ def validate_structured_data(nodes: DataFrame) -> DataFrame:
 
 
 def structured_data_summary(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """Pages ``(page_id, has_data[, checked])``: how many were checked and skipped, have data, errors, warnings."""
+    checked = F.coalesce("checked", F.lit(True)) if "checked" in pages.columns else F.lit(True)
     per = issues.groupBy("page_id").agg(F.bool_or(F.col("severity") == "error").alias("e"), F.bool_or(F.col("severity") == "warning").alias("w"))
-    return pages.join(per, "page_id", "left").agg(F.count("*").alias("pages"), F.count_if(F.col("has_data")).alias("with_data"), F.count_if(F.col("e")).alias("with_errors"), F.count_if(F.col("w")).alias("with_warnings"))
+    counts = F.count_if(checked).alias("pages"), F.count_if(~checked).alias("skipped"), F.count_if(checked & F.col("has_data")).alias("with_data"), F.count_if(checked & F.col("e")).alias("with_errors"), F.count_if(checked & F.col("w")).alias("with_warnings")
+    return pages.join(per, "page_id", "left").agg(*counts)
+
+
+def structured_data_types(nodes: DataFrame) -> DataFrame:
+    """``(type, n)``: on how many pages each type stands."""
+    return _typed(nodes).filter("type != ''").groupBy("type").agg(F.count_distinct("page_id").alias("n"))

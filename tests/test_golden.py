@@ -57,7 +57,7 @@ def test_graph(spark):
     edges = graph.link_edges(pages_)
     assert sorted(map(tuple, edges.collect())) == [("https://a/", "https://a/x"), ("https://a/x", "https://a/")]
     nodes = spark.createDataFrame([(str(i),) for i in range(9)], "node string")
-    refused = graph.orphan_pages(nodes, nodes.limit(0).withColumn("depth", F.lit(0)), nodes.withColumn("indexable", F.lit(True)), 4).collect()
+    refused = graph.orphan_pages(nodes, nodes.limit(0).withColumn("depth", F.lit(0)), nodes.withColumn("indexable", F.lit(True)), nodes.limit(1)).collect()
     assert len(refused) == 1 and refused[0].type == "refused"
 
 
