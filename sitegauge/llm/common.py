@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,20 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch_path
+
 # ---------------------------------------------------------------- scratch tables
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is absent (tests in local mode) a folder of this machine is taken and set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="sitegauge-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/sitegauge/{name}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, which all executors share (tests: a folder of this machine)."""
+    return scratch_path(spark, name)
 
 
 @contextmanager
@@ -66,19 +57,13 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def name_parts(spark: SparkSession, path: str, suffix: str) -> None:
-    """Give the files that Spark wrote below ``path`` their suffix; the name is the part's number, or the
-    folder's value with the numbers of task and file, as several tasks may write into one folder."""
+    """Give the files that Spark wrote into ``path`` their suffix; the name is the part's number."""
     fs, at = filesystem(spark, path)
-    files = fs.listFiles(at, True)
-    while files.hasNext():
-        file = files.next().getPath()
-        name, folder = file.getName(), file.getParent()
+    for status in fs.listStatus(at):
+        file = status.getPath()
+        name = file.getName()
         if name.startswith("part-"):
-            new = name.split("-c0")[0]
-            if "=" in folder.getName():
-                task, number = re.match(r"part-(\d+)-.*[.-]c(\d+)", name).groups()
-                new = f"{folder.getName().split('=')[1]}-{task}-{number}"
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder, new.split(".")[0] + suffix)
+            target = spark._jvm.org.apache.hadoop.fs.Path(at, name.split("-c0")[0].split(".")[0] + suffix)
             if not fs.rename(file, target):
                 raise OSError(f"cannot rename {file} to {target}")
 
@@ -109,7 +94,9 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of text hashed at once.
+_WINDOW = 1 << 18
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,13 +109,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
+def _power() -> list[np.ndarray]:
+    if not _powers:
+        for base in (_BASE, _INVERSE):
+            steps = np.full(_WINDOW + 1, base, np.uint64)
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers
 
 
 def slices(strings: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
@@ -142,38 +129,55 @@ def slices(strings: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Ar
         yield a, strings.slice(a, b - a)
 
 
-def word_hashes(strings: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(strings: pa.Array, prefixes: tuple[int, ...] = (), window: int = _WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts, and where each text's words begin.
 
     Null is the empty text. A word is a run of ASCII letters, digits and bytes above 127.
-    The second array has one entry more than there are texts. With ``prefixes`` the first has a
-    column for the words and one for their beginnings of each given number of bytes.
+    The second array has one entry more than there are texts. With ``prefixes`` (of at most 8) the first
+    has a column for the words and one for their beginnings of each given number of bytes. Bytes are
+    hashed by the window; a word that goes on in the next one gets the sum of its parts.
     """
     lower = pc.utf8_lower(pc.fill_null(strings, "").cast(pa.large_string()))
     n = len(lower)
     offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + n + 1]
     first, last = int(offsets[0]), int(offsets[-1])
-    if last == first:
-        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(n + 1, np.int64)
-    data = np.frombuffer(lower.buffers()[2], np.uint8)[first:last]
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in (0, *prefixes)]
+    data = np.frombuffer(lower.buffers()[2], np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
     offsets = offsets - first
-    inside = _WORD[data]
-    left = np.empty_like(inside)
-    left[0], left[1:] = False, inside[:-1]
-    left[offsets[:-1][offsets[:-1] < len(data)]] = False
-    right = np.empty_like(inside)
-    right[-1], right[:-1] = False, inside[1:]
-    right[offsets[1:][offsets[1:] > 0] - 1] = False
-    begin, end = np.flatnonzero(inside & ~left), np.flatnonzero(inside & ~right) + 1
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    words, where = mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
-    if prefixes:
-        ends = [np.minimum(end, begin + k) for k in prefixes]
-        cuts = [mix((sums[e] - sums[begin]) * down[begin] + np.uint64(k)) for k, e in zip(prefixes, ends)]
-        words = np.stack([words, *cuts], 1)
-    return words, where
+    up, down = _power()
+    where, total, at, open_ = np.zeros(n + 1, np.int64), 0, 0, 0  # open_: bytes so far of the word at the window's edge
+    while at < len(data):
+        to = min(at + window, len(data))
+        if to < len(data):  # no cut in the first bytes of a word
+            gaps = np.flatnonzero(~_WORD[data[to - 8 : to]])
+            start = int(offsets[np.searchsorted(offsets, to) - 1])
+            to = max([to] if not len(gaps) and start <= to - 8 else [x for x in (start, to - 7 + int(gaps[-1]) if len(gaps) else 0) if x > to - 8])
+        inside = _WORD[data[at:to]]
+        lo, hi = np.searchsorted(offsets, (at, to))
+        own = offsets[lo:hi] - at
+        left, right = np.zeros_like(inside), np.zeros_like(inside)
+        left[1:], right[:-1] = inside[:-1], inside[1:]
+        left[own] = False
+        right[own[own > 0] - 1] = False
+        begin, end = np.flatnonzero(inside & ~left), np.flatnonzero(inside & ~right) + 1
+        sums = np.zeros(to - at + 1, np.uint64)
+        np.cumsum((data[at:to].astype(np.uint64) + np.uint64(1)) * up[: to - at], out=sums[1:])
+        found = [(sums[e] - sums[begin]) * down[begin] for e in (end, *(np.minimum(end, begin + k) for k in prefixes))]
+        so_far = 0
+        if open_ and len(begin) and begin[0] == 0 and not (len(own) and own[0] == 0):
+            columns[0][-1][-1:] += found[0][:1] * np.uint64(pow(_BASE, open_, 1 << 64))
+            so_far, found = open_, [x[1:] for x in found]
+        open_ = so_far * (len(begin) == 1) + to - at - int(begin[-1]) if len(begin) and end[-1] == to - at else 0
+        begin = begin[1:] if so_far else begin
+        where[lo:hi] = total + np.searchsorted(begin, own)
+        total += len(begin)
+        if len(begin):
+            for column, x in zip(columns, found):
+                column.append(x)
+        at = to
+    where[np.searchsorted(offsets, len(data)) :] = total
+    hashes = [mix(np.concatenate(c) + np.uint64(k)) for c, k in zip(columns, (0, *prefixes))]
+    return (np.stack(hashes, 1) if prefixes else hashes[0]), where
 
 
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:

@@ -6,7 +6,7 @@ byte; control bytes and data bytes are kept apart, so that numpy decodes a block
 lengths in a table and gathering bytes, without a loop over ids.
 
 Below the output folder: ``ranks`` is a table of one row per id (bounded by the vocabulary), and
-``ids/part=K/K-*.tid`` hold the documents in ascending doc_id order, through the parts as within them.
+``ids/part=K/*`` hold the documents in ascending doc_id order, through the parts as within them.
 A file is a run of blocks, each a header (magic, documents, ids, control bytes, data bytes, ids
 before the block, crc32 of the rest), doc_ids (int64, with a null mark), lengths (uint32), control
 bytes and data bytes, closed by one line feed.
@@ -23,7 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import name_parts, scratch, slices, stored
+from .common import scratch, slices, stored
 
 MAGIC, HEADER = b"TIDB", struct.Struct("<4sIIIIqI")
-END_ID, BLOCK_IDS, BATCH_BYTES = 1, 1 << 19, 1 << 19
+END_ID, BLOCK_IDS, BATCH_BYTES = 1, 1 << 19, 1 << 21
+#: Bytes of input for each range of doc_ids, and blocks in a file (a block is about 1 MB, a file must stay below 2 GB).
+PART_BYTES, FILE_BLOCKS = 1 << 27, 256
 _NULL = np.iinfo(np.int64).min
 #: Byte lengths of the four ranks that a control byte stands for.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], 1).astype(np.int64)
 _models: dict = {}
-#: Composed lower-case Latin letters, which normalizing and lowering leave as they are.
-_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+")
-#: Byte-level models write the bytes that do not print as the characters from 256 on.
-_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_VISIBLE = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Composed Latin letters, whose lower case is one such letter and which normalizing leaves as they are.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff\u0152\u0153"
 
 
 def default_model() -> str:
@@ -60,67 +59,81 @@ class Encoder:
     Where its pre-tokenizer always cuts at spaces and line feeds and drops them, cuts between letters
     and closing punctuation and lowers case (all probed at the start), the text is cut there, each
     distinct piece of a batch is encoded once and kept for the next ones; else whole texts are encoded.
-    At most about ``most`` pieces are kept; when there are more, those seen but once go. Lower-case
-    words of Latin letters go straight to the library's model where that gives the same ids (probed, too):
-    its normalizer and pre-tokenizer leave them as one word.
+    At most about ``most`` pieces are kept; when there are more, those seen but once go. Words of Latin
+    letters, of which normalizer and pre-tokenizer make one word each in lower case, are joined by spaces and encoded by the library's model with a plain cut at spaces, where that gives the same
+    ids (probed, too); each word then ends with the id that ends a word.
     """
 
     def __init__(self, path: str, most: int = 1 << 17):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
         self.most = most
         self.clear()
-        probe = "Ab.  cd'll, EF!? G...h 12. x'. IT'S; 12 \u00e9\u0301 e \u0301x\n<|endoftext|> ?! it's\tok . \ufb01n\u00a0x  Z\n\n9"
+        probe = "Ab.  cd'll, EF!? G...h 12. x'. IT'S; 12 \u00e9\u0301 e \u0301x\n<|endoftext|> ?! it's\tok . \ufb01n\u00a0x  Z\n\n9 \u00e9$$$ \u00c9. a&&& b%%% C*** d### \u00d1,%%%"
         parts = self.pieces(pa.array([probe])).flatten().to_pylist()
-        self.model = self.t.model
-        trial = [*"abyz", "hello", "unbelievableness", "é", "ñandú", "straße", "réseaux", "zß", "œuvre", "þing", "ÿ"]
-        try:
-            self.direct = [self._word(w) for w in trial] == [x.tolist() for x in self.whole(trial)]
-        except Exception:  # another kind of model
-            self.direct = False
+        trial = [*"abyz", "hello", "unbelievableness", "é", "ñandú", "straße", "réseaux", "zß", "œuvre", "þing", "ÿ", "ÉTÉ", "Ñu", "ŒUVRE", "Þor"]
+        self.direct, suffix = False, getattr(self.t.model, "end_of_word_suffix", None)
+        if suffix:
+            self.plain = Tokenizer(self.t.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.t.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.t.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+            flat, size = self._joined(trial)
+            self.direct = [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [x.tolist() for x in self.whole(trial)]
         self.cut = self.whole([probe])[0].tolist() == [i for p in parts for i in self.whole([p])[0].tolist()]
 
     @staticmethod
     def pieces(texts: pa.Array) -> pa.Array:
         """The pieces of each text between spaces, line feeds, and a letter and the punctuation that ends its word."""
         texts = pc.replace_substring(texts, "\n", " ")
-        texts = pc.replace_substring_regex(texts, "([A-Za-z])([.,!?;:]+)( |$)", "\\1 \\2\\3")
+        texts = pc.replace_substring_regex(texts, f"([{_LETTERS}])([.,!?;:$&%*#]+)( |$)", "\\1 \\2\\3")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
             texts = pc.ascii_lower(texts)
         return pc.split_pattern(texts, " ")
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.again: set[str] = set()
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.used = np.zeros(0, bool)
+        self.begin, self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _word(self, word: str) -> list[int]:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_VISIBLE)
-        return [k.id for k in self.model.tokenize(shown)]
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def new_ids(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces that are not known yet."""
-        plain = [self.direct and _LATIN.fullmatch(p) is not None for p in pieces]
-        rest = [p for p, ok in zip(pieces, plain) if not ok]
-        others = iter([x for at in range(0, len(rest), 2048) for x in self._lists(rest[at : at + 2048])])
-        return [self._word(p) if ok else next(others) for p, ok in zip(pieces, plain)]
+    def _listed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(texts), 2048):
+            lists = self._lists(texts[at : at + 2048])
+            sizes += map(len, lists)
+            ids.append(np.array([i for x in lists for i in x], np.uint32))
+        return np.concatenate(ids), np.array(sizes, np.int32)
+
+    def _joined(self, words: list[str], run: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words and the number of ids of each."""
+        joined = [" ".join(words[at : at + run]).lower() for at in range(0, len(words), run)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)]])
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1).astype(np.int32)
+        return (flat, size) if len(size) == len(words) and size.sum() == len(flat) else self._listed(words)
+
+    def learn(self, plain: list[str], other: list[str]) -> None:
+        """Keep the ids of pieces that are not known yet."""
+        (one, n_one), (two, n_two) = self._joined(plain) if plain else self._listed(plain), self._listed(other)
+        self.known.update(zip(plain + other, range(len(self.known), len(self.known) + len(plain) + len(other))))
+        self.flat, self.size = np.concatenate([self.flat, one, two]), np.concatenate([self.size, n_one, n_two])
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.used = np.concatenate([self.used, np.zeros(len(plain) + len(other), bool)])
 
     def shrink(self) -> None:
-        keep = [p for p in self.again if p in self.known]
+        keep = np.flatnonzero(self.used)
         if len(keep) > self.most // 2:
             return self.clear()
-        rows = np.array([self.known[p] for p in keep], np.int64)
-        begin, size = (np.cumsum(self.size) - self.size)[rows], self.size[rows]
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        self.flat, self.size, self.known, self.again = self.flat[at], size, dict(zip(keep, range(len(keep)))), set()
-
-    def _lists(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        names, size = list(self.known), self.size[keep]
+        at = np.repeat(self.begin[keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self.flat, self.size, self.known, self.used = self.flat[at], size, {names[i]: n for n, i in enumerate(keep.tolist())}, np.zeros(len(keep), bool)
+        self.begin = (np.cumsum(size) - size).astype(np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self._lists(texts)]
@@ -134,19 +147,22 @@ class Encoder:
         lists = self.pieces(texts)
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) + len(pieces) > self.most:
+        find = lambda: np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int32, len(pieces))
+        own = find()
+        if len(self.known) + np.count_nonzero(own < 0) > self.most:
+            self.used[own[own >= 0]] = True
             self.shrink()
-        new = [p for p in pieces if p not in self.known]
-        self.again.update(p for p in pieces if p in self.known)
-        ids = self.new_ids(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        own = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[np.asarray(coded.indices)]
+            own = find()
+        self.used[own[own >= 0]] = True
+        plain = np.asarray(pc.match_substring_regex(coded.dictionary, f"^[{_LETTERS}]+$")) if self.direct else np.zeros(len(pieces), bool)
+        new = [np.flatnonzero((own < 0) & kind) for kind in (plain, ~plain)]
+        own[np.concatenate(new)] = len(self.known) + np.arange(len(new[0]) + len(new[1]))
+        self.learn(*([pieces[i] for i in rows.tolist()] for rows in new))
+        own = own[np.asarray(coded.indices)]
         size = self.size[own]
         ends = np.cumsum(size)
-        begin = (np.cumsum(self.size) - self.size)[own]
-        at = np.repeat(begin - ends + size, size) + np.arange(int(size.sum()))
+        at = np.repeat((self.begin[own] - ends + size).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         words = np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
         upto = np.concatenate([[0], ends])[words]
         return self.flat[at], np.diff(upto, prepend=0)
@@ -266,9 +282,11 @@ def write_token_ids(docs: DataFrame, path: str, model: str | None = None, end_id
     of ids (bounded by the vocabulary) and the number of ids of each range (one for each task).
     """
     spark, at = docs.sparkSession, model or default_model()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's, mostly of file sizes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // PART_BYTES), 1 << 17))
     ordered = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+        docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
     kinds = "part int, block bigint, before bigint, n bigint, docs binary, lengths binary, ids binary"
     encoded = stored(ordered.mapInArrow(lambda it: _encode(it, at, end_id), kinds), "encoded", codec="uncompressed")
@@ -294,14 +312,13 @@ def write_token_ids(docs: DataFrame, path: str, model: str | None = None, end_id
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]], pa.int32()), pa.array([made], pa.binary())], ["part", "made"])
 
     made = encoded.sortWithinPartitions("part", "block").mapInArrow(code, "part int, made binary")
-    made.select("part", F.col("made").cast("string").alias("value")).sortWithinPartitions("part").write.partitionBy("part").option("lineSep", "\n").text(f"{path}/ids")
-    name_parts(spark, f"{path}/ids", ".tid")
+    made.select("part", F.col("made").cast("string").alias("value")).sortWithinPartitions("part").write.partitionBy("part").option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/ids")
     spark.createDataFrame([(i, int(v)) for i, v in enumerate(by_rank)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
 
 
 def _files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     ranks = spark.read.schema("rank bigint, id bigint").parquet(f"{path}/ranks").toPandas().sort_values("rank")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tid").load(f"{path}/ids").select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/ids").select("content")
     return files, ranks["id"].to_numpy(np.uint32)
 
 
