@@ -1,12 +1,15 @@
 """Main text of web pages by block rules in two passes.
 
-The page is cut into blocks at block-level tags. Structure decides first: what stands in menus,
-headers, footers, sidebars, forms, scripts or styles, or in an element whose class, id or role names
-an advert, notice, comment list or the like, is boilerplate. The first pass then labels the other
-blocks by length, link density and stop-word density as good, bad, near-good or short; in the
-second, near-good and short blocks take the label of the nearest decided blocks around them.
-Within an ``article`` or ``main`` element, which the author marked as the content, only blocks made
-of links are bad.
+The page is cut into blocks at block-level tags. The first pass labels each by its length, link density
+and stop-word density as good, bad, near-good or short. Structure is one of its inputs: what stands in
+menus, headers, footers, sidebars, forms, scripts or styles, or in an element whose class, id or role
+names an advert, notice, comment list or the like, is bad; weaker names (``legal``, ``tags``, ..) only
+make blocks bad that density does not find good. In the second pass near-good and short blocks take the
+label of the nearest decided blocks around them, headings that of what follows.
+
+An ``article`` or ``main`` element is a prior: its blocks ask only each other, without the adverts and
+forms among them, and count as good where none is decided. Where the elements' main text is at least as
+long as what the same rules find in the rest of the page, the rest goes; else the marks are ignored.
 
 Cases: null html gives the empty text; unclosed and misplaced tags are repaired (a block tag closes
 an open paragraph, the end of the page closes all); a page without block tags is one block; every
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,21 +50,30 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe|"
-    r"sidebar\w*|side|widget\w*|menu\w*|nav\w*|breadcrumb\w*|toc|footer\w*|header|masthead|topbar|comments?|comment\w*|disqus|respond|replies|reply|"
-    r"share|sharing|social\w*|related|recommended|pagination|pager|tags?|toolbar|login|signup|search|skip|legal|copyright|disclaimer)(?:$|[\s_-])",
+    r"sidebar\w*|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer\w*|masthead|topbar|comments?|comment\w*|disqus|respond|replies|reply|"
+    r"share|sharing|social\w*|pagination|pager|toolbar|login|signup)(?:$|[\s_-])",
     re.I,
 )
+_WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:side|toc|header|related|recommended|tags?|search|skip|legal|copyright|disclaimer)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
 _PLAIN_TAG = re.compile(r"\A\s*/?\s*\Z")
 
 
-def blocks(html: str) -> list[tuple[str, float, bool, bool, str]]:
-    """``(text, link share, structurally bad, in article, tag)`` of each block in page order."""
-    out: list[tuple[str, float, bool, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts a bad part, starts an article
-    bad = art = links = 0
+class Block(NamedTuple):
+    text: str
+    links: float  # share of its characters in links
+    bad: int  # 2 in a part that its tag, name or style tells to be boilerplate, 1 in one of a weaker name
+    article: bool
+    tag: str
+
+
+def blocks(html: str) -> list[Block]:
+    """The blocks of a page in their order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, starts a bad part (2, 1 or 0), starts an article
+    bad = weak = art = links = 0
     text: list[str] = []
     linked = 0
     tag_of = ""
@@ -69,13 +82,14 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, str]]:
         nonlocal text, linked
         joined = _SPACE.sub(" ", unescape("".join(text))).strip()
         if joined:
-            out.append((joined, min(1.0, linked / max(1, len(joined))), bad > 0, art > 0, tag_of))
+            out.append(Block(joined, min(1.0, linked / max(1, len(joined))), 2 if bad else 1 if weak else 0, art > 0, tag_of))
         text, linked = [], 0
 
     def pop() -> str:
-        nonlocal bad, art, links
+        nonlocal bad, weak, art, links
         name, b, a = stack.pop()
-        bad -= b
+        bad -= b == 2
+        weak -= b == 1
         art -= a
         links -= name == "a"
         return name
@@ -120,63 +134,95 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool, str]]:
                 pop()
         if name in _VOID or attrs.rstrip().endswith("/"):
             continue
-        is_bad = name in _DROP and not (name == "header" and art)
+        is_bad, is_weak = name in _DROP and not (name == "header" and art), False
         if not _PLAIN_TAG.match(attrs):
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-            is_bad |= bool(name not in ("html", "body", "article", "main") and names.strip() and _BAD_NAME.search(names))
+            if names.strip() and name not in ("html", "body", "article", "main"):
+                is_bad |= bool(_BAD_NAME.search(names))
+                is_weak = bool(_WEAK_NAME.search(names))
             is_bad |= bool(_HIDDEN.search(found.get("style", ""))) or found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert")
         is_art = name in ("article", "main")
-        stack.append((name, is_bad, is_art))
-        bad += is_bad
+        level = 2 if is_bad else 1 if is_weak else 0
+        stack.append((name, level, is_art))
+        bad += level == 2
+        weak += level == 1
         art += is_art
         links += name == "a"
     close_block()
     return out
 
 
-def labels(found: list[tuple[str, float, bool, bool, str]], short: int = 70, long: int = 200, link_share: float = 0.5) -> list[bool]:
-    """Whether each block is main text."""
-    first: list[str] = []
-    marked = any(art and not bad for _, _, bad, art, _ in found)
-    for text, links, bad, art, tag in found:
-        if bad or links > link_share or marked and not art:
-            first.append("bad")
+def first_pass(b: Block, marked: bool, short: int = 70, long: int = 200, link_share: float = 0.5) -> str:
+    """good, bad, near or short by structure, length, links and stop words; ``marked`` blocks stand in an article."""
+    if b.bad == 2 or b.links > link_share:
+        return "bad"
+    if len(b.text) < short:
+        return "bad" if b.bad else "short" if marked or b.links == 0 or b.tag[:1] == "h" else "bad"
+    words = _WORDS.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stop >= 0.3 and len(b.text) > long:
+        return "good"
+    if b.bad:
+        return "bad"
+    if stop >= 0.15 or marked:
+        return "near"
+    return "bad" if b.links > 0.2 else "near" if len(b.text) > long else "short"
+
+
+def second_pass(found: list[Block], first: list[str], marked: bool) -> list[tuple[bool, str]]:
+    """Whether each block is main text, and what settled it: structure, density or neighbours."""
+    n, far = len(found), 1 << 30
+    votes = [label in ("good", "bad") and not (marked and b.bad == 2) for b, label in zip(found, first)]
+    ahead: list[tuple[int, str]] = [(far, "")] * n
+    behind: list[tuple[int, str]] = [(far, "")] * n
+    for order, out in ((range(n), behind), (range(n - 1, -1, -1), ahead)):
+        last, label = None, ""
+        for i in order:
+            out[i] = (abs(i - last), label) if last is not None else (far, "")
+            if votes[i]:
+                last, label = i, first[i]
+    none_good = "good" not in first
+    out_ = []
+    for i, (b, label) in enumerate(zip(found, first)):
+        if label in ("good", "bad"):
+            out_.append((label == "good", "structure" if b.bad == 2 else "density"))
+            continue
+        near = {x for _, x in (ahead[i], behind[i]) if x}
+        if marked and none_good:  # nothing in the article is longer than these
+            good = True
+        elif label == "near":
+            good = none_good or "good" in near
+        elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            good = (ahead[i][1] or (behind[i][1] if marked else "bad")) == "good"
         elif marked:
-            first.append("good")
-        elif len(text) < short:
-            first.append("short" if links == 0 or tag[:1] == "h" else "bad")
+            good = "good" in {x for k, x in (ahead[i], behind[i]) if k == min(ahead[i][0], behind[i][0])}
         else:
-            words = [w.lower() for w in _WORDS.findall(text)]
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            first.append("good" if stop >= 0.3 and len(text) > long else "near" if stop >= 0.15 else "bad" if links > 0.2 else "near" if len(text) > long else "short")
-    n = len(first)
-    ahead, behind = [""] * n, [""] * n
-    last = "bad"
-    for i in range(n):
-        behind[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    last = "bad"
-    for i in reversed(range(n)):
-        ahead[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    none_good = "good" not in first
-    out = []
-    for i, label in enumerate(first):
-        if label == "near":
-            label = "good" if none_good or "good" in (ahead[i], behind[i]) else "bad"
-        elif label == "short":
-            heading = found[i][4] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            label = "good" if ahead[i] == behind[i] == "good" or heading and ahead[i] == "good" else "bad"
-        out.append(label == "good")
-    if none_good and not any(out):  # nothing but short blocks: the page is what is not boilerplate
-        out = [label == "short" for label in first]
-    return out
+            good = near == {"good"}
+        out_.append((good, "neighbours"))
+    return out_
+
+
+def labels(found: list[Block]) -> list[tuple[bool, str]]:
+    """Whether each block is main text, and what settled it."""
+    size = lambda blocks_, made: sum(len(b.text) for b, (good, _) in zip(blocks_, made) if good)
+    inside = [b for b in found if b.article]
+    rest = [b for b in found if not b.article]
+    within = second_pass(inside, [first_pass(b, True) for b in inside], True)
+    beyond = second_pass(rest, [first_pass(b, False) for b in rest], False)
+    if inside and size(inside, within) >= size(rest, beyond):
+        settled = iter(within)
+        return [next(settled) if b.article else (False, "structure") for b in found]
+    first = [first_pass(b, False) for b in found]
+    made = second_pass(found, first, False)
+    if not any(good for good, _ in made):  # nothing but short blocks: the page is what is not boilerplate
+        made = [(label == "short", "neighbours") for label in first]
+    return made
 
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    return "\n\n".join(b[0] for b, good in zip(found, labels(found)) if good)
+    return "\n\n".join(b[0] for b, good in zip(found, labels(found)) if good[0])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
