@@ -8,10 +8,10 @@ searched within the band that the threshold leaves) must reach ``m / (n1 + n2 -
 
 Two documents of similarity s share a sketch with a chance near s*s, so that of 16 sketches none is
 shared at s = 0.8 in 1 of 12 million cases. Buckets are compared in two steps. First every document
-meets the bucket's least document, and again within the finer buckets made of two and of three
-consecutive sketches; that joins most groups. Then all pairs of a bucket whose documents are not in
-one group yet are compared, in cells of bounded size: what the counts of shingles or their histograms
-already rule out (both are upper bounds of the aligned shingles) is left out, all others are verified.
+meets the bucket's least document; that joins most groups, in linear work. Then all pairs of a bucket
+whose documents are not in one group yet meet in cells of bounded size, with their shingles: what the
+counts of shingles or their histograms rule out (both are upper bounds of the aligned shingles) is
+left out, all others are verified, but for those that links found in the same task have joined meanwhile.
 
 Cases: null texts are in no group; texts that are equal byte for byte share a class, empty ones too;
 texts without any word are only grouped with equal ones; fewer than five words make one shingle.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import components, mix, shingles, slices, stored, with_group, word_hashes
 
 SHINGLE, SKETCHES, THRESHOLD = 5, 16, 0.8
-BINS, CELL = 512, 512
+BINS, CELL = 512, 1024
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -51,23 +51,31 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix(h + nth * np.uint64(0xD1B54A32D192ED03)), h)
 
 
-def sketch(h: np.ndarray, n_sketches: int = SKETCHES) -> np.ndarray:
-    """Order MinHash of one text's shingle hashes."""
-    h = labelled(h)
-    ranks = h[None, :] * _SEEDS[:n_sketches, None]
-    ranks ^= ranks >> np.uint64(32)
-    ranks *= np.uint64(0xBF58476D1CE4E5B9)
-    ranks ^= ranks >> np.uint64(29)
+def sketch(h: np.ndarray, n_sketches: int = SKETCHES, run: int = 1 << 15) -> np.ndarray:
+    """Order MinHash of one text's labelled shingles, in runs of bounded size."""
+    most = np.uint64(2**64 - 1)
     rows = np.arange(n_sketches)
-    first = ranks.argmin(1)
-    ranks[rows, first] = np.uint64(2**64 - 1)
-    second = ranks.argmin(1) if len(h) > 1 else first
-    early, late = np.minimum(first, second), np.maximum(first, second)
+    least, place = np.full((2, n_sketches), most), np.zeros((2, n_sketches), np.int64)
+    for start in range(0, len(h), run):
+        ranks = h[None, start : start + run] * _SEEDS[:n_sketches, None]
+        ranks ^= ranks >> np.uint64(32)
+        ranks *= np.uint64(0xBF58476D1CE4E5B9)
+        ranks ^= ranks >> np.uint64(29)
+        for _ in range(min(2, ranks.shape[1])):  # the two least of this run against the two so far
+            at = ranks.argmin(1)
+            value, at = ranks[rows, at], at + start
+            ranks[rows, at - start] = most
+            first, second = value < least[0], value < least[1]
+            least[1], place[1] = np.where(first, least[0], np.where(second, value, least[1])), np.where(first, place[0], np.where(second, at, place[1]))
+            least[0], place[0] = np.where(first, value, least[0]), np.where(first, at, place[0])
+    if len(h) == 1:
+        place[1] = place[0]
+    early, late = place.min(0), place.max(0)
     return mix(h[early] * np.uint64(3) + mix(h[late]) + _SEEDS[:n_sketches])
 
 
 def histogram(h: np.ndarray) -> bytes:
-    """Counts of shingle hashes by ``BINS`` bins; the sum of two texts' lesser counts is at least what they share.
+    """Counts of labelled shingles by ``BINS`` bins; the sum of two texts' lesser counts is at least what they share.
 
     Where a count is over 255 all are set to 255, which rules nothing out.
     """
@@ -110,21 +118,18 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], n_sketches: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("sketches", pa.list_(pa.int64())), ("n", pa.int64()), ("bins", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.string()), ("sketches", pa.list_(pa.int64()))])
     for batch in batches:
         text = batch.column("text")
         for at, part in slices(text):
             words, where = word_hashes(part)
-            lists, sizes, bins = [], [], []
+            lists = []
             for i in range(len(part)):
                 w = words[where[i] : where[i + 1]]
-                s = shingles(w, SHINGLE)
-                lists.append(sketch(s, n_sketches).view(np.int64) if len(w) else None)
-                sizes.append(len(s))
-                bins.append(histogram(s))
+                lists.append(sketch(labelled(shingles(w, SHINGLE)), n_sketches).view(np.int64) if len(w) else None)
             ids = batch.column("doc_id").slice(at, len(part))
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("copy").slice(at, len(part)), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], schema=schema
+                [ids, batch.column("copy").slice(at, len(part)), pa.array(lists, pa.list_(pa.int64()))], schema=schema
             )
 
 
@@ -145,56 +150,81 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of ``nodes(node, sketches)``, at most three for each sketch of a node."""
-    n = F.size("sketches")
-    nxt = lambda k: F.element_at("sketches", ((F.col("i") + k) % n + 1).cast("int"))
-    rows = (
-        nodes.select("node", "sketches", F.posexplode("sketches").alias("i", "k1"))
-        .select("node", "k1", F.xxhash64("k1", nxt(1)).alias("k2"), F.xxhash64("k1", nxt(1), nxt(2)).alias("k3"))
+def links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs ``(a, b)`` of ``nodes(node, sketches)``, one for each sketch of a node at most, and
+    ``(node, k1)`` of each sketch that several nodes have."""
+    rows = nodes.select("node", F.explode(F.array_distinct("sketches")).alias("k1"))
+    least = rows.groupBy("k1").agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b < _last").drop("_last")
+    shared = stored(with_group(rows, least, "k1"), "buckets")
+    return shared.filter("node > b").select(F.col("node").alias("a"), "b").distinct(), shared.select("node", "k1")
+
+
+def cells(shared: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
+    """``(node, root, cell, side)`` such that any two nodes of a bucket ``(node, k1)`` with other roots meet in a cell.
+
+    The rows of a bucket's most frequent root never meet each other, so that a group which is joined
+    already costs work in proportion to its size. Rows are cut into blocks of about ``cell``; each two
+    blocks of the others make a cell, and so do each block of the others and each of the frequent root.
+    Pairs count in a cell if their sides differ or are -1.
+    """
+    rows = stored(shared.join(roots, "node", "left").select("node", "k1", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rows.groupBy("k1", "root").agg(F.count("*").alias("n")).groupBy("k1").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("many"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(F.col(n) / cell).cast("int").alias(n)
+    plan = sizes.withColumn("few", F.col("all") - F.col("many")).filter("few > 0").select("k1", "major", blocks("many"), blocks("few"))
+    met = with_group(rows, stored(plan, "cells"), "k1")
+    own = F.col("root") == F.col("major")
+    at = F.pmod(F.xxhash64("node"), F.when(own, F.col("many")).otherwise(F.col("few"))).cast("int")
+    met = met.select("node", "root", "k1", own.alias("own"), at.alias("at"), "many", "few")
+    i = F.col("at")
+    made = lambda kind, x, y, side: F.struct(F.xxhash64("k1", F.lit(kind), x, y).alias("cell"), side.cast("int").alias("side"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    others = F.concat(
+        F.transform(each("few"), lambda j: made(0, F.least(i, j), F.greatest(i, j), F.when(i == j, -1).otherwise(i))), F.transform(each("many"), lambda j: made(1, i, j, F.lit(0)))
     )
-    pairs = None
-    for key in ("k1", "k2", "k3"):
-        least = rows.groupBy(key).agg(F.min("node").alias("b"), F.max("node").alias("_last")).filter("b < _last").drop("_last")
-        met = with_group(rows, least, key)
-        if key == "k1":
-            rows = met = stored(met, "buckets")
-            rows = rows.drop("b")
-        found = met.filter("node > b").select(F.col("node").alias("a"), "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
-
-
-def _cell_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of a cell that may be similar, in batches of rows sorted by cell."""
+    return met.select("node", "root", F.explode(F.when(F.col("own"), F.transform(each("few"), lambda j: made(1, j, i, F.lit(1)))).otherwise(others)).alias("c")).select("node", "root", "c.*")
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` between rows ``(cell, root, node, side, shingles)`` of a cell, in batches of rows sorted by cell
+    and root; pairs that earlier links of the task have joined are not tried."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    parent: dict[int, int] = {}
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def top(g: int) -> int:
+        while g in parent:
+            g = parent[g]
+        return g
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        node, root, n, side, own = (table[c].to_numpy() for c in ("node", "root", "n", "side", "own"))
-        bins = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
-        cell = table["cell"].to_numpy()
-        last = np.searchsorted(cell, cell, side="right")
-        count = last - np.arange(len(cell)) - 1
-        done = np.cumsum(count)
-        at = 0
+        node, root, side, cell = (table[c].to_numpy() for c in ("node", "root", "side", "cell"))
+        h = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+        n = np.array([len(x) for x in h], np.int64)
+        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1])])
+        ends = np.append(np.flatnonzero(new)[1:], len(cell))
+        after = ends[np.cumsum(new) - 1]  # rows of the same root come before that
+        count = np.searchsorted(cell, cell, side="right") - after
+        bins = np.stack([np.frombuffer(histogram(x), np.uint8) for x in h])
+        done, at, links = np.cumsum(count), 0, []
         while at < len(cell):
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 17), side="right")))
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 16), side="right")))
             c = count[at:to]
             x = np.repeat(np.arange(at, to), c)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
-            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            need = np.ceil(least * (low + high) / (1 + least) - 1e-9)
-            ok = (low >= need) & (root[x] != root[y]) & (own[x] | own[y])
-            ok &= (side[x] < 0) | (side[x] != side[y])  # in a cell of two blocks only pairs across
+            y = np.repeat(after[at:to], c) + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            need = np.ceil(least * (n[x] + n[y]) / (1 + least) - 1e-9)
+            ok = (np.minimum(n[x], n[y]) >= need) & ((side[x] < 0) | (side[x] != side[y]))
             x, y, need = x[ok], y[ok], need[ok]
             for k in range(0, len(x), 2048):
                 i, j = x[k : k + 2048], y[k : k + 2048]
                 good = np.minimum(bins[i], bins[j]).sum(1, dtype=np.int64) >= need[k : k + 2048]
-                i, j = node[i[good]], node[j[good]]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i, j)), pa.array(np.minimum(i, j))], schema=schema)
+                for p, q in zip(i[good].tolist(), j[good].tolist()):
+                    one, two = top(int(root[p])), top(int(root[q]))
+                    if one != two and aligned(h[p], h[q], least):
+                        parent[max(one, two)] = min(one, two)
+                        links.append((max(node[p], node[q]), min(node[p], node[q])))
             at = to
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], schema=schema)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -202,41 +232,34 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
             continue
         cell = batch.column("cell").to_numpy()
         if held and held[-1].column("cell")[-1].as_py() != cell[0]:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
             held = []
         cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
         if cut:
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        yield from found(pa.Table.from_batches(held))
+
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, part in slices(batch.column("text")):
+            words, where = word_hashes(part)
+            made = [labelled(shingles(words[where[i] : where[i + 1]], SHINGLE)).tobytes() for i in range(len(part))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(made, pa.binary())], ["node", "shingles"])
 
-def other_links(nodes: DataFrame, roots: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes(node, sketches, n, bins)`` that share a sketch, have other roots and may be similar.
 
-    Similar texts have sizes within the threshold of each other, so rows meet in size classes of that
-    ratio: in their own and, as smaller ones, in the next. Larger groups are cut into blocks of about
-    ``cell`` rows, each pair of which is a cell.
-    """
-    known = nodes.join(roots, "node", "left").select("node", "sketches", "n", "bins", F.coalesce("root", "node").alias("root"))
-    known = stored(known, "rooted")
-    rows = known.select("node", "n", "root", F.explode(F.array_distinct("sketches")).alias("k1"))
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.0001 / threshold))).cast("int")
-    rows = rows.select("node", "n", "root", "k1", F.explode(F.array(size, size + 1)).alias("class"), size.alias("_own"))
-    rows = rows.select("node", "root", F.xxhash64("k1", "class").alias("key"), (F.col("_own") == F.col("class")).alias("own"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("own").alias("_own"))
-    mixed = mixed.filter("_low < _high and _own").select("key", F.ceil(F.col("rows") / cell).cast("int").alias("blocks"))
-    met = with_group(rows, stored(mixed, "mixed"), "key")
-    met = met.select("node", "key", "own", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
-    met = met.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
-    met = met.select(
-        "node", "own", F.xxhash64("key", F.least("at", "with"), F.greatest("at", "with")).alias("cell"),
-        F.when(F.col("at") == F.col("with"), -1).otherwise(F.col("at")).alias("side"),
-    )
-    full = met.join(known.select("node", "root", "n", "bins"), "node").select("cell", "node", "root", "n", "side", "own", "bins")
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _cell_pairs(it, threshold), "a bigint, b bigint").distinct()
+def other_links(base: DataFrame, shared: DataFrame, roots: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """Links ``(a, b)`` that join groups of ``roots(node, root)``, enough to join all that share a sketch and are similar.
+    The texts of nodes that meet others alone are shuffled, as shingles."""
+    met = stored(cells(shared, roots, cell), "met")
+    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    texts = base.filter(maybe(wanted)("doc_id")).join(wanted, "doc_id", "left_semi").distinct()
+    full = met.join(stored(texts.mapInArrow(_shingled, "node bigint, shingles binary"), "shingled"), "node")
+    full = full.select("cell", "root", "node", "side", "shingles").repartition("cell").sortWithinPartitions("cell", "root")
+    return full.mapInArrow(lambda it: _cell_links(it, threshold), "a bigint, b bigint").distinct()
 
 
 def maybe(wanted: DataFrame, bits: int = 25):
@@ -280,18 +303,17 @@ def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: floa
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     marked = base.withColumn("copy", F.md5("text"))
     marks = stored(
-        marked.mapInArrow(lambda it: _sketches(it, n_sketches), "doc_id bigint, copy string, sketches array<bigint>, n bigint, bins binary"), "sketches"
+        marked.mapInArrow(lambda it: _sketches(it, n_sketches), "doc_id bigint, copy string, sketches array<bigint>"), "sketches"
     )
     least = marks.filter("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("node"))
-    member = with_group(marks.filter("copy is not null"), least, "copy").select("doc_id", "node", "sketches", "n", "bins")
-    member = member.unionByName(marks.filter("copy is null").select("doc_id", F.col("doc_id").alias("node"), F.lit(None).cast("array<bigint>").alias("sketches"), "n", "bins"))
+    member = with_group(marks.filter("copy is not null"), least, "copy").select("doc_id", "node", "sketches")
+    member = member.unionByName(marks.filter("copy is null").select("doc_id", F.col("doc_id").alias("node"), F.lit(None).cast("array<bigint>").alias("sketches")))
     member = stored(member, "members")
-    nodes = member.filter("doc_id = node and sketches is not null").select("node", "sketches", "n", "bins").distinct()
-    pairs = stored(links(nodes.select("node", "sketches").distinct()), "pairs")
-    true = _verified(base, pairs, threshold)
-    more = other_links(nodes, stored(components(true), "roots"), threshold).join(pairs, ["a", "b"], "left_anti")
-    true = true.unionByName(_verified(base, stored(more, "pairs"), threshold))
-    roots = stored(components(true), "roots")
+    nodes = member.filter("doc_id = node and sketches is not null").select("node", "sketches")
+    found, shared = links(nodes)
+    true = _verified(base, stored(found, "pairs"), threshold)
+    more = stored(other_links(base, shared, stored(components(true), "roots"), threshold), "apart")
+    roots = stored(components(true.unionByName(more)), "roots")
     return (
         member.select("doc_id", "node").join(roots, "node", "left")
         .groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))

@@ -1,9 +1,12 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from conftest import words
 
-from sitegauge.llm.near_dup import aligned, keep_one, labelled, near_duplicates, other_links, shingles, word_hashes
+from sitegauge.llm.near_dup import aligned, cells, keep_one, labelled, near_duplicates, shingles, sketch, word_hashes
 
 
 def classes(df):
@@ -88,10 +91,40 @@ def test_copies_of_an_original_in_the_middle(docs):
 
 
 def test_cells_hold_all_pairs(spark):
-    """Blocks and size classes lose no pair of a bucket."""
-    sizes = [int(8 * 1.03**k) for k in range(90)]
-    nodes = spark.createDataFrame([(i, [1, 1, 2], n, b"\xff" * 512) for i, n in enumerate(sizes)], "node bigint, sketches array<bigint>, n bigint, bins binary")
-    roots = spark.createDataFrame([(3, 2)], "node bigint, root bigint")
-    want = {(i, j) for i in range(90) for j in range(i) if min(sizes[i], sizes[j]) >= int(np.ceil(0.8 * (sizes[i] + sizes[j]) / 1.8 - 1e-9)) and (i, j) != (3, 2)}
-    for cell in (512, 7):
-        assert {(p.a, p.b) for p in other_links(nodes, roots, 0.8, cell).collect()} == want
+    """Any two documents of a bucket that are in other groups meet, whatever the blocks; those of one large group do not."""
+    root = {i: 0 if i < 50 else i // 3 * 3 for i in range(90)}
+    shared = spark.createDataFrame([(i, k) for i in range(90) for k in (1, 2) if k == 1 or i % 2], "node bigint, k1 bigint")
+    roots = spark.createDataFrame([(i, r) for i, r in root.items() if i != r], "node bigint, root bigint")
+    for cell in (512, 20, 7):
+        rows = cells(shared, roots, cell).collect()
+        met: dict = {}
+        for r in rows:
+            met.setdefault(r.cell, []).append(r)
+        pairs = {(min(x.node, y.node), max(x.node, y.node)) for c in met.values() for x in c for y in c if x.root != y.root and (x.side < 0 or x.side != y.side)}
+        assert pairs == {(i, j) for j in range(90) for i in range(j) if root[i] != root[j]}
+        assert max(map(len, met.values())) < 4 * cell + 10 and len([r for r in rows if r.node < 50]) <= 75 * -(-40 // cell)
+
+
+def test_sketch_in_runs_and_windows():
+    """Runs of shingles and windows of bytes change nothing; windows may cut long words."""
+    h = np.random.default_rng(3).integers(0, 1 << 63, 999).astype(np.uint64)
+    assert all((sketch(h, run=k) == sketch(h, run=4096)).all() for k in (1, 2, 7, 500))
+    r, letters = random.Random(4), "aé z. Ü9"
+    texts = ["".join(r.choice(letters) * r.choice((1, 1, 1, 9, 40)) for _ in range(r.randrange(60))) for _ in range(80)] + [None, "", "b" * 300]
+    for pre in ((), (4, 5)):
+        one, at = word_hashes(pa.array(texts), pre)
+        for window in (16, 17, 40, 333):
+            two, at2 = word_hashes(pa.array(texts), pre, window)
+            assert (one == two).all() and (at == at2).all()
+    assert [int(at[i + 1] - at[i]) for i in range(len(texts))] == [len(re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())) for t in texts]
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    text = pa.array([" ".join(f"w{k % 9973}x{k % 7919}" for k in range(1_500_000))])
+    size = len(text[0].as_py())
+    tracemalloc.start()
+    words_, _ = word_hashes(text)
+    sketch(labelled(shingles(words_)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 15_000_000 and peak < 8 * size
