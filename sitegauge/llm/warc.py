@@ -17,6 +17,7 @@ payload has no page_id, else revisits; an empty table makes no records. Other co
 
 from __future__ import annotations
 
+import re
 import base64
 import hashlib
 import struct
@@ -104,6 +105,9 @@ def frames(content: bytes) -> Iterator[bytes]:
         at = end
 
 
+_DIGEST = re.compile("sha1:[A-Z2-7]{32}")
+
+
 def parse(raw: bytes) -> dict:
     """Headers, block and page ids of one record; whatever does not fit raises ValueError."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
@@ -121,10 +125,13 @@ def parse(raw: bytes) -> dict:
             raise ValueError(f"no {key}")
     if not headers["content-length"].isdecimal() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit the block")
-    body = rest[:-4]
-    if headers["warc-type"] == "response" and "warc-payload-digest" in headers:
-        if headers["warc-payload-digest"] != f"sha1:{digest_of(body)}" or int(headers.get("warc-payload-length", len(body))) != len(body):
-            raise ValueError("the payload does not fit its digest or length")
+    body, digest, length = rest[:-4], headers.get("warc-payload-digest"), headers.get("warc-payload-length")
+    if digest is not None and not _DIGEST.fullmatch(digest) or length is not None and not length.isdecimal():
+        raise ValueError("a payload digest or length is not well formed")
+    if headers["warc-type"] == "response" and (digest not in (None, f"sha1:{digest_of(body)}") or int(length or len(body)) != len(body)):
+        raise ValueError("the payload does not fit its digest or length")
+    if headers["warc-type"] == "revisit" and (body or digest is None or not headers.get("warc-refers-to", "").strip("<>")):
+        raise ValueError("a revisit needs an empty block, a payload digest and what it refers to")
     return headers | {"body": body}
 
 
@@ -200,7 +207,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     def rows(content: bytes) -> Iterator[list]:
         for raw in frames(content):
             r = parse(raw)
-            row = [_page(r["warc-record-id"]), r.get("warc-target-uri"), int(r.get("warc-payload-length", len(r["body"]))), r.get("warc-payload-digest", "sha1:" + digest_of(r["body"])).removeprefix("sha1:"), r["warc-type"], _page(r.get("warc-refers-to"))]
+            row = [_page(r["warc-record-id"]), r.get("warc-target-uri"), int(r.get("warc-payload-length", len(r["body"]))), (r.get("warc-payload-digest") or "").removeprefix("sha1:") or None, r["warc-type"], _page(r.get("warc-refers-to"))]
             yield [*row, None if r["warc-type"] == "revisit" else r["body"]] if payload else row
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
