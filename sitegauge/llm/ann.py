@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by learned partitions.
 
-A bounded sample of vectors (``sample`` of least id hash) makes an exact neighbour graph. The graph is
+A bounded sample of vectors (``sample``, or 24 for each part if that is more, of least id hash) makes an exact neighbour graph. The graph is
 cut into balanced parts: vectors are halved again and again along their main direction and then moved
 to the part that holds most of their neighbours while it has room. A small softmax classifier learns
 to tell the part from the vector. It files every vector under its most probable part and sends each
@@ -29,16 +29,17 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SAMPLE, NEIGHBOURS, BLOCK, RECALL = 6000, 10, 4096, 0.97
+#: At least SAMPLE vectors and SAMPLE_PER_PART for each part are sampled; there are at most 2**MOST_PARTS parts.
+SAMPLE, SAMPLE_PER_PART, MOST_PARTS, NEIGHBOURS, BLOCK, RECALL = 6000, 24, 12, 10, 4096, 0.97
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k nearest rows of each row of unit vectors."""
     out = np.empty((len(x), min(k, len(x) - 1)), np.int64)
-    for a in range(0, len(x), 1024):
-        score = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        score = x[a : a + 256] @ x.T
         score[np.arange(len(score)), np.arange(a, a + len(score))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-score, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] else 0
+        out[a : a + 256] = np.argpartition(-score, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] else 0
     return out
 
 
@@ -121,6 +122,7 @@ def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int
     """The router and how many parts a query must be sent to."""
     x = _unit(sample)
     held, own = x[::5], np.delete(x, np.s_[::5], axis=0)
+    held = held[:2000]  # enough for a quantile
     if len(own) < 4 * parts:
         return train_router(x, np.zeros(len(x), np.int64), np.zeros((len(x), 1), np.int64), 1, epochs=1), 1
     graph = neighbour_graph(own, neighbours)
@@ -138,17 +140,20 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda c: c != 0)
 
 
-def nearest(table: DataFrame, query: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k rows of largest cosine found for each row where ``query`` holds."""
+def nearest(table: DataFrame, query: Column, k: int = 5, id_: str = "vec_id", vector: str = "embedding", parts: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k rows of largest cosine found for each row where ``query`` holds.
+
+    The number of parts grows with the root of the rows, so that a part does, too; it may be given instead.
+    """
     rows = table.select(F.col(id_).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q")).filter(usable("v") & F.col("id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     spark = table.sparkSession
     if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows, n = rows.filter(F.size("v") == sizes[0]["dim"]), sizes[0]["count"]
-    parts = 1 << int(np.clip(round(np.log2(max(1.0, n**0.5 / 14))), 0, 8))
-    chosen = rows.select("id", "v").orderBy(F.xxhash64("id"), "v").limit(sample).collect()
-    w, probes = fit(np.array([r.v for r in chosen], float), parts)
+    parts = parts or 1 << int(np.clip(round(np.log2(max(1.0, n**0.5 / 14))), 0, MOST_PARTS))
+    chosen = rows.select("id", "v").orderBy(F.xxhash64("id"), "v").limit(max(sample, SAMPLE_PER_PART * parts)).select("v").toArrow()["v"].combine_chunks()
+    w, probes = fit(np.asarray(chosen.flatten()).reshape(len(chosen), -1), parts)
     width = len(w[3])
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ vector of probabilities through the null space of the balancing constraints (wor
 the source), so that both totals stay exactly what they were, until a document reaches 0 or 1.
 
 A source may hold any share of the rows, so it is cut into blocks of about ``block`` documents by a
-hash of the id. Each block flies alone and leaves at most two documents between 0 and 1; those few
+hash of the id (and, among equal rows, of their number). Each block flies alone and leaves at most two documents between 0 and 1; those few
 meet in coarser blocks, and so on until one block per source is left. There the landing phase rounds
 at most two documents, so a source misses its target by less than twice its largest document.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK = 4096
+BLOCK, RUN = 4096, 10_000
 _EPS = 1e-9
 
 
@@ -128,7 +128,11 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     rows = rows.withColumn("seed", F.xxhash64(F.coalesce("source", F.lit("\0")), F.col("source").isNull()))
     columns = ["doc_id", "source", "size", "source_size", "target", "sure", "p", "seed", "block", "blocks"]
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / block))
-    rows = rows.withColumn("blocks", blocks.cast("bigint")).withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks"))).select(columns)
+    # equal rows are counted and dealt out by their number, so that no block gets all copies of a row
+    alike = rows.groupBy(*[c for c in columns if c not in ("block", "blocks")], blocks.cast("bigint").alias("blocks")).agg(F.count("*").alias("n"))
+    runs = alike.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(RUN))).alias("from")).repartition(F.xxhash64("doc_id", "source", "size", "from"))
+    rows = runs.select("*", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + RUN) - 1)).alias("nth"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "nth"), F.col("blocks"))).select(columns)
     done = None
     left = max([-(-r.rows // block) for r in totals], default=1)
     while True:

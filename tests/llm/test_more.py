@@ -83,6 +83,22 @@ def test_nearest(spark):
     assert len(two) == 2
 
 
+def test_many_parts_keep_the_recall(spark):
+    """Routing over 32 parts, with queries that share an id."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 12))[rng.integers(0, 60, 6000)] + 0.7 * rng.normal(size=(6000, 12))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[0].tolist())], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest(table, F.col("vec_id") % 50 == 0, parts=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 6000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist())) if q != 50 else 5
+    assert len(got) == 120 and hits / 600 >= 0.9
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(1).normal(size=(800, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -122,6 +138,9 @@ def test_mixing(docs):
     for source, (taken, target, size, total) in per.items():
         assert size == total and abs(taken - target) <= 2 * 37
     assert sum(t[1] for t in per.values()) == pytest.approx(1.5 * sum(t[2] for t in per.values()))
+    copies = docs([(1, "w w w", "en", "a")] * 900 + [(k, "w " * (k % 9 + 1), "en", "b") for k in range(900)])
+    dealt = mix_plan(copies, block=100).filter("source = 'a'").collect()
+    assert len(dealt) == 900 and abs(sum(r.taken for r in dealt) - dealt[0].target) <= 6
     out = mix(docs(rows), block=200)
     assert out.columns == docs(rows).columns
     assert mix_plan(docs([])).collect() == [] and mix(docs([])).collect() == []
