@@ -12,7 +12,7 @@ of the whole item, or of its question and of its answer each, at least ``overlap
 The answer is the last sentence of the item, the question what stands before; one sentence is a
 question alone. A changed word of a short answer thus does not hide an item that is there else.
 
-The index of one round holds at most ``shard`` items; larger benchmarks take several rounds over the
+The index of one round holds at most ``shard`` items and about 16 MB of text; larger benchmarks take several rounds over the
 documents, so what is sent to the executors never grows with the benchmark.
 
 Cases: null and blank texts and items hold nothing and match nothing; items of fewer than five words
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles, slices, word_hashes
+from ..operators.pages import with_global_rank
+from .common import shingles, slices, stored, word_hashes
 
 SEGMENT, BLOCK, K1, B = 64, 32, 1.2, 0.75
 THRESHOLD, OVERLAP, SHARD = 0.7, 0.8, 20_000
+SHARD_BYTES = 1 << 24
 ESSENTIAL = 0.35  # weight of a segment's essential words beyond what it may miss
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -208,12 +210,14 @@ class Index:
 
 
 def _shards(benchmark: DataFrame, shard: int, threshold: float) -> Iterator[Index]:
-    """Indexes of at most ``shard`` items each, read one after the other from the item table."""
+    """Indexes of at most ``shard`` items and about ``SHARD_BYTES`` each, read one after the other from the item table.
+    Items are dealt by their rank, so that repeated ones do not meet in one."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(trim(text)) > 0")
-    n = items.count()
-    parts = max(1, -(-n // shard))
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-n // shard), -(-(size or 0) // SHARD_BYTES))
+    ranked = items if parts == 1 else stored(with_global_rank(items, "item_id", "text"), "items")
     for k in range(parts if n else 0):
-        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        part = items if parts == 1 else ranked.filter(F.pmod("rank", F.lit(parts)) == k)
         yield Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], threshold)
 
 
