@@ -1,27 +1,31 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines are normalised (lower case, runs of other than letters and digits become one space). Equal ones
-are folded first. Each distinct line gets a 60-bit SimHash of its words: a bit is set where more than
-half of the words' hashes have it. The 60 counters are kept as lanes of a few longs: six longs of ten
-6-bit lanes for lines of under 32 words, ten of 10-bit lanes under 512, fifteen and thirty beyond. Two lines are linked if their fingerprints
-differ in at most ``BITS`` bits and their edit similarity, 1 - levenshtein / longer length, is at least
-``similarity``. The fingerprint is cut into ``blocks`` blocks: where at most ``BITS`` bits differ, at
-least ``blocks - BITS`` blocks agree, so lines are joined on the sets of so many blocks (by default
-10 sets of 24 bits; 6 blocks make 20 sets of 30 bits, for more than some 10^8 distinct lines).
-
-Buckets of at most ``small`` lines compare all their lines, so no such link is lost there. In larger
-ones, which many copies with small changes make, each line is compared with the least line of its
-bucket and again in the finer buckets of more equal blocks; they are never expanded to all pairs.
-
-Of each connected group the occurrence of least (doc_id, line number) stays, all others go.
-
-Texts are not shuffled to find the groups: lines travel as two 64-bit hashes, their fingerprint and
-place, and only lines of candidate pairs are read again as texts. Before wide joins a bitmap of fixed
+Lines are normalised (words of letters and digits, in lower case). Equal ones
+are folded first. Each distinct line gets a 60-bit SimHash in five blocks of twelve bits: its distinct words are
+dealt to the blocks by hash, and a bit is set where more than half of the block's words have it. One
+changed word thus touches two blocks at most, and the pigeonhole principle leaves three that agree. Lines
+are joined on sets of equal blocks, two of the five (three for lines of under ten words); sets that
+hold fewer than two words (three for longer lines) tell too little and are left out. In lines of over 64
+words only words of certain hashes count, the same in near lines.
+
+Candidates differ in at most ``BITS`` bits of the fingerprint (lines of at most ``SHORT`` characters in any
+number: a word is a large part of theirs); two lines are linked if their edit
+similarity, 1 - levenshtein / longer length, is at least ``similarity``: in characters, for lines of over
+64 words in words. Candidates are taken in two
+steps. First each line meets the least line of its buckets; that joins most groups, in linear work.
+Then, in buckets whose lines are not in one group yet, all pairs of other groups meet, but for the lines
+of a bucket's most frequent group among themselves. So no link within a bucket is lost at any size.
+
+Of each connected group the occurrence of least (doc_id, hash of the text, line number) stays, all others go.
+
+Texts are not shuffled to find the groups: the words of all lines are written once, lines travel as two
+64-bit hashes, their fingerprint and place, and only lines of candidate pairs are read again as words. Before wide joins a bitmap of fixed
 size (``2**25`` bits as rows of longs, broadcast: 8 MB however much data there is) lets the rows pass
 that may have a partner; the joins that follow are exact.
 
-Cases: lines without letters or digits always stay; null texts have no lines and stay null; rows that
-share a doc_id count as one document, and a null doc_id as the least; other columns are ignored; an
+Cases: lines without letters or digits always stay; null texts have no lines and stay null; of rows that
+share a doc_id each has lines of its own, rows that share id and text are treated alike; a null doc_id
+is the least; lines of one or two words are folded when equal only; other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -34,54 +38,66 @@ from pyspark.sql import functions as F
 
 from .common import components, stored, with_group
 
-BITS, BLOCKS, SIMILARITY, SMALL, WIDTH = 3, 5, 0.8, 64, 60
+BITS, BLOCKS, LANE, SIMILARITY, LONG, SHORT = 12, 5, 5, 0.8, 64, 80
+#: The lowest bit of each of the twelve lanes of five bits.
+ONES = sum(1 << at for at in range(0, 60, LANE))
 
 
-def normalised(line: Column) -> Column:
-    # all ASCII but letters and digits, and the blocks of spaces and punctuation of other scripts
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+", " "))
+#: All ASCII but letters and digits, and the blocks of spaces and punctuation of other scripts.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
 
 
-def _adds(k: int, ones: int):
-    return lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones))
-
-
-def _majority(hashes: Column, n: Column, lane: int) -> Column:
-    """The fingerprint from counters of ``lane`` bits: lane j of counter k counts bit ``lane * j + k``.
-
-    A lane plus 2^(lane-1) less the majority has its top bit set where the count is a majority.
-    """
-    ones = sum(1 << at for at in range(0, WIDTH, lane))
-    lift = (F.lit(1 << (lane - 1)) - (F.floor(n / 2) + 1)) * F.lit(ones)
-    bits = None
-    for k in range(lane):
-        count = F.aggregate(hashes, F.lit(0).cast("bigint"), _adds(k, ones))
-        bit = F.shiftrightunsigned((count + lift).bitwiseAND(F.lit(ones << (lane - 1))), lane - 1 - k)
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return bits
-
-
-def word_hashes(text: str = "norm") -> Column:
-    """Hashes of the words, as a generator: its column is computed once, not in each counter again."""
-    return F.explode(F.array(F.transform(F.split(F.col(text), " "), lambda w: F.xxhash64(w))))
-
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``(doc_id, copy, line_no, words, c1, c2)`` of each line with letters or digits; equal lines have equal c1 and c2."""
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
+    found = lines.select("doc_id", "copy", "line_no", F.explode(F.array(words)).alias("words")).filter(F.size("words") > 0)  # a generator's column is computed once
+    return found.select("*", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"))
 
-def simhash(hashes: str = "hashes") -> Column:
-    hashes = F.col(hashes)
-    n = F.size(hashes).cast("bigint")
-    short = F.when(n < 32, _majority(hashes, n, 6)).when(n < 512, _majority(hashes, n, 10))
-    return short.when(n < 16_000, _majority(hashes, n, 15)).otherwise(_majority(hashes, n, 30))
 
+def place() -> Column:
+    """(doc_id, copy, line_no) as one number of that order; a null id comes first."""
+    number = lambda c: c.cast("decimal(38,0)")
+    doc = F.coalesce(number(F.col("doc_id")), F.lit("-9223372036854775809").cast("decimal(38,0)"))
+    low = number(F.shiftrightunsigned("copy", 33)) * F.lit(1 << 31).cast("decimal(11,0)") + number(F.col("line_no"))
+    return number(doc * F.lit(1 << 62).cast("decimal(19,0)") + low)
 
-def _keys(blocks: int, agree: int) -> Column:
-    """Hashes of all sets of ``agree`` blocks of the fingerprint ``fp``, each with its set's number."""
-    edges = [WIDTH * k // blocks for k in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    return F.array(*[F.xxhash64(F.lit(sum(1 << k for k in set_)), *[part[k] for k in set_]) for set_ in combinations(range(blocks), agree)])
 
+def line_facts(lines: DataFrame) -> DataFrame:
+    """``(c1, c2, doc_id, copy, line_no, size, fp, counts)`` of each of the ``occurrences``; size is the length of the line
+    in characters, counts has the words of block k in bits 12 k on.
 
-def _near(one: str, two: str) -> Column:
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= BITS
+    Words are summed by line in lanes of five bits, one long for each block: plain aggregates of longs.
+    """
+    own = ["lid", "c1", "c2", "doc_id", "copy", "line_no", "size"]
+    lines = lines.withColumn("lid", F.monotonically_increasing_id()).withColumn("size", F.char_length(F.array_join("words", " ")))  # equal rows keep lines of their own
+    words = lines.select(*own, F.explode(F.array(F.array_distinct("words"))).alias("words"))
+    halved = F.greatest(F.lit(0), F.floor(F.log2(F.size("words") / LONG))).cast("int")
+    words = words.select(*own, halved.alias("halved"), F.explode("words").alias("w")).select(*own, "halved", F.xxhash64("w").alias("h"))
+    used = F.shiftrightunsigned("h", 20).bitwiseAND(F.expr("shiftleft(1, halved) - 1").cast("bigint")) == 0
+    words = words.select(*own, F.when(used, F.pmod(F.shiftrightunsigned("h", 40), F.lit(BLOCKS))).alias("k"), F.col("h").bitwiseAND(F.lit(ONES)).alias("lanes"))
+    sums = [F.try_sum(F.when(F.col("k") == k, F.col("lanes"))).alias(f"s{k}") for k in range(BLOCKS)]
+    counted = words.groupBy(*own).agg(*sums, F.try_sum(F.expr("shiftleft(1L, cast(12 * k as int))")).alias("counts"))
+    fp = F.lit(0).cast("bigint")
+    for k in range(BLOCKS):  # a lane plus 16 less the majority has its top bit set where the count is a majority
+        n = F.shiftrightunsigned(F.coalesce("counts", F.lit(0).cast("bigint")), 12 * k).bitwiseAND(F.lit(4095))
+        lift = (F.lit(15) - F.floor(F.least(n, F.lit(31)) / 2)) * F.lit(ONES)
+        lanes = F.coalesce(f"s{k}", F.lit(0).cast("bigint")).bitwiseAND(F.lit((1 << 60) - 1))
+        fp = fp.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lanes + lift, LANE - 1).bitwiseAND(F.lit(ONES)), k))
+    return counted.select(*own[1:], fp.alias("fp"), F.coalesce("counts", F.lit(0).cast("bigint")).alias("counts"))
+
+
+def _keys() -> Column:
+    """Hashes of the sets of blocks on which a line ``(fp, counts)`` is joined, null where they hold too few words."""
+    n = [F.shiftrightunsigned("counts", 12 * k).bitwiseAND(F.lit(4095)) for k in range(BLOCKS)]
+    total = sum(n[1:], n[0])
+
+    def some(agree: int, least: int) -> list[Column]:
+        sets = list(combinations(range(BLOCKS), agree))
+        return [F.when(sum((n[k] for k in set_[1:]), n[set_[0]]) >= least, F.xxhash64(F.lit(sum(1 << k for k in set_)), F.col("fp").bitwiseAND(F.lit(sum(ONES << k for k in set_))))) for set_ in sets]
+
+    three, two = some(3, 2), some(2, 3)
+    return F.when(total < 8, F.array(*three)).when(total > 12, F.array(*two)).otherwise(F.array(*three, *two))
 
 
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
@@ -94,79 +110,114 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> Data
     return met.filter(F.expr("getbit(_b, cast(_s % 64 as int)) = 1")).select(rows.columns)
 
 
-def candidates(lines: DataFrame, blocks: int = BLOCKS, small: int = SMALL) -> DataFrame:
-    """Pairs ``(a, b)`` of ``lines(node, fp)`` in a common bucket whose fingerprints differ in at most BITS bits."""
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-
-    rows = lines.select("node", "fp", F.explode(_keys(blocks, blocks - BITS)).alias("key"))
-    buckets = stored(counted(rows), "line-buckets")
-    shared = stored(with_group(maybe_in(rows, buckets, "key"), buckets, "key"), "line-shared")
-    few = shared.filter(F.col("n") <= small).select("key", "node", "fp")
-    other = few.select("key", F.col("node").alias("b"), F.col("fp").alias("b_fp"))
-    pairs = few.join(other, "key").filter(F.col("node") > F.col("b")).filter(_near("fp", "b_fp")).select("node", "b")
-    many = shared.filter(F.col("n") > small).select("node", "fp", "b")
-    finer = F.flatten(F.array(*[_keys(blocks, k) for k in range(blocks - BITS + 1, blocks + 1)]))
-    again = many.select("node", "fp").distinct().select("node", "fp", F.explode(finer).alias("key"))
-    for star in (many, with_group(again, counted(again), "key")):
-        pairs = pairs.unionByName(star.filter(F.col("node") > F.col("b")).select("node", "b"))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, norm, c1, c2)`` of each line with letters or digits; equal lines have equal c1 and c2."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = lines.select("doc_id", "line_no", F.explode(F.array(normalised(F.col("line")))).alias("norm")).filter("norm != ''")
-    return norm.select("*", F.xxhash64("norm").alias("c1"), F.xxhash64(F.lit(1), "norm").alias("c2"))
-
-
-def place() -> Column:
-    """(doc_id, line_no) as one number of that order; a null id comes first."""
-    doc = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), F.lit("-9223372036854775809").cast("decimal(38,0)"))
-    return (doc * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no").cast("decimal(11,0)")).cast("decimal(38,0)")
-
-
-def line_facts(docs: DataFrame) -> DataFrame:
-    """``(c1, c2, place, doc_id, line_no, fp)`` of each occurrence."""
-    hashed = occurrences(docs).select("c1", "c2", place().alias("place"), "doc_id", "line_no", word_hashes().alias("hashes"))
-    return hashed.select("c1", "c2", "place", "doc_id", "line_no", simhash().alias("fp"))
-
-
-def line_groups(docs: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, blocks: int = BLOCKS, small: int = SMALL) -> DataFrame:
+def _possible(similarity: float, bits: int) -> Column:
+    """Whether lengths and fingerprints of x and y leave room for the similarity."""
+    return (F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * similarity) & ((F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= bits) | (F.greatest("x_size", "y_size") <= SHORT))
+
+
+def shared_buckets(lines: DataFrame) -> DataFrame:
+    """``(key, node, fp, size, b, b_fp, b_size)`` of ``lines(node, fp, counts, size)`` in buckets of several lines; b is the bucket's least."""
+    rows = lines.select("node", "fp", "size", F.explode(_keys()).alias("key")).filter("key is not null")
+    many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
+    rows = maybe_in(rows, many, "key")
+    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.min_by("fp", "node").alias("b_fp"), F.min_by("size", "node").alias("b_size"), F.max("node").alias("_last"))
+    return stored(with_group(rows, least.filter("b < _last").drop("_last"), "key"), "line-shared")
+
+
+def first_pairs(shared: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a line and its bucket's least."""
+    sides = shared.filter(F.col("node") > F.col("b")).select(F.col("node").alias("a"), "b", F.col("fp").alias("x_fp"), F.col("size").alias("x_size"), F.col("b_fp").alias("y_fp"), F.col("b_size").alias("y_size"))
+    return sides.filter(_possible(similarity, bits)).select("a", "b").distinct()
+
+
+def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket that are in other groups of ``roots(node, root)``. The rows of a bucket's most
+    frequent group meet the others alone, so a group that is joined already costs work in proportion to its size.
+    Of buckets with the same lines one is enough."""
+    rows = stored(shared.select("key", "node", "fp", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "line-rooted")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in (0, 1)]
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), *marks)
+    sizes = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("groups"), F.sum("n").alias("n"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)])
+    once = sizes.filter("groups > 1 and n > 2").groupBy("mark0", "mark1", "n").agg(F.min("key").alias("key"), F.first("major").alias("major"))  # pairs of two have met
+    met = stored(with_group(rows, stored(once.select("key", "major"), "line-mixed"), "key"), "line-met")
+    side = lambda of, c: of.select("key", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "fp", "size")])
+    pairs = side(met.filter("root != major"), "x").join(side(met, "y"), "key").filter((F.col("x_root") != F.col("y_root")) & _possible(similarity, bits))
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
+def _middle(words: str, front: Column, back: Column, long: Column) -> Column:
+    """The words between the first ``front`` and the last ``back``, each with a space after it; of ``long`` lines each
+    word as one character, of 20,000 by its hash."""
+    kept = F.slice(F.col(words), front + 1, F.greatest(F.size(words) - front - back, F.lit(0)))
+    spelled = F.concat(F.array_join(kept, " "), F.when(F.size(kept) > 0, " ").otherwise(""))
+    codes = F.array_join(F.transform(kept, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00)), "")
+    return F.when(long, F.decode(F.unhex(codes), "UTF-16BE")).otherwise(spelled)
+
+
+def alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b, x, y)`` whose lines of words x and y have the edit similarity, counted in characters, or in
+    words where one has more than ``LONG`` (a distance costs the product of the two lengths). Equal words at both ends are
+    cut off first, which leaves the distance as it is; small distances are tried before large ones, which cost more."""
+    length = lambda c: F.char_length(F.array_join(c, " "))
+    once = lambda **columns: F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")  # noqa: E731  filters are not pushed below a generator
+
+    def equal(one: Column, two: Column) -> Column:
+        at = F.array_position(F.zip_with(one, two, lambda p, q: p.eqNullSafe(q)), False)
+        return F.when(at > 0, at - 1).otherwise(F.size(one)).cast("int")
+
+    long = F.greatest(F.size("x"), F.size("y")) > LONG
+    most = F.floor(F.when(long, F.greatest(F.size("x"), F.size("y"))).otherwise(F.greatest(length("x"), length("y"))) * (1 - similarity) + 1e-9).cast("int")
+    rows = pairs.select("a", "b", "x", "y", once(long=long, most=most, front=equal(F.col("x"), F.col("y")), back=equal(F.reverse("x"), F.reverse("y")))).select("a", "b", "x", "y", "made.*")
+    back = F.least(F.col("back"), F.least(F.size("x"), F.size("y")) - F.col("front"))
+    rows = rows.select("a", "b", "most", once(**{c: _middle(c, F.col("front"), back, F.col("long")) for c in ("x", "y")})).select("a", "b", "most", "made.*")
+    rows = rows.filter("abs(char_length(x) - char_length(y)) <= most")
+    within = lambda k: F.expr(f"levenshtein(x, y, least({k}, most)) >= 0")
+    small = F.when(within(16), True)
+    for k in (64, 256, 1024, 4096):  # each step tried only where the distance may be larger still
+        small = small.when(F.col("most") <= k // 4, False).when(within(k), True)
+    return rows.filter(small.when(F.col("most") <= 4096, False).otherwise(within("most"))).select("a", "b")
+
+
+def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """``(c1, c2, keep)``: for each line of a group with something to drop, the place of the occurrence that stays."""
-    distinct = facts.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp"))
+    least = [F.min(c).alias(c) for c in ("fp", "counts", "size")]
+    distinct = facts.groupBy("c1", "c2").agg(F.min(place()).alias("first"), F.count("*").alias("n"), *least)
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "*"), "lines")  # the node numbers are fixed from here on
-    pairs = candidates(distinct.select("node", "fp"), blocks, small)
-    side = lambda node, fp: distinct.select(F.col("node").alias(node), F.col("fp").alias(fp))
-    pairs = stored(pairs.join(side("a", "fa"), "a").join(side("b", "fb"), "b").filter(_near("fa", "fb")).select("a", "b"), "line-pairs")
-    wanted = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "c1", "c2")
-    wanted = stored(wanted, "line-wanted")
-    found = maybe_in(occurrences(docs).select("c1", "c2", "norm"), wanted, "c1")
-    texts = stored(found.join(wanted, ["c1", "c2"]).groupBy("node").agg(F.min("norm").alias("norm")), "line-texts")
-    longer, shorter = (f(F.char_length("x"), F.char_length("y")) for f in (F.greatest, F.least))
-    text = lambda node, norm: texts.select(F.col("node").alias(node), F.col("norm").alias(norm))
-    both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b")
-    close = both.filter(shorter >= longer * similarity).withColumn("most", F.floor(longer * (1 - similarity) + 1e-9).cast("int")).filter("levenshtein(x, y, most) >= 0")
-    roots = stored(components(stored(close.select("a", "b"), "line-links")), "line-roots")
-    member = distinct.drop("fp").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
+    shared = shared_buckets(distinct.select("node", "fp", "counts", "size"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "c1", "c2")
+        wanted = stored(wanted, "line-wanted")
+        found = maybe_in(lines.select("c1", "c2", "words"), wanted, "c1")
+        texts = stored(found.join(wanted, ["c1", "c2"]).groupBy("node").agg(F.first("words").alias("words")), "line-texts")
+        text = lambda node, words: texts.select(F.col("node").alias(node), F.col("words").alias(words))
+        return stored(alike(pairs.join(text("a", "x"), "a").join(text("b", "y"), "b"), similarity), "line-links")
+
+    first = stored(first_pairs(shared, similarity, bits), "line-pairs")
+    links = verified(first)
+    roots = stored(components(links), "line-roots")
+    more = stored(other_pairs(shared, roots, similarity, bits).join(first, ["a", "b"], "left_anti"), "line-pairs")
+    if not more.isEmpty():
+        roots = stored(components(links.unionByName(verified(more))), "line-roots")
+    member = distinct.drop("fp", "counts", "size").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     member = stored(member, "line-members")
     return with_group(member, member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("c1", "c2", "keep")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_lines, n_kept, text)`` of each row of ``docs(doc_id, text)``, text without the dropped lines."""
-    facts = stored(line_facts(docs), "line-facts")
-    groups = stored(line_groups(docs, facts, **options), "line-groups")
+    lines = stored(occurrences(docs), "line-words")
+    facts = stored(line_facts(lines), "line-facts")
+    groups = stored(line_groups(lines, facts, **options), "line-groups")
     # a line may be a large share of all: the join's exchanges are its own, so Spark splits them
     gone = (
-        facts.drop("fp").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
-        .filter("place != keep").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+        facts.drop("fp", "counts", "size").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
+        .filter(place() != F.col("keep")).groupBy(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).agg(F.collect_set("line_no").alias("gone"))
     )
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_copy")), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, k: ~F.array_contains("gone", k))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))  # by a hash set, in order
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return rows.select("doc_id", n.cast("bigint").alias("n_lines"), (n - F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))).cast("bigint").alias("n_kept"), text.alias("text"))

@@ -10,10 +10,9 @@ from conftest import words
 
 from sitegauge.llm import token_ids as ti
 from sitegauge.llm.common import shingles, word_hashes
-from sitegauge.llm.decontaminate import Index, contaminated, decontaminate, question_answer
-from sitegauge.llm.line_dedup import dedup_lines
+from sitegauge.llm.decontaminate import SEGMENT, Index, _shards, contaminated, decontaminate, question_answer
 from sitegauge.llm.token_counts import default_model, parts, token_counts
-from sitegauge.llm.toxicity import held_out, toxicity, without_toxic
+from sitegauge.llm.toxicity import held_out, toxicity, train, without_toxic
 
 ODD = [(1, None), (2, ""), (3, "Hello, World! <s> it's  é́ 日本語\t x"), (3, "Hello, World! <s> it's  é́ 日本語\t x"), (None, "a b"), (5, "word " * 40000), (6, "x" * 3000), (7, "<|endoftext|> <|EndOfText|> A. b")]
 
@@ -67,7 +66,7 @@ def test_token_id_files_of_several_tasks(spark, docs, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
         hadoop.unset("parquet.block.row.count.limit")
-    files = [f for _, _, names in os.walk(tmp_path / "many" / "ids") for f in names if f.endswith(".tid")]
+    files = [f for _, _, names in os.walk(tmp_path / "many" / "ids") for f in names if f.startswith("part-")]
     assert len(files) > 1
     got = sorted(ti.read_token_ids(spark, f"file://{tmp_path}/many").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == list(range(60))
@@ -95,6 +94,15 @@ def test_encoder_is_the_library(tmp_path):
         assert sizes.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
 
 
+def test_long_texts_score_as_in_one_run():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 1 << 16, (n, 3)).astype(np.int32) for n in (50, 61, 33, 40) * 20]
+    model = train(texts, np.arange(80) % 2, np.zeros(80, int), epochs=1)
+    for n in (0, 1, 2, 3, 10, 11, 12, 13, 400):
+        ids = rng.integers(0, 1 << 16, (n, 3)).astype(np.int32)
+        assert model.long_raw(ids, model.tables(), 10) == pytest.approx(model.raw(ids, np.array([0, n]), model.tables())[0])
+
+
 def test_toxicity(spark, docs):
     good = [(i, " ".join(words(i, 40)), "en", "s") for i in range(400)]
     bad = [(i, " ".join([*words(i, 20), ["idiotic", "scumbag"][i % 2], *words(i + 1, 20)]), "en", "s") for i in range(400, 600)]
@@ -144,6 +152,35 @@ def test_one_changed_word_anywhere(spark, sf):
     assert tried > 100
 
 
+def test_possible_misses_no_passage():
+    """Every passage that scores the threshold for some segment is among those that are searched."""
+    rng = np.random.default_rng(6)
+    vocabulary = words(6, 80)
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 130)))) for i in range(40)]
+    index = Index(items)
+    texts = [" ".join([*rng.choice(vocabulary, rng.integers(0, 150)), *items[i % 40][1].split()[: rng.integers(1, 130)], *words(i, 40)]) for i in range(80)] + ["", "x"]
+    hashed, where = word_hashes(pa.array(texts))
+    terms = index.lookup(hashed)
+    got = set(zip(*(x.tolist() for x in index.possible(terms, where))))
+    seen = 0
+    for d in range(len(texts)):
+        for begin in range(int(where[d]), max(int(where[d]) + 1, int(where[d + 1]) - SEGMENT), SEGMENT):
+            own = set(terms[begin : min(begin + 2 * SEGMENT, int(where[d + 1]))].tolist()) - {-1}
+            total = {}
+            for t in own:
+                for s, v in zip(index.segs[t], index.weights[t]):
+                    total[s] = total.get(s, 0) + v
+            if max(total.values(), default=0) >= index.threshold:
+                seen += 1
+                assert (d, begin) in got
+    assert seen > 40
+
+
+def test_repeated_items_do_not_share_a_shard(docs):
+    bench = docs([]).sparkSession.createDataFrame([(7, BENCH[0][1], "x")] * 9, "item_id bigint, text string, score string")
+    assert sorted(len(i.items) for i in _shards(bench, 2, 0.5)) == [1, 2, 2, 2, 2]
+
+
 def test_wand_is_the_plain_sum():
     rng = np.random.default_rng(2)
     vocabulary = words(5, 60)
@@ -157,41 +194,3 @@ def test_wand_is_the_plain_sum():
         for threshold in (0.3, 0.5, 0.7):
             assert {s for s, _ in index.search(terms, threshold)} == {s for s, v in total.items() if v >= threshold - 1e-9}
     assert question_answer("One? Two. Three") == ("One? Two. ", "Three")
-
-
-def test_line_dedup(docs):
-    long = words(9, 120)
-    near = " ".join([*long[:60], long[60] + "x", *long[61:]])
-    rows = [(2, "Keep me first.\n" + " ".join(long) + "\n---\n"), (5, "keep ME first\n" + near.upper() + "\n---\nother unique line here"), (7, None), (8, ""), (9, "***"), (None, "null id line of some words\nkeep me first"), (11, "null id line of some words")]
-    got = {r.doc_id: r for r in dedup_lines(docs(rows)).collect()}
-    assert got[None].n_kept == 2 and got[2].text == " ".join(long) + "\n---\n" and got[2].n_lines == 4 and got[2].n_kept == 3
-    assert got[5].text in ("---\nother unique line here", near.upper() + "\n---\nother unique line here")
-    assert got[7].text is None and got[7].n_lines == 0 and got[8].text == "" and got[9].text == "***" and got[11].text == ""
-    assert dedup_lines(docs([])).collect() == []
-
-
-def test_line_links_against_all_pairs(spark, docs):
-    """Every pair of lines whose fingerprints are near and texts alike ends in one group; large buckets find most."""
-    import duckdb
-
-    from sitegauge.llm.line_dedup import line_facts, line_groups, occurrences
-
-    base = [words(s, 60) for s in range(12)]
-    rows = [(100 * s + k, " ".join([*b[:k], "qq", *b[k + 1 :]])) for s, b in enumerate(base) for k in range(8)]
-    table = docs(rows)
-    facts = line_facts(table)
-    fp = {(r.c1, r.c2): r.fp for r in facts.collect()}
-    lines = {(r.c1, r.c2): r.norm for r in occurrences(table).collect()}
-    shares = []
-    for small in (64, 2):
-        keep = {(r.c1, r.c2): r.keep for r in line_groups(table, facts, small=small).collect()}
-        links = held = 0
-        for i, a in enumerate(lines):
-            for b in list(lines)[:i]:
-                if bin(fp[a] ^ fp[b]).count("1") <= 3:
-                    d = duckdb.sql(f"SELECT levenshtein('{lines[a]}', '{lines[b]}')").fetchall()[0][0]
-                    if 1 - d / max(len(lines[a]), len(lines[b])) >= 0.8:
-                        links += 1
-                        held += keep.get(a, a) == keep.get(b, b)
-        shares.append(held / links)
-    assert shares[0] == 1 and shares[1] > 0.8
