@@ -164,13 +164,16 @@ def cells(shared: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
 
     The rows of a bucket's most frequent root never meet each other, so that a group which is joined
     already costs work in proportion to its size. Rows are cut into blocks of about ``cell``; each two
-    blocks of the others make a cell, and so do each block of the others and each of the frequent root.
+    blocks of the others make a cell, and so do each block of the others and each of the frequent root. Of buckets with the same nodes one is enough.
     Pairs count in a cell if their sides differ or are -1.
     """
     rows = stored(shared.join(roots, "node", "left").select("node", "k1", F.coalesce("root", "node").alias("root")), "rooted")
-    sizes = rows.groupBy("k1", "root").agg(F.count("*").alias("n")).groupBy("k1").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("many"), F.sum("n").alias("all"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"mark{k}") for k in (0, 1)]
+    sizes = rows.groupBy("k1", "root").agg(F.count("*").alias("n"), *marks).groupBy("k1").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("many"), F.sum("n").alias("all"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)])
     blocks = lambda n: F.ceil(F.col(n) / cell).cast("int").alias(n)
-    plan = sizes.withColumn("few", F.col("all") - F.col("many")).filter("few > 0").select("k1", "major", blocks("many"), blocks("few"))
+    mixed = sizes.withColumn("few", F.col("all") - F.col("many")).filter("few > 0")
+    once = mixed.groupBy("mark0", "mark1", "all").agg(F.min("k1").alias("k1"), F.first("major").alias("major"), F.first("many").alias("many"), F.first("few").alias("few"))
+    plan = once.select("k1", "major", blocks("many"), blocks("few"))
     met = with_group(rows, stored(plan, "cells"), "k1")
     own = F.col("root") == F.col("major")
     at = F.pmod(F.xxhash64("node"), F.when(own, F.col("many")).otherwise(F.col("few"))).cast("int")
