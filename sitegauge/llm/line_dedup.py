@@ -18,8 +18,8 @@ of a bucket's most frequent group among themselves. So no link within a bucket i
 
 Of each connected group the occurrence of least (doc_id, hash of the text, line number) stays, all others go.
 
-Texts are not shuffled to find the groups: the words of all lines are written once, lines travel as two
-64-bit hashes, their fingerprint and place, and only lines of candidate pairs are read again as words. Before wide joins a bitmap of fixed
+Texts are not shuffled to find the groups: lines travel as two 64-bit hashes, their fingerprint and
+place, and only lines of candidate pairs are read again as words. Before wide joins a bitmap of fixed
 size (``2**25`` bits as rows of longs, broadcast: 8 MB however much data there is) lets the rows pass
 that may have a partner; the joins that follow are exact.
 
@@ -206,7 +206,7 @@ def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARI
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, n_lines, n_kept, text)`` of each row of ``docs(doc_id, text)``, text without the dropped lines."""
-    lines = stored(occurrences(docs), "line-words")
+    lines = occurrences(docs)  # read again where words are needed: a table of them takes more disk than the input
     facts = stored(line_facts(lines), "line-facts")
     groups = stored(line_groups(lines, facts, **options), "line-groups")
     # a line may be a large share of all: the join's exchanges are its own, so Spark splits them
