@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.tables import scratch_path
 
@@ -211,6 +212,30 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner")
     )
 
 
+# ---------------------------------------------------------------- places in sorted groups
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``_pos``, the place (from 0) in its group by ``order``, and ``_n``, the group's rows.
+
+    Sorted over all tasks by range and written, so a group may hold any share of the rows; a row's number
+    then comes from its task's first number. ``group`` is never null. Rows equal in all keys are told
+    apart by where they were read, so many equal rows don't meet in one task either.
+    """
+    keys = [group, *order]
+    dealt = rows.withColumn("_salt", F.monotonically_increasing_id())
+    ordered = dealt.repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt")
+    kept = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), name)  # task << 33 | row of the task
+    task = F.shiftright("_at", 33)
+    sizes = kept.groupBy(task.alias("_task")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_task", (F.sum("_size").over(Window.orderBy("_task")) - F.col("_size")).alias("_before"))
+    # one row for each task of the sort: its size doesn't depend on the data
+    at = kept.withColumn("_task", task).join(F.broadcast(before), "_task").withColumn("_row", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    groups = at.groupBy(group).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    placed = with_group(at, groups, group).withColumn("_pos", F.col("_row") - F.col("_first"))
+    return placed.drop("_at", "_task", "_before", "_row", "_first")
+
+
 # ---------------------------------------------------------------- connected groups
 
 

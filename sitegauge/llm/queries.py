@@ -11,6 +11,7 @@ from .ann import nearest
 from .decontaminate import contaminated
 from .html_text import extract_pages
 from .line_dedup import dedup_lines
+from .merkle import document_manifest, verified
 from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .token_counts import token_counts
@@ -73,8 +74,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and whether a tampered one is found out."""
+    return verified(document_manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text)
+    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text, op13_merkle)
     return {f.__name__: f for f in found}
 
 
