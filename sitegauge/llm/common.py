@@ -215,16 +215,17 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner")
 # ---------------------------------------------------------------- places in sorted groups
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: list[str], name: str, drop: list[str] = ()) -> DataFrame:
     """``rows`` with ``_pos``, the place (from 0) in its group by ``order``, and ``_n``, the group's rows.
 
     Sorted over all tasks by range and written, so a group may hold any share of the rows; a row's number
     then comes from its task's first number. ``group`` is never null. Rows equal in all keys are told
-    apart by where they were read, so many equal rows don't meet in one task either.
+    apart by where they were read, so many equal rows don't meet in one task either. Columns of ``drop`` go
+    once the rows are sorted.
     """
     keys = [group, *order]
     dealt = rows.withColumn("_salt", F.monotonically_increasing_id())
-    ordered = dealt.repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt")
+    ordered = dealt.repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt", *drop)
     kept = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), name)  # task << 33 | row of the task
     task = F.shiftright("_at", 33)
     sizes = kept.groupBy(task.alias("_task")).agg(F.count("*").alias("_size"))

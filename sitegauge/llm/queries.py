@@ -17,6 +17,7 @@ from .near_dup import near_duplicates
 from .token_counts import token_counts
 from .token_ids import token_ids
 from .toxicity import toxicity
+from .trie import conversation_turns, prefix_trie, rebuilt
 from .warc import archive
 
 
@@ -74,13 +75,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie(*rebuilt(*conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of each document, and whether a tampered one is found out."""
     return verified(document_manifest(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text, op13_merkle)
+    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text, op11_prefix_trie, op13_merkle)
     return {f.__name__: f for f in found}
 
 
