@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .merkle import document_manifest, verified
 from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .pieces import decode, digests, encode
 from .token_counts import token_counts
 from .token_ids import token_ids
 from .toxicity import toxicity
@@ -80,13 +81,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(*conversation_turns(table(spark, sf_dir, "conversations"))))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document by its distinct chunks and the text they decode to, as digests."""
+    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of each document, and whether a tampered one is found out."""
     return verified(document_manifest(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text, op11_prefix_trie, op13_merkle)
+    found = (op1_warc, op2_order_minhash, op3_token_counts, op4_token_ids, op5_line_dedup, op6_learned_partitions, op7_mixing, op8_decontamination, op9_toxicity, op10_html_text, op11_prefix_trie, op12_pieces, op13_merkle)
     return {f.__name__: f for f in found}
 
 
