@@ -1,4 +1,4 @@
-"""SentencePiece ids of whole texts by a table of distinct chunks, and texts from ids.
+"""SentencePiece ids of whole texts by tables of distinct chunks, and texts from ids.
 
 A chunk is a marked word: a text is cut before each space that follows neither a space nor the marker
 itself and does not end the text. Where no piece of the model has its marker inside, no merge goes over
@@ -6,10 +6,12 @@ such a cut, and as the model's normalizer leaves texts as they are and puts a ma
 encodes alone as it does in the text. Both are read off the model's file; if either fails, whole texts
 are the chunks, and the rest goes the same way.
 
-Texts are taken in runs of about ``run_bytes``. A run is stored as its distinct chunks and, for each text,
-the numbers of its chunks. The chunks of all runs are then sorted together, so each distinct chunk is
-segmented once, and its ids go back to the runs that hold it; there a text's ids are looked up by position. A
-chunk meets a run once, however common it is.
+Texts are taken in runs of about ``run_bytes`` (a longer text is a run of its own). A run becomes a table of its
+distinct chunks and, for each text, the numbers of its chunks by position; the library segments each
+distinct chunk once, and the ids are joined back by position. Runs stay where they were read: nothing is
+shuffled, a lost task is done again from its input, and a task holds one run. One table for the whole
+corpus was built first: its rows, one for each chunk and run, and the numbers of all positions
+take more disk on their way than the texts do (see the README).
 
 Cases: null is the empty text, which has no ids; every row gives a row, repeated ones too; a text without
 spaces is one chunk, of any length; other columns are ignored; an empty table gives an empty result.
@@ -24,12 +26,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
 from .token_counts import default_model
 
 MARK = "▁"
@@ -63,97 +63,55 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([plain, rest]), np.concatenate([places[~flags], places[flags]])
 
 
-def _run(ids: pa.Array, texts: pa.Array, cut: bool, number: int) -> pa.RecordBatch:
-    if cut:
-        parts, order = chunks(texts)
-        ids = ids.take(pa.array(order))
-    else:
-        parts = pa.array([[t] if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
-    distinct = parts.flatten().dictionary_encode()
-    codes = distinct.indices.to_numpy().astype(np.uint32)
-    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    counts = pc.list_value_length(parts)
-    packed = pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(codes) else b""
-    return pa.record_batch([pa.array([number]), whole(ids), whole(counts), pa.array([packed], pa.binary()), whole(distinct.dictionary)], ["run", "doc_ids", "counts", "codes", "words"])
-
-
-def _unpacked(codes: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
-    planes = np.frombuffer(pa.decompress(codes, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Ids of each sorted chunk; the library sees each distinct one once."""
-    sp, _ = _model(path)
-    word, ids = None, []
-    for batch in batches:
-        words = batch.column("word").to_pylist()
-        new = [i for i in range(len(words)) if words[i] != (words[i - 1] if i else word)]
-        found = sp.encode([words[i] for i in new], num_threads=1)
-        if not new or new[0]:
-            found, new = [ids, *found], [0, *new]
-        which = np.repeat(np.arange(len(new)), np.diff([*new, len(words)]))
-        flat = np.fromiter(chain.from_iterable(found), np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
-        word, ids = words[-1], found[-1]
-        yield pa.record_batch([batch.column("run"), batch.column("code"), lists.take(pa.array(which))], ["run", "code", "ids"])
-
-
-def _joined(run: pa.Table, pieces: pa.Table) -> pa.Table:
-    """The ids of a run's texts, from those of its chunks."""
-    run = run.combine_chunks()
-    counts = run.column("counts").chunk(0).flatten().to_numpy()
-    codes = _unpacked(run.column("codes")[0].as_py(), int(counts.sum()))
-    place = np.zeros(pieces.num_rows, np.int64)
-    place[pieces.column("code").to_numpy()] = np.arange(pieces.num_rows)
-    lists = pieces.column("ids").combine_chunks() if pieces.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    at = place[codes]
-    lengths = offsets[at + 1] - offsets[at]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    ids = flat[np.repeat(offsets[at] - ends[:-1], lengths) + np.arange(ends[-1])] if len(codes) else np.zeros(0, np.int32)
-    texts = ends[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table([run.column("doc_ids").chunk(0).flatten(), pa.ListArray.from_arrays(pa.array(texts, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def encode_run(texts: pa.Array, path: str) -> tuple[pa.ListArray, np.ndarray]:
+    """Ids of the texts of one run, and which text each list belongs to."""
+    sp, cut = _model(path)
+    parts, order = chunks(texts) if cut else (pa.array([[t] if t else [] for t in texts.to_pylist()], pa.list_(pa.string())), np.arange(len(texts)))
+    table = parts.flatten().dictionary_encode()
+    found = sp.encode(table.dictionary.to_pylist(), num_threads=1)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    at = table.indices.to_numpy()  # the chunk at each position
+    ends = np.concatenate([[0], np.cumsum(sizes[at])])
+    ids = flat[np.repeat(begins[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+    counts = pc.list_value_length(parts).to_numpy()
+    return _lists(ids, ends[np.concatenate([[0], np.cumsum(counts)])]), order
 
 
 def encode(docs: DataFrame, model: str | None = None, run_bytes: int = 1 << 24) -> DataFrame:
     """``(doc_id, ids)`` of each row of ``docs(doc_id, text)``: the library's ids without begin and end."""
     path = model or default_model()
-    kind = docs.schema["doc_id"].dataType
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, number = _model(path)[1], TaskContext.get().partitionId() << 33
+    def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, order = encode_run(table.column("text"), path)
+        return pa.record_batch([table.column("doc_id").take(pa.array(order)), ids], ["doc_id", "ids"])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            return _run(table.column("doc_id").chunk(0), table.column("text").chunk(0), cut, number)
-
         for batch in batches:
             sizes = np.cumsum(np.asarray(pc.binary_length(batch.column("text")), np.int64))
             start = 0
             while start < len(sizes):
-                before = sizes[start - 1] if start else 0
+                before = int(sizes[start - 1]) if start else 0
                 end = min(int(np.searchsorted(sizes, before + run_bytes - size)) + 1, len(sizes))
                 held.append(batch.slice(start, end - start))
-                size += int(sizes[end - 1] - before)
+                size += int(sizes[end - 1]) - before
                 start = end
                 if size >= run_bytes:
-                    yield close()
-                    held, size, number = [], 0, number + 1
+                    yield run(held)
+                    held, size = [], 0
         if held:
-            yield close()
-
-    schema = T.StructType().add("run", T.LongType()).add("doc_ids", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", T.BinaryType()).add("words", T.ArrayType(T.StringType()))
-    runs = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut_up, schema), "runs", "zstd")
-    words = runs.select("run", F.posexplode("words").alias("code", "word"))
-    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encoded(b, path), "run bigint, code int, ids array<int>")
-    out = T.StructType().add("doc_id", kind).add("ids", T.ArrayType(T.IntegerType()))
-    return runs.drop("words").groupBy("run").cogroup(pieces.groupBy("run")).applyInArrow(_joined, out)
+            yield run(held)
+
+    out = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encoded, out)
 
 
 def decode(ids: DataFrame, model: str | None = None) -> DataFrame:
