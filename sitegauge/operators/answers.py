@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wilson
+from ..functions.urls import url_key
 
 
 def blanked(col: str = "text") -> Column:
@@ -66,9 +67,40 @@ def citations_by_page(citations: DataFrame, answers: int, n: int = 30) -> DataFr
     return rows.withColumn("rate", F.round(F.col("answers") / answers, 4)).orderBy(F.desc("answers"), "url").limit(n)
 
 
-def vote_samples(samples: DataFrame) -> DataFrame:
-    """Samples folded per (run, prompt, provider): a majority is half of the valid ones, rounded up; errors never vote."""
-    valid, cited = F.count_if(F.col("outcome") != "error"), F.count_if(F.col("outcome") == "cited")
-    rows = samples.groupBy("run_date", "prompt_id", "provider").agg(valid.alias("valid"), cited.alias("cited"), F.count_if(F.col("outcome") == "not_configured").alias("off"), F.count("*").alias("samples"))
-    state = F.when(F.col("off") == F.col("samples"), "not_configured").when(F.col("valid") == 0, "error").when(F.col("cited") == 0, "not_cited").when(F.col("cited") >= F.ceil(F.col("valid") / 2), "cited").otherwise("mixed")
-    return rows.select("run_date", "prompt_id", "provider", "valid", "cited", state.alias("state"))
+_RUN = ["run_date", "prompt_id", "provider"]
+_VALID = "outcome IN ('cited', 'not_cited')"
+
+
+def vote_samples(samples: DataFrame, target: str = "") -> DataFrame:
+    """Samples ``(run_date, prompt_id, provider, sample_id, outcome, citations)`` folded per (run, prompt, provider).
+
+    Only samples that were configured and free of errors are valid: a majority is half of those, rounded up.
+    ``citation_urls`` are the valid samples' citations of ``target``, one for each identity, sorted.
+    """
+    counts = F.count_if(F.expr(_VALID)).alias("valid"), F.count_if(F.col("outcome") == "cited").alias("cited"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count_if(F.col("outcome") != "not_configured").alias("on")
+    rows = samples.groupBy(*_RUN).agg(*counts)
+    state = F.when(F.col("on") == 0, "not_configured").when(F.col("valid") == 0, "error").when(F.col("cited") == 0, "not_cited").when(F.col("cited") >= F.ceil(F.col("valid") / 2), "cited").otherwise("mixed")
+    rows = rows.select(*_RUN, "valid", "cited", "errors", state.alias("state"))
+    none = F.array().cast("array<string>")
+    if "citations" not in samples.columns:
+        return rows.withColumn("citation_urls", none)
+    urls = cited_identities(samples, target).groupBy(*_RUN).agg(F.array_sort(F.collect_list("identity")).alias("citation_urls"))
+    return rows.join(urls, _RUN, "left").withColumn("citation_urls", F.coalesce("citation_urls", none))
+
+
+def cited_identities(samples: DataFrame, target: str) -> DataFrame:
+    """``(run_date, prompt_id, provider, key, identity)``: what valid samples cite of the target's host or its subdomains.
+
+    A citation is known by its address if that is the target's, else by its title (some assistants cite
+    redirects that change with each run and carry the domain as title). Of equal keys the first one stays, by
+    sample, then by place.
+    """
+    own = F.lit(re.sub(r"^www\.", "", target.lower()))
+    within = lambda host: (host != "") & ((host == own) | host.endswith(F.concat(F.lit("."), own)))
+    folded = lambda c: F.regexp_replace(F.regexp_replace(F.when(F.contains(c, F.lit("//")), F.lower(F.regexp_extract(c, "//([^/?#]*)", 1))).otherwise(F.lower(c)), r"^www\.", ""), "/+$", "")
+    cited = samples.filter(_VALID).select(*_RUN, "sample_id", F.posexplode("citations").alias("pos", "c"))
+    cited = cited.select(*_RUN, "sample_id", "pos", F.trim(F.coalesce("c.url", F.lit(""))).alias("url"), F.trim(F.coalesce("c.title", F.lit(""))).alias("title"))
+    at_url = within(folded(F.col("url")))
+    identity = F.when(at_url & F.contains("url", F.lit("//")), F.col("url")).otherwise(F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url")))
+    rows = cited.filter(at_url | within(folded(F.col("title")))).withColumn("identity", identity).withColumn("key", url_key("identity"))
+    return rows.groupBy(*_RUN, "key").agg(F.min_by("identity", F.struct("sample_id", "pos")).alias("identity"))

@@ -39,8 +39,8 @@ def complete_snapshots(pages: DataFrame, meta: DataFrame) -> DataFrame:
     return pages.join(meta.select("crawl_id"), "crawl_id", "left_semi")
 
 
-def paired(prev: DataFrame, cur: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    by = [*keys(prev, cur), "key"]
+def paired(prev: DataFrame, cur: DataFrame, columns: list[str], how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    by = [*keys(prev, cur), *more, "key"]
     p = prev.select(*by, *[F.col(c).alias(f"p_{c}") for c in columns])
     return cur.select(*by, *columns).join(p, by, how)
 
@@ -48,25 +48,36 @@ def paired(prev: DataFrame, cur: DataFrame, columns: list[str], how: str = "inne
 _FIELDS = ["url", "status", "error_type", "meta_robots", "x_robots_tag", "canonical"]
 
 
-def crawl_regressions(prev: DataFrame, cur: DataFrame) -> DataFrame:
-    """What got worse on pages of both crawls (keyed by ``key``)."""
-    both = paired(prev.withColumn("noindex", is_noindex()), cur.withColumn("noindex", is_noindex()), [*_FIELDS, "noindex"])
+def crawl_regressions(prev: DataFrame, cur: DataFrame, pair: tuple[str, ...] = ()) -> DataFrame:
+    """What got worse on pages of both crawls (keyed by ``key``); ``pair`` are the columns that tell several
+    pairs of crawls apart, equal on both sides."""
+    own = (*keys(prev, cur), *pair)
+    both = paired(prev.withColumn("noindex", is_noindex()), cur.withColumn("noindex", is_noindex()), [*_FIELDS, "noindex"], more=pair)
     was_ok = (F.col("p_status") == 200) & (F.col("p_error_type") == "")
     old, new = F.coalesce("p_canonical", F.lit("")), F.coalesce("canonical", F.lit(""))
     cross = (new != "") & (host_key(new) != host_key("url"))
     failed = F.col("error_type") != ""
     return findings(
-        both.select(*keys(prev, cur), *[c for c in both.columns if c != "site"]),
+        both.select(*own, *[c for c in both.columns if c not in own]),
         (~F.col("p_noindex") & F.col("noindex"), "new_noindex", "critical", F.lit("")),
         (was_ok & failed, "fetch_error", "medium", F.col("error_type")),
         (was_ok & ~failed & (F.col("status") != 200), "status_code_regression", F.when(F.col("status") >= 500, "critical").otherwise("high"), F.col("status")),
         ((old != new) & cross, "cross_domain_canonical", "critical", new),
         ((old != new) & ~cross & (old != "") & (new == ""), "canonical_removed", "medium", old),
         ((old != new) & ~cross & (old != "") & (new != "") & (url_key(old) != url_key(new)), "canonical_changed", "medium", new),
-        keep=(*keys(prev, cur), "url"),
+        keep=(*own, "url"),
     )
 
 
+def snapshot_regressions(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``crawl_regressions`` of all ``pairs(crawl_id, baseline)`` at once: each pair is a key that its two snapshots of
+    ``pages`` (one row for each crawl and key) take on, so one snapshot may serve several pairs."""
+    pages = pages.drop("site")  # a crawl is of one site
+    cur = pages.join(pairs.select("crawl_id"), "crawl_id")
+    prev = pages.withColumnRenamed("crawl_id", "baseline").join(pairs.select("crawl_id", "baseline"), "baseline").drop("baseline")
+    return crawl_regressions(prev, cur, ("crawl_id",))
+
+
 def pages_disappeared(prev: DataFrame, cur: DataFrame, truncated: bool = False) -> DataFrame:
     """Indexable before, absent now. Nothing is said if either crawl was cut off."""
     by = keys(prev, cur)
@@ -117,11 +128,13 @@ def referring_domain_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
 
 
 def missing_streaks(runs: DataFrame) -> DataFrame:
-    """Runs in a row, up to the last, in which a key of ``(key, run)`` has been absent."""
-    numbers = runs.select("run").distinct()
-    last = numbers.agg(F.max("run").alias("last"))
-    seen = runs.groupBy("key").agg(F.max("run").alias("seen"))
-    return seen.crossJoin(F.broadcast(last)).join(F.broadcast(numbers), F.col("run") > F.col("seen"), "left").groupBy("key").agg(F.count("run").alias("streak"))
+    """Runs in a row, up to the last, in which a key of ``(key, run)`` has been absent: the number of runs (of its site)
+    after the last one that saw it. Runs are ranked by themselves, then met by equality."""
+    by = keys(runs)
+    numbers = runs.select(*by, "run").distinct()
+    later = numbers.select(*by, F.col("run").alias("seen"), (F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("run"))) - 1).cast("bigint").alias("streak"))
+    seen = runs.groupBy(*by, "key").agg(F.max("run").alias("seen"))
+    return seen.join(later, [*by, "seen"]).select(*by, "key", "streak")
 
 
 def citation_changes(history: DataFrame) -> DataFrame:
@@ -133,18 +146,24 @@ def citation_changes(history: DataFrame) -> DataFrame:
     change = (
         F.when(p.isNull(), "baseline").when((s == "error") | (p == "error"), "indeterminate").when((p == "not_configured") & (s != "not_configured"), "newly_configured").when((p != "not_configured") & (s == "not_configured"), "no_longer_configured")
         .when((p == "not_cited") & cited, "newly_cited").when(p.isin("cited", "mixed") & (s == "not_cited"), "possible_loss").when((s == "not_cited") & (p == "not_cited") & pp.isin("cited", "mixed"), "confirmed_loss")
-        .when((s == p) & cited & (F.size(F.array_except("urls", "pu")) > 0), "cited_other_pages").when(s == p, "unchanged").otherwise("state_changed")
+        .when((s == p) & cited & (F.size(F.array_except(F.transform("urls", url_key), F.transform("pu", url_key))) > 0), "cited_other_pages").when(s == p, "unchanged").otherwise("state_changed")
     )
     return rows.select("run_date", "prompt_id", "provider", "state", change.alias("change"))
 
 
 def text_changes(prev: DataFrame, cur: DataFrame, most: int = 40) -> DataFrame:
-    """Documents whose text changed, with the number of added and removed sentences (as multisets)."""
+    """Documents whose text changed: how many sentences were added and removed (as multisets), and the first ``most``
+    different ones of each, in order of the text. Further ones are ranked away before lists are made."""
     p, c = prev.select("doc_id", F.col("text").alias("old")), cur.select("doc_id", F.col("text").alias("new"))
     both = p.join(c, "doc_id").filter(F.md5("old") != F.md5("new"))
-    cut = lambda col: F.explode(F.split(col, r"\. "))
-    votes = both.select("doc_id", cut("new").alias("s"), F.lit(1).alias("n")).unionByName(both.select("doc_id", cut("old").alias("s"), F.lit(-1).alias("n"))).groupBy("doc_id", "s").agg(F.sum("n").alias("n"))
-    return votes.filter("n != 0").groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+    cut = lambda col, n: both.select("doc_id", F.posexplode(F.split(col, r"\. ")).alias("pos", "s"), F.lit(n).alias("n"))
+    votes = cut("new", 1).unionByName(cut("old", -1)).groupBy("doc_id", "s").agg(F.sum("n").alias("n"), F.min(F.when(F.col("n") > 0, F.col("pos"))).alias("new"), F.min(F.when(F.col("n") < 0, F.col("pos"))).alias("old"))
+    votes = votes.filter("n != 0").withColumn("more", F.col("n") > 0).withColumn("pos", F.when(F.col("more"), F.col("new")).otherwise(F.col("old")))
+    counts = votes.groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+    first = votes.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "more").orderBy("pos"))).filter(F.col("rn") <= most)
+    listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("rn", "s")))), lambda x: x["s"])
+    lists = first.groupBy("doc_id").agg(listed(F.col("more")).alias("added_sentences"), listed(~F.col("more")).alias("removed_sentences"))
+    return counts.join(lists, "doc_id")
 
 
 def _rule_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import headings, links, ngrams, numbers, plain_words, terms
 from .pages import first_by
+from .similar import index, nearest, similar
 
 
 def text_terms(df: DataFrame, col: str = "text", by: str = "doc_id", profile: str = "topic") -> DataFrame:
@@ -37,15 +38,6 @@ def _weigh(n: int):
     return lambda t: F.struct(t.alias("term"), F.lit(n).alias("w"))
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """``(a, b, score)`` of term vectors ``(a, term, w)`` and ``(b, term, w)`` by an inverted-index join on the
-    term; pairs without a common term never meet."""
-    norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"n{k}"))
-    met = left.withColumnRenamed("w", "wa").join(right.withColumnRenamed("w", "wb"), "term")
-    dots = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return dots.join(norm(left, "a"), "a").join(norm(right, "b"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score")).filter(F.col("score") >= least)
-
-
 #: Weights of a keyword's priority in a competitor's topic.
 PRIORITY = {"high": 1.0, "medium": 0.7, "low": 0.4}
 
@@ -53,9 +45,9 @@ PRIORITY = {"high": 1.0, "medium": 0.7, "low": 0.4}
 def competitor_signal(topics: DataFrame, competitor_topics: DataFrame, least: float = 0.5) -> DataFrame:
     """For each topic ``(a, title, source)`` the largest cosine with a competitor's ``(b, title, priority)``, times
     the weight of its priority; 1 for topics that came from a competitor, 0 without any."""
-    va, vb = text_terms(topics, "title", "a").withColumnRenamed("n", "w"), text_terms(competitor_topics, "title", "b").withColumnRenamed("n", "w")
+    one, two = index(*(text_terms(t, "title", k).withColumnRenamed("n", "w") for t, k in ((topics, "a"), (competitor_topics, "b"))))
     weight = F.coalesce(*[F.when(F.col("priority") == k, F.lit(v)) for k, v in PRIORITY.items()], F.lit(0.7))
-    best = cosine_pairs(va, vb, least).join(competitor_topics.select("b", weight.alias("weight")), "b").groupBy("a").agg(F.max(F.col("score") * F.col("weight")).alias("best"))
+    best = _best_of_matches(one, two, competitor_topics.select("b", weight.alias("weight")), least, F.col("score") * F.col("weight"))
     signal = F.when(F.col("source") == "competitor", 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("best", F.lit(0.0))))
     return topics.select("a", "source").join(best, "a", "left").select("a", F.round(signal, 4).alias("signal"))
 
@@ -64,24 +56,32 @@ def geo_signal(topics: DataFrame, gaps: DataFrame, least: float = 0.4) -> DataFr
     """For each topic ``(a, title, keyword)`` the largest gap among the AI-answer prompts ``(b, text, gap)`` that it
     matches; a null or zero gap counts as 0.5."""
     both = topics.select("a", F.concat_ws(" ", "title", F.coalesce("keyword", F.lit(""))).alias("text"))
-    va, vb = text_terms(both, "text", "a").withColumnRenamed("n", "w"), text_terms(gaps, "text", "b").withColumnRenamed("n", "w")
+    one, two = index(*(text_terms(t, "text", k).withColumnRenamed("n", "w") for t, k in ((both, "a"), (gaps, "b"))))
     gap = F.least(F.lit(1.0), F.coalesce(F.when(F.col("gap") != 0, F.col("gap")), F.lit(0.5)))
-    best = cosine_pairs(va, vb, least).join(gaps.select("b", gap.alias("gap")), "b").groupBy("a").agg(F.max("gap").alias("best"))
+    best = _best_of_matches(one, two, gaps.select("b", gap.alias("weight")), least, F.col("weight"))
     return topics.select("a").join(best, "a", "left").select("a", F.round(F.coalesce("best", F.lit(0.0)), 4).alias("signal"))
 
 
+def _best_of_matches(one: DataFrame, two: DataFrame, weights: DataFrame, least: float, value: Column) -> DataFrame:
+    """``(a, best)``: the largest ``value`` over all matches; of equal vectors only the largest of ``weights(b, weight)`` counts."""
+    per_class = two.select("b", F.col("cls").alias("cb")).join(weights, "b").groupBy("cb").agg(F.max("weight").alias("weight"))
+    best = similar(one, two, least).join(per_class, "cb").groupBy("ca").agg(F.max(value).alias("best"))
+    return one.select("a", F.col("cls").alias("ca")).join(best, "ca").select("a", "best")
+
+
 def near_duplicate_topics(new: DataFrame, existing: DataFrame, least: float = 0.6) -> DataFrame:
     """New topics ``(a, title)`` with an existing one ``(b, title)`` of at least that cosine, and the nearest."""
-    va = text_terms(new, "title", "a").withColumnRenamed("n", "w")
-    vb = text_terms(existing, "title", "b").withColumnRenamed("n", "w")
-    hits = cosine_pairs(va, vb, least).withColumn("score", F.round("score", 4))
-    return hits.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m"), F.count("*").alias("matches")).select("a", F.col("m.b").alias("b"), (-F.col("m.s")).alias("score"), "matches")
+    one, two = index(*(text_terms(t, "title", k).withColumnRenamed("n", "w") for t, k in ((new, "a"), (existing, "b"))))
+    sizes = two.groupBy(F.col("cls").alias("cb")).agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    hits = similar(one, two, least).withColumn("score", F.round("score", 4)).join(sizes, "cb")
+    best = hits.groupBy("ca").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m"), F.sum("n").alias("matches"))
+    return one.select("a", F.col("cls").alias("ca")).join(best, "ca").select("a", F.col("m.b").alias("b"), (-F.col("m.s")).alias("score"), "matches")
 
 
 def best_match(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """For each text ``(a, title)`` the candidate of largest cosine; the first candidate wins ties; null without any."""
-    best = near_duplicate_topics(texts, candidates, 1e-9).drop("matches")
-    return texts.select("a").join(best, "a", "left")
+    one, two = index(*(text_terms(t, "title", k).withColumnRenamed("n", "w") for t, k in ((texts, "a"), (candidates, "b"))))
+    return texts.select("a").join(nearest(one, two, 1, 1e-9), "a", "left")
 
 
 def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: float = 0.08, n_terms: int = 12) -> DataFrame:
@@ -89,7 +89,7 @@ def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: flo
     score, then id; ``shared`` are the first shared terms by product of their weights, then by name."""
     weights = {"title": 3, "h1": 3, "h2": 1, "og": 1}
     va, vb = weighted_terms(targets, "a", **weights), weighted_terms(pages, "b", **weights)
-    rows = cosine_pairs(va, vb, least).filter("a != b").withColumn("score", F.round("score", 4))
+    rows = nearest(*index(va, vb), k + 1, least).filter("a != b")  # one more than k, as a page is its own nearest
     top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= k)
     met = top.select("a", "b").join(va.withColumnRenamed("w", "wa"), "a").join(vb.withColumnRenamed("w", "wb"), ["b", "term"])
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("wa") * F.col("wb")).alias("p"), "term"))), 1, n_terms)

@@ -13,7 +13,7 @@ from ..functions.urls import redact, url_key
 from ..operators import answers, checks, diff, graph, logs, pages, texts, trends
 from ..sources import crawl, html, tables, vendors
 from ..streaming import jobs
-from .views import Tables, host_sql, key_sql, oracle
+from .views import VIEWS, Tables, host_sql, key_sql, oracle
 
 Q: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -164,9 +164,14 @@ q("o109_click_regressions", lambda t: trends.click_regressions(t.sql("SELECT con
 _CHAN = "CASE WHEN source = 'google' AND medium = 'organic' THEN 'google_organic' WHEN (source = 'chatgpt.com' OR source LIKE '%.chatgpt.com') AND medium <> 'cpc' THEN 'chatgpt_referral' ELSE 'other' END"
 q("o037_channel", lambda t: trends.with_channel(t.v_traffic).groupBy("channel").agg(F.sum("sessions").alias("sessions")), f"SELECT {_CHAN} AS channel, CAST(SUM(sessions) AS BIGINT) AS sessions FROM v_traffic GROUP BY 1", "v_traffic")
 q("o110_traffic_totals", lambda t: trends.traffic_totals(t.v_traffic, t.sql("SELECT concat('/p/', p_partkey % 20) AS page FROM part")), f"SELECT {_CHAN} AS channel, CAST(SUM(sessions) AS BIGINT) AS sessions, CAST(SUM(key_events) AS BIGINT) AS key_events FROM v_traffic WHERE page IN (SELECT concat('/p/', p_partkey % 20) FROM part) GROUP BY 1", "v_traffic")
-q("o112_validate_traffic", lambda t: trends.validate_traffic(t.v_traffic, "1995-02-01", "1998-06-30"), "SELECT 'outside_window' AS rule, CAST(count_if(d < DATE '1995-02-01' OR d > DATE '1998-06-30') AS BIGINT) AS n FROM v_traffic UNION ALL SELECT 'page_not_relative', CAST(0 AS BIGINT) UNION ALL SELECT 'negative_metric', CAST(0 AS BIGINT) UNION ALL SELECT 'duplicate_key', COUNT(*) FROM (SELECT 1 FROM v_traffic GROUP BY d, page, source, medium HAVING COUNT(*) > 1)", "v_traffic")
+_SAID = {"property": "p", "timezone": "UTC", "exporter": "e", "site_url": "https://a/", "complete": True, "sampled": False, "thresholded": True, "synthetic": False}
+_ODD_TRAFFIC = "SELECT d, CASE WHEN sessions % 7 = 3 THEN concat('/', page) ELSE page END AS page, source, medium, CASE WHEN sessions % 5 = 2 THEN CAST('NaN' AS DOUBLE) WHEN sessions % 5 = 4 THEN NULL ELSE CAST(sessions AS DOUBLE) END AS sessions, CASE WHEN key_events = 3 THEN -1 ELSE key_events END AS key_events FROM ({})"
+q("o112_validate_traffic", lambda t: trends.validate_traffic(t.sql(_ODD_TRAFFIC.format(VIEWS["v_traffic"])), "1995-02-01", "1998-06-30", _SAID, "1998-07-01"), f"""WITH o AS ({_ODD_TRAFFIC.format("SELECT * FROM v_traffic")}), n AS (SELECT count_if(d < DATE '1995-02-01' OR d > DATE '1998-06-30') AS outside_window, count_if(page LIKE '//%') AS page_not_relative, count_if(key_events < 0) AS negative_metric, count_if(sessions IS NULL OR isnan(sessions)) AS not_finite_metric FROM o)
+ SELECT 'outside_window' AS rule, CAST(outside_window AS BIGINT) AS n FROM n UNION ALL SELECT 'page_not_relative', CAST(page_not_relative AS BIGINT) FROM n UNION ALL SELECT 'negative_metric', CAST(negative_metric AS BIGINT) FROM n UNION ALL SELECT 'not_finite_metric', CAST(not_finite_metric AS BIGINT) FROM n
+ UNION ALL SELECT * FROM (VALUES ('incomplete', 0), ('sampled', 0), ('thresholded', 1), ('synthetic_unknown', 0), ('no_property', 0), ('no_timezone', 0), ('no_exporter', 0), ('no_site_url', 0), ('window_out_of_order', 0), ('window_too_recent', 1))
+ UNION ALL SELECT 'duplicate_key', COUNT(*) FROM (SELECT 1 FROM o GROUP BY d, page, source, medium HAVING COUNT(*) > 1)""", "v_traffic")
 _B, _A = ("1996-01-01", "1996-01-28"), ("1996-02-05", "1996-03-03")
-q("o111_traffic_comparison", lambda t: trends.traffic_comparison(t.v_traffic, _B, _A, F.when(F.col("page").isin("/p/1", "/p/2", "/p/4", "/p/9"), "page").otherwise("control")), f"WITH s AS (SELECT {_CHAN} AS channel, *, page IN ('/p/1','/p/2','/p/4','/p/9') AS pg FROM v_traffic), g AS (SELECT channel, CAST(coalesce(SUM(sessions) FILTER (pg AND d BETWEEN DATE '{_B[0]}' AND DATE '{_B[1]}'), 0) AS BIGINT) AS page_before, CAST(coalesce(SUM(sessions) FILTER (pg AND d BETWEEN DATE '{_A[0]}' AND DATE '{_A[1]}'), 0) AS BIGINT) AS page_after, coalesce(SUM(sessions) FILTER (NOT pg AND d BETWEEN DATE '{_B[0]}' AND DATE '{_B[1]}'), 0) AS cb, coalesce(SUM(sessions) FILTER (NOT pg AND d BETWEEN DATE '{_A[0]}' AND DATE '{_A[1]}'), 0) AS ca FROM s GROUP BY channel), h AS (SELECT *, page_after - page_before AS delta, round((page_after - page_before) / nullif(page_before, 0), 4) AS change, round((ca - cb) / nullif(cb, 0), 4) AS cc FROM g) SELECT channel, page_before, page_after, delta, change, round(change - cc, 4) AS diff_in_diff, CASE WHEN page_before + page_after < 100 THEN 'insufficient' WHEN page_before = 0 THEN 'new' ELSE 'review' END AS decision FROM h", "v_traffic")
+q("o111_traffic_comparison", lambda t: trends.traffic_comparison(t.v_traffic, _B, _A, F.when(F.col("page").isin("/p/1", "/p/2", "/p/4", "/p/9"), "page").otherwise("control"), "1996-02-01"), f"WITH s AS (SELECT {_CHAN} AS channel, *, page IN ('/p/1','/p/2','/p/4','/p/9') AS pg FROM v_traffic), g AS (SELECT channel, CAST(coalesce(SUM(sessions) FILTER (pg AND d BETWEEN DATE '{_B[0]}' AND DATE '{_B[1]}'), 0) AS BIGINT) AS page_before, CAST(coalesce(SUM(sessions) FILTER (pg AND d BETWEEN DATE '{_A[0]}' AND DATE '{_A[1]}'), 0) AS BIGINT) AS page_after, coalesce(SUM(sessions) FILTER (NOT pg AND d BETWEEN DATE '{_B[0]}' AND DATE '{_B[1]}'), 0) AS cb, coalesce(SUM(sessions) FILTER (NOT pg AND d BETWEEN DATE '{_A[0]}' AND DATE '{_A[1]}'), 0) AS ca FROM s GROUP BY channel), h AS (SELECT *, page_after - page_before AS delta, round((page_after - page_before) / nullif(page_before, 0), 4) AS change FROM g) SELECT channel, page_before, page_after, delta, change, CAST(delta - (ca - cb) AS BIGINT) AS diff_in_diff, CASE WHEN page_before = 0 AND page_after >= 100 THEN 'new' WHEN least(page_before, page_after) >= 100 THEN 'review' ELSE 'insufficient' END AS decision FROM h", "v_traffic")
 
 
 # ---------------------------------------------------------------- backlinks and history
@@ -223,17 +228,20 @@ q("o079_verify_quotes", lambda t: texts.verify_quotes(t.sql(f"SELECT doc_id AS s
 _NUM = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), lambda x: length(x) > 1)".replace("\\\\", "\\")
 q("o080_verify_numbers", lambda t: texts.verify_numbers(t.documents, t.sql("SELECT doc_id, text AS body FROM documents WHERE doc_id % 2 = 0")), f"SELECT DISTINCT doc_id, unnest({_NUM('text')}) AS number FROM documents WHERE doc_id % 2 <> 0")
 q("o119_repetitive_text", lambda t: texts.repetitive_text(t.documents), r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_words FROM w WHERE len(list_distinct(w)) < least(10, greatest(1, floor(len(w) / 10)))")
-q("o138_text_changes", lambda t: diff.text_changes(t.documents.select("doc_id", "text"), t.sql("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN concat(substring(text, 30), '. Added one. Added two') ELSE text END AS text FROM documents")), r"WITH s AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 6 = 0 THEN concat(substring(text, 30), '. Added one. Added two') ELSE text END, '. ')) AS s, 1 AS n FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, '. ')), -1 FROM documents), v AS (SELECT doc_id, s, SUM(n) AS n FROM s GROUP BY ALL HAVING SUM(n) <> 0) SELECT doc_id, CAST(SUM(greatest(n, 0)) AS BIGINT) AS added, CAST(SUM(greatest(-n, 0)) AS BIGINT) AS removed FROM v WHERE doc_id % 6 = 0 GROUP BY doc_id")
+_NEWER = "CASE WHEN doc_id % 6 = 0 THEN concat(substring(text, 30), '. Added one. Added two. Added one') ELSE text END"
+q("o138_text_changes", lambda t: diff.text_changes(t.documents.select("doc_id", "text"), t.sql(f"SELECT doc_id, {_NEWER} AS text FROM documents"), 2).withColumns({c: F.array_join(c, "|") for c in ("added_sentences", "removed_sentences")}), rf"""WITH x AS (SELECT doc_id, {_NEWER} AS new, text AS old FROM documents WHERE doc_id % 6 = 0), y AS (SELECT doc_id, string_split(new, '. ') AS n, string_split(old, '. ') AS o FROM x WHERE new <> old), s AS (SELECT doc_id, unnest(n) AS s, unnest(range(len(n))) AS pos, 1 AS n FROM y UNION ALL SELECT doc_id, unnest(o), unnest(range(len(o))), -1 FROM y),
+ v AS (SELECT doc_id, s, SUM(n) AS n, MIN(pos) FILTER (n > 0) AS a, MIN(pos) FILTER (n < 0) AS r FROM s GROUP BY ALL HAVING SUM(n) <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n > 0 ORDER BY CASE WHEN n > 0 THEN a ELSE r END) AS rn FROM v)
+ SELECT doc_id, CAST(SUM(greatest(n, 0)) AS BIGINT) AS added, CAST(SUM(greatest(-n, 0)) AS BIGINT) AS removed, coalesce(string_agg(s, '|' ORDER BY rn) FILTER (n > 0 AND rn <= 2), '') AS added_sentences, coalesce(string_agg(s, '|' ORDER BY rn) FILTER (n < 0 AND rn <= 2), '') AS removed_sentences FROM k GROUP BY doc_id""")
 _STALE = "concat(text, ' In 2019 and 2031, (c) 2020 last year, as of 2021 in 2024 so far. Copyright 2040. Widget', doc_id % 7, ' 2.3 and v 1.4.2 came out. We offer Gadget 9.9 price and it is rated by Stars 4.5 people')"
 q("o046_staleness_phrases", lambda t: texts.staleness_phrases(t.sql(f"SELECT doc_id AS page_id, {_STALE} AS text FROM documents"), 2026).select("page_id", "kind", "phrase").distinct(), rf"WITH x AS (SELECT doc_id AS page_id, {_STALE} AS t FROM documents) SELECT DISTINCT page_id, kind, phrase FROM (SELECT page_id, 'hardcoded_year' AS kind, unnest(list_filter(regexp_extract_all(t, '\b20[0-9]{{2}}\b'), lambda y: CAST(y AS INT) < 2026)) AS phrase FROM x UNION ALL SELECT page_id, 'relative_time_phrase', unnest(regexp_extract_all(t, '(?i)\b(?:last year|this year|next year|earlier this year|as of \d{{4}}|currently in \d{{4}}|in \d{{4}} so far)\b')) FROM x UNION ALL SELECT page_id, 'copyright_year', unnest(list_filter(regexp_extract_all(t, '(?i)(?:©|\(c\)|copyright)\s*20[0-9]{{2}}'), lambda y: CAST(right(y, 4) AS INT) < 2026)) FROM x UNION ALL SELECT page_id, 'version_reference', unnest(list_filter(regexp_extract_all(t, '(?i:\b(?:version|ver\.?|v)\s?\d+(?:\.\d+){{1,3}}\b)|\b[A-Z][A-Za-z0-9+#.]{{1,20}}\s+\d+\.\d+(?:\.\d+)?\b'), lambda v: v NOT IN ('Gadget 9.9', 'Stars 4.5'))) FROM x)")
 _SP = "SELECT page_id, 'p' AS kind, concat('x', page_id % 6) AS phrase FROM pages UNION ALL SELECT page_id, 'p', 'all' FROM pages WHERE page_id % 4 <> 0"
 q("o106_boilerplate", lambda t: texts.boilerplate_matches(t.sql(_SP), t.pages.count()), f"SELECT kind, phrase, COUNT(DISTINCT page_id) AS pages FROM ({_SP}) GROUP BY ALL HAVING COUNT(DISTINCT page_id) >= 5 AND COUNT(DISTINCT page_id) > 0.5 * (SELECT COUNT(*) FROM pages)")
 _UNCHANGED = "SELECT a.fetch_seq AS page_id FROM v_crawl a JOIN v_crawl b ON a.fetch_seq = b.fetch_seq AND a.content_version = b.content_version WHERE a.crawl_id = 'A' AND b.crawl_id = 'B'"
 q("o107_stale_candidates", lambda t: texts.stale_candidates(t.v_crawl.filter("crawl_id = 'A'").join(t.v_crawl.filter("crawl_id = 'B'").select("fetch_seq", "content_version"), ["fetch_seq", "content_version"]).selectExpr("fetch_seq AS page_id"), t.sql(_SP), texts.boilerplate_matches(t.sql(_SP), t.pages.count()), graph.inbound_counts(t.v_edges)), f"WITH i AS (SELECT dst, COUNT(*) AS inbound FROM v_edges GROUP BY dst) SELECT page_id, COUNT(*) AS signals, coalesce(any_value(inbound), 0) AS inbound FROM ({_SP}) LEFT JOIN i ON dst = page_id WHERE phrase <> 'all' AND page_id IN ({_UNCHANGED}) GROUP BY page_id", "v_edges", "v_crawl")
-q("o075_link_candidates", lambda t: _candidates(t).select("a", "b", "score", "rank", "shared"), f"WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages), v AS (SELECT page_id, term, SUM(w) AS w FROM (SELECT page_id, unnest({_TL('title')}) AS term, 4 AS w FROM f UNION ALL SELECT page_id, unnest({_TL('h1')}), 4 FROM f) GROUP BY ALL), n AS (SELECT page_id, sqrt(SUM(w * w)) AS n FROM v GROUP BY page_id), c AS (SELECT x.page_id AS a, y.page_id AS b, SUM(x.w * y.w) / (any_value(p.n) * any_value(r.n)) AS score, array_to_string(list_sort(list(struct_pack(p := -x.w * y.w, t := term)))[1:12].list_transform(lambda z: z.t), ' ') AS shared FROM v x JOIN v y USING (term) JOIN n p ON p.page_id = x.page_id JOIN n r ON r.page_id = y.page_id WHERE x.page_id % 5 = 0 AND x.page_id <> y.page_id GROUP BY 1, 2 HAVING score >= 0.08), k AS (SELECT a, b, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, b) AS INTEGER) AS rank, shared FROM c) SELECT * FROM k WHERE rank <= 5")
+q("o075_link_candidates", lambda t: _candidates(t).select("a", "b", "score", "rank", "shared"), f"WITH f AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages), v AS (SELECT page_id, term, SUM(w) AS w FROM (SELECT page_id, unnest({_TL('title')}) AS term, 4 AS w FROM f UNION ALL SELECT page_id, unnest({_TL('h1')}), 4 FROM f) GROUP BY ALL), n AS (SELECT page_id, sqrt(SUM(w * w)) AS n FROM v GROUP BY page_id), c AS (SELECT x.page_id AS a, y.page_id AS b, SUM(x.w * y.w) / (any_value(p.n) * any_value(r.n)) AS score, array_to_string(list_sort(list(struct_pack(p := -x.w * y.w, t := term)))[1:12].list_transform(lambda z: z.t), ' ') AS shared FROM v x JOIN v y USING (term) JOIN n p ON p.page_id = x.page_id JOIN n r ON r.page_id = y.page_id WHERE x.page_id <> y.page_id GROUP BY 1, 2 HAVING score >= 0.08), k AS (SELECT a, b, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 4) DESC, b) AS INTEGER) AS rank, shared FROM c) SELECT * FROM k WHERE rank <= 5")
 def _candidates(t: Tables) -> DataFrame:
     rows = page_facts(t).select("page_id", "title", F.col("h1_text").alias("h1"), F.col("h1_text").alias("h2"), F.col("title").alias("og"))
-    return texts.link_candidates(rows.filter("page_id % 5 = 0").withColumnRenamed("page_id", "a"), rows.withColumnRenamed("page_id", "b"))
+    return texts.link_candidates(rows.withColumnRenamed("page_id", "a"), rows.withColumnRenamed("page_id", "b"))
 
 
 q("o113_topic_coverage", lambda t: texts.topic_coverage(t.sql("SELECT p_brand AS pillar, (p_size % 3 = 0) AS covered FROM part")), "SELECT p_brand AS pillar, COUNT(*) AS topics, CAST(count_if(p_size % 3 = 0) AS BIGINT) AS covered, round(1 - count_if(p_size % 3 = 0) / COUNT(*), 4) AS authority FROM part GROUP BY 1")
@@ -271,9 +279,25 @@ q("o100_measurement_verdict", lambda t: answers.measurement_verdict(answers.ment
 q("o101_mentions_by_prompt", lambda t: answers.mentions_by_prompt(_mentions(t).withColumn("conv_id", F.col("conv_id") % 7), "that").select("conv_id", "answers", "brand_rate", "rival_rate", "rival", "rival_wins"), f"WITH {_MEN}, g AS (SELECT conv_id % 7 AS conv_id, entity, count_if(n > 0) AS h, COUNT(*) AS k FROM mm GROUP BY ALL), r AS (SELECT *, {_WIL('h', 'k')} FROM g) SELECT conv_id, MAX(k) AS answers, MAX(rate) FILTER (entity = 'that') AS brand_rate, MAX(rate) FILTER (entity <> 'that') AS rival_rate, arg_max(entity, struct_pack(a := rate, b := entity)) FILTER (entity <> 'that') AS rival, MAX(k) >= 10 AND MAX(low) FILTER (entity <> 'that') > MAX(high) FILTER (entity = 'that') AS rival_wins FROM r GROUP BY conv_id", "v_answers")
 q("o103_citation_gaps", lambda t: answers.citation_gaps(answers.mentions_by_prompt(_mentions(t).withColumn("conv_id", F.col("conv_id") % 7), "that")), f"WITH {_MEN}, g AS (SELECT conv_id % 7 AS conv_id, entity, round(count_if(n > 0) / COUNT(*), 4) AS rate FROM mm GROUP BY ALL), r AS (SELECT conv_id, arg_max(entity, struct_pack(a := rate, b := entity)) FILTER (entity <> 'that') AS rival, MAX(rate) FILTER (entity <> 'that') AS rr, MAX(rate) FILTER (entity = 'that') AS br FROM g GROUP BY 1) SELECT conv_id, rival, round(rr - br, 4) AS gap FROM r WHERE rr > br", "v_answers")
 q("o097_wilson_rate", lambda t: answers.with_wilson_rate(t.sql("SELECT user_id, CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS hits, COUNT(*) AS n FROM events GROUP BY user_id"), "hits", "n"), f"SELECT user_id, hits, n, {_WIL('hits', 'n')} FROM (SELECT user_id, CAST(count_if(event_type = 'click') AS BIGINT) AS hits, COUNT(*) AS n FROM events GROUP BY user_id)")
-_VOTE = "vv AS (SELECT run_date, prompt_id, provider, CAST(count_if(outcome <> 'error') AS BIGINT) AS valid, CAST(count_if(outcome = 'cited') AS BIGINT) AS cited FROM v_samples GROUP BY ALL), vs AS (SELECT *, CASE WHEN valid = 0 THEN 'error' WHEN cited = 0 THEN 'not_cited' WHEN cited >= ceil(valid / 2) THEN 'cited' ELSE 'mixed' END AS state FROM vv)"
-q("o104_vote_samples", lambda t: answers.vote_samples(t.v_samples), f"WITH {_VOTE} SELECT run_date, prompt_id, provider, valid, cited, state FROM vs", "v_samples")
-q("o124_citation_changes", lambda t: diff.citation_changes(answers.vote_samples(t.v_samples).withColumn("urls", F.array(F.concat(F.lit("u"), F.col("cited") % 2)))), f"WITH {_VOTE}, l AS (SELECT *, lag(state, 1) OVER w AS p, lag(state, 2) OVER w AS pp, lag(cited, 1) OVER w AS pc FROM vs WINDOW w AS (PARTITION BY prompt_id, provider ORDER BY run_date)) SELECT run_date, prompt_id, provider, state, CASE WHEN p IS NULL THEN 'baseline' WHEN state = 'error' OR p = 'error' THEN 'indeterminate' WHEN p = 'not_cited' AND state IN ('cited', 'mixed') THEN 'newly_cited' WHEN p IN ('cited', 'mixed') AND state = 'not_cited' THEN 'possible_loss' WHEN state = 'not_cited' AND p = 'not_cited' AND pp IN ('cited', 'mixed') THEN 'confirmed_loss' WHEN state = p AND state IN ('cited', 'mixed') AND cited % 2 <> pc % 2 THEN 'cited_other_pages' WHEN state = p THEN 'unchanged' ELSE 'state_changed' END AS change FROM l", "v_samples")
+_VOTE = f"""vv AS (SELECT run_date, prompt_id, provider, CAST(count_if(outcome IN ('cited', 'not_cited')) AS BIGINT) AS valid, CAST(count_if(outcome = 'cited') AS BIGINT) AS cited, CAST(count_if(outcome = 'error') AS BIGINT) AS errors, count_if(outcome <> 'not_configured') AS configured FROM v_samples GROUP BY ALL),
+ ci AS (SELECT run_date, prompt_id, provider, sample_id, CASE WHEN url1 LIKE '%//shop.example/%' OR url1 LIKE '%//www.shop.example/%' THEN trim(url1) ELSE title1 END AS identity FROM v_samples WHERE outcome IN ('cited', 'not_cited') AND (url1 LIKE '%shop.example/%' OR title1 LIKE '%shop.example')),
+ ck AS (SELECT *, CASE WHEN identity LIKE '%//%' THEN {key_sql('identity')} ELSE identity END AS key FROM ci), cf AS (SELECT run_date, prompt_id, provider, key, arg_min(identity, sample_id) AS identity FROM ck GROUP BY ALL),
+ cu AS (SELECT run_date, prompt_id, provider, list_sort(list(identity)) AS urls, list(key) AS keys FROM cf GROUP BY ALL),
+ vs AS (SELECT vv.*, CASE WHEN configured = 0 THEN 'not_configured' WHEN valid = 0 THEN 'error' WHEN cited = 0 THEN 'not_cited' WHEN cited >= ceil(valid / 2) THEN 'cited' ELSE 'mixed' END AS state, coalesce(urls, []) AS urls, coalesce(keys, []) AS keys FROM vv LEFT JOIN cu USING (run_date, prompt_id, provider))"""
+
+
+def _votes(t: Tables) -> DataFrame:
+    """Two citations a sample: the first may be of the own shop, by its address or its title."""
+    citation = lambda url, title: F.struct(F.col(url).alias("url"), title.alias("title"))
+    samples = t.v_samples.withColumn("citations", F.array(citation("url1", F.col("title1")), citation("url2", F.lit(None).cast("string"))))
+    return answers.vote_samples(samples, "www.Shop.example")
+
+
+q("o104_vote_samples", lambda t: _votes(t).withColumn("citation_urls", F.array_join("citation_urls", " ")), f"WITH {_VOTE} SELECT run_date, prompt_id, provider, valid, cited, errors, state, array_to_string(urls, ' ') AS citation_urls FROM vs", "v_samples")
+q("o124_citation_changes", lambda t: diff.citation_changes(_votes(t).withColumnRenamed("citation_urls", "urls")), f"""WITH {_VOTE}, l AS (SELECT *, lag(state, 1) OVER w AS p, lag(state, 2) OVER w AS pp, lag(keys, 1) OVER w AS pk FROM vs WINDOW w AS (PARTITION BY prompt_id, provider ORDER BY run_date))
+ SELECT run_date, prompt_id, provider, state, CASE WHEN p IS NULL THEN 'baseline' WHEN state = 'error' OR p = 'error' THEN 'indeterminate' WHEN p = 'not_configured' AND state <> 'not_configured' THEN 'newly_configured' WHEN p <> 'not_configured' AND state = 'not_configured' THEN 'no_longer_configured'
+ WHEN p = 'not_cited' AND state IN ('cited', 'mixed') THEN 'newly_cited' WHEN p IN ('cited', 'mixed') AND state = 'not_cited' THEN 'possible_loss' WHEN state = 'not_cited' AND p = 'not_cited' AND pp IN ('cited', 'mixed') THEN 'confirmed_loss'
+ WHEN state = p AND state IN ('cited', 'mixed') AND len(list_filter(keys, lambda k: NOT list_contains(pk, k))) > 0 THEN 'cited_other_pages' WHEN state = p THEN 'unchanged' ELSE 'state_changed' END AS change FROM l""", "v_samples")
 q("o102_citations_by_page", lambda t: answers.citations_by_page(t.sql("SELECT event_id AS sample_id, concat('/p/', user_id % 60) AS url FROM events"), 10000), "SELECT url, COUNT(*) AS answers, round(COUNT(*) / 10000, 4) AS rate FROM (SELECT DISTINCT event_id, concat('/p/', user_id % 60) AS url FROM events) GROUP BY url ORDER BY answers DESC, url LIMIT 30")
 
 # ---------------------------------------------------------------- logs and robots
@@ -436,6 +460,31 @@ def _streamed(t: Tables, rows: DataFrame, job: Callable[[DataFrame], DataFrame],
 
 
 q("o139_stream_crawler_hits", lambda t: _streamed(t, _lines(t).select("line"), jobs.stream_crawler_hits, "complete").select(F.to_date("start").alias("d"), "bot", "hits"), "SELECT CAST(ts AS DATE) AS d, CASE WHEN agent LIKE 'GPT%' THEN 'GPTBot' ELSE 'bingbot' END AS bot, COUNT(*) AS hits FROM v_log WHERE agent LIKE 'GPT%' OR agent LIKE '%bingbot%' GROUP BY 1, 2", "v_log")
+_DAYS = "SELECT CAST(ts AS {}) AS ts, CAST(floor((day(ts) - 1) / 11) AS INT) AS batch, event_type AS source, concat('k', user_id) AS dedupe_key FROM events"
+
+
+def _last_keys(t: Tables, keep: int = 20) -> DataFrame:
+    """Three batches of days; of each source only the last 20 keys are known."""
+    rows, out, at = t.sql(_DAYS.format("TIMESTAMP_LTZ")), tables.scratch_path(t.spark, "new"), [tables.scratch_path(t.spark, "keys")]
+    kind = "source string, dedupe_key string, batch bigint, place bigint"
+    t.spark.createDataFrame([], kind).write.parquet(at[0])
+
+    def write(new: DataFrame, kept: DataFrame) -> None:
+        new.select("source", "dedupe_key", "ts").write.mode("append").parquet(out)
+        at.append(tables.scratch_path(t.spark, "keys"))
+        kept.write.parquet(at[-1])
+
+    pick = jobs.stream_last_keys(lambda: t.spark.read.schema(kind).parquet(at[-1]), write, keep)
+    for n in range(3):
+        pick(rows.filter(F.col("batch") == n), n)
+    return t.spark.read.parquet(out).select("source", "dedupe_key", F.unix_micros("ts").alias("us"))
+
+
+_EVENTS, _LAST = f"WITH e AS ({_DAYS.format('TIMESTAMP')}), s0 AS (SELECT '' AS source, '' AS dedupe_key, -1 AS batch, CAST('1970-01-01' AS TIMESTAMP) AS ts)", ""
+for _n in range(3):
+    _EVENTS += f", n{_n} AS (SELECT source, dedupe_key, {_n} AS batch, MIN(ts) AS ts FROM e WHERE batch = {_n} AND (source, dedupe_key) NOT IN (SELECT (source, dedupe_key) FROM s{_n}) GROUP BY ALL), s{_n + 1} AS (SELECT * FROM (SELECT * FROM s{_n} UNION ALL SELECT * FROM n{_n}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY batch DESC, ts DESC, dedupe_key DESC) <= 20)"
+_LAST = " UNION ALL ".join(f"SELECT source, dedupe_key, epoch_us(ts) AS us FROM n{_n}" for _n in range(3))
+q("o140_stream_last_keys", _last_keys, f"{_EVENTS} {_LAST}")
 q("o140_stream_new_events", lambda t: _streamed(t, t.sql("SELECT CAST(ts AS TIMESTAMP_LTZ) AS ts, event_type AS source, concat('k', user_id % 50) AS dedupe_key FROM events"), jobs.stream_new_events, "append").select("source", "dedupe_key"), "SELECT DISTINCT event_type AS source, concat('k', user_id % 50) AS dedupe_key FROM events")
 
 
@@ -467,7 +516,7 @@ def _stream_regressions(t: Tables) -> DataFrame:
     meta = t.v_crawl.groupBy("crawl_id").agg(F.count("*").alias("pages_crawled")).selectExpr("'x' AS site", "crawl_id", "date'1998-01-01' + CASE crawl_id WHEN 'B' THEN 7 ELSE 0 END AS finished_at", "500 AS max_pages", "false AS truncated", "pages_crawled")
     source, out, state = (tables.scratch_path(t.spark, n) for n in ("stream", "streamed", "state"))
     meta.write.parquet(source)
-    job = jobs.stream_page_regressions(lambda c: _crawl(t, c), lambda: t.spark.read.parquet(source), lambda rows: rows.write.mode("append").parquet(out))
+    job = jobs.stream_page_regressions(lambda: pages.dedupe_by_identity(t.v_crawl, "last"), lambda: t.spark.read.parquet(source), lambda rows: rows.write.mode("append").parquet(out))
     t.spark.readStream.schema(meta.schema).parquet(source).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(job).start().awaitTermination()
     return t.spark.read.parquet(out)
 

@@ -32,7 +32,9 @@ WHERE dst IN (SELECT page_id FROM pages) AND dst % 7 <> 5 AND src <> dst""",
 FROM lineitem CROSS JOIN (SELECT 1 AS run UNION ALL SELECT 2) r
 WHERE NOT (r.run = 1 AND l_partkey % 9 = 1) AND NOT (r.run = 2 AND l_partkey % 9 = 2)""",
     "v_samples": """SELECT CAST(ts AS DATE) AS run_date, user_id % 12 AS prompt_id, event_type AS provider, event_id AS sample_id,
-  CASE WHEN event_id % 10 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'cited' ELSE 'not_cited' END AS outcome
+  CASE WHEN user_id % 12 = 7 AND event_type = 'click' OR event_id % 7 = 2 THEN 'not_configured' WHEN event_id % 10 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'cited' ELSE 'not_cited' END AS outcome,
+  CASE event_id % 4 WHEN 0 THEN concat(' https://www.shop.example/p/', user_id % 5, '/ ') WHEN 1 THEN concat('http://shop.example/p/', user_id % 5, '?utm_source=x') WHEN 2 THEN 'https://other.example/' ELSE concat('https://redirect.example/', event_id) END AS url1,
+  CASE WHEN event_id % 4 = 3 THEN 'Blog.shop.example' ELSE 'Some title' END AS title1, concat('https://news.other.example/', event_id % 3) AS url2
 FROM events""",
     "v_traffic": """SELECT CAST(o_orderdate AS DATE) AS d, concat('/p/', o_custkey % 30) AS page,
   CASE o_custkey % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'chatgpt.com' WHEN 2 THEN 'www.chatgpt.com' ELSE 'news.example' END AS source,

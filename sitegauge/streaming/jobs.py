@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.diff import crawl_regressions, find_baseline
+from ..operators.diff import find_baseline, snapshot_regressions
 from ..operators.logs import bot_matches, parse_access_log
-from ..sources.tables import upsert_history
+from ..operators.pages import first_by
+from ..sources.tables import latest, upsert_history
 
 
 def stream_crawler_hits(lines: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -33,6 +34,24 @@ def stream_new_events(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["source", "dedupe_key"])
 
 
+def stream_last_keys(read: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame], None], keep: int = 500) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on ``(source, dedupe_key, ts)``: events whose key is not among the last ``keep`` of their source.
+
+    ``read`` gives the keys so far as ``(source, dedupe_key, batch, place)``, ``write`` takes a batch's new events and
+    the keys to keep. A key that comes back after ``keep`` others is new again. Keys are ranked within their
+    source by a window with a limit, so a source of any size is cut down by many tasks first.
+    """
+
+    def pick(batch: DataFrame, number: int) -> None:
+        last = read()
+        new = first_by(batch, ["source", "dedupe_key"], F.col("ts")).join(last, ["source", "dedupe_key"], "left_anti")
+        added = new.select("source", "dedupe_key", F.lit(number).cast("bigint").alias("batch"), F.unix_micros(F.col("ts").cast("timestamp")).alias("place"))
+        kept = latest(last.unionByName(added), ["source"], [F.desc("batch"), F.desc_nulls_last("place"), F.desc("dedupe_key")], keep)
+        write(new, kept)
+
+    return pick
+
+
 def stream_history(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: list[str], values: list[str]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: each batch is merged into the history table."""
 
@@ -57,13 +76,12 @@ def stream_missing_streak(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key").applyInPandasWithState(update, "key string, run bigint, streak bigint, state string", "streak bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_page_regressions(pages: Callable[[str], DataFrame], meta: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on the provenance table: each new complete snapshot against its as-of baseline."""
+def stream_page_regressions(pages: Callable[[], DataFrame], meta: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on the provenance table: each new complete snapshot against its as-of baseline, all pairs
+    of a batch in one job. ``pages`` are those of all snapshots."""
 
     def compare(batch: DataFrame, _: int) -> None:
-        new = [r.crawl_id for r in batch.select("crawl_id").distinct().collect()]  # snapshots of one batch, a few
-        found = find_baseline(meta()).filter(F.col("crawl_id").isin(new) & F.col("baseline").isNotNull())
-        for r in found.collect():
-            write(crawl_regressions(pages(r.baseline), pages(r.crawl_id)).withColumn("crawl_id", F.lit(r.crawl_id)))
+        pairs = find_baseline(meta()).filter("baseline is not null").join(batch.select("crawl_id").distinct(), "crawl_id", "left_semi")
+        write(snapshot_regressions(pages(), pairs.select("crawl_id", "baseline")))
 
     return compare

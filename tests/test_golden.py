@@ -67,11 +67,6 @@ def test_regressions_of_nothing_are_none(spark):
     assert diff.pages_disappeared(rows, rows.limit(0)).count() == 1 and diff.pages_disappeared(rows, rows.limit(0), truncated=True).count() == 0
 
 
-def test_votes(spark):
-    rows = spark.createDataFrame([("r", 1, "p", o) for o in ("cited", "not_cited", "error")] + [("r", 2, "p", o) for o in ("cited", "not_cited", "not_cited")] + [("r", 3, "p", "error")], "run_date string, prompt_id int, provider string, outcome string")
-    assert {r.prompt_id: r.state for r in answers.vote_samples(rows).collect()} == {1: "cited", 2: "mixed", 3: "error"}
-
-
 def test_mentions_count_labels_not_addresses(spark):
     rows = spark.createDataFrame([(1, 1, "See [Acme](https://acme.com/acme) and acme, www.acme.io. [https://acme.com](https://acme.com) Acmeville ACME!")], "conv_id bigint, turn bigint, text string")
     assert answers.brand_mentions(rows, {"acme": ["acme"]}).first().n == 3

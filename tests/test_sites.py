@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.operators import checks, diff, graph, logs, pages, texts, trends
+from sitegauge.operators import checks, diff, graph, logs, pages, similar, texts, trends
 
 
 def edges(spark, rows):
@@ -111,7 +111,7 @@ def test_cosine_pairs_against_all(spark):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     for least in (0.08, 0.6):
         want = {(a, b) for a, b in itertools.product(*sides) if (dot := sum(n * sides[1][b].get(w, 0) for w, n in sides[0][a].items())) and dot / norm(sides[0][a]) / norm(sides[1][b]) >= least}
-        assert {(p.a, p.b) for p in texts.cosine_pairs(left, right, least).collect()} == want
+        assert {(p.a, p.b) for p in similar.cosine_pairs(left, right, least).collect()} == want
 
 
 def test_staleness_context(spark):
