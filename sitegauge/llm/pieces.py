@@ -78,12 +78,14 @@ def encode_run(texts: pa.Array, path: str) -> tuple[pa.ListArray, np.ndarray]:
     begins = np.cumsum(sizes) - sizes
     at = table.indices.to_numpy()  # the chunk at each position
     ends = np.concatenate([[0], np.cumsum(sizes[at])])
-    ids = flat[np.repeat(begins[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+    place = np.repeat((begins[at] - ends[:-1]).astype(np.int32), sizes[at])
+    place += np.arange(len(place), dtype=np.int32)
+    ids = flat[place]
     counts = pc.list_value_length(parts).to_numpy()
     return _lists(ids, ends[np.concatenate([[0], np.cumsum(counts)])]), order
 
 
-def encode(docs: DataFrame, model: str | None = None, run_bytes: int = 1 << 24) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, run_bytes: int = 1 << 23) -> DataFrame:
     """``(doc_id, ids)`` of each row of ``docs(doc_id, text)``: the library's ids without begin and end."""
     path = model or default_model()
 
