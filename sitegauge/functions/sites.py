@@ -3,14 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def keys(*frames: DataFrame) -> list[str]:
     """``["site"]`` if all of the inputs have that column, else none: then all rows are of one site."""
     return ["site"] if all("site" in f.columns for f in frames) else []
-
-
-def sited(df: DataFrame) -> DataFrame:
-    """``df`` with a ``site``, the empty one where it has none."""
-    return df if "site" in df.columns else df.withColumn("site", F.lit(""))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pages import findings, is_indexable, is_noindex
-from ..functions.sites import keys, sited
+from ..functions.sites import keys
 from ..functions.urls import host_key, url_key
 from .graph import first_joined
+from .prefixes import prefix_hits
 
 
 def find_baseline(meta: DataFrame, min_age_days: int = 0) -> DataFrame:
@@ -166,26 +167,21 @@ def text_changes(prev: DataFrame, cur: DataFrame, most: int = 40) -> DataFrame:
     return counts.join(lists, "doc_id")
 
 
-def _rule_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of ``pages(site, path)`` with each rule ``(site, source)`` that fits: the exact path, or the part
-    up to ``*`` or ``:`` as its beginning. Rules whose beginning has a whole first segment meet the pages of
-    that segment alone."""
-    first = r"^(/[^/*:]+)/"
-    r = rules.select("site", "source", F.regexp_extract("source", r"^([^*:]*)", 1).alias("_prefix"), F.col("source").rlike(r"[*:]").alias("_open")).distinct()
-    exact = pages.join(r.filter("not _open").select("site", F.col("source").alias("path"), "source"), ["site", "path"])
-    wide = r.filter("_open and _prefix != ''").withColumn("_segment", F.regexp_extract("_prefix", first, 1))
-    rows = pages.withColumn("_segment", F.regexp_extract(F.concat("path", F.lit("/")), first, 1))
-    near = rows.join(wide.filter("_segment != ''"), ["site", "_segment"]).filter(F.startswith("path", F.col("_prefix")))
-    far = rows.join(wide.filter("_segment = ''").drop("_segment"), "site").filter(F.startswith("path", F.col("_prefix")))
+def _rule_hits(pages: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``pages(path)`` with each rule ``(source)`` of the same ``by`` that fits: the exact path, or the part up
+    to ``*`` or ``:`` as its beginning."""
+    r = rules.select(*by, "source", F.regexp_extract("source", r"^([^*:]*)", 1).alias("_prefix"), F.col("source").rlike(r"[*:]").alias("_open")).distinct()
+    exact = pages.join(r.filter("not _open").select(*by, F.col("source").alias("path"), "source"), [*by, "path"])
+    wide = prefix_hits(pages, r.filter("_open and _prefix != ''").select(*by, "source", "_prefix"), by, prefix="_prefix")
     columns = [*pages.columns, "source"]
-    return exact.select(columns).unionByName(near.select(columns)).unionByName(far.select(columns))
+    return exact.select(columns).unionByName(wide.select(columns))
 
 
 def expected_redirects(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """Each declared rule against the first crawled page it matches: exact, or by prefix up to ``*`` or ``:``."""
     by = keys(rules, pages)
-    met = _rule_hits(sited(pages), sited(rules)).groupBy("site", "source").agg(F.min_by(F.struct("path", "landing"), "fetch_seq").alias("m"))
-    rows = sited(rules).join(met, ["site", "source"], "left")
+    met = _rule_hits(pages.select(*by, "path", "landing", "fetch_seq"), rules, by).groupBy(*by, "source").agg(F.min_by(F.struct("path", "landing"), "fetch_seq").alias("m"))
+    rows = rules.join(met, [*by, "source"], "left")
     state = F.when(F.col("m").isNull(), "not_observed").when(F.col("m.landing").isNull(), "not_honoured").when(F.col("m.landing") != F.col("target"), "wrong_destination").otherwise("confirmed")
     return rows.select(*by, "source", "target", F.col("m.path").alias("path"), state.alias("state"))
 
@@ -193,18 +189,18 @@ def expected_redirects(rules: DataFrame, pages: DataFrame) -> DataFrame:
 def undeclared_redirects(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that redirect although no rule fits their path."""
     by = keys(rules, pages)
-    moved = sited(pages).filter("landing is not null")
-    ruled = _rule_hits(moved.select("site", "path").distinct(), sited(rules)).select("site", "path").distinct()
-    return moved.join(ruled, ["site", "path"], "left_anti").select(*by, "path", "landing", F.lit("low").alias("severity"))
+    moved = pages.filter("landing is not null")
+    ruled = _rule_hits(moved.select(*by, "path").distinct(), rules, by).select(*by, "path").distinct()
+    return moved.join(ruled, [*by, "path"], "left_anti").select(*by, "path", "landing", F.lit("low").alias("severity"))
 
 
 def migration_coverage(old_urls: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Whether each old path redirects now or has a rule; else why not. A loop counts as missing whatever rule there is."""
     by = keys(old_urls, pages, rules)
-    old, seen = sited(old_urls).select("site", "path"), sited(pages)
+    old, seen = old_urls.select(*by, "path"), pages
     seen = seen if "error_type" in seen.columns else seen.withColumn("error_type", F.lit(""))
-    ruled = _rule_hits(old.distinct(), sited(rules)).select("site", "path").distinct().withColumn("ruled", F.lit(True))
-    rows = old.join(seen.select("site", "path", "status", "landing", "error_type"), ["site", "path"], "left").join(ruled, ["site", "path"], "left")
+    ruled = _rule_hits(old.distinct(), rules, by).select(*by, "path").distinct().withColumn("ruled", F.lit(True))
+    rows = old.join(seen.select(*by, "path", "status", "landing", "error_type"), [*by, "path"], "left").join(ruled, [*by, "path"], "left")
     state = (
         F.when(F.col("error_type") == "too_many_redirects", "redirect_loops").when(F.col("landing").isNotNull(), "covered_live").when(F.col("ruled"), "covered_by_rule")
         .when(F.col("status") == 200, "still_200").otherwise("unreachable")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,30 +44,55 @@ def inbound_counts(edges: DataFrame) -> DataFrame:
     return edges.distinct().groupBy(*keys(edges), "dst").agg(F.count("*").alias("inbound"))
 
 
+#: Edges of one bucket, at least, while there are fewer buckets than shuffle partitions.
+BUCKET = 250_000
+
+
 def link_depths(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, depth)`` of all nodes reachable from ``roots(node)``; a root that no edge knows has a null depth.
 
-    Each round joins the frontier to the edges and leaves out what was reached before; its new nodes
-    are written as one more partition of a scratch table, so nothing is written twice and the plan of
-    a round never holds an earlier one.
+    Edges are bucketed by their source and reached nodes by themselves, in tables that are written once: a round
+    shuffles its frontier to the edges and its finds to the nodes, so what it moves grows with those and not
+    with what was reached before. Its new nodes are one more partition of the table.
     """
     spark, by = edges.sparkSession, keys(edges, roots)
     edges = checkpointed(edges.select(*by, "src", "dst").distinct(), "edges")
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET))
     known = edges.select(*by, F.col("src").alias("node")).union(edges.select(*by, "dst"))
-    path = scratch_path(spark, "depths")
-    kind = ", ".join(f"{c} {dict(roots.dtypes)[c]}" for c in [*by, "node"])
     start = checkpointed(roots.select(*by, "node").distinct(), "roots")
-    start.join(known, [*by, "node"], "left_semi").write.parquet(f"{path}/depth=0")
-    for depth in range(1, max_rounds):
-        seen = spark.read.schema(f"{kind}, depth int").parquet(path)
-        front = seen.filter(F.col("depth") == depth - 1).select(*by, F.col("node").alias("src"))
-        reached = edges.join(front, [*by, "src"]).select(*by, F.col("dst").alias("node")).distinct()
-        reached.join(seen, [*by, "node"], "left_anti").write.parquet(f"{path}/depth={depth}")
-        if spark.read.schema(kind).parquet(f"{path}/depth={depth}").isEmpty():
-            return seen.unionByName(start.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(None).cast("int")))
+    kind = ", ".join(f"{c} {dict(roots.dtypes)[c]}" for c in [*by, "node"])
+    path, names = scratch_path(spark, "depths"), [f"sitegauge_{uuid.uuid4().hex}" for _ in range(2)]
+
+    def reach(nodes: DataFrame, depth: int) -> None:
+        _bucketed(nodes.select(*by, "node", F.lit(depth).alias("depth")), names[1], path, buckets, [*by, "node"], "depth")
+
+    try:
+        _bucketed(edges.repartition(buckets, *by, "src"), names[0], scratch_path(spark, "links"), buckets, [*by, "src"])
+        reach(start.join(known, [*by, "node"], "left_semi").repartition(buckets, *by, "node"), 0)
+        for depth in range(1, max_rounds):
+            reach(next_nodes(spark.table(names[0]), spark.table(names[1]), depth, by, buckets), depth)
+            if spark.table(names[1]).filter(F.col("depth") == depth).isEmpty():
+                lost = start.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(None).cast("int"))
+                return spark.read.schema(f"{kind}, depth int").parquet(path).unionByName(lost)
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone: the result reads the files
     raise RuntimeError(f"deeper than {max_rounds} clicks")
 
 
+def next_nodes(links: DataFrame, reached: DataFrame, depth: int, by: list[str], buckets: int) -> DataFrame:
+    """Nodes that links lead to from those of the depth before and that were not reached yet, dealt to the buckets."""
+    front = reached.filter(F.col("depth") == depth - 1).select(*by, F.col("node").alias("src")).repartition(buckets, *by, "src")
+    found = links.join(front, [*by, "src"]).select(*by, F.col("dst").alias("node")).repartition(buckets, *by, "node").distinct()
+    return found.join(reached.drop("depth"), [*by, "node"], "left_anti")
+
+
+def _bucketed(rows: DataFrame, name: str, path: str, buckets: int, columns: list[str], *parts: str) -> None:
+    """Append rows that are dealt to the buckets already to a table of files below ``path``."""
+    writer = rows.write.mode("append").format("parquet").option("path", path).bucketBy(buckets, *columns)
+    (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+
+
 def depth_histogram(depths: DataFrame) -> DataFrame:
     return depths.groupBy(*keys(depths), "depth").agg(F.count("*").alias("pages"))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sites import keys
 from ..functions.urls import path_of
+from .prefixes import prefix_hits
 
 #: Crawlers by the name in their user agent, with their role.
 BOTS = (
@@ -72,17 +73,25 @@ def generic_bots(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> Dat
 
 
 def robots_rules(docs: DataFrame) -> DataFrame:
-    """``(site, group_id, agent, kind, pattern)`` of robots.txt bodies: successive user-agent lines share a group,
-    one after a rule opens a new group, rules before the first are dropped, blank lines end nothing."""
+    """``(site, group_id, agent, kind, pattern, pos, crawl_delay)`` of robots.txt bodies: successive user-agent lines share
+    a group, one after a rule opens a new group, rules before the first are dropped, blank lines end nothing.
+
+    ``crawl_delay`` is the last valid one of the group. Sitemap lines belong to no group: they have number 0, no agent and
+    their address as pattern.
+    """
     line = F.trim(F.regexp_replace("raw", "#.*$", ""))
     rows = docs.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "raw")).select("site", "pos", F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"), F.contains(line, F.lit(":")).alias("ok"))
-    rows = rows.filter(F.col("ok") & F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
-    w = Window.partitionBy("site").orderBy("pos")
+    rows, none = rows.filter("ok"), F.lit(None).cast("double").alias("crawl_delay")
+    maps = rows.filter("field = 'sitemap' AND value != ''").select("site", F.lit(0).cast("bigint").alias("group_id"), F.lit("").alias("agent"), F.lit("sitemap").alias("kind"), F.col("value").alias("pattern"), "pos", none)
+    rows = rows.filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    w = Window.partitionBy("site").orderBy("pos")  # one robots file
     agent = F.col("field") == "user-agent"
     rows = rows.withColumn("new", (agent & (F.coalesce(F.lag("field").over(w), F.lit("-")) != "user-agent")).cast("int")).withColumn("group_id", F.sum("new").over(w)).filter("group_id > 0")
+    delay = F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value AS double)"))
+    rows = rows.withColumn("crawl_delay", F.last(delay, ignorenulls=True).over(Window.partitionBy("site", "group_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     agents = rows.filter(agent).select("site", "group_id", F.lower("value").alias("agent"))
-    rules = rows.filter(~agent).select("site", "group_id", F.col("field").alias("kind"), F.col("value").alias("pattern"), "pos")
-    return agents.join(rules, ["site", "group_id"]).select("site", "group_id", "agent", "kind", "pattern", "pos")
+    rules = rows.filter(~agent).select("site", "group_id", F.col("field").alias("kind"), F.col("value").alias("pattern"), "pos", "crawl_delay")
+    return agents.join(rules, ["site", "group_id"]).select("site", "group_id", "agent", "kind", "pattern", "pos", "crawl_delay").unionByName(maps)
 
 
 def with_robots_policy(fetches: DataFrame) -> DataFrame:
@@ -97,26 +106,29 @@ def rule_regex(pattern: str) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(starred, r"\$(?!$)", r"\\\$"))
 
 
-def _applying(rules: DataFrame, agents: DataFrame) -> DataFrame:
-    """The rules of each ``(site, agent)`` of ``agents``: those of all groups that name it, else those of ``*``;
-    ``matched`` tells which."""
-    r = rules.select("site", F.col("agent").alias("_group"), "group_id", "kind", "pattern")
-    named = agents.join(r, (agents["site"] == r["site"]) & (agents["agent"] == r["_group"])).select(agents["site"], agents["agent"], "group_id", "kind", "pattern", F.lit("exact").alias("matched"))
-    others = agents.join(named.select("site", "agent").distinct(), ["site", "agent"], "left_anti")
-    return named.unionByName(others.join(r.filter("_group = '*'"), "site").select("site", "agent", "group_id", "kind", "pattern", F.lit("wildcard").alias("matched")))
+def _applying(rules: DataFrame, agents: DataFrame, by: list[str]) -> DataFrame:
+    """The rules for each ``agent`` of ``agents``: those of all groups that name it, else those of ``*``, on each site for
+    itself; ``matched`` tells which."""
+    r = rules.select(*by, F.col("agent").alias("_group"), "group_id", "kind", "pattern")
+    named = agents.withColumn("_group", F.col("agent")).join(r, [*by, "_group"]).select(*by, "agent", "group_id", "kind", "pattern", F.lit("exact").alias("matched"))
+    others = agents.join(named.select(*by, "agent").distinct(), [*by, "agent"], "left_anti").withColumn("_group", F.lit("*"))
+    return named.unionByName(others.join(r, [*by, "_group"]).select(*by, "agent", "group_id", "kind", "pattern", F.lit("wildcard").alias("matched")))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """The longest matching pattern decides, Allow wins ties, empty patterns match nothing, no match allows.
-    Groups that name the agent count, else those of ``*``, on each site for itself."""
+    Groups that name the agent count, else those of ``*``, on each site for itself. Paths meet only patterns whose
+    part before the first ``*`` begins them; those are then tried."""
     by = keys(urls, rules)
-    u = (urls if by else urls.drop("site").withColumn("site", F.lit(""))).withColumn("path", path_of("url"))
-    r = rules if by else rules.drop("site").withColumn("site", F.lit(""))
-    r = r if "group_id" in r.columns else r.withColumn("group_id", F.lit(1))
-    agents = r.select("site").distinct().withColumn("agent", F.lit(agent.strip().lower()))
-    r = _applying(r, agents).filter("kind in ('allow', 'disallow') and pattern != ''").select("site", "kind", "pattern").distinct().withColumn("re", rule_regex("pattern"))
-    met = u.join(r, (u["site"] == r["site"]) & F.rlike("path", F.col("re")), "left").select(u["site"], "url", "kind", "pattern")
-    best = met.groupBy("site", "url").agg(F.max_by("kind", F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a"))).alias("kind"))
+    u = urls.select(*by, "url", path_of("url").alias("path")).distinct()
+    r = rules if "group_id" in rules.columns else rules.withColumn("group_id", F.lit(1))
+    asked = F.lit(agent.strip().lower()).alias("agent")
+    agents = r.select(*by, asked).distinct()
+    r = _applying(r, agents, by).filter("kind in ('allow', 'disallow') and pattern != ''").select(*by, "kind", "pattern").distinct()
+    r = r.withColumn("prefix", F.regexp_extract("pattern", r"^([^*]*?)(?:\$$|\*.*$|$)", 1)).withColumn("re", rule_regex("pattern"))
+    met = prefix_hits(u, r, by).filter(F.rlike("path", F.col("re"))).select(*by, "url", "kind", "pattern")
+    none = F.lit(None).cast("string")
+    best = met.unionByName(u.select(*by, "url", none.alias("kind"), none.alias("pattern"))).groupBy(*by, "url").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a")))).alias("kind"))
     return best.select(*by, "url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
 
 
@@ -124,20 +136,19 @@ def crawler_access_audit(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
     """Per site and known bot: how its rules match, whether the root is blocked and by which rule (the longest
     that matches the root), how many other paths are blocked. Blocked training bots are notes, no findings."""
     by, spark = keys(rules), rules.sparkSession
-    r = rules if by else rules.withColumn("site", F.lit(""))
-    r = r if "group_id" in r.columns else r.withColumn("group_id", F.lit(1))
+    r = rules if "group_id" in rules.columns else rules.withColumn("group_id", F.lit(1))
     known = F.broadcast(spark.createDataFrame([(b, role, b.lower()) for b, role in bots], "bot string, role string, agent string"))
-    asked = r.select("site").distinct().crossJoin(known)
-    met = _applying(r, asked.select("site", "agent"))
+    asked = r.select(*by).distinct().crossJoin(known) if by else known
+    met = _applying(r, asked.select(*by, "agent"), by)
     root = (F.col("pattern") != "") & F.trim(F.regexp_replace("pattern", r"^[*$]+|[*$]+$", "")).isin("", "/")
     size = lambda kind: F.max(F.when(root & (F.col("kind") == kind), F.length("pattern")))
     off = F.col("kind") == "disallow"
-    per = met.groupBy("site", "agent").agg(
+    per = met.groupBy(*by, "agent").agg(
         F.max("matched").alias("matched"), size("disallow").alias("_off"), size("allow").alias("_on"),
         F.max_by(F.when(root & off, F.col("pattern")), F.when(root & off, F.struct(F.length("pattern"), "pattern"))).alias("_rule"),
         F.count_distinct(F.when(off & ~root & (F.col("pattern") != ""), F.col("pattern"))).alias("_paths"),
     )
-    rows = asked.join(per, ["site", "agent"], "left")
+    rows = asked.join(per, [*by, "agent"], "left")
     blocked = F.coalesce(F.col("_off") > F.coalesce("_on", F.lit(0)), F.lit(False))
     paths = F.when(blocked, 0).otherwise(F.coalesce("_paths", F.lit(0))).cast("bigint")
     note = F.col("role") == "training_only"
@@ -146,4 +157,4 @@ def crawler_access_audit(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
 
 
 def unknown_agents(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:
-    return rules.filter(~F.col("agent").isin("*", *[b.lower() for b, _ in bots])).select(*keys(rules), "agent").distinct()
+    return rules.filter(~F.col("agent").isin("", "*", *[b.lower() for b, _ in bots])).select(*keys(rules), "agent").distinct()

@@ -325,7 +325,7 @@ def _landed(t: Tables, rows: DataFrame, form: str, read: Callable, *by: str, **o
     return read(t.spark, path, **options)
 
 
-_ROB = "User-agent: *\nDisallow: /private\nAllow: /private/ok # fine\nDisallow: /*.html$\nDisallow:\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nAllow: /en\n"
+_ROB = "Allow: /lost\nSitemap: https://a/s.xml # all\nUser-agent: *\nCrawl-delay: soon\nDisallow: /private\nAllow: /private/ok # fine\nDisallow: /*.html$\nDisallow:\n\nUser-agent: GPTBot\nSitemap: https://a/t.xml\nSitemap:\nUser-agent: CCBot\nCrawl-delay: 2.5\nDisallow: /\nAllow: /en\n"
 
 
 def _rules(t: Tables) -> DataFrame:
@@ -333,7 +333,8 @@ def _rules(t: Tables) -> DataFrame:
     return logs.robots_rules(t.pages.select(F.col("url").alias("site"), F.concat(F.lit(_ROB), F.lit("Disallow: /p"), F.col("page_id")).alias("body")))
 
 
-q("o010_robots_rules", lambda t: _rules(t).select("site", "group_id", "agent", "kind", "pattern"), "SELECT url AS site, CAST(g AS BIGINT) AS group_id, agent, kind, pattern FROM pages, (VALUES (1, '*', 'disallow', '/private'), (1, '*', 'allow', '/private/ok'), (1, '*', 'disallow', '/*.html$'), (1, '*', 'disallow', ''), (2, 'gptbot', 'disallow', '/'), (2, 'gptbot', 'allow', '/en'), (2, 'ccbot', 'disallow', '/'), (2, 'ccbot', 'allow', '/en')) AS r(g, agent, kind, pattern) UNION ALL SELECT url, CAST(2 AS BIGINT), a, 'disallow', concat('/p', page_id) FROM pages, (VALUES ('gptbot'), ('ccbot')) AS x(a)")
+q("o010_robots_rules", lambda t: _rules(t).select("site", "group_id", "agent", "kind", "pattern", "crawl_delay"), """SELECT url AS site, CAST(g AS BIGINT) AS group_id, agent, kind, pattern, CASE WHEN g = 2 THEN CAST(2.5 AS DOUBLE) END AS crawl_delay FROM pages, (VALUES (0, '', 'sitemap', 'https://a/s.xml'), (0, '', 'sitemap', 'https://a/t.xml'), (1, '*', 'crawl-delay', 'soon'), (1, '*', 'disallow', '/private'), (1, '*', 'allow', '/private/ok'), (1, '*', 'disallow', '/*.html$'), (1, '*', 'disallow', ''),
+ (2, 'gptbot', 'crawl-delay', '2.5'), (2, 'ccbot', 'crawl-delay', '2.5'), (2, 'gptbot', 'disallow', '/'), (2, 'gptbot', 'allow', '/en'), (2, 'ccbot', 'disallow', '/'), (2, 'ccbot', 'allow', '/en')) AS r(g, agent, kind, pattern) UNION ALL SELECT url, CAST(2 AS BIGINT), a, 'disallow', concat('/p', page_id), 2.5 FROM pages, (VALUES ('gptbot'), ('ccbot')) AS x(a)""")
 q("o011_robots_policy", lambda t: logs.with_robots_policy(t.sql("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN -1 WHEN 4 THEN 401 END AS status FROM pages")).drop("status"), "SELECT page_id, CASE WHEN status IS NULL OR status < 0 OR status >= 500 THEN 'disallow_all' WHEN status = 200 THEN 'parsed' WHEN status >= 400 THEN 'allow_all' ELSE 'parsed' END AS policy FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN -1 WHEN 4 THEN 401 END AS status FROM pages)")
 q("o064_robots_allowed_any", lambda t: logs.robots_allowed(t.sql("SELECT url AS site, url FROM pages"), _rules(t), "SomeBot").drop("site"), "SELECT url, NOT (path LIKE '/private%' OR path LIKE '/%.html') AS allowed FROM (SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)")
 q("o064_robots_allowed_named", lambda t: logs.robots_allowed(t.sql("SELECT url AS site, url FROM pages"), _rules(t), "GPTBot").drop("site"), "SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) LIKE '/en%' AS allowed FROM pages")

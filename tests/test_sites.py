@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.operators import checks, diff, graph, logs, pages, similar, texts, trends
+from sitegauge.operators import checks, diff, graph, logs, pages, prefixes, similar, texts, trends
 
 
 def edges(spark, rows):
@@ -126,3 +126,68 @@ def test_mount_nodes(spark):
     rows = [("bare", '<div id="root"></div>', 5), ("full", "<div id=root>" + "<p>word word</p>" * 8 + "</div>", 16), ("nested", '<div id="app"><div>a b</div><div>' + "w " * 20 + "</div></div>", 22), ("none", "<div id=rooted></div>", 3), ("script", '<div id="app"><script>' + "w " * 20 + "</script></div>", 4)]
     got = checks.js_dependency(spark.createDataFrame(rows, "url string, html string, word_count int")).collect()
     assert {r.url for r in got} == {"bare", "script"}
+
+
+def test_prefix_rules_against_all_pairs(spark):
+    """No site: patterns of every kind meet all paths that they begin, no plan joins on one key or every pair."""
+    import random
+    import re
+
+    r = random.Random(9)
+    part = lambda: "".join(r.choice("ab/") for _ in range(r.randint(0, 40)))
+    paths = sorted({"/" + part() for _ in range(300)})
+    patterns = ["/", "*", "/*", "/a$", "*b$", "/a*b", "/$", "", "/ab/", "/a.b"] + ["/" + part()[: r.randint(0, 12)] + r.choice(["", "*", "$"]) for _ in range(60)]
+    rules = [(r.choice(["allow", "disallow"]), p) for p in patterns]
+    frame = spark.createDataFrame([("*", k, p) for k, p in rules], "agent string, kind string, pattern string")
+    urls = spark.createDataFrame([(f"https://x{p}",) for p in paths], "url string")
+    got = {x.url[9:]: x.allowed for x in logs.robots_allowed(urls, frame, "Bot").collect()}
+
+    def fits(pattern, path):
+        regex = ".*".join(map(re.escape, pattern.removesuffix("$").split("*"))) + ("$" if pattern.endswith("$") else "")
+        return pattern != "" and re.match(regex, path)
+
+    for path in paths:
+        best = max(((len(p), k == "allow") for k, p in rules if fits(p, path)), default=(0, True))
+        assert got[path] == best[1], path
+    plan = prefixes.prefix_hits(urls.withColumnRenamed("url", "path"), frame.withColumnRenamed("pattern", "prefix"), [])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    redirects = spark.createDataFrame([(p, "/t") for p in ("/", "/*", "/a*", "/b/:x", "/ab/ab*", "*", "/" + "ab" * 20 + "*")], "source string, target string")
+    seen = spark.createDataFrame([(i, p, "/t" if i % 2 else None, 301) for i, p in enumerate([*paths, "/" + "ab" * 30])], "fetch_seq int, path string, landing string, status int")
+    rows = seen.collect()
+    for x in diff.expected_redirects(redirects, seen).collect():
+        open_ = re.search("[*:]", x.source)
+        prefix = re.split("[*:]", x.source)[0]
+        fit = [p for p in rows if (p.path == x.source if not open_ else prefix != "" and p.path.startswith(prefix))]
+        assert x.path == (min(fit, key=lambda p: p.fetch_seq).path if fit else None)
+
+
+def test_rounds_move_their_frontier_only(spark, monkeypatch):
+    """Depths against a plain search, over several buckets; neither links nor reached nodes are shuffled in a round."""
+    import random
+    from collections import deque
+
+    from sitegauge.sources.tables import scratch_path
+
+    r = random.Random(1)
+    pairs = [(a, r.randrange(max(0, a - 80), min(400, a + 80))) for a in range(400) for _ in range(2)]
+    links, roots = spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(0,), (9999,)], "node int")
+    monkeypatch.setattr(graph, "BUCKET", 200)
+    want, queue, out = {0: 0}, deque([0]), {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    while queue:
+        node = queue.popleft()
+        for b in out.get(node, []):
+            if b not in want:
+                want[b] = want[node] + 1
+                queue.append(b)
+    assert {x.node: x.depth for x in graph.link_depths(links, roots).collect()} == want | {9999: None}
+    graph._bucketed(links.repartition(4, "src"), "links_of_a_round", scratch_path(spark, "t"), 4, ["src"])
+    graph._bucketed(roots.withColumn("depth", F.lit(0)).repartition(4, "node"), "nodes_of_a_round", scratch_path(spark, "t"), 4, ["node"], "depth")
+    try:
+        plan = graph.next_nodes(spark.table("links_of_a_round"), spark.table("nodes_of_a_round"), 1, [], 4)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert len(moved) <= 2 and "Bucketed: false" not in plan, plan  # the frontier and its finds
+    finally:
+        for name in ("links_of_a_round", "nodes_of_a_round"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
