@@ -34,19 +34,39 @@ def with_wilson_rate(counts: DataFrame, hits: str, trials: str) -> DataFrame:
     return counts.withColumn("_w", wilson(F.col(hits), F.col(trials))).select(*counts.columns, "_w.rate", "_w.low", "_w.high")
 
 
+def _runs(rows: DataFrame) -> list[str]:
+    return ["run"] if "run" in rows.columns else []
+
+
 def mention_stats(mentions: DataFrame, brand: str) -> DataFrame:
-    """Per entity: answers that mention it with interval, total mentions, share of voice, mean prominence."""
-    rows = mentions.groupBy("entity").agg(F.count_if("mentioned").alias("mentioned"), F.count("*").alias("answers"), F.sum("n").alias("total"), F.round(F.avg(F.when(F.col("mentioned"), 1 - F.col("first_position"))), 4).alias("prominence"))
-    all_ = rows.agg(F.sum("total").alias("_all"))
-    rows = rows.crossJoin(F.broadcast(all_)).withColumn("share", F.coalesce(F.round(F.try_divide("total", "_all"), 4), F.lit(0.0))).drop("_all")
-    return with_wilson_rate(rows, "mentioned", "answers").withColumn("is_brand", F.col("entity") == brand)
-
-
-def measurement_verdict(stats: DataFrame, brand: str) -> DataFrame:
-    """What a run can claim about its subject."""
-    per = stats.agg(F.max(F.when(F.col("entity") == brand, F.col("answers"))).alias("n"), F.max(F.when(F.col("entity") == brand, F.col("mentioned"))).alias("hits"), F.count_if(F.col("entity") != brand).alias("rivals"), F.max(F.when(F.col("entity") == brand, F.col("high"))).alias("high"))
-    v = F.when(F.coalesce("n", F.lit(0)) == 0, "no-data").when(F.col("rivals") == 0, "no-competitors").when(F.col("n") < 10, "thin-sample").when(F.col("hits") == 0, "sampled-absence").otherwise("sampled-presence")
-    return per.select(v.alias("verdict"), "n", "hits")
+    """Per entity (of each ``run``, if there is that column): answers that mention it with interval, total mentions, share of voice,
+    mean prominence, and of the answers that mention it the share that ``recommended`` it and (positive - negative)
+    by ``sentiment``; the brand first, then by share."""
+    by, has = _runs(mentions), mentions.columns
+    hit = F.col("mentioned")
+    liked = F.count_if(hit & F.coalesce("recommended", F.lit(False))) if "recommended" in has else F.lit(0)
+    mood = F.sum(F.when(hit, F.when(F.col("sentiment") == "positive", 1).when(F.col("sentiment") == "negative", -1).otherwise(0))) if "sentiment" in has else F.lit(0)
+    rows = mentions.groupBy(*by, "entity").agg(F.count_if(hit).alias("mentioned"), F.count("*").alias("answers"), F.sum("n").alias("total"), F.round(F.avg(F.when(hit & (F.col("first_position") >= 0), 1 - F.col("first_position"))), 4).alias("prominence"), liked.alias("_liked"), mood.alias("_mood"))
+    all_ = rows.groupBy(*by).agg(F.sum("total").alias("_all"))
+    rows = rows.join(all_, by) if by else rows.crossJoin(F.broadcast(all_))  # one row
+    share = lambda a, b: F.coalesce(F.round(F.try_divide(F.col(a), F.col(b)), 4), F.lit(0.0))
+    rows = rows.withColumns({"share": share("total", "_all"), "recommend_rate": share("_liked", "mentioned"), "sentiment_score": share("_mood", "mentioned")}).drop("_all", "_liked", "_mood")
+    return with_wilson_rate(rows, "mentioned", "answers").withColumn("is_brand", F.col("entity") == brand).orderBy(*by, F.desc("is_brand"), F.desc("share"), "entity")
+
+
+def measurement_verdict(mentions: DataFrame, brand: str, keys: tuple[str, ...] = ("conv_id", "turn"), runs: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """What each run can claim about its subject: ``(verdict, n, hits, informative)``.
+
+    The sample is thin below ten answers, or if even the upper bound of the share of answers that mention
+    anyone is under ``least``. ``runs(run)`` are the runs that were meant to be: without answers they have no data.
+    """
+    by = _runs(mentions)
+    answers = mentions.groupBy(*by, *keys).agg(F.bool_or("mentioned").alias("any"), F.bool_or(F.col("mentioned") & (F.col("entity") == brand)).alias("own"), F.count_distinct("entity").alias("entities"))
+    per = answers.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("own").alias("hits"), F.count_if("any").alias("informative"), F.max("entities").alias("entities"))
+    per = per if runs is None else runs.select(*by).distinct().join(per, by, "left").na.fill(0, ["n", "hits", "informative"])
+    high = wilson(F.col("informative"), F.col("n"))["high"]
+    v = F.when(F.col("n") == 0, "no-data").when(F.col("entities") <= 1, "no-competitors").when((F.col("n") < 10) | (high < least), "thin-sample").when(F.col("hits") == 0, "sampled-absence").otherwise("sampled-presence")
+    return per.select(*by, v.alias("verdict"), "n", "hits", "informative")
 
 
 def mentions_by_prompt(mentions: DataFrame, brand: str, prompt: str = "conv_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +87,38 @@ def canonical_disagreement(rows: DataFrame) -> DataFrame:
     return rows.select("url", state.alias("state"))
 
 
-def assert_pages(pages: DataFrame, assertions: DataFrame) -> DataFrame:
-    """``(url, kind, expected)`` against page records: pass or fail of each."""
-    rows = assertions.join(pages, "url", "left")
+def assert_pages(pages: DataFrame, assertions: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """``(url, kind, expected[, name])`` against page records: pass or fail of each.
+
+    Kinds: title, text_present, text_absent, status, canonical, indexable (``expected`` true or false), header
+    (``name`` in the map ``headers``) and robots_allowed (agent ``name`` by ``allowed(url, agent, allowed)``). What isn't known fails.
+    """
+    rows = assertions if "name" in assertions.columns else assertions.withColumn("name", F.lit(None).cast("string"))
+    if allowed is not None:
+        rows = rows.join(allowed.select("url", F.col("agent").alias("name"), "allowed"), ["url", "name"], "left")
+    else:
+        rows = rows.withColumn("allowed", F.lit(None).cast("boolean"))
+    known = lambda c, kind="string": F.col(c) if c in pages.columns else F.lit(None).cast(kind)
+    text = known("text") if "text" in pages.columns else known("html")
+    directives = F.lower(F.concat_ws(" ", known("x_robots_tag"), known("meta_robots")))
+    facts = pages.select("url", *[known(c).alias(f"_{c}") for c in ("title", "status", "canonical")], known("headers", "map<string,string>").alias("_headers"), _squeezed(text).alias("_text"), (~directives.rlike("noindex|none")).alias("_indexable"), F.lit(True).alias("_known"))
+    rows = rows.join(facts, "url", "left")
+    wanted, kind = F.col("expected"), F.col("kind")
     ok = (
-        F.when(F.col("kind") == "title", F.col("title") == F.col("expected")).when(F.col("kind") == "text_present", F.col("html").contains(F.col("expected"))).when(F.col("kind") == "text_absent", ~F.col("html").contains(F.col("expected")))
-        .when(F.col("kind") == "status", F.col("status").cast("string") == F.col("expected")).when(F.col("kind") == "canonical", url_key("canonical") == url_key("expected"))
+        F.when(kind == "title", F.trim("_title") == wanted).when(kind == "text_present", F.contains("_text", _squeezed(wanted))).when(kind == "text_absent", ~F.contains("_text", _squeezed(wanted)))
+        .when(kind == "status", F.col("_status").cast("string") == wanted).when(kind == "canonical", F.col("_canonical") == wanted).when(kind == "indexable", F.col("_indexable").cast("string") == F.lower(wanted))
+        .when(kind == "header", F.col("_headers")[F.col("name")] == wanted).when(kind == "robots_allowed", F.col("allowed").cast("string") == F.lower(wanted))
     )
-    return rows.select("url", "kind", "expected", F.coalesce(ok, F.lit(False)).alias("pass"))
+    return rows.select("url", "kind", "name", "expected", (F.coalesce(ok, F.lit(False)) & F.coalesce("_known", F.lit(False))).alias("pass"))
+
+
+def _squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def page_verdicts(results: DataFrame) -> DataFrame:
+    """Whether all assertions of a page hold, and how many don't."""
+    return results.groupBy("url").agg(F.count("*").alias("assertions"), F.count_if(~F.col("pass")).alias("failed"), F.bool_and("pass").alias("pass"))
 
 
 def network_footprint(links: DataFrame, hosts: list[str]) -> DataFrame:
@@ -111,14 +137,45 @@ def citation_sources(links: DataFrame, trail: DataFrame, own_host: str) -> DataF
     return first.unionByName(rest)
 
 
-def site_conformance(pages: DataFrame) -> DataFrame:
-    """Rules of a generated site as finding counts by code."""
-    rules = [
-        (F.coalesce("lang", F.lit("")) == "", "missing_lang"), (F.size("h1") != 1, "not_one_h1"), (F.size("h2") < 4, "few_h2"), (url_key("canonical") != url_key("url"), "canonical_not_self"),
-        (F.coalesce(F.element_at("og", "og:title"), F.lit("")) == "", "missing_og_title"), (F.size("json_ld_types") == 0, "no_json_ld"), (F.size("internal_links") == 0, "no_internal_link"), (F.col("images_missing_alt") > 0, "image_without_alt"), (F.col("word_count") < 300, "few_words"),
-    ]
-    made = F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(code)) for c, code in rules])
-    return pages.select("url", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("code")).groupBy("code").agg(F.count("*").alias("pages"))
+#: Rules of a generated site: kinds of pages (None: all; "-" before the names: all but these), code, severity, what is wrong,
+#: as SQL over page records and their ``kind``. Where a rule has no value to look at, it says nothing.
+SITE_RULES = (
+    (None, "html-lang", "error", "coalesce(trim(lang), '') = ''"),
+    ("search notfound", "robots-meta", "warn", "NOT contains(meta_robots, 'noindex')"),
+    ("-search notfound", "robots-meta", "error", "contains(meta_robots, 'noindex')"),
+    ("-search notfound", "robots-meta", "warn", "NOT contains(meta_robots, 'index')"),
+    ("-search notfound", "canonical", "error", "canonical = ''"),
+    ("-search notfound", "canonical", "error", "canonical != '' AND NOT rlike(canonical, '^[A-Za-z][A-Za-z0-9+.-]*:')"),
+    ("-search notfound", "canonical", "error", "rlike(canonical, '^[A-Za-z][A-Za-z0-9+.-]*:') AND rtrim('/', canonical) != rtrim('/', url)"),
+    *(("-search notfound", "open-graph", "warn", f"coalesce(og['{p}'], '') = ''") for p in ("og:title", "og:description", "og:url", "og:type")),
+    ("-search notfound", "twitter-card", "warn", "coalesce(twitter['twitter:card'], '') = ''"),
+    ("-notfound", "jsonld-graph", "error", "NOT (array_contains(json_ld_types, 'Organization') AND array_contains(json_ld_types, 'WebSite'))"),
+    ("home", "jsonld-blog", "warn", "NOT array_contains(json_ld_types, 'Blog')"), ("author", "jsonld-profile", "warn", "NOT array_contains(json_ld_types, 'ProfilePage')"),
+    ("about", "jsonld-about", "warn", "NOT array_contains(json_ld_types, 'AboutPage')"), ("section", "jsonld-collection", "info", "NOT array_contains(json_ld_types, 'CollectionPage')"),
+    ("post", "open-graph", "warn", "og['og:type'] != 'article'"), ("post", "jsonld-article", "error", "NOT arrays_overlap(json_ld_types, array('BlogPosting', 'Article', 'NewsArticle'))"),
+    ("post", "jsonld-breadcrumb", "warn", "NOT array_contains(json_ld_types, 'BreadcrumbList')"), ("post", "h1", "error", "size(h1) != 1"), ("post", "structure", "warn", "size(h2) < 4"),
+    ("post", "citation-mirror", "warn", "citations != source_links"), ("post", "internal-links", "warn", "size(filter(internal_links, x -> contains(x, '/posts/'))) = 0"),
+    ("post", "img-alt", "error", "images_missing_alt > 0"), ("post", "img-dimensions", "warn", "images_without_size > 0"), ("post", "cover", "warn", "coalesce(og['og:image'], '') = ''"), ("post", "length", "warn", "word_count < 300"),
+)
+
+
+def site_conformance(pages: DataFrame, rules: tuple = SITE_RULES) -> DataFrame:
+    """``(url, kind, code, severity, rule)`` for each rule that a page of its kind breaks; rules that name a column which
+    ``pages(url, kind, ..)`` lacks are left out. One pass over the pages, whatever the number of rules."""
+    have = set(pages.columns) | {"x"}
+    made = []
+    for kinds, code, severity, wrong in rules:
+        named = set(re.findall(r"\b[a-z_]\w*\b(?!\()", re.sub(r"'[^']*'", "", wrong))) - {"true", "false"}
+        if named <= have:
+            own = F.lit(True) if kinds is None else ~F.col("kind").isin(kinds[1:].split()) if kinds.startswith("-") else F.col("kind").isin(kinds.split())
+            made.append(F.when(own & F.coalesce(F.expr(wrong), F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(wrong).alias("rule"))))
+    by = keys(pages)
+    return pages.select(*by, "url", "kind", F.explode(F.filter(F.array(*made), lambda f: f.isNotNull())).alias("f")).select(*by, "url", "kind", "f.*")
+
+
+def conformance_counts(found: DataFrame) -> DataFrame:
+    """Pages and findings of each code and severity."""
+    return found.groupBy(*keys(found), "code", "severity").agg(F.count("*").alias("findings"), F.count_distinct("url").alias("pages"))
 
 
 def sitemap_mismatch(crawl: DataFrame, sitemap: DataFrame) -> DataFrame:

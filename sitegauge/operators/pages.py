@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.pages import findings, is_indexable, is_nofollow, is_noindex, severity_rank
+from ..functions.pages import fetched, findings, is_html, is_indexable, is_nofollow, is_noindex, severity_rank
 from ..functions.sites import keys
 from ..functions.text import jaccard, terms
 from ..functions.urls import host_key, same_site, url_key
@@ -80,22 +80,34 @@ def metadata_issues(pages: DataFrame) -> DataFrame:
 
 
 def page_opportunities(pages: DataFrame, sample: int = 10) -> DataFrame:
-    """Page-level rules counted over the site: ``(type, pages, sample_urls)``, samples the least urls."""
-    ok = is_indexable()
-    rows = findings(
-        pages,
-        (ok & (F.coalesce("title", F.lit("")) == ""), "missing_title", "high", F.lit("")),
-        (ok & (F.coalesce("meta_description", F.lit("")) == ""), "missing_meta_description", "medium", F.lit("")),
-        (ok & (F.coalesce(F.size("h1"), F.lit(0)) == 0), "missing_h1", "medium", F.lit("")),
-        (ok & (F.coalesce(F.size("h1"), F.lit(0)) > 1), "multiple_h1", "low", F.lit("")),
-        (ok & (F.col("word_count") > 0) & (F.col("word_count") < 150), "thin_content", "medium", F.lit("")),
-        (ok & (F.coalesce("lang", F.lit("")) == ""), "missing_lang", "low", F.lit("")),
-        keep=(*keys(pages), "url"),
-    )
+    """Ten page-level rules counted over the site: ``(type, impact, effort, count, sample_urls)``, by impact, then count.
+
+    Samples are the least urls of pages that answered 200. The rule on images counts those of all pages, if any such
+    page has one. Rules on columns that ``pages`` lacks are left out.
+    """
+    ok = fetched() & F.coalesce(F.col("status") == 200, F.lit(False))
+    page = ok & is_html()
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    size, one = lambda c: F.coalesce(F.size(c), F.lit(0)), F.lit(1)
+    rules = {
+        "title": [("missing_title_tag", "high", "low", lambda: page & blank("title"), one)],
+        "meta_description": [("missing_meta_description", "medium", "low", lambda: page & blank("meta_description"), one)],
+        "h1": [("missing_h1", "medium", "low", lambda: page & (size("h1") == 0), one), ("multiple_h1", "low", "low", lambda: ok & (size("h1") > 1), one)],
+        "json_ld_types": [("no_structured_data", "medium", "medium", lambda: page & (size("json_ld_types") == 0), one)],
+        "json_ld_errors": [("invalid_json_ld", "medium", "low", lambda: ok & (size("json_ld_errors") > 0), one)],
+        "depth": [("excessive_link_depth", "low", "medium", lambda: ok & (F.col("depth") > 4), one)],
+        "images_missing_alt": [("images_missing_alt_text", "low", "medium", lambda: F.col("images_missing_alt") > 0, F.col("images_missing_alt"))],
+        "word_count": [("thin_content", "medium", "high", lambda: page & (F.col("word_count") > 0) & (F.col("word_count") < 150), one)],
+        "lang": [("missing_html_lang", "low", "low", lambda: page & blank("lang"), one)],
+    }
+    made = [F.when(cond(), F.struct(F.lit(kind).alias("type"), F.lit(impact).alias("impact"), F.lit(effort).alias("effort"), n.cast("bigint").alias("n"), ok.alias("ok"))) for c, own in rules.items() if c in pages.columns for kind, impact, effort, cond, n in own]
+    rows = pages.select(*keys(pages), "url", F.explode(F.filter(F.array(*made), lambda f: f.isNotNull())).alias("f")).select(*keys(pages), "url", "f.*")
     by = [*keys(pages), "type"]
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("url")))
+    counts = rows.groupBy(*by, "impact", "effort").agg(F.sum("n").alias("count"), F.count_if("ok").alias("_ok")).filter("_ok > 0").drop("_ok")
+    ranked = rows.filter("ok").withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("url")))
     top = ranked.filter(F.col("rn") <= sample).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("url")), "\n").alias("sample_urls"))
-    return rows.groupBy(*by).agg(F.count("*").alias("pages")).join(top, by)
+    rank = F.when(F.col("impact") == "high", 0).when(F.col("impact") == "medium", 1).otherwise(2)
+    return counts.join(top, by).orderBy(*keys(pages), rank, F.desc("count"), "type")
 
 
 def register_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -104,10 +116,12 @@ def register_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataF
 
 
 def duplicate_values(pages: DataFrame, col: str = "title") -> DataFrame:
-    """Values that more than one identity shows: a row ``(value, pages, url)`` for each, so that no value gathers its urls."""
+    """Values that more than one identity shows: a row ``(type, severity, value, pages, url)`` for each, so that no value
+    gathers its urls. A shared title weighs more than other shared values."""
     by = [*keys(pages), "value"]
     rows = pages.select(*keys(pages), F.trim(F.coalesce(F.col(col), F.lit(""))).alias("value"), "url").filter("value != ''")
-    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("pages")).filter("pages > 1"), by).select(*by, "pages", "url")
+    shared = rows.join(rows.groupBy(*by).agg(F.count("*").alias("pages")).filter("pages > 1"), by)
+    return shared.select(*keys(pages), F.lit(f"duplicate_{col}").alias("type"), F.lit("high" if col == "title" else "medium").alias("severity"), "value", "pages", "url")
 
 
 def finding_rollup(rows: DataFrame) -> DataFrame:
@@ -137,11 +151,23 @@ def page_map(pages: DataFrame, max_pages: int = 500) -> DataFrame:
     return rows.drop("fetch_seq").orderBy(*keys(pages), "segment", "url")
 
 
-def infer_schema_type(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The first path rule ``(pattern, type)`` that fits, Organization for the home page."""
+#: Patterns of paths and of titles and headings that tell the schema type of a page, in order.
+PATH_HINTS = (
+    (r"(?i)/blog/|/posts?/|/news/|/articles?/", "BlogPosting"), (r"(?i)/product/|/products/|/shop/|/p/\d", "Product"), (r"(?i)/faq/?$|/faqs/?$|frequently-asked-questions", "FAQPage"), (r"(?i)/recipes?/", "Recipe"),
+    (r"(?i)/how-to-|/guide/|/tutorial/", "HowTo"), (r"(?i)/locations?/|/stores?/|/branches?/", "LocalBusiness"), (r"(?i)/team/|/authors?/|/people/|/staff/", "Person"),
+)
+HEADING_HINTS = ((r"(?i)\bhow to\b", "HowTo"), (r"(?i)\brecipe\b", "Recipe"), (r"(?i)\bfaqs?\b|frequently asked questions", "FAQPage"))
+
+
+def infer_schema_type(pages: DataFrame, paths: tuple = PATH_HINTS, headings: tuple = HEADING_HINTS) -> DataFrame:
+    """For pages without JSON-LD the first rule ``(pattern, type)`` that fits the path, else title and first-level
+    headings, else Organization for the home page: ``(url, schema_type)``."""
+    if "json_ld_types" in pages.columns:
+        pages = pages.filter(F.coalesce(F.size("json_ld_types"), F.lit(0)) == 0)
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    kind = F.coalesce(*[F.when(path.rlike(p), t) for p, t in rules], F.when(path.isin("", "/"), "Organization"))
-    return pages.select("url", kind.alias("schema_type")).filter("schema_type is not null")
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c) if c == "title" else F.array_join(c, " "), F.lit("")) for c in ("title", "h1") if c in pages.columns])
+    kind = F.coalesce(*[F.when(path.rlike(p), t) for p, t in paths], *[F.when(text.rlike(p), t) for p, t in headings], F.when(path.isin("", "/"), "Organization"))
+    return pages.select(*keys(pages), "url", kind.alias("schema_type")).filter("schema_type is not null")
 
 
 def with_page_kind(pages: DataFrame) -> DataFrame:

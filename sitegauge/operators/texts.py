@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import headings, links, ngrams, numbers, plain_words, terms
+from ..sources.tables import checkpointed
 from .pages import first_by
 from .similar import index, nearest, similar
 
@@ -24,6 +27,27 @@ def document_facts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(plain_words(t)).alias("words"), F.size(links(t)).alias("links"), F.size(headings(t)).alias("headings"), F.size(F.array_distinct(numbers(t))).alias("numbers"), F.size(F.filter(F.split(t, r"[.!?]+\s+"), lambda s: F.trim(s) != "")).alias("sentences"))
 
 
+def doc_sentences(docs: DataFrame) -> DataFrame:
+    """``(doc_id, pos, sentence)``: a sentence ends before space that follows a stop and precedes a capital, digit, quote or bracket."""
+    cut = F.split(F.trim(F.coalesce("text", F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z\"“(\[$0-9])")
+    return docs.select("doc_id", F.posexplode(F.filter(cut, lambda x: x != "")).alias("pos", "sentence"))
+
+
+#: A figure with its unit, and a range of two.
+_FIGURE = r"\$?\d[\d,]*(?:\.\d+)?\s*(?:%|percent|billion|million|thousand|bn|m\b|k\b)?"
+STATISTIC = rf"(?i){_FIGURE}(?:\s*(?:to|-|–|—)\s*{_FIGURE})?"
+
+
+def doc_statistics(docs: DataFrame) -> DataFrame:
+    """``(doc_id, rank, token)``: figures worth a source, each once, longest first: money, percentages, units, ranges and large
+    numbers; bare years and bare integers of up to three digits are none."""
+    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(STATISTIC), F.lit(0)), lambda m: F.regexp_replace(F.trim(m), r"[.,;:]+$", ""))
+    bare = lambda m: F.trim(F.regexp_replace(m, r"[$,]", ""))
+    plain = lambda m: ~m.rlike(r"[$%A-Za-z]") & bare(m).rlike(r"^(?:(?:19|20)\d\d|\d{1,3})$")
+    rows = docs.select("doc_id", F.posexplode(F.array_distinct(F.filter(found, lambda m: (m != "") & ~plain(m)))).alias("pos", "token"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.char_length("token")), "pos")).alias("rank"), "token")
+
+
 def doc_links(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(links("text")).alias("l")).select("doc_id", "l.label", "l.url")
 
@@ -122,12 +146,24 @@ def verify_passages(passages: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("source_id", F.coalesce(F.contains(_squeezed("body"), _squeezed("passage")), F.lit(False)).alias("found"), F.coalesce(F.sha2("body", 256) == F.col("sha"), F.lit(False)).alias("hash_ok"))
 
 
-def verify_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
-    """Kept and dropped quotes per source; compared as runs of ``[a-z0-9$%.,]``."""
+def checked_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
+    """``points(source_id, quote, ..)`` with ``verified``: whether the quote stands in its source, compared as runs of ``[a-z0-9$%.,]``."""
     norm = lambda c: F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[a-z0-9$%.,]+"), F.lit(0)), " ")
-    rows = points.select("source_id", norm("quote").alias("q")).join(sources.select("source_id", norm("body").alias("b")), "source_id", "left")
-    ok = F.coalesce((F.col("q") != "") & F.contains("b", F.col("q")), F.lit(False))
-    return rows.groupBy("source_id").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
+    rows = points.withColumn("_q", norm("quote")).join(sources.select("source_id", norm("body").alias("_b")), "source_id", "left")
+    return rows.withColumn("verified", F.coalesce((F.col("_q") != "") & F.contains("_b", F.col("_q")), F.lit(False))).drop("_q", "_b")
+
+
+def verify_quotes(points: DataFrame, sources: DataFrame) -> DataFrame:
+    """Kept and dropped quotes per source."""
+    return checked_quotes(points, sources).groupBy("source_id").agg(F.count_if("verified").alias("kept"), F.count_if(~F.col("verified")).alias("dropped"))
+
+
+def quote_trail(points: DataFrame, sources: DataFrame) -> DataFrame:
+    """The trail of each source of ``sources(source_id, url, title, body)``: its kept quotes of ``points(source_id, pos, quote)``
+    in order, a row each; a source without any has one row and no quote."""
+    kept = checked_quotes(points, sources).filter("verified").select("source_id", "pos", "quote")
+    rank = F.when(F.col("quote").isNotNull(), F.row_number().over(Window.partitionBy("source_id").orderBy("pos", "quote")))
+    return sources.select("source_id", "url", "title").join(kept, "source_id", "left").select("source_id", "url", "title", rank.alias("rank"), "quote")
 
 
 def verify_numbers(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -198,11 +234,10 @@ def stale_candidates(unchanged: DataFrame, matches: DataFrame, boilerplate: Data
     return rows.orderBy(F.desc("signals"), F.desc("inbound"), "page_id")
 
 
-def anchor_phrases(paragraphs: DataFrame, titles: DataFrame, least: int = 2, most: int = 5, cosine: float = 0.12) -> DataFrame:
-    """For each paragraph ``(para_id, text)`` the target ``(title_id, title, text)`` of largest cosine, at least
-    ``cosine``, of whose title a run of ``least`` to ``most`` words (and 6 characters) stands in the paragraph outside
-    its links; ``phrase`` is the longest such run. Each target is used once. One paragraph per target and one target
-    per paragraph are chosen by rank, not greedily in page order."""
+def anchor_candidates(paragraphs: DataFrame, titles: DataFrame, least: int = 2, most: int = 5, cosine: float = 0.12) -> DataFrame:
+    """``(para_id, title_id, phrase, score)``: targets ``(title_id, title, text)`` of at least that ``cosine`` to a paragraph
+    ``(para_id, text)`` in which a run of ``least`` to ``most`` words (and 6 characters) of their title stands outside links;
+    ``phrase`` is the longest such run."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9'’-]+"), F.lit(0))
     runs = lambda c: F.explode(F.array_distinct(F.concat(*[ngrams(words(c), n) for n in range(least, most + 1)]))).alias("phrase")
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"\[[^\]]*\]\([^)]*\)", " \u0001 ")
@@ -213,9 +248,33 @@ def anchor_phrases(paragraphs: DataFrame, titles: DataFrame, least: int = 2, mos
     va, vb = text_terms(paragraphs, "text", "para_id"), text_terms(titles, "text", "title_id")
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"n_{k}"))
     dots = met.join(va.withColumnRenamed("n", "wa"), "para_id").join(vb.withColumnRenamed("n", "wb"), ["title_id", "term"]).groupBy("para_id", "title_id", "phrase").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    scored = dots.join(norm(va, "para_id"), "para_id").join(norm(vb, "title_id"), "title_id").withColumn("score", F.round(F.col("dot") / (F.col("n_para_id") * F.col("n_title_id")), 4)).filter(F.col("score") >= cosine)
-    per_para = first_by(scored.select("para_id", "title_id", "phrase", "score"), ["para_id"], -F.col("score"), F.col("title_id"))
-    return first_by(per_para, ["title_id"], -F.col("score"), F.col("para_id")).select("para_id", "title_id", "phrase", "score")
+    score = F.round(F.col("dot") / (F.col("n_para_id") * F.col("n_title_id")), 4)
+    return dots.join(norm(va, "para_id"), "para_id").join(norm(vb, "title_id"), "title_id").withColumn("score", score).filter(F.col("score") >= cosine).select("para_id", "title_id", "phrase", "score")
+
+
+def anchor_phrases(paragraphs: DataFrame, titles: DataFrame, max_links: int | None = None, **limits) -> DataFrame:
+    """Links to set in the paragraphs of a page (of each ``page_id``, if there is that column), in their order: each takes its
+    candidate of largest score that no earlier one took (the least title_id among equals), ``max_links`` at most.
+
+    A paragraph's choice is final once no earlier open paragraph of its page has that target among its candidates.
+    So each round settles the first open paragraph of every page and all others that wait for none.
+    """
+    by = [c for c in ("page_id",) if c in paragraphs.columns]
+    found = anchor_candidates(paragraphs, titles, **limits)
+    found = checkpointed(found.join(paragraphs.select("para_id", *by), "para_id") if by else found, "anchors")
+    done = []
+    while not found.isEmpty():
+        first = found.groupBy(*by, "title_id").agg(F.min("para_id").alias("para_id"))
+        best = first_by(found, ["para_id"], -F.col("score"), F.col("title_id"))
+        settled = checkpointed(best.join(first, [*by, "title_id", "para_id"], "left_semi").select(*by, "para_id", "title_id", "phrase", "score"), "anchors")
+        done.append(settled)
+        open_ = found.join(settled.select("para_id"), "para_id", "left_anti").join(settled.select(*by, "title_id"), [*by, "title_id"], "left_anti")
+        found = checkpointed(open_, "anchors")
+    rows = reduce(lambda x, y: x.unionByName(y), done) if done else found.select(*by, "para_id", "title_id", "phrase", "score")
+    if max_links is None:
+        return rows
+    order = Window.partitionBy(*by).orderBy("para_id")
+    return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= max_links).drop("_rn")
 
 
 def topic_coverage(topics: DataFrame) -> DataFrame:

@@ -59,6 +59,14 @@ def opportunities_by_query(flagged: DataFrame, n: int = 100) -> DataFrame:
     return first_of_site(rows, by, n, F.desc("headroom"), F.col("key"))
 
 
+def opportunity_pages(flagged: DataFrame, top: DataFrame) -> DataFrame:
+    """The pages of each query of ``top``, by headroom: ``(key, rank, page, headroom, impressions, clicks)``. Rows, as a query may
+    have any number of pages."""
+    by = [*site_keys(flagged, top), "key"]
+    order = Window.partitionBy(*by).orderBy(F.desc("headroom"), "page")
+    return flagged.join(top.select(*by), by, "left_semi").select(*by, F.row_number().over(order).alias("rank"), "page", "headroom", "impressions", "clicks")
+
+
 def first_of_site(rows: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
     """The first n rows by ``order``, of each site where there are sites."""
     if not by:
@@ -84,11 +92,25 @@ def performance_delta(cur: DataFrame, prev: DataFrame, by: str) -> DataFrame:
     return both.select(*own, *[(z(c) - z(f"p_{c}")).alias(f"d_{c}") for c in ("clicks", "impressions")], *[F.round(F.col(c) - F.col(f"p_{c}"), 4).alias(f"d_{c}") for c in ("ctr", "position")])
 
 
-def performance_rollup(rows: DataFrame, posts: DataFrame) -> DataFrame:
-    """Post, section and site totals in one grouping."""
+def performance_rollup(rows: DataFrame, posts: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Post, section and site totals in one grouping, of the current window and, as ``p_`` columns, of the previous one, with
+    the differences ``d_clicks`` and ``d_impressions``. Posts without rows have none of either."""
     by = site_keys(rows, posts)
     sets = [[*by, "section", "slug"], [*by, "section"], by]
-    return rows.join(posts, [*by, "slug"]).groupingSets(sets, *by, "section", "slug").agg(*_totals())
+    both = rows.withColumn("_now", F.lit(True))
+    if previous is not None:
+        both = both.unionByName(previous.withColumn("_now", F.lit(False)), allowMissingColumns=True)
+    joined = posts.join(both.select(*by, "slug", "clicks", "impressions", "position", "_now"), [*by, "slug"], "left")
+
+    def window(now: bool, mark: str) -> list[Column]:
+        of = lambda c: F.when(F.col("_now") == now, c)
+        clicks, imp = F.sum(of(F.col("clicks"))), F.sum(of(F.col("impressions")))
+        at = F.sum(of(F.col("position") * F.col("impressions")))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return [zero(clicks).alias(f"{mark}clicks"), zero(imp).alias(f"{mark}impressions"), F.round(F.try_divide(clicks, imp), 4).alias(f"{mark}ctr"), F.round(F.try_divide(at, imp), 2).alias(f"{mark}position")]
+
+    out = joined.groupingSets(sets, *by, "section", "slug").agg(*window(True, ""), *(window(False, "p_") if previous is not None else []))
+    return out if previous is None else out.withColumns({f"d_{c}": F.col(c) - F.col(f"p_{c}") for c in ("clicks", "impressions")})
 
 
 def top_queries(rows: DataFrame, n: int = 50) -> DataFrame:

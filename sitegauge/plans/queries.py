@@ -53,18 +53,27 @@ _META = f"""WITH {_FACTS}, t AS (SELECT url, trim(title) AS title, h1_text, list
  SELECT url, 'missing_h1', 'medium', '' FROM t WHERE h1_text = '' UNION ALL
  SELECT url, 'title_h1_mismatch', 'low', '' FROM t WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) < 0.15"""
 q("o031_metadata_issues", lambda t: pages.metadata_issues(page_facts(t)), _META)
-q("o032_page_opportunities", lambda t: pages.page_opportunities(page_facts(t)), """WITH f AS (SELECT url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_split_to_array(html, '[ \\t\\n\\r\\f\\v]+')) AS words FROM pages),
- r AS (SELECT 'missing_title' AS type, url FROM f WHERE title = '' UNION ALL SELECT 'missing_meta_description', url FROM f UNION ALL SELECT 'missing_h1', url FROM f WHERE h1 = '' UNION ALL SELECT 'thin_content', url FROM f WHERE words > 0 AND words < 150 UNION ALL SELECT 'missing_lang', url FROM f WHERE lang = ''),
- k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY url) AS rn, COUNT(*) OVER (PARTITION BY type) AS n FROM r)
- SELECT type, CAST(max(n) AS BIGINT) AS pages, string_agg(url, chr(10) ORDER BY url) AS sample_urls FROM k WHERE rn <= 10 GROUP BY type""")
+def _records(t: Tables) -> DataFrame:
+    """Page records made of ``v_facts``: its numbers as lists of so many."""
+    some = lambda word, n: F.slice(F.array(*[F.lit(f"{word}{k}") for k in range(6)]), 1, F.col(n).cast("int"))
+    rows = t.v_facts.withColumns({"h1": some("Heading ", "n_h1"), "h2": some("Part ", "n_h2"), "json_ld_types": F.filter(F.split("types", ","), lambda x: x != ""), "json_ld_errors": some("bad ", "ld_errors")})
+    return rows.withColumns({"og": F.create_map(F.lit("og:title"), F.trim("title"), F.lit("og:type"), F.col("og_type")), "twitter": F.create_map(F.lit("twitter:card"), F.col("meta_description")), "internal_links": F.array("url", F.concat(F.lit("/posts/"), "page_id"))})
+
+
+q("o032_page_opportunities", lambda t: pages.page_opportunities(_records(t)), """WITH f AS (SELECT *, error_type = '' AND status = 200 AS ok, error_type = '' AND status = 200 AND content_type = 'text/html' AS pg FROM v_facts),
+ r AS (SELECT 'missing_title_tag' AS type, 'high' AS impact, 'low' AS effort, url, 1 AS n, ok FROM f WHERE pg AND trim(title) = '' UNION ALL SELECT 'missing_meta_description', 'medium', 'low', url, 1, ok FROM f WHERE pg AND meta_description = '' UNION ALL SELECT 'missing_h1', 'medium', 'low', url, 1, ok FROM f WHERE pg AND n_h1 = 0
+ UNION ALL SELECT 'multiple_h1', 'low', 'low', url, 1, ok FROM f WHERE ok AND n_h1 > 1 UNION ALL SELECT 'no_structured_data', 'medium', 'medium', url, 1, ok FROM f WHERE pg AND types = '' UNION ALL SELECT 'invalid_json_ld', 'medium', 'low', url, 1, ok FROM f WHERE ok AND ld_errors > 0 UNION ALL SELECT 'excessive_link_depth', 'low', 'medium', url, 1, ok FROM f WHERE ok AND depth > 4
+ UNION ALL SELECT 'images_missing_alt_text', 'low', 'medium', url, images_missing_alt, ok FROM f WHERE images_missing_alt > 0 UNION ALL SELECT 'thin_content', 'medium', 'high', url, 1, ok FROM f WHERE pg AND word_count BETWEEN 1 AND 149 UNION ALL SELECT 'missing_html_lang', 'low', 'low', url, 1, ok FROM f WHERE pg AND lang = ''),
+ k AS (SELECT *, row_number() OVER (PARTITION BY type, ok ORDER BY url) AS rn FROM r) SELECT type, impact, effort, CAST(SUM(n) AS BIGINT) AS count, string_agg(url, chr(10) ORDER BY url) FILTER (ok AND rn <= 10) AS sample_urls FROM k GROUP BY ALL HAVING bool_or(ok)""", "v_facts")
 q("o144_register_rules", lambda t: pages.register_rules(t.v_crawl, [("server_error", "high", "status >= 500"), ("failed", "medium", "error_type <> ''"), ("self_canonical", "info", "canonical = url")]), """SELECT url, 'server_error' AS type, 'high' AS severity, 'status >= 500' AS detail FROM v_crawl WHERE status >= 500 UNION ALL SELECT url, 'failed', 'medium', 'error_type <> ''''' FROM v_crawl WHERE error_type <> '' UNION ALL SELECT url, 'self_canonical', 'info', 'canonical = url' FROM v_crawl WHERE canonical = url""", "v_crawl")
-q("o085_duplicate_titles", lambda t: pages.duplicate_values(pages.dedupe_by_identity(page_facts(t))), f"WITH {_FACTS}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key_sql('url')} ORDER BY page_id) AS rn FROM facts) WHERE rn = 1 AND trim(title) <> '') SELECT * FROM (SELECT trim(title) AS value, COUNT(*) OVER (PARTITION BY trim(title)) AS pages, url FROM d) WHERE pages > 1")
+q("o085_duplicate_titles", lambda t: pages.duplicate_values(pages.dedupe_by_identity(page_facts(t))), f"WITH {_FACTS}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key_sql('url')} ORDER BY page_id) AS rn FROM facts) WHERE rn = 1 AND trim(title) <> '') SELECT 'duplicate_title' AS type, 'high' AS severity, * FROM (SELECT trim(title) AS value, COUNT(*) OVER (PARTITION BY trim(title)) AS pages, url FROM d) WHERE pages > 1")
+q("o085_duplicate_descriptions", lambda t: pages.duplicate_values(t.v_facts, "meta_description"), "SELECT 'duplicate_meta_description' AS type, 'medium' AS severity, * FROM (SELECT meta_description AS value, COUNT(*) OVER (PARTITION BY meta_description) AS pages, url FROM v_facts WHERE meta_description <> '') WHERE pages > 1", "v_facts")
 q("o086_finding_rollup", lambda t: pages.finding_rollup(pages.metadata_issues(page_facts(t))), f"WITH m AS ({_META}) SELECT severity, type, COUNT(*) AS n FROM m GROUP BY GROUPING SETS ((severity), (type), ())")
 q("o130_order_by_severity", lambda t: pages.order_by_severity(pages.cross_host_canonical(t.v_crawl)), f"SELECT crawl_id, url, 'cross_domain_canonical' AS type, 'critical' AS severity, canonical AS detail FROM v_crawl WHERE canonical <> '' AND {host_sql('canonical')} <> {host_sql('url')} ORDER BY url", "v_crawl")
 q("o088_crawl_summary", lambda t: pages.crawl_summary(t.v_crawl), "SELECT crawl_id, COUNT(*) AS pages, CAST(count_if(error_type <> '') AS BIGINT) AS errors, CAST(count_if(status <> 200) AS BIGINT) AS not_ok FROM v_crawl GROUP BY crawl_id", "v_crawl")
 q("o024_page_map", lambda t: pages.page_map(page_facts(t)), f"WITH {_FACTS} SELECT CASE WHEN seg = '' THEN 'top-level' ELSE seg END AS segment, url, trim(title) AS title, '' AS description FROM (SELECT *, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/+([^/?#]*)', 1) AS seg FROM facts WHERE trim(title) <> '' ORDER BY page_id, url LIMIT 500)")
 q("o038_page_kind", lambda t: pages.with_page_kind(t.pages).groupBy("kind").agg(F.count("*").alias("n")), "SELECT CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^/?#]*)', 1) = '' THEN 'home' ELSE 'other' END AS kind, COUNT(*) AS n FROM pages GROUP BY 1")
-q("o039_infer_schema_type", lambda t: pages.infer_schema_type(t.pages, [("^/en/[0-9]+", "Article"), (r"\.html$", "WebPage")]), r"SELECT url, CASE WHEN regexp_matches(p, '^/en/[0-9]+') THEN 'Article' WHEN regexp_matches(p, '\.html$') THEN 'WebPage' WHEN p IN ('', '/') THEN 'Organization' END AS schema_type FROM (SELECT url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages) WHERE schema_type IS NOT NULL")
+q("o039_infer_schema_type", lambda t: pages.infer_schema_type(_records(t).withColumn("url", F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://x.example/Blog/"), "page_id")).when(F.col("page_id") % 4 == 2, "https://x.example/").otherwise(F.col("url")))), r"SELECT url, CASE WHEN page_id % 4 = 1 THEN 'BlogPosting' WHEN title LIKE 'How to %' THEN 'HowTo' WHEN page_id % 4 = 2 THEN 'Organization' WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 'Organization' END AS schema_type FROM (SELECT page_id, title, types, CASE page_id % 4 WHEN 1 THEN concat('https://x.example/Blog/', page_id) WHEN 2 THEN 'https://x.example/' ELSE url END AS url FROM v_facts) WHERE types = '' AND schema_type IS NOT NULL", "v_facts")
 q("o131_key_pages", lambda t: pages.key_pages(t.v_crawl.filter("crawl_id = 'A'"), t.sql("SELECT url, page_id AS clicks FROM pages"), 20), f"WITH r AS (SELECT {key_sql('url')} AS key, 1 AS pri, CAST(fetch_seq AS DOUBLE) AS pos FROM v_crawl WHERE crawl_id = 'A' AND {_INDEXABLE} UNION ALL SELECT {key_sql('url')}, 2, -CAST(page_id AS DOUBLE) FROM pages), b AS (SELECT key, pri, pos, row_number() OVER (PARTITION BY key ORDER BY pri, pos) AS rn FROM r) SELECT key, pri FROM b WHERE rn = 1 ORDER BY pri, pos, key LIMIT 20", "v_crawl")
 q("o129_stride_sample", lambda t: pages.stride_sample(t.sql("SELECT page_id, url FROM pages"), 7), "WITH r AS (SELECT page_id, url, row_number() OVER (ORDER BY url) AS rn, COUNT(*) OVER () AS n FROM pages) SELECT page_id, url FROM r WHERE (rn - 1) % greatest(n // 7, 1) = 0 AND rn <= greatest(n // 7, 1) * 7")
 q("o043_redact", lambda t: t.pages.select("page_id", redact(F.concat("url", F.lit("?token=ab1&x=2&api_key=zz"))).alias("url")), "SELECT page_id, url || '?token=REDACTED&x=2&api_key=REDACTED' AS url FROM pages")
@@ -151,11 +160,22 @@ _FLAG = f"fl AS (SELECT * FROM (SELECT *, {_CTR} AS expected_ctr FROM v_search W
 q("o036_expected_ctr", lambda t: trends.with_expected_ctr(t.v_search).select("key", "page", "d", "expected_ctr"), f"SELECT key, page, d, {_CTR} AS expected_ctr FROM v_search", "v_search")
 q("o091_near_misses", lambda t: trends.near_misses(t.v_search).select("key", "page", "d", "headroom"), f"WITH {_FLAG} SELECT key, page, d, headroom FROM nm", "v_search")
 q("o092_opportunities", lambda t: trends.opportunities_by_query(trends.near_misses(t.v_search)), f"WITH {_FLAG} SELECT key, CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks, round(SUM(headroom), 2) AS headroom, round(MIN(position), 4) AS best_position, arg_max(page, struct_pack(a := headroom, b := page)) AS primary_page FROM nm GROUP BY key ORDER BY headroom DESC, key LIMIT 100", "v_search")
+q("o092_opportunity_pages", lambda t: trends.opportunity_pages(trends.near_misses(t.v_search), trends.opportunities_by_query(trends.near_misses(t.v_search), 10)).select("key", "rank", "page", "headroom"), f"WITH {_FLAG}, top AS (SELECT key FROM nm GROUP BY key ORDER BY round(SUM(headroom), 2) DESC, key LIMIT 10) SELECT key, row_number() OVER (PARTITION BY key ORDER BY headroom DESC, page) AS rank, page, headroom FROM nm WHERE key IN (SELECT key FROM top)", "v_search")
 _TOT = "CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions, round(SUM(clicks) / nullif(SUM(impressions), 0), 4) AS ctr, round(SUM(position * impressions) / nullif(SUM(impressions), 0), 2) AS position"
 q("o093_performance_totals", lambda t: trends.performance_totals(t.v_search, "page"), f"SELECT page, {_TOT} FROM v_search GROUP BY page", "v_search")
 q("o093_performance_delta", lambda t: trends.performance_delta(trends.performance_totals(t.v_search.filter("d >= date'2024-01-16'"), "page"), trends.performance_totals(t.v_search.filter("d < date'2024-01-16'"), "page"), "page"), f"WITH c AS (SELECT page, {_TOT} FROM v_search WHERE d >= DATE '2024-01-16' GROUP BY page), p AS (SELECT page, {_TOT} FROM v_search WHERE d < DATE '2024-01-16' GROUP BY page) SELECT page, coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS d_clicks, coalesce(c.impressions, 0) - coalesce(p.impressions, 0) AS d_impressions, round(c.ctr - p.ctr, 4) AS d_ctr, round(c.position - p.position, 4) AS d_position FROM c FULL JOIN p USING (page)", "v_search")
 _SEC = "(SELECT DISTINCT page AS slug, concat('s', length(page)) AS section FROM v_search)"
-q("o094_performance_rollup", lambda t: trends.performance_rollup(t.v_search.withColumnRenamed("page", "slug"), t.v_search.select(F.col("page").alias("slug"), F.concat(F.lit("s"), F.length("page")).alias("section")).distinct()), f"SELECT section, slug, {_TOT} FROM v_search JOIN {_SEC} s ON s.slug = page GROUP BY ROLLUP (section, slug)", "v_search")
+_WIN = ", ".join(f"CAST(coalesce(SUM({c}) FILTER ({w}), 0) AS BIGINT) AS {m}{c}" for w, m in (("now", ""), ("NOT now", "p_")) for c in ("clicks", "impressions")) + ", " + ", ".join(f"round(SUM(clicks) FILTER ({w}) / nullif(SUM(impressions) FILTER ({w}), 0), 4) AS {m}ctr, round(SUM(position * impressions) FILTER ({w}) / nullif(SUM(impressions) FILTER ({w}), 0), 2) AS {m}position" for w, m in (("now", ""), ("NOT now", "p_")))
+
+
+def _rollup(t: Tables) -> DataFrame:
+    """The first half of each month as previous window; one post has no rows."""
+    rows = t.v_search.withColumnRenamed("page", "slug")
+    posts = rows.select("slug").unionAll(t.sql("SELECT '/p/quiet' AS slug")).distinct().withColumn("section", F.concat(F.lit("s"), F.length("slug")))
+    return trends.performance_rollup(rows.filter(F.dayofmonth("d") > 15), posts, rows.filter(F.dayofmonth("d") <= 15))
+
+
+q("o094_performance_rollup", _rollup, f"WITH s AS (SELECT DISTINCT page AS slug FROM v_search UNION ALL SELECT '/p/quiet'), r AS (SELECT concat('s', length(slug)) AS section, slug, clicks, impressions, position, day(d) > 15 AS now FROM s LEFT JOIN v_search ON page = slug), g AS (SELECT section, slug, {_WIN} FROM r GROUP BY ROLLUP (section, slug)) SELECT *, clicks - p_clicks AS d_clicks, impressions - p_impressions AS d_impressions FROM g", "v_search")
 q("o095_top_queries", lambda t: trends.top_queries(t.v_search, 15), f"SELECT key, {_TOT}, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages FROM v_search GROUP BY key ORDER BY clicks DESC, impressions DESC, key LIMIT 15", "v_search")
 q("o096_dense_daily_series", lambda t: trends.dense_daily_series(t.v_search.filter("day(d) % 3 <> 0"), "2024-01-01", "2024-02-05"), "SELECT CAST(g AS DATE) AS d, CAST(coalesce(SUM(clicks), 0) AS BIGINT) AS clicks, CAST(coalesce(SUM(impressions), 0) AS BIGINT) AS impressions FROM generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY) x(g) LEFT JOIN (SELECT * FROM v_search WHERE day(d) % 3 <> 0) v ON v.d = CAST(g AS DATE) GROUP BY 1", "v_search")
 q("o127_first_impression", lambda t: trends.first_impression(t.sql("SELECT DISTINCT concat('/p/', user_id % 30) AS page FROM events"), t.v_search), "SELECT p.page, MIN(d) FILTER (impressions > 0) AS first_day, CASE WHEN MIN(d) FILTER (impressions > 0) IS NULL THEN 'awaiting' ELSE 'receiving' END AS state FROM (SELECT DISTINCT concat('/p/', user_id % 30) AS page FROM events) p LEFT JOIN v_search v ON v.page = p.page GROUP BY p.page", "v_search")
@@ -225,6 +245,7 @@ _PASSAGE = "CASE WHEN doc_id % 5 = 1 THEN 'zz not there zz' ELSE substring(text,
 q("o078_verify_passages", lambda t: texts.verify_passages(t.sql(f"SELECT doc_id AS source_id, {_PASSAGE} AS passage, CASE WHEN doc_id % 3 = 0 THEN sha2(text, 256) ELSE 'x' END AS sha FROM documents"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents")), rf"SELECT doc_id AS source_id, coalesce(contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace({_PASSAGE}, '\s+', ' ', 'g'))), false) AS found, doc_id % 3 = 0 AS hash_ok FROM documents")
 _QUOTE = _PASSAGE.replace("% 5 = 1", "% 4 = 0")
 q("o079_verify_quotes", lambda t: texts.verify_quotes(t.sql(f"SELECT doc_id AS source_id, {_QUOTE} AS quote FROM documents"), t.sql("SELECT doc_id AS source_id, text AS body FROM documents")), f"WITH n AS (SELECT doc_id, array_to_string(regexp_extract_all(lower({_QUOTE}), '[a-z0-9$%.,]+'), ' ') AS q, array_to_string(regexp_extract_all(lower(text), '[a-z0-9$%.,]+'), ' ') AS b FROM documents) SELECT doc_id AS source_id, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 1 ELSE 0 END AS BIGINT) AS kept, CAST(CASE WHEN q <> '' AND contains(b, q) THEN 0 ELSE 1 END AS BIGINT) AS dropped FROM n")
+q("o079_quote_trail", lambda t: texts.quote_trail(t.sql(f"SELECT doc_id AS source_id, p AS pos, CASE p WHEN 2 THEN '' ELSE quote END AS quote FROM (SELECT doc_id, {_QUOTE} AS quote FROM documents) CROSS JOIN (SELECT explode(array(1, 2, 3)) AS p)"), t.sql("SELECT doc_id AS source_id, source AS url, lang AS title, text AS body FROM documents")).withColumn("quote", F.md5(F.lower("quote"))), f"WITH n AS (SELECT doc_id, source, lang, {_QUOTE} AS quote, array_to_string(regexp_extract_all(lower({_QUOTE}), '[a-z0-9$%.,]+'), ' ') AS q, array_to_string(regexp_extract_all(lower(text), '[a-z0-9$%.,]+'), ' ') AS b FROM documents), k AS (SELECT *, q <> '' AND contains(b, q) AS ok FROM n) SELECT doc_id AS source_id, source AS url, lang AS title, CASE WHEN ok THEN p END AS rank, CASE WHEN ok THEN md5(lower(quote)) END AS quote FROM k, (VALUES (1), (2)) AS v(p) WHERE ok OR p = 1")
 _NUM = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')), lambda x: length(x) > 1)".replace("\\\\", "\\")
 q("o080_verify_numbers", lambda t: texts.verify_numbers(t.documents, t.sql("SELECT doc_id, text AS body FROM documents WHERE doc_id % 2 = 0")), f"SELECT DISTINCT doc_id, unnest({_NUM('text')}) AS number FROM documents WHERE doc_id % 2 <> 0")
 q("o119_repetitive_text", lambda t: texts.repetitive_text(t.documents), r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INTEGER) AS words, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_words FROM w WHERE len(list_distinct(w)) < least(10, greatest(1, floor(len(w) / 10)))")
@@ -274,8 +295,22 @@ def _mentions(t: Tables) -> DataFrame:
 _CLEAN = rf"v_clean AS (SELECT conv_id, turn, regexp_replace(text, '(?i)\b(?:https?://|www\.)\S+', ' ', 'g') AS text FROM ({_ANSWERS}))"
 _MEN = f"{_CLEAN}, " + _MEN.replace("FROM v_answers", "FROM v_clean")
 q("o098_brand_mentions", lambda t: _mentions(t).select("conv_id", "turn", "entity", "n"), f"WITH {_MEN} SELECT conv_id, turn, entity, n FROM mm", "v_answers")
-q("o099_mention_stats", lambda t: answers.mention_stats(_mentions(t), "that").drop("prominence"), f"WITH {_MEN}, g AS (SELECT entity, CAST(count_if(n > 0) AS BIGINT) AS mentioned, COUNT(*) AS answers, CAST(SUM(n) AS BIGINT) AS total FROM mm GROUP BY entity) SELECT entity, mentioned, answers, total, coalesce(round(total / nullif((SELECT SUM(total) FROM g), 0), 4), 0.0::DOUBLE) AS share, {_WIL('mentioned', 'answers')}, entity = 'that' AS is_brand FROM g", "v_answers")
-q("o100_measurement_verdict", lambda t: answers.measurement_verdict(answers.mention_stats(_mentions(t), "that"), "that"), f"WITH {_MEN} SELECT CASE WHEN COUNT(*) < 10 THEN 'thin-sample' WHEN count_if(n > 0) = 0 THEN 'sampled-absence' ELSE 'sampled-presence' END AS verdict, COUNT(*) AS n, CAST(count_if(n > 0) AS BIGINT) AS hits FROM mm WHERE entity = 'that'", "v_answers")
+def _judged(t: Tables) -> DataFrame:
+    """Mentions of five runs with recommendations and moods."""
+    return _mentions(t).withColumns({"run": F.col("conv_id") % 5, "recommended": (F.col("conv_id") + F.col("turn")) % 3 == 0, "sentiment": F.when(F.col("conv_id") % 4 == 0, "negative").when(F.col("conv_id") % 4 == 1, "neutral").when(F.col("conv_id") % 4 == 2, "positive")})
+
+
+q("o099_mention_stats", lambda t: answers.mention_stats(_judged(t), "that").drop("prominence"), f"WITH {_MEN}, g AS (SELECT conv_id % 5 AS run, entity, CAST(count_if(n > 0) AS BIGINT) AS mentioned, COUNT(*) AS answers, CAST(SUM(n) AS BIGINT) AS total, count_if(n > 0 AND (conv_id + turn) % 3 = 0) AS liked, coalesce(SUM(CASE conv_id % 4 WHEN 2 THEN 1 WHEN 0 THEN -1 ELSE 0 END) FILTER (n > 0), 0) AS mood FROM mm GROUP BY ALL) SELECT run, entity, mentioned, answers, total, coalesce(round(total / nullif(SUM(total) OVER (PARTITION BY run), 0), 4), 0.0::DOUBLE) AS share, coalesce(round(liked / nullif(mentioned, 0), 4), 0.0::DOUBLE) AS recommend_rate, coalesce(round(mood / nullif(mentioned, 0), 4), 0.0::DOUBLE) AS sentiment_score, {_WIL('mentioned', 'answers')}, entity = 'that' AS is_brand FROM g", "v_answers")
+#: Runs of any size: one for each remainder, one of few answers, one whose answers name nobody, one that never was.
+_RUN_OF = "CASE WHEN conv_id < 3 THEN -1 WHEN conv_id % 7 = 0 THEN -2 ELSE conv_id % 5 END"
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    rows = _mentions(t).withColumn("run", F.expr(_RUN_OF)).withColumn("mentioned", F.col("mentioned") & (F.col("run") != -2))
+    return answers.measurement_verdict(rows, "that", runs=rows.select("run").unionAll(t.sql("SELECT CAST(-3 AS BIGINT) AS run")))
+
+
+q("o100_measurement_verdict", _verdicts, f"WITH {_MEN}, a AS (SELECT {_RUN_OF} AS run, conv_id, turn, bool_or(n > 0) AND {_RUN_OF} <> -2 AS named, bool_or(n > 0 AND entity = 'that') AND {_RUN_OF} <> -2 AS own FROM mm GROUP BY conv_id, turn), g AS (SELECT run, COUNT(*) AS n, CAST(count_if(own) AS BIGINT) AS hits, CAST(count_if(named) AS BIGINT) AS informative FROM a GROUP BY run UNION ALL SELECT -3, 0, 0, 0), r AS (SELECT g.*, {_WIL('informative', 'nullif(n, 0)')} FROM g) SELECT run, CASE WHEN n = 0 THEN 'no-data' WHEN n < 10 OR high < 0.5 THEN 'thin-sample' WHEN hits = 0 THEN 'sampled-absence' ELSE 'sampled-presence' END AS verdict, n, hits, informative FROM r", "v_answers")
 q("o101_mentions_by_prompt", lambda t: answers.mentions_by_prompt(_mentions(t).withColumn("conv_id", F.col("conv_id") % 7), "that").select("conv_id", "answers", "brand_rate", "rival_rate", "rival", "rival_wins"), f"WITH {_MEN}, g AS (SELECT conv_id % 7 AS conv_id, entity, count_if(n > 0) AS h, COUNT(*) AS k FROM mm GROUP BY ALL), r AS (SELECT *, {_WIL('h', 'k')} FROM g) SELECT conv_id, MAX(k) AS answers, MAX(rate) FILTER (entity = 'that') AS brand_rate, MAX(rate) FILTER (entity <> 'that') AS rival_rate, arg_max(entity, struct_pack(a := rate, b := entity)) FILTER (entity <> 'that') AS rival, MAX(k) >= 10 AND MAX(low) FILTER (entity <> 'that') > MAX(high) FILTER (entity = 'that') AS rival_wins FROM r GROUP BY conv_id", "v_answers")
 q("o103_citation_gaps", lambda t: answers.citation_gaps(answers.mentions_by_prompt(_mentions(t).withColumn("conv_id", F.col("conv_id") % 7), "that")), f"WITH {_MEN}, g AS (SELECT conv_id % 7 AS conv_id, entity, round(count_if(n > 0) / COUNT(*), 4) AS rate FROM mm GROUP BY ALL), r AS (SELECT conv_id, arg_max(entity, struct_pack(a := rate, b := entity)) FILTER (entity <> 'that') AS rival, MAX(rate) FILTER (entity <> 'that') AS rr, MAX(rate) FILTER (entity = 'that') AS br FROM g GROUP BY 1) SELECT conv_id, rival, round(rr - br, 4) AS gap FROM r WHERE rr > br", "v_answers")
 q("o097_wilson_rate", lambda t: answers.with_wilson_rate(t.sql("SELECT user_id, CAST(SUM(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS hits, COUNT(*) AS n FROM events GROUP BY user_id"), "hits", "n"), f"SELECT user_id, hits, n, {_WIL('hits', 'n')} FROM (SELECT user_id, CAST(count_if(event_type = 'click') AS BIGINT) AS hits, COUNT(*) AS n FROM events GROUP BY user_id)")
@@ -370,10 +405,26 @@ _HL = "SELECT concat('https://h.example/', page_id) AS url, CASE WHEN page_id %
 q("o058_hreflang", lambda t: checks.hreflang_not_reciprocal(t.sql(_HL)), "SELECT 'https://h.example/' || page_id AS src, 'https://h.example/' || (page_id + 1) AS dst FROM pages WHERE page_id % 3 = 0 AND (page_id + 1) % 2 <> 0 AND page_id + 1 IN (SELECT page_id FROM pages)")
 q("o060_noindex_evidence", lambda t: checks.noindex_evidence(pages.noindex_pages(t.v_crawl).filter("crawl_id = 'B'"), t.pages.filter("page_id % 2 = 0").select(url_key("url").alias("key")), t.pages.filter("page_id % 5 = 0").select(url_key("url").alias("key"), F.lit(3).alias("impressions")).distinct()), f"WITH s AS (SELECT DISTINCT {_K} AS key FROM pages WHERE page_id % 2 = 0), i AS (SELECT DISTINCT {_K} AS key FROM pages WHERE page_id % 5 = 0) SELECT url, CASE WHEN {_K} IN (SELECT key FROM i) THEN 'high' WHEN {_K} IN (SELECT key FROM s) THEN 'medium' ELSE 'none' END AS severity FROM v_crawl WHERE crawl_id = 'B' AND {_NOINDEX}", "v_crawl")
 q("o061_canonical_disagreement", lambda t: checks.canonical_disagreement(t.sql("SELECT url, url AS declared, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN url ELSE concat('https://z.example/', page_id) END AS selected FROM pages")), "SELECT url, CASE page_id % 3 WHEN 0 THEN 'not_selected_yet' WHEN 1 THEN 'agrees' ELSE 'disagrees' END AS state FROM pages")
-q("o047_assert_pages", lambda t: checks.assert_pages(t.sql("SELECT url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, 200 AS status, '' AS canonical FROM pages WHERE page_id = (SELECT MIN(page_id) FROM pages) OR page_id % 2 = 0"), t.sql("SELECT url, 'text_present' AS kind, '<article>' AS expected FROM pages UNION ALL SELECT url, 'text_absent', '<article>' FROM pages UNION ALL SELECT url, 'status', '200' FROM pages")), "WITH k AS (SELECT DISTINCT url, true AS known FROM pages WHERE page_id % 2 = 0) SELECT url, kind, expected, coalesce(known, false) AND kind <> 'text_absent' AS pass FROM pages LEFT JOIN k USING (url), (VALUES ('text_present', '<article>'), ('text_absent', '<article>'), ('status', '200')) AS a(kind, expected)")
+_ASSERTED = "SELECT f.url, a.kind, a.name, a.expected FROM v_facts f CROSS JOIN (SELECT 'title' AS kind, CAST(NULL AS {s}) AS name, 'Title 3' AS expected UNION ALL SELECT 'text_present', NULL, '<article>' UNION ALL SELECT 'text_absent', NULL, '<article>' UNION ALL SELECT 'status', NULL, '200' UNION ALL SELECT 'canonical', NULL, 'https://else.example/' UNION ALL SELECT 'indexable', NULL, 'true' UNION ALL SELECT 'header', 'X-Cache', 'HIT' UNION ALL SELECT 'robots_allowed', 'bingbot', 'false' UNION ALL SELECT 'unheard_of', NULL, 'x') a"
+
+
+def _asserted(t: Tables) -> DataFrame:
+    """All kinds of assertions on every page; one page in seven has no record."""
+    rows = _records(t).join(t.pages.select("page_id", "html"), "page_id").filter("page_id % 7 != 3").withColumn("headers", F.create_map(F.lit("X-Cache"), F.when(F.col("page_id") % 2 == 0, "HIT").otherwise("MISS")))
+    allowed = t.pages.select("url", F.lit("bingbot").alias("agent"), (F.col("page_id") % 3 != 0).alias("allowed"))
+    return checks.assert_pages(rows, t.sql(_ASSERTED.format(s="STRING").replace("v_facts", f"({VIEWS['v_facts']})")), allowed)
+
+
+_PASS = f"""WITH a AS ({_ASSERTED.format(s="VARCHAR")}), f AS (SELECT v_facts.*, html FROM v_facts JOIN pages USING (page_id)), r AS (SELECT a.url, a.kind, a.name, a.expected, coalesce(page_id % 7 <> 3 AND CASE a.kind WHEN 'title' THEN title = 'Title 3' WHEN 'text_present' THEN contains(html, '<article>') WHEN 'text_absent' THEN NOT contains(html, '<article>') WHEN 'status' THEN status = 200
+ WHEN 'canonical' THEN canonical = 'https://else.example/' WHEN 'indexable' THEN meta_robots <> 'noindex' WHEN 'header' THEN page_id % 2 = 0 WHEN 'robots_allowed' THEN page_id % 3 = 0 END, false) AS pass FROM a JOIN f ON f.url = a.url)"""
+q("o047_assert_pages", _asserted, f"{_PASS} SELECT * FROM r", "v_facts")
+q("o047_page_verdicts", lambda t: checks.page_verdicts(_asserted(t)), f"{_PASS} SELECT url, COUNT(*) AS assertions, CAST(count_if(NOT pass) AS BIGINT) AS failed, bool_and(pass) AS pass FROM r GROUP BY url", "v_facts")
 q("o083_network_footprint", lambda t: checks.network_footprint(t.sql("SELECT source_domain AS site, url_to AS link FROM (SELECT concat('d', l_suppkey % 40, '.example') AS source_domain, concat('https://', CASE l_partkey % 3 WHEN 0 THEN 'a.sib.example' WHEN 1 THEN 'www.sib.example' ELSE 'other.example' END, '/', l_partkey) AS url_to FROM lineitem)"), ["sib.example"]), "SELECT concat('d', l_suppkey % 40, '.example') AS site, COUNT(*) AS links FROM lineitem WHERE l_partkey % 3 < 2 GROUP BY 1")
 _MD = "SELECT doc_id, concat('# T\n\n## One\n', text, ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' \n## Two\n') AS text FROM documents"
 _MDD = "SELECT doc_id, concat('# T', chr(10), chr(10), '## One', chr(10), text, ' [lab](https://e', doc_id % 9, '.example/x) and [two](https://own.example/y) in 20', doc_id % 80 + 10, ' ', chr(10), '## Two', chr(10)) AS text FROM documents"
+_STATS = "SELECT doc_id, concat('It cost $', doc_id % 50, ' to $', doc_id % 50 + 60, ' in 2021. Then ', doc_id, ',000 came, 12 of ', doc_id % 900, ' or 3.5% here. (So) 12 min? Yes ', doc_id % 7, ' million! x') AS text FROM documents"
+q("o045_document_statistics", lambda t: texts.doc_statistics(t.sql(_STATS)), "WITH v AS (SELECT doc_id, 1 AS pos, concat('$', doc_id % 50, ' to $', doc_id % 50 + 60) AS token FROM documents UNION ALL SELECT doc_id, 2, concat(doc_id, ',000') FROM documents WHERE doc_id <> 2 UNION ALL SELECT doc_id, 3, '3.5%' FROM documents UNION ALL SELECT doc_id, 4, concat(doc_id % 7, ' million') FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(token) DESC, pos) AS rank, token FROM v")
+q("o045_document_sentences", lambda t: texts.doc_sentences(t.sql(_STATS)), "SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest([concat('It cost $', doc_id % 50, ' to $', doc_id % 50 + 60, ' in 2021.'), concat('Then ', doc_id, ',000 came, 12 of ', doc_id % 900, ' or 3.5% here.'), '(So) 12 min?', concat('Yes ', doc_id % 7, ' million! x')]) AS sentence FROM documents")
 q("o045_document_links", lambda t: texts.doc_links(t.sql(_MD)), "SELECT doc_id, 'lab' AS label, concat('https://e', doc_id % 9, '.example/x') AS url FROM documents UNION ALL SELECT doc_id, 'two', 'https://own.example/y' FROM documents")
 q("o045_document_facts", lambda t: texts.document_facts(t.documents).select("doc_id", "links", "headings", "numbers"), f"SELECT doc_id, CAST(0 AS INTEGER) AS links, CAST(0 AS INTEGER) AS headings, CAST(len(list_distinct({_NUM('text')})) AS INTEGER) AS numbers FROM documents")
 q("o120_rewrite_guard", lambda t: texts.rewrite_guard(t.sql(_MD), t.sql(_MD.replace("and [two]", "or 777 [three]").replace("https://own.example/y", "https://own.example/z"))).select("doc_id", "numbers_lost", "links_lost", "links_added", "headings_changed"), "SELECT doc_id, CAST(0 AS INTEGER) AS numbers_lost, CAST(1 AS INTEGER) AS links_lost, CAST(1 AS INTEGER) AS links_added, false AS headings_changed FROM documents")
@@ -386,17 +437,27 @@ q("o089_redirect_classes", lambda t: diff.redirect_classes(t.sql(_RED.format(cha
 _XML = "SELECT concat('s', page_id) AS sitemap, concat('<?xml version=\"1.0\"?>\n<x:urlset xmlns:x=\"http://n.example/\"><x:url><x:loc> ', replace(url, '&', '&amp;'), ' </x:loc><x:lastmod>2020</x:lastmod></x:url><x:url><x:loc>https://x.example/?a=1&#38;b=&quot;2&quot;</x:loc></x:url></x:urlset>') AS body FROM pages UNION ALL SELECT concat('i', page_id), concat('<sitemapindex><sitemap><loc>s', page_id, '</loc></sitemap></sitemapindex>') FROM pages UNION ALL SELECT concat('b', page_id), '<rss><loc>x</loc></rss>' FROM pages UNION ALL SELECT concat('c', page_id), '<urlset><url><loc>x' FROM pages"
 q("o009_sitemap_urls", lambda t: crawl.sitemap_urls(t.sql(_XML)), "SELECT k || page_id AS sitemap, CASE k WHEN 's' THEN 'urlset' ELSE 'index' END AS kind, CASE u WHEN 0 THEN url ELSE 'https://x.example/?a=1&b=\"2\"' END AS loc, false AS truncated FROM pages, (VALUES ('s'), ('i')) AS k(k), (VALUES (0), (1)) AS u(u)")
 q("o012_backlinks", lambda t: vendors.normalize_backlinks(t.sql("SELECT to_json(named_struct('url_from', concat('https://www.d', l_suppkey, '.example/', l_orderkey), 'url_to', concat('/', l_partkey), 'first_seen', CAST(CAST(l_shipdate AS DATE) AS STRING), 'domain_rating_source', CASE WHEN l_partkey % 3 = 0 THEN 'junk' ELSE CAST(l_partkey AS STRING) END)) AS json FROM lineitem"), "ahrefs").select("url_from", "url_to", "first_seen", F.coalesce("domain_rating_source", F.lit(-1.0)).alias("rating"), "source_domain"), "SELECT concat('https://www.d', l_suppkey, '.example/', l_orderkey) AS url_from, concat('/', l_partkey) AS url_to, CAST(l_shipdate AS DATE) AS first_seen, CASE WHEN l_partkey % 3 = 0 THEN -1.0::DOUBLE ELSE CAST(l_partkey AS DOUBLE) END AS rating, concat('d', l_suppkey, '.example') AS source_domain FROM lineitem")
-q("o014_social_posts", lambda t: vendors.normalize_social_posts(t.sql("SELECT to_json(named_struct('id', CAST(event_id AS STRING), 'permalink', concat('/r/', event_id), 'title', event_type, 'ups', event_id % 9, 'num_comments', event_id % 4)) AS json FROM events"), "reddit").select("platform", "id", "url", "title", "score", "comments"), "SELECT 'reddit' AS platform, CAST(event_id AS VARCHAR) AS id, concat('/r/', event_id) AS url, event_type AS title, event_id % 9 AS score, event_id % 4 AS comments FROM events")
+q("o014_social_posts", lambda t: vendors.normalize_social_posts(t.sql("SELECT to_json(named_struct('name', CAST(event_id AS STRING), 'permalink', CASE WHEN event_id % 2 = 0 THEN concat('/r/', event_id) END, 'url', 'https://i.example/x', 'title', event_type, 'ups', event_id % 9, 'num_comments', event_id % 4, 'subreddit', named_struct('name', 'spark'), 'author', CASE WHEN event_id % 3 = 0 THEN '' ELSE 'me' END, 'created_utc', CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id * 86400 END)) AS json FROM events"), "reddit").select("platform", "id", "url", "title", "author", "community", "score", "comments", "created_at"), "SELECT 'reddit' AS platform, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN concat('https://www.reddit.com/r/', event_id) ELSE 'https://i.example/x' END AS url, event_type AS title, CASE WHEN event_id % 3 <> 0 THEN 'me' END AS author, 'r/spark' AS community, event_id % 9 AS score, event_id % 4 AS comments, CASE WHEN event_id % 5 <> 0 THEN strftime(to_timestamp(event_id * 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') END AS created_at FROM events")
 q("o015_page_speed", lambda t: vendors.flatten_page_speed(t.sql("SELECT url, concat('{\"lighthouseResult\":{\"audits\":{\"a\":{\"score\":', CASE WHEN page_id % 2 = 0 THEN '0.5' ELSE '1' END, ',\"details\":{\"overallSavingsMs\":', page_id, '}},\"b\":{\"score\":null}}}}') AS json FROM pages"))[1].select("url", "audit", "savings_ms"), "SELECT url, 'a' AS audit, CAST(page_id AS DOUBLE) AS savings_ms FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 'b', 0.0::DOUBLE FROM pages")
 q("o017_serp_position", lambda t: vendors.serp_position(t.sql("SELECT concat('k', page_id) AS keyword, concat('{\"items\":[{\"type\":\"ad\",\"url\":\"https://x.example/\",\"rank_absolute\":1},{\"type\":\"organic\",\"url\":\"https://o', page_id % 3, '.example/\",\"rank_absolute\":2},{\"type\":\"organic\",\"url\":\"https://www.sub.o1.example/p\",\"rank_absolute\":3}]}') AS json FROM pages"), "o1.example").select("keyword", "rank", "url"), "SELECT concat('k', page_id) AS keyword, CAST(CASE WHEN page_id % 3 = 1 THEN 2 ELSE 3 END AS INTEGER) AS rank, CASE WHEN page_id % 3 = 1 THEN 'https://o1.example/' ELSE 'https://www.sub.o1.example/p' END AS url FROM pages")
 q("o040_structured_data", lambda t: vendors.validate_structured_data(vendors.json_ld_nodes(t.sql("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' WHEN 1 THEN '{\"@graph\":[{\"@type\":\"HowTo\"},{\"name\":\"x\"}]}' ELSE '{\"@type\":[\"Product\",\"Thing\"],\"name\":\"n\",\"offers\":[],\"image\":\"i\"}' END AS json FROM pages"))), "SELECT page_id, 'Article' AS type, 'error' AS severity, 'missing headline' AS issue FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'HowTo', 'info', 'retired type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, '', 'error', 'no @type' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'Product', 'warning', 'missing offers' FROM pages WHERE page_id % 3 = 2")
 _RUN = lambda of, key, text: f"SELECT DISTINCT {key}, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z0-9''’-]+') AS w FROM {of}), (VALUES (2), (3), (4), (5)) AS n(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)"
 _TERM_VECTOR = lambda of, id_, key: f"SELECT *, sqrt(SUM(n * n) OVER (PARTITION BY {key})) AS norm FROM (SELECT {id_} AS {key}, term, COUNT(*) AS n FROM (SELECT {id_}, unnest({_TT('text')}) AS term FROM {of}) GROUP BY ALL)"
-q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring_index(text, '.', 1) AS title, text FROM documents")), rf"""WITH p AS (SELECT item_id AS para_id, unnest(regexp_split_to_array(regexp_replace(text, '\[[^\]]*\]\([^)]*\)', ' | ', 'g'), '[^A-Za-z0-9''’ -]+')) AS part FROM benchmark), d AS (SELECT doc_id AS title_id, split_part(text, '.', 1) AS title FROM documents),
+q("o076_anchor_phrases", lambda t: texts.anchor_phrases(t.sql("SELECT item_id AS para_id, text FROM benchmark"), t.sql("SELECT doc_id AS title_id, substring_index(text, '.', 1) AS title, text FROM documents")), rf"""WITH RECURSIVE p AS (SELECT item_id AS para_id, unnest(regexp_split_to_array(regexp_replace(text, '\[[^\]]*\]\([^)]*\)', ' | ', 'g'), '[^A-Za-z0-9''’ -]+')) AS part FROM benchmark), d AS (SELECT doc_id AS title_id, split_part(text, '.', 1) AS title FROM documents),
  a AS ({_RUN('p', 'para_id', 'part')}), b AS ({_RUN('d', 'title_id', 'title')}), m AS (SELECT para_id, title_id, phrase FROM a JOIN b USING (phrase) WHERE length(phrase) >= 6 QUALIFY row_number() OVER (PARTITION BY para_id, title_id ORDER BY length(phrase) DESC, phrase) = 1),
  va AS ({_TERM_VECTOR('benchmark', 'item_id', 'para_id')}), vb AS ({_TERM_VECTOR('documents', 'doc_id', 'title_id')}), s AS (SELECT m.para_id, m.title_id, m.phrase, round(SUM(va.n * vb.n) / (any_value(va.norm) * any_value(vb.norm)), 4) AS score FROM m JOIN va ON va.para_id = m.para_id JOIN vb ON vb.title_id = m.title_id AND vb.term = va.term GROUP BY ALL),
- f AS (SELECT * FROM s WHERE score >= 0.12 QUALIFY row_number() OVER (PARTITION BY para_id ORDER BY score DESC, title_id) = 1) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY score DESC, para_id) = 1""")
-q("o118_site_conformance", lambda t: checks.site_conformance(page_facts(t).select("url", "lang", "h1", F.array().cast("array<string>").alias("h2"), F.col("url").alias("canonical"), F.create_map().cast("map<string,string>").alias("og"), F.array().cast("array<string>").alias("json_ld_types"), F.array("url").alias("internal_links"), F.lit(0).alias("images_missing_alt"), "word_count")), """WITH f AS (SELECT regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_split_to_array(html, '[ \\t\\n\\r\\f\\v]+')) AS words FROM pages), c AS (SELECT unnest(['few_h2', 'missing_og_title', 'no_json_ld', CASE WHEN lang = '' THEN 'missing_lang' END, CASE WHEN h1 = '' THEN 'not_one_h1' END, CASE WHEN words < 300 THEN 'few_words' END]) AS code FROM f) SELECT code, COUNT(*) AS pages FROM c WHERE code IS NOT NULL GROUP BY code""")
+ c AS MATERIALIZED (SELECT s.*, dense_rank() OVER (ORDER BY para_id) AS k FROM s WHERE score >= 0.12), g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick UNION ALL SELECT k + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (SELECT g.k, g.used, (SELECT arg_min(title_id, struct_pack(a := -score, b := title_id)) FROM c WHERE c.k = g.k + 1 AND NOT list_contains(g.used, c.title_id)) AS pick FROM g WHERE g.k < (SELECT MAX(k) FROM c)) x)
+ SELECT para_id, title_id, phrase, score FROM g JOIN c ON c.k = g.k AND c.title_id = g.pick""")
+_NORMAL = "kind NOT IN ('search', 'notfound')"
+_CONFORMANCE = " UNION ALL ".join(f"SELECT url, kind, '{code}' AS code, '{sev}' AS severity FROM v_facts WHERE {wrong}" for code, sev, wrong in (
+    ("html-lang", "error", "lang = ''"), ("robots-meta", "warn", f"NOT {_NORMAL} AND meta_robots <> 'noindex'"), ("robots-meta", "error", f"{_NORMAL} AND meta_robots = 'noindex'"), ("robots-meta", "warn", f"{_NORMAL} AND meta_robots = ''"),
+    ("canonical", "error", f"{_NORMAL} AND page_id % 5 IN (0, 1)"), ("canonical", "error", f"{_NORMAL} AND page_id % 5 = 3"), ("open-graph", "warn", f"{_NORMAL} AND trim(title) = ''"), ("open-graph", "warn", _NORMAL), ("open-graph", "warn", _NORMAL),
+    ("twitter-card", "warn", f"{_NORMAL} AND meta_description = ''"), ("jsonld-graph", "error", "kind <> 'notfound' AND types NOT LIKE 'Organization,WebSite%'"), ("jsonld-blog", "warn", "kind = 'home' AND types NOT LIKE '%Blog,%'"), ("jsonld-profile", "warn", "kind = 'author'"), ("jsonld-about", "warn", "kind = 'about' AND types NOT LIKE '%AboutPage'"),
+    ("jsonld-collection", "info", "kind = 'section'"), ("open-graph", "warn", "kind = 'post' AND og_type <> 'article'"), ("jsonld-article", "error", "kind = 'post' AND types NOT LIKE '%BlogPosting%' AND types <> 'Article'"), ("jsonld-breadcrumb", "warn", "kind = 'post' AND types NOT LIKE '%Breadcrumb%'"),
+    ("h1", "error", "kind = 'post' AND n_h1 <> 1"), ("structure", "warn", "kind = 'post' AND n_h2 < 4"), ("citation-mirror", "warn", "kind = 'post' AND citations <> source_links"), ("img-alt", "error", "kind = 'post' AND images_missing_alt > 0"), ("cover", "warn", "kind = 'post'"), ("length", "warn", "kind = 'post' AND word_count < 300"),
+))
+q("o118_site_conformance", lambda t: checks.site_conformance(_records(t)).drop("rule"), _CONFORMANCE, "v_facts")
+q("o118_conformance_counts", lambda t: checks.conformance_counts(checks.site_conformance(_records(t))), f"SELECT code, severity, COUNT(*) AS findings, COUNT(DISTINCT url) AS pages FROM ({_CONFORMANCE}) GROUP BY ALL", "v_facts")
 
 
 _LD = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{\"@type\":\"Article\",\"headline\":\" \",\"author\":\"a\",\"datePublished\":\"d\",\"image\":\"i\"}' ELSE '{\"@type\":\"Organization\",\"name\":\"n\",\"url\":\"u\"}' END AS json FROM pages WHERE page_id % 4 <> 1"

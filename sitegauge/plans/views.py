@@ -21,6 +21,16 @@ FROM events GROUP BY user_id % 40, user_id % 25, CAST(ts AS DATE)""",
   concat(p.page_id, CASE WHEN c.crawl_id = 'B' AND p.page_id % 4 = 1 THEN '-changed' ELSE '' END) AS content_version
 FROM pages p CROSS JOIN (SELECT 'A' AS crawl_id UNION ALL SELECT 'B') c
 WHERE NOT (c.crawl_id = 'A' AND p.page_id % 11 = 3) AND NOT (c.crawl_id = 'B' AND p.page_id % 11 = 5)""",
+    "v_facts": """SELECT page_id, url, CASE WHEN page_id % 9 = 4 THEN ' ' WHEN page_id % 9 = 5 THEN concat('How to ', page_id) ELSE concat('Title ', page_id % 50) END AS title,
+  CASE WHEN page_id % 8 = 3 THEN '' ELSE concat('About ', page_id % 40) END AS meta_description, page_id % 3 AS n_h1, page_id % 6 AS n_h2, CASE WHEN page_id % 7 = 2 THEN '' ELSE 'en' END AS lang, CAST(page_id % 8 AS INT) AS depth,
+  CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Organization,WebSite' WHEN 2 THEN 'Organization,WebSite,BlogPosting,BreadcrumbList' WHEN 3 THEN 'Organization,WebSite,Blog,AboutPage' ELSE 'Article' END AS types,
+  CASE WHEN page_id % 11 = 5 THEN 1 ELSE 0 END AS ld_errors, CASE WHEN page_id % 6 = 1 THEN page_id % 4 ELSE 0 END AS images_missing_alt, CAST(page_id * 37 % 400 AS INT) AS word_count,
+  CASE WHEN page_id % 13 = 12 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 17 = 16 THEN 'timeout' ELSE '' END AS error_type, CASE WHEN page_id % 10 = 9 THEN 'application/pdf' ELSE 'text/html' END AS content_type,
+  CASE page_id % 4 WHEN 0 THEN 'noindex' WHEN 1 THEN '' ELSE 'index, follow' END AS meta_robots, '' AS x_robots_tag,
+  CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/relative' WHEN 2 THEN concat(url, '/') WHEN 3 THEN 'https://else.example/' ELSE url END AS canonical,
+  CASE page_id % 8 WHEN 0 THEN 'home' WHEN 1 THEN 'author' WHEN 2 THEN 'about' WHEN 3 THEN 'section' WHEN 4 THEN 'search' WHEN 5 THEN 'notfound' ELSE 'post' END AS kind,
+  page_id % 4 AS citations, page_id % 3 AS source_links, CASE WHEN page_id % 2 = 0 THEN 'article' ELSE 'website' END AS og_type
+FROM pages""",
     "v_edges": """SELECT src, dst FROM (
   SELECT page_id AS src, page_id * 2 + 1 AS dst FROM pages UNION
   SELECT page_id, page_id * 2 + 2 FROM pages UNION

@@ -39,19 +39,36 @@ def normalize_backlinks(raw: DataFrame, provider: str, broken: bool = False) ->
 
 #: Ordered fallback fields of each platform's payload.
 _POSTS = {
-    "reddit": dict(id=("$.id",), url=("$.url", "$.permalink"), title=("$.title",), text=("$.selftext", "$.body"), author=("$.author",), community=("$.subreddit",), score=("$.score", "$.ups"), comments=("$.num_comments",), views=("$.view_count",)),
-    "youtube": dict(id=("$.id", "$.videoId"), url=("$.url",), title=("$.title",), text=("$.description",), author=("$.channel.title", "$.channelTitle"), community=("$.channel.title", "$.channelTitle"), score=("$.likeCountInt", "$.likes"), comments=("$.commentCountInt",), views=("$.viewCountInt", "$.views")),
-    "twitter": dict(id=("$.rest_id", "$.id"), url=("$.url",), title=("$.none",), text=("$.legacy.full_text", "$.text"), author=("$.user.screen_name", "$.author"), community=("$.none",), score=("$.legacy.favorite_count", "$.likes"), comments=("$.legacy.reply_count",), views=("$.views.count",)),
-    "tiktok": dict(id=("$.aweme_id", "$.id"), url=("$.url",), title=("$.none",), text=("$.desc",), author=("$.author.unique_id",), community=("$.none",), score=("$.statistics.digg_count",), comments=("$.statistics.comment_count",), views=("$.statistics.play_count",)),
-    "instagram": dict(id=("$.id", "$.pk"), url=("$.url",), title=("$.none",), text=("$.caption.text", "$.caption"), author=("$.user.username",), community=("$.none",), score=("$.like_count",), comments=("$.comment_count",), views=("$.play_count",)),
-    "threads": dict(id=("$.id", "$.pk"), url=("$.url",), title=("$.none",), text=("$.caption.text",), author=("$.user.username",), community=("$.none",), score=("$.like_count",), comments=("$.reply_count",), views=("$.none",)),
+    "reddit": dict(id=("$.id", "$.name", "$.post_id"), url=("$.url", "$.permalink"), title=("$.title",), text=("$.selftext", "$.body"), author=("$.author.name", "$.author"), community=("$.subreddit.name", "$.subreddit"), score=("$.score", "$.ups", "$.upvotes"), comments=("$.num_comments", "$.comment_count", "$.comments"), created_at=("$.created_utc", "$.created", "$.created_at_iso")),
+    "youtube": dict(id=("$.id", "$.videoId"), url=("$.url",), title=("$.title",), text=("$.description",), author=("$.channel.title", "$.channel.handle", "$.channelTitle"), score=("$.likeCountInt", "$.likes"), comments=("$.commentCountInt",), views=("$.viewCountInt", "$.views"), created_at=("$.publishedTimeText",)),
+    "twitter": dict(id=("$.id_str", "$.id", "$.rest_id"), url=("$.url",), text=("$.full_text", "$.legacy.full_text", "$.text"), author=("$.user.screen_name", "$.user.username", "$.user.handle", "$.author.username", "$.author"), score=("$.favorite_count", "$.legacy.favorite_count", "$.likes", "$.like_count"), comments=("$.reply_count", "$.legacy.reply_count", "$.replies"), views=("$.views_count", "$.view_count", "$.views.count"), created_at=("$.created_at",)),
+    "tiktok": dict(id=("$.aweme_info.aweme_id", "$.aweme_id", "$.id"), url=("$.aweme_info.share_url", "$.share_url", "$.url"), text=("$.aweme_info.desc", "$.desc"), author=("$.aweme_info.author.nickname", "$.author.nickname", "$.author.unique_id"), score=("$.aweme_info.statistics.digg_count", "$.statistics.digg_count"), comments=("$.aweme_info.statistics.comment_count", "$.statistics.comment_count"), views=("$.aweme_info.statistics.play_count", "$.statistics.play_count"), created_at=("$.aweme_info.create_time", "$.create_time")),
+    "instagram": dict(id=("$.id", "$.pk", "$.shortcode"), url=("$.url",), text=("$.caption.text", "$.caption"), author=("$.owner.username", "$.user.username"), community=("$.hashtag",), score=("$.like_count", "$.likes"), comments=("$.comment_count", "$.comments"), views=("$.video_play_count", "$.play_count"), created_at=("$.taken_at",)),
+    "google": dict(url=("$.url",), title=("$.title",), text=("$.description",)),
+    "threads": dict(id=("$.id", "$.pk"), url=("$.url",), text=("$.caption.text",), author=("$.user.username",), score=("$.like_count",), comments=("$.reply_count",), created_at=("$.taken_at",)),
 }
 
 
 def normalize_social_posts(raw: DataFrame, platform: str) -> DataFrame:
+    """``(platform, id, url, title, text, author, community, score, comments, views, created_at)`` of payload rows ``json``. Numbers in
+    ``created_at`` are seconds and become ISO times in UTC; other values stay as they are. Empty values fall through to the next field."""
     f = _POSTS[platform]
-    text = [_first("string", *f[k]).alias(k) for k in ("id", "url", "title", "text", "author", "community")]
-    return _variant(raw).select(F.lit(platform).alias("platform"), *text, *[_first("bigint", *f[k]).alias(k) for k in ("score", "comments", "views")])
+    v = _variant(raw)
+    text = {k: _first_filled(*f.get(k, ())) for k in ("id", "url", "title", "text", "author", "community", "created_at")}
+    seconds = text["created_at"].rlike(r"^\d+(\.\d+)?$")
+    at = F.to_utc_timestamp(F.timestamp_seconds(F.when(seconds, F.floor(text["created_at"].cast("double")))), F.current_timezone())
+    iso = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    text["created_at"] = F.when(text["created_at"] == "0", None).when(seconds, iso).otherwise(text["created_at"])
+    if platform == "reddit":
+        link = _first_filled("$.permalink")
+        text["url"] = F.when(link.startswith("/"), F.concat(F.lit("https://www.reddit.com"), link)).otherwise(text["url"])
+        text["community"] = F.concat(F.lit("r/"), text["community"])
+    count = lambda k: _first("bigint", *f[k]) if k in f else F.lit(None).cast("bigint")
+    return v.select(F.lit(platform).alias("platform"), *[c.alias(k) for k, c in text.items() if k != "created_at"], *[count(k).alias(k) for k in ("score", "comments", "views")], text["created_at"].alias("created_at"))
+
+
+def _first_filled(*paths: str) -> Column:
+    return F.coalesce(*[F.nullif(_get(p, "string"), F.lit("")) for p in paths]) if paths else F.lit(None).cast("string")
 
 
 def flatten_page_speed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
