@@ -123,7 +123,11 @@ def link_candidates(targets: DataFrame, pages: DataFrame, k: int = 5, least: flo
 
 def ngram_overlap(docs: DataFrame, corpus: DataFrame, n: int = 12, most: int = 20) -> DataFrame:
     """``(doc_id, item_id, phrase)``: exact overlap of n words with a passage; one phrase per pair, the least, and
-    the first ``most`` passages of a document. Documents travel as two 64-bit hashes of their runs."""
+    the first ``most`` passages of a document.
+
+    Runs travel as two 64-bit hashes. Those of the passages are written first, so their size is known when the join is
+    planned: below Spark's broadcast threshold the documents' runs are probed where they are made and none is shuffled.
+    """
 
     def hashed(df: DataFrame, k: str, *more: str) -> DataFrame:
         tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -131,8 +135,10 @@ def ngram_overlap(docs: DataFrame, corpus: DataFrame, n: int = 12, most: int = 2
         runs = once.select(k, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))).alias("g"))
         return runs.select(k, F.xxhash64("g").alias("h"), F.xxhash64(F.lit(1), "g").alias("h2"), *[F.array_join("g", " ").alias(c) for c in more])
 
-    items = hashed(corpus, "item_id", "phrase").distinct()
-    met = hashed(docs, "doc_id").join(items, ["h", "h2"]).groupBy("doc_id", "item_id").agg(F.min("phrase").alias("phrase"))
+    items = checkpointed(hashed(corpus, "item_id", "phrase").distinct(), "runs")
+    known = checkpointed(items.select("h", "h2").distinct(), "known")
+    met = hashed(docs, "doc_id").join(known, ["h", "h2"], "left_semi").distinct()
+    met = met.join(items, ["h", "h2"]).groupBy("doc_id", "item_id").agg(F.min("phrase").alias("phrase"))
     return met.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))).filter(F.col("_rn") <= most).drop("_rn")
 
 
