@@ -192,6 +192,14 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
+# ---------------------------------------------------------------- rows of any columns
+
+
+def whole_row(df: DataFrame):
+    """All columns as one struct ``row``: helper columns beside it can't clash with them; ``row.*`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 # ---------------------------------------------------------------- joins that Spark can split
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.pages import with_global_rank
-from .common import shingles, slices, stored, word_hashes
+from .common import shingles, slices, stored, whole_row, word_hashes
 
 SEGMENT, BLOCK, K1, B = 64, 32, 1.2, 0.75
 THRESHOLD, OVERLAP, SHARD = 0.7, 0.8, 20_000
@@ -250,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
     """``docs`` without the documents in which an item was found."""
-    out = docs
+    out = docs.select(whole_row(docs), "text")
     for index in _shards(benchmark, shard, threshold):
-        out = out.withColumn("_items", _search(index, overlap)("text")).filter("_items is null").select(docs.columns)
-    return out
+        out = out.withColumn("items", _search(index, overlap)("text")).filter("items is null").drop("items")
+    return out.select("row.*")

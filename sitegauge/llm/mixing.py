@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_row
 
 BLOCK, RUN = 4096, 10_000
 _EPS = 1e-9
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     sources = docs.sparkSession.createDataFrame(sources.collect(), "_psource string, _ratio double, _whole boolean")  # mix_plan bounds them
     plan = full.filter("size > 0").join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_psource"))).filter("not _whole")
     plan = plan.groupBy("doc_id", "size", "source").agg(F.avg(F.col("taken") / F.col("size")).alias("_n"))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_size", words_in()).withColumn("_source", F.col("source").cast("string"))
+    keyed = docs.select(whole_row(docs), F.col("doc_id").cast("bigint").alias("_id"), words_in().alias("_size"), F.col("source").cast("string").alias("_source"))
     keyed = keyed.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("_psource"))).drop("_psource")
     even = keyed.filter("_whole and _size > 0").withColumn("_n", F.col("_ratio"))
     keyed = keyed.filter("not _whole")
@@ -169,5 +169,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         plan.select(F.col("doc_id").alias("_pid"), F.col("size").alias("_psize"), F.col("source").alias("_psource"), "_n"),
         F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_size") == F.col("_psize")) & F.col("_source").eqNullSafe(F.col("_psource")),
     )
-    met = met.select(*docs.columns, "_n").unionByName(even.select(*docs.columns, "_n"))
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.round("_n").cast("int")))).select(docs.columns)
+    met = met.select("row", "_n").unionByName(even.select("row", "_n"))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), F.round("_n").cast("int")))).select("row.*")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingles, slices, stored, with_group, word_hashes
+from .common import components, mix, shingles, slices, stored, whole_row, with_group, word_hashes
 
 SHINGLE, SKETCHES, THRESHOLD = 5, 16, 0.8
 BINS, CELL = 512, 1024
@@ -326,4 +326,4 @@ def near_duplicates(docs: DataFrame, n_sketches: int = SKETCHES, threshold: floa
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but the document of least id of each group. Rows with a null id stay."""
     away = near_duplicates(docs, **options).filter("class_id < doc_id")
-    return docs.join(stored(away.select("doc_id"), "dropped"), "doc_id", "left_anti").select(docs.columns)
+    return docs.select(whole_row(docs), "doc_id").join(stored(away.select("doc_id"), "dropped"), "doc_id", "left_anti").select("row.*")

@@ -61,7 +61,7 @@ def counts(texts: list[str | None], path: str, split_bytes: int = 1 << 15, batch
         for part in (parts(text, split_bytes) if cut and len(text or "") > 2 * split_bytes else [text or ""]):
             batch.append(part)
             owner.append(i)
-            held += len(part)
+            held += len(part) if part.isascii() else len(part.encode())
             if held >= batch_bytes:
                 for o, ids in zip(owner, sp.encode(batch, num_threads=1)):
                     out[o] += len(ids)

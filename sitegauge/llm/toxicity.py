@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, word_hashes
+from .common import slices, whole_row, word_hashes
 
 BITS, DIM, FILTERS, WIDTHS, MOST, MOST_BYTES, EPOCHS = 16, 6, 6, (1, 2, 3), 4000, 10 << 20, 5
 #: Words of a text that are scored at once.
@@ -290,4 +290,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that score 0.5 or more."""
     score = scorer(fit(docs, labels, **options))
-    return docs.withColumn("_toxicity", score("text")).filter("_toxicity < 0.5").select(docs.columns)
+    return docs.select(whole_row(docs), score("text").alias("score")).filter("score < 0.5").select("row.*")

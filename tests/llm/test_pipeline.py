@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import words
 
 import corpus_pipeline as cp
@@ -105,3 +106,21 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+HELPERS = ("_size", "_id", "_ratio", "_n", "_source", "_psource", "_whole", "_copy", "_pid", "_psize", "_toxicity", "_items", "row", "items", "col", "n`o", "a", "b", "node", "_apart", "size")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, folder, name):
+    """The input has a column for each name that a stage uses inside; all come back as they were."""
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plain = docs.select("*", *[F.concat(F.lit(f"keep {h} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(h) for h in HELPERS])
+    out = dict(cp.STAGES)[name](spark, plain, path)
+    assert out.columns == plain.columns and out.schema == plain.schema
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert all(r[h] == f"keep {h} {r.doc_id if r.doc_id is not None else '-'}" for h in HELPERS)
+    assert sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None and r.text is not None) == sorted((r.doc_id, r.text) for r in dict(cp.STAGES)[name](spark, docs, path).collect() if r.doc_id is not None and r.text is not None)
