@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .merkle import document_manifest, verified
 from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .oracles import SQL
 from .pieces import decode, digests, encode
 from .token_counts import token_counts
 from .token_ids import token_ids
@@ -97,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
