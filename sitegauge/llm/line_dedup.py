@@ -1,12 +1,13 @@
 """Fuzzy line dedup with DataFrame functions only.
 
 Lines are normalised (words of letters and digits, in lower case). Equal ones
-are folded first. Each distinct line gets a 60-bit SimHash in five blocks of twelve bits: its distinct words are
-dealt to the blocks by hash, and a bit is set where more than half of the block's words have it. One
-changed word thus touches two blocks at most, and the pigeonhole principle leaves three that agree. Lines
-are joined on sets of equal blocks, two of the five (three for lines of under ten words); sets that
-hold fewer than two words (three for longer lines) tell too little and are left out. In lines of over 64
-words only words of certain hashes count, the same in near lines.
+are folded first. Each distinct line gets a 60-bit SimHash in six blocks of ten bits: its distinct words are
+dealt to the blocks by hash, a block counts for each of its bits the words that have it, and a bit is set where more than
+half do. One changed word thus touches two blocks at most, two touch four, and the pigeonhole principle leaves
+two that agree, in their counts as well as in their bits. Lines are joined on sets of equal blocks, two of the six
+(three for lines of under ten words); a block goes by 20 bits of its counts' hash, so the keys of a pair have 40
+bits and unlike lines don't meet by chance. Sets that hold fewer than two words (three for longer lines) tell too
+little and are left out. In lines of over 64 words only words of certain hashes count, the same in near lines.
 
 Candidates differ in at most ``BITS`` bits of the fingerprint (lines of at most ``SHORT`` characters in any
 number: a word is a large part of theirs); two lines are linked if their edit
@@ -14,7 +15,8 @@ similarity, 1 - levenshtein / longer length, is at least ``similarity``: in char
 64 words in words. Candidates are taken in two
 steps. First each line meets the least line of its buckets; that joins most groups, in linear work.
 Then, in buckets whose lines are not in one group yet, all pairs of other groups meet, but for the lines
-of a bucket's most frequent group among themselves. So no link within a bucket is lost at any size.
+of a bucket's most frequent group among themselves; large buckets are cut into cells of ``CELL`` lines a side. So no
+link within a bucket is lost at any size, and no task holds a bucket.
 
 Of each connected group the occurrence of least (doc_id, hash of the text, line number) stays, all others go.
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import components, stored, with_group
 
-BITS, BLOCKS, LANE, SIMILARITY, LONG, SHORT = 12, 5, 5, 0.8, 64, 80
-#: The lowest bit of each of the twelve lanes of five bits.
+BITS, BLOCKS, LANE, SIMILARITY, LONG, SHORT, CODE, CELL = 12, 6, 6, 0.8, 64, 80, 20, 1024
+#: The lowest bit of each of the ten lanes of six bits.
 ONES = sum(1 << at for at in range(0, 60, LANE))
 
 
@@ -64,10 +66,10 @@ def place() -> Column:
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
-    """``(c1, c2, doc_id, copy, line_no, size, fp, counts)`` of each of the ``occurrences``; size is the length of the line
-    in characters, counts has the words of block k in bits 12 k on.
+    """``(c1, c2, doc_id, copy, line_no, size, fp, counts, g0, g1)`` of each of the ``occurrences``; size is the length of the
+    line in characters, counts has the words of block k in bits 10 k on, g0 and g1 the codes of three blocks each.
 
-    Words are summed by line in lanes of five bits, one long for each block: plain aggregates of longs.
+    Words are summed by line in lanes of six bits, one long for each block: plain aggregates of longs.
     """
     own = ["lid", "c1", "c2", "doc_id", "copy", "line_no", "size"]
     lines = lines.withColumn("lid", F.monotonically_increasing_id()).withColumn("size", F.char_length(F.array_join("words", " ")))  # equal rows keep lines of their own
@@ -77,24 +79,28 @@ def line_facts(lines: DataFrame) -> DataFrame:
     used = F.shiftrightunsigned("h", 20).bitwiseAND(F.expr("shiftleft(1, halved) - 1").cast("bigint")) == 0
     words = words.select(*own, F.when(used, F.pmod(F.shiftrightunsigned("h", 40), F.lit(BLOCKS))).alias("k"), F.col("h").bitwiseAND(F.lit(ONES)).alias("lanes"))
     sums = [F.try_sum(F.when(F.col("k") == k, F.col("lanes"))).alias(f"s{k}") for k in range(BLOCKS)]
-    counted = words.groupBy(*own).agg(*sums, F.try_sum(F.expr("shiftleft(1L, cast(12 * k as int))")).alias("counts"))
-    fp = F.lit(0).cast("bigint")
-    for k in range(BLOCKS):  # a lane plus 16 less the majority has its top bit set where the count is a majority
-        n = F.shiftrightunsigned(F.coalesce("counts", F.lit(0).cast("bigint")), 12 * k).bitwiseAND(F.lit(4095))
-        lift = (F.lit(15) - F.floor(F.least(n, F.lit(31)) / 2)) * F.lit(ONES)
-        lanes = F.coalesce(f"s{k}", F.lit(0).cast("bigint")).bitwiseAND(F.lit((1 << 60) - 1))
+    counted = words.groupBy(*own).agg(*sums, F.try_sum(F.expr("shiftleft(1L, cast(10 * k as int))")).alias("counts"))
+    zero = F.lit(0).cast("bigint")
+    fp, codes = zero, [zero, zero]
+    for k in range(BLOCKS):  # a lane plus 32 less the majority has its top bit set where the count is a majority
+        n = F.shiftrightunsigned(F.coalesce("counts", zero), 10 * k).bitwiseAND(F.lit(1023))
+        lift = (F.lit(31) - F.floor(F.least(n, F.lit(63)) / 2)) * F.lit(ONES)
+        lanes = F.coalesce(f"s{k}", zero).bitwiseAND(F.lit((1 << 60) - 1))
         fp = fp.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lanes + lift, LANE - 1).bitwiseAND(F.lit(ONES)), k))
-    return counted.select(*own[1:], fp.alias("fp"), F.coalesce("counts", F.lit(0).cast("bigint")).alias("counts"))
+        code = F.xxhash64(F.coalesce(f"s{k}", zero), n).bitwiseAND(F.lit((1 << CODE) - 1))
+        codes[k // 3] = codes[k // 3].bitwiseOR(F.shiftleft(code, CODE * (k % 3)))
+    return counted.select(*own[1:], fp.alias("fp"), F.coalesce("counts", zero).alias("counts"), codes[0].alias("g0"), codes[1].alias("g1"))
 
 
 def _keys() -> Column:
-    """Hashes of the sets of blocks on which a line ``(fp, counts)`` is joined, null where they hold too few words."""
-    n = [F.shiftrightunsigned("counts", 12 * k).bitwiseAND(F.lit(4095)) for k in range(BLOCKS)]
+    """Hashes of the sets of blocks on which a line ``(counts, g0, g1)`` is joined, null where they hold too few words."""
+    n = [F.shiftrightunsigned("counts", 10 * k).bitwiseAND(F.lit(1023)) for k in range(BLOCKS)]
+    code = [F.shiftrightunsigned(f"g{k // 3}", CODE * (k % 3)).bitwiseAND(F.lit((1 << CODE) - 1)) for k in range(BLOCKS)]
     total = sum(n[1:], n[0])
 
     def some(agree: int, least: int) -> list[Column]:
         sets = list(combinations(range(BLOCKS), agree))
-        return [F.when(sum((n[k] for k in set_[1:]), n[set_[0]]) >= least, F.xxhash64(F.lit(sum(1 << k for k in set_)), F.col("fp").bitwiseAND(F.lit(sum(ONES << k for k in set_))))) for set_ in sets]
+        return [F.when(sum((n[k] for k in set_[1:]), n[set_[0]]) >= least, F.xxhash64(F.lit(sum(1 << k for k in set_)), *[code[k] for k in set_])) for set_ in sets]
 
     three, two = some(3, 2), some(2, 3)
     return F.when(total < 8, F.array(*three)).when(total > 12, F.array(*two)).otherwise(F.array(*three, *two))
@@ -116,7 +122,7 @@ def _possible(similarity: float, bits: int) -> Column:
 
 
 def shared_buckets(lines: DataFrame) -> DataFrame:
-    """``(key, node, fp, size, b, b_fp, b_size)`` of ``lines(node, fp, counts, size)`` in buckets of several lines; b is the bucket's least."""
+    """``(key, node, fp, size, b, b_fp, b_size)`` of ``lines(node, fp, counts, size, g0, g1)`` in buckets of several lines; b is the bucket's least."""
     rows = lines.select("node", "fp", "size", F.explode(_keys()).alias("key")).filter("key is not null")
     many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
     rows = maybe_in(rows, many, "key")
@@ -139,9 +145,14 @@ def other_pairs(shared: DataFrame, roots: DataFrame, similarity: float, bits: in
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), *marks)
     sizes = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("groups"), F.sum("n").alias("n"), *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)])
     once = sizes.filter("groups > 1 and n > 2").groupBy("mark0", "mark1", "n").agg(F.min("key").alias("key"), F.first("major").alias("major"))  # pairs of two have met
-    met = stored(with_group(rows, stored(once.select("key", "major"), "line-mixed"), "key"), "line-met")
-    side = lambda of, c: of.select("key", *[F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "fp", "size")])
-    pairs = side(met.filter("root != major"), "x").join(side(met, "y"), "key").filter((F.col("x_root") != F.col("y_root")) & _possible(similarity, bits))
+    met = stored(with_group(rows, stored(once.select("key", "major", F.ceil(F.col("n") / CELL).alias("cells")), "line-mixed"), "key"), "line-met")
+
+    def side(of: DataFrame, c: str, own: str, other: str) -> DataFrame:
+        """Each line is in one row (or column) of its bucket's cells and meets all of the other kind."""
+        placed = of.withColumn(own, F.pmod(F.xxhash64("node"), "cells")).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)))
+        return placed.select("key", own, other, *[F.col(k).alias(f"{c}_{k}") for k in ("node", "root", "fp", "size")])
+
+    pairs = side(met.filter("root != major"), "x", "_row", "_col").join(side(met, "y", "_col", "_row"), ["key", "_row", "_col"]).filter((F.col("x_root") != F.col("y_root")) & _possible(similarity, bits))
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
@@ -180,10 +191,10 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """``(c1, c2, keep)``: for each line of a group with something to drop, the place of the occurrence that stays."""
-    least = [F.min(c).alias(c) for c in ("fp", "counts", "size")]
+    least = [F.min(c).alias(c) for c in ("fp", "counts", "size", "g0", "g1")]
     distinct = facts.groupBy("c1", "c2").agg(F.min(place()).alias("first"), F.count("*").alias("n"), *least)
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "*"), "lines")  # the node numbers are fixed from here on
-    shared = shared_buckets(distinct.select("node", "fp", "counts", "size"))
+    shared = shared_buckets(distinct.select("node", "fp", "counts", "size", "g0", "g1"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "c1", "c2")
@@ -199,7 +210,7 @@ def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARI
     more = stored(other_pairs(shared, roots, similarity, bits).join(first, ["a", "b"], "left_anti"), "line-pairs")
     if not more.isEmpty():
         roots = stored(components(links.unionByName(verified(more))), "line-roots")
-    member = distinct.drop("fp", "counts", "size").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
+    member = distinct.drop("fp", "counts", "size", "g0", "g1").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     member = stored(member, "line-members")
     return with_group(member, member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("c1", "c2", "keep")
 
@@ -211,7 +222,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     groups = stored(line_groups(lines, facts, **options), "line-groups")
     # a line may be a large share of all: the join's exchanges are its own, so Spark splits them
     gone = (
-        facts.drop("fp", "counts", "size").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
+        facts.drop("fp", "counts", "size", "g0", "g1").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
         .filter(place() != F.col("keep")).groupBy(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).agg(F.collect_set("line_no").alias("gone"))
     )
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
