@@ -76,10 +76,11 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
     for _ in range(rounds):
         moved = 0
         for i in rng.permutation(len(x)).tolist():
-            votes = np.bincount(part[both[i]], minlength=len(pieces)).astype(float)
-            votes[(size >= room) & (np.arange(len(pieces)) != part[i])] = -1
-            to = int(votes.argmax())
-            if votes[to] > votes[part[i]]:
+            near, votes = np.unique(part[both[i]], return_counts=True)  # only parts of neighbours have votes
+            stay = votes[near == part[i]].sum()
+            votes[(size[near] >= room) & (near != part[i])] = -1
+            to = int(near[votes.argmax()]) if len(near) else part[i]
+            if votes.max(initial=-1) > stay:
                 size[part[i]] -= 1
                 size[to] += 1
                 part[i] = to
@@ -92,10 +93,14 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
 def train_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, hidden: int = 96, epochs: int = 40, seed: int = 5):
     """A classifier with one hidden layer; its targets are the shares of a vector's neighbours in each part."""
     rng = np.random.default_rng(seed)
-    goal = np.zeros((len(x), parts))
-    np.add.at(goal, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].reshape(-1)), 1.0)
-    goal[np.arange(len(x)), part] += max(1, graph.shape[1] // 2)
-    goal /= goal.sum(1, keepdims=True)
+
+    def goal(rows: np.ndarray) -> np.ndarray:
+        """Made for one batch at a time: all of it would be the sample times the parts."""
+        out = np.zeros((len(rows), parts))
+        np.add.at(out, (np.repeat(np.arange(len(rows)), graph.shape[1]), part[graph[rows]].reshape(-1)), 1.0)
+        out[np.arange(len(rows)), part[rows]] += max(1, graph.shape[1] // 2)
+        return out / out.sum(1, keepdims=True)
+
     w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, parts)), np.zeros(parts)]
     m, v, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     for _ in range(epochs):
@@ -103,7 +108,7 @@ def train_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int,
             h = np.maximum(x[rows] @ w[0] * x.shape[1] ** 0.5 + w[1], 0)
             z = h @ w[2] + w[3]
             p = np.exp(z - z.max(1, keepdims=True))
-            d = (p / p.sum(1, keepdims=True) - goal[rows]) / len(rows)
+            d = (p / p.sum(1, keepdims=True) - goal(rows)) / len(rows)
             dh = (d @ w[2].T) * (h > 0)
             step += 1
             for k, g in enumerate((x[rows].T @ dh * x.shape[1] ** 0.5, dh.sum(0), h.T @ d, d.sum(0))):
@@ -133,7 +138,7 @@ def fit(sample: np.ndarray, parts: int, recall: float = RECALL, neighbours: int
     graph = neighbour_graph(own, neighbours)
     w = train_router(own, balanced_parts(own, graph, parts), graph, parts)
     filed = scores(w, own).argmax(1)
-    near = np.argsort(-(held @ own.T), axis=1)[:, :5]
+    near = np.concatenate([np.argsort(-(held[a : a + 64] @ own.T), axis=1)[:, :5] for a in range(0, len(held), 64)])
     rank = np.argsort(np.argsort(-scores(w, held), axis=1), axis=1)  # place of each part for each query
     needed = np.take_along_axis(rank, filed[near], 1).reshape(-1)
     return w, min(parts, 1 + int(np.quantile(needed, recall, method="higher")))
