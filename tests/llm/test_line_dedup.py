@@ -55,14 +55,15 @@ def test_recall_of_edited_lines(spark, docs, size):
         rows += [(2 * n, " ".join(line)), (2 * n + 1, edited(line, 1 if size < 20 else 1 + n % 3, r))]
     got = groups(spark, docs, rows)
     norm = {i: t.strip() for i, t in rows}
-    links = held = 0
+    links, held = {}, {}
     for n in range(150):
         a, b = norm[2 * n], norm[2 * n + 1]
+        edits = 1 if size < 20 else 1 + n % 3
         d = duckdb.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0]
         if a != b and 1 - d / max(len(a), len(b)) >= 0.8:
-            links += 1
-            held += got[a] == got[b]
-    assert links > 20 and held / links >= 0.9, (held, links)
+            links[edits] = links.get(edits, 0) + 1
+            held[edits] = held.get(edits, 0) + (got[a] == got[b])
+    assert sum(links.values()) > 20 and all(held[e] / links[e] >= 0.9 for e in links), (held, links)
     assert len(set(got.values())) >= 140  # unlike lines stay apart
 
 
