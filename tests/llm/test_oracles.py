@@ -27,6 +27,6 @@ def test_query_against_sql(spark, sf, name):
 
 
 def test_checksums_in_sql():
-    got = duckdb.sql(f"WITH {_TABLE} SELECT n, {_crc('n')} FROM range(2000) AS r(n), tab").fetchall()
+    got = duckdb.connect().execute(f"WITH {_TABLE} SELECT n, {_crc('n')} FROM range(2000) AS r(n), tab").fetchall()
     assert all(zlib.crc32(str(n).encode()) == c for n, c in got)
 
