@@ -4,10 +4,12 @@ Lines are normalised (words of letters and digits, in lower case). Equal ones
 are folded first. Each distinct line gets a 60-bit SimHash in six blocks of ten bits: its distinct words are
 dealt to the blocks by hash, a block counts for each of its bits the words that have it, and a bit is set where more than
 half do. One changed word thus touches two blocks at most, two touch four, and the pigeonhole principle leaves
-two that agree, in their counts as well as in their bits. Lines are joined on sets of equal blocks, two of the six
-(three for lines of under ten words); a block goes by 20 bits of its counts' hash, so the keys of a pair have 40
-bits and unlike lines don't meet by chance. Sets that hold fewer than two words (three for longer lines) tell too
-little and are left out. In lines of over 64 words only words of certain hashes count, the same in near lines.
+two that agree, in their counts as well as in their bits. Lines are joined on sets of equal blocks: one of the six where
+a line has over 22 words, two for shorter ones, three for those of under eight; lines of 8 to 12 and of 18 to 22 words go
+by both kinds, so a word more or less parts no pair. A block goes by 32 bits of its words' hash. Sets that hold fewer
+than two words (three for longer lines) tell too little and are left out. In lines of over 64 words only words of certain
+hashes count, the same in near lines; twice as few from 128 words on, and again at each doubling, where two near lines on
+either side of such a length are not found.
 
 Candidates differ in at most ``BITS`` bits of the fingerprint (lines of at most ``SHORT`` characters in any
 number: a word is a large part of theirs); two lines are linked if their edit
@@ -21,7 +23,8 @@ link within a bucket is lost at any size, and no task holds a bucket.
 Of each connected group the occurrence of least (doc_id, hash of the text, line number) stays, all others go.
 
 Texts are not shuffled to find the groups: lines travel as two 64-bit hashes, their fingerprint and
-place, and only lines of candidate pairs are read again as words. Before wide joins a bitmap of fixed
+place. Texts are read once more for the lines that may be in a pair, found by a hash of their place before
+they are cut into words. Before wide joins a bitmap of fixed
 size (``2**25`` bits as rows of longs, broadcast: 8 MB however much data there is) lets the rows pass
 that may have a partner; the joins that follow are exact.
 
@@ -40,21 +43,40 @@ from pyspark.sql import functions as F
 
 from .common import components, stored, with_group
 
-BITS, BLOCKS, LANE, SIMILARITY, LONG, SHORT, CODE, CELL = 12, 6, 6, 0.8, 64, 80, 20, 1024
+BITS, BLOCKS, LANE, SIMILARITY, LONG, SHORT, CODE, CELL = 12, 6, 6, 0.8, 64, 80, 32, 1024
 #: The lowest bit of each of the ten lanes of six bits.
 ONES = sum(1 << at for at in range(0, 60, LANE))
+LEAST = -(1 << 63)
 
 
 #: All ASCII but letters and digits, and the blocks of spaces and punctuation of other scripts.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F]+"
+SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F"
+
+
+def once(**columns: Column) -> Column:
+    """The columns as a struct ``made``; nothing is pushed below a generator, so each is computed once."""
+    return F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")
+
+
+def words_of(line: str) -> Column:
+    return F.array_remove(F.split(F.lower(line), f"[{SEPARATORS}]+"), "")
+
+
+def codes_of(norm: str | Column) -> tuple[Column, Column]:
+    return F.xxhash64(norm).alias("c1"), F.xxhash64(F.lit(1), norm).alias("c2")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, copy, line_no, words, c1, c2)`` of each line with letters or digits; equal lines have equal c1 and c2."""
+    """``(doc_id, copy, line_no, line, words, norm, c1, c2)`` of each line with letters or digits; norm is its words with spaces
+    between them, equal lines have equal c1 and c2."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
-    found = lines.select("doc_id", "copy", "line_no", F.explode(F.array(words)).alias("words")).filter(F.size("words") > 0)  # a generator's column is computed once
-    return found.select("*", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"))
+    found = lines.filter(F.col("line").rlike(f"[A-Z]|[^{SEPARATORS}]")).select("*", words_of("line").alias("words"))
+    return found.select("*", F.array_join("words", " ").alias("norm")).select("*", *codes_of("norm"))
+
+
+def at() -> Column:
+    """An occurrence's hash, by which its line is found again before any line is cut into words."""
+    return F.xxhash64("doc_id", "copy", "line_no")
 
 
 def place() -> Column:
@@ -66,44 +88,52 @@ def place() -> Column:
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
-    """``(c1, c2, doc_id, copy, line_no, size, fp, counts, g0, g1)`` of each of the ``occurrences``; size is the length of the
-    line in characters, counts has the words of block k in bits 10 k on, g0 and g1 the codes of three blocks each.
+    """``(c1, c2, doc_id, copy, line_no, size, fp, counts, g0, g1, g2)`` of each of the ``occurrences``; size is the length of
+    the line in characters, counts has the words of block k in bits 10 k on, g0 to g2 the codes of two blocks each.
 
-    Words are summed by line in lanes of six bits, one long for each block: plain aggregates of longs.
+    A line's hashes are sorted with the blocks' edges among them, so a block is a slice; nothing is shuffled. Of long
+    lines the edges span the least half, quarter, ... of all hashes. Words are summed in lanes of six bits, one long for each block.
     """
-    own = ["lid", "c1", "c2", "doc_id", "copy", "line_no", "size"]
-    lines = lines.withColumn("lid", F.monotonically_increasing_id()).withColumn("size", F.char_length(F.array_join("words", " ")))  # equal rows keep lines of their own
-    words = lines.select(*own, F.explode(F.array(F.array_distinct("words"))).alias("words"))
-    halved = F.greatest(F.lit(0), F.floor(F.log2(F.size("words") / LONG))).cast("int")
-    words = words.select(*own, halved.alias("halved"), F.explode("words").alias("w")).select(*own, "halved", F.xxhash64("w").alias("h"))
-    used = F.shiftrightunsigned("h", 20).bitwiseAND(F.expr("shiftleft(1, halved) - 1").cast("bigint")) == 0
-    words = words.select(*own, F.when(used, F.pmod(F.shiftrightunsigned("h", 40), F.lit(BLOCKS))).alias("k"), F.col("h").bitwiseAND(F.lit(ONES)).alias("lanes"))
-    sums = [F.try_sum(F.when(F.col("k") == k, F.col("lanes"))).alias(f"s{k}") for k in range(BLOCKS)]
-    counted = words.groupBy(*own).agg(*sums, F.try_sum(F.expr("shiftleft(1L, cast(10 * k as int))")).alias("counts"))
+    own = ["c1", "c2", "doc_id", "copy", "line_no", "size"]
+    hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    rows = lines.select(*own[:5], F.char_length("norm").alias("size"), once(h=hashes)).select(*own, "made.h")
+    rows = rows.withColumn("halved", F.greatest(F.lit(0), F.floor(F.log2(F.size("h") / LONG))).cast("int"))
+    within = [k * ((1 << 64) // BLOCKS) for k in range(BLOCKS)] + [(1 << 64) - 1]
+    edges = [F.call_function("shiftrightunsigned", F.lit(x - (x >> 63 << 64)).cast("bigint"), "halved").bitwiseXOR(F.lit(LEAST)) for x in within]
+    rows = rows.select(*own, once(e=F.array(*edges), h=F.sort_array(F.concat("h", F.array(*edges))))).select(*own, "made.*")
+    place_ = [F.array_position("h", F.get("e", F.lit(k))).cast("int") for k in range(BLOCKS + 1)]
+    rows = rows.select(*own, "h", once(**{f"p{k}": p for k, p in enumerate(place_)})).select(*own, "h", "made.*")
+    blocks = {f"b{k}": F.slice("h", F.col(f"p{k}") + 1, F.greatest(F.col(f"p{k + 1}") - F.col(f"p{k}") - 1, F.lit(0))) for k in range(BLOCKS)}
+    rows = rows.select(*own, once(**blocks)).select(*own, "made.*")
     zero = F.lit(0).cast("bigint")
-    fp, codes = zero, [zero, zero]
+    sums = {f"s{k}": F.aggregate(f"b{k}", zero, lambda s, h: s + h.bitwiseAND(F.lit(ONES))) for k in range(BLOCKS)}
+    rows = rows.select(*own, *[f"b{k}" for k in range(BLOCKS)], once(**sums)).select(*own, *[f"b{k}" for k in range(BLOCKS)], "made.*")
+    fp, counts, codes = zero, zero, [zero, zero, zero]
     for k in range(BLOCKS):  # a lane plus 32 less the majority has its top bit set where the count is a majority
-        n = F.shiftrightunsigned(F.coalesce("counts", zero), 10 * k).bitwiseAND(F.lit(1023))
+        n = F.size(f"b{k}").cast("bigint")
         lift = (F.lit(31) - F.floor(F.least(n, F.lit(63)) / 2)) * F.lit(ONES)
-        lanes = F.coalesce(f"s{k}", zero).bitwiseAND(F.lit((1 << 60) - 1))
+        lanes = F.col(f"s{k}").bitwiseAND(F.lit((1 << 60) - 1))
         fp = fp.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lanes + lift, LANE - 1).bitwiseAND(F.lit(ONES)), k))
-        code = F.xxhash64(F.coalesce(f"s{k}", zero), n).bitwiseAND(F.lit((1 << CODE) - 1))
-        codes[k // 3] = codes[k // 3].bitwiseOR(F.shiftleft(code, CODE * (k % 3)))
-    return counted.select(*own[1:], fp.alias("fp"), F.coalesce("counts", zero).alias("counts"), codes[0].alias("g0"), codes[1].alias("g1"))
+        counts = counts.bitwiseOR(F.shiftleft(F.least(n, F.lit(1023)), 10 * k))
+        codes[k // 2] = codes[k // 2].bitwiseOR(F.shiftleft(F.xxhash64(f"b{k}").bitwiseAND(F.lit((1 << CODE) - 1)), CODE * (k % 2)))
+    return rows.select(*own, fp.alias("fp"), counts.alias("counts"), *[c.alias(f"g{k}") for k, c in enumerate(codes)])
 
 
-def _keys() -> Column:
-    """Hashes of the sets of blocks on which a line ``(counts, g0, g1)`` is joined, null where they hold too few words."""
-    n = [F.shiftrightunsigned("counts", 10 * k).bitwiseAND(F.lit(1023)) for k in range(BLOCKS)]
-    code = [F.shiftrightunsigned(f"g{k // 3}", CODE * (k % 3)).bitwiseAND(F.lit((1 << CODE) - 1)) for k in range(BLOCKS)]
-    total = sum(n[1:], n[0])
+#: Sets of three, two and one of the blocks (three bits each, 6 is none), with the words that they must hold from bit 9 on.
+THREE, TWO, ONE = [[sum(k << 3 * i for i, k in enumerate((*set_, 6, 6)[:3])) + (least << 9) for set_ in combinations(range(BLOCKS), agree)] for agree, least in ((3, 2), (2, 3), (1, 3))]
 
-    def some(agree: int, least: int) -> list[Column]:
-        sets = list(combinations(range(BLOCKS), agree))
-        return [F.when(sum((n[k] for k in set_[1:]), n[set_[0]]) >= least, F.xxhash64(F.lit(sum(1 << k for k in set_)), *[code[k] for k in set_])) for set_ in sets]
 
-    three, two = some(3, 2), some(2, 3)
-    return F.when(total < 8, F.array(*three)).when(total > 12, F.array(*two)).otherwise(F.array(*three, *two))
+def keyed(lines: DataFrame) -> DataFrame:
+    """``(node, fp, size, key)``: hashes of the sets of blocks on which a line ``(counts, g0, g1, g2)`` is joined, if they hold
+    enough words. The sets are rows before they are keys: a small body of code, which the JVM compiles."""
+    n = lambda k: F.expr(f"shiftrightunsigned(counts, cast(10 * ({k}) as int)) & 1023")
+    total = sum((n(k) for k in range(1, BLOCKS)), n(0))
+    some = lambda *sets: F.array(*[F.lit(x) for set_ in sets for x in set_])
+    sets = F.when(total < 8, some(THREE)).when(total <= 12, some(THREE, TWO)).when(total < 18, some(TWO)).when(total <= 22, some(TWO, ONE)).otherwise(some(ONE))
+    rows = lines.select("node", "fp", "size", "counts", "g0", "g1", "g2", F.explode(sets).alias("set_"))
+    at_ = [f"shiftright(set_, {3 * i}) & 7" for i in range(3)]
+    code = lambda k: F.expr(f"CASE WHEN ({k}) < 2 THEN shiftrightunsigned(g0, {CODE} * (({k}) & 1)) WHEN ({k}) < 4 THEN shiftrightunsigned(g1, {CODE} * (({k}) & 1)) WHEN ({k}) < 6 THEN shiftrightunsigned(g2, {CODE} * (({k}) & 1)) ELSE 0 END & {(1 << CODE) - 1}")
+    return rows.filter(n(at_[0]) + n(at_[1]) + n(at_[2]) >= F.shiftright("set_", 9)).select("node", "fp", "size", F.xxhash64("set_", *[code(k) for k in at_]).alias("key"))
 
 
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 25) -> DataFrame:
@@ -122,11 +152,11 @@ def _possible(similarity: float, bits: int) -> Column:
 
 
 def shared_buckets(lines: DataFrame) -> DataFrame:
-    """``(key, node, fp, size, b, b_fp, b_size)`` of ``lines(node, fp, counts, size, g0, g1)`` in buckets of several lines; b is the bucket's least."""
-    rows = lines.select("node", "fp", "size", F.explode(_keys()).alias("key")).filter("key is not null")
+    """``(key, node, fp, size, b, b_fp, b_size, n)`` of ``lines(node, fp, counts, size, g0, g1, g2)`` in buckets of n lines, several; b is the bucket's least."""
+    rows = keyed(lines)
     many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
-    rows = maybe_in(rows, many, "key")
-    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.min_by("fp", "node").alias("b_fp"), F.min_by("size", "node").alias("b_size"), F.max("node").alias("_last"))
+    rows = stored(maybe_in(rows, many, "key"), "line-keyed")
+    least = rows.groupBy("key").agg(F.min("node").alias("b"), F.min_by("fp", "node").alias("b_fp"), F.min_by("size", "node").alias("b_size"), F.max("node").alias("_last"), F.count("*").alias("n"))
     return stored(with_group(rows, least.filter("b < _last").drop("_last"), "key"), "line-shared")
 
 
@@ -170,7 +200,6 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     words where one has more than ``LONG`` (a distance costs the product of the two lengths). Equal words at both ends are
     cut off first, which leaves the distance as it is; small distances are tried before large ones, which cost more."""
     length = lambda c: F.char_length(F.array_join(c, " "))
-    once = lambda **columns: F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")  # noqa: E731  filters are not pushed below a generator
 
     def equal(one: Column, two: Column) -> Column:
         at = F.array_position(F.zip_with(one, two, lambda p, q: p.eqNullSafe(q)), False)
@@ -191,26 +220,29 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
     """``(c1, c2, keep)``: for each line of a group with something to drop, the place of the occurrence that stays."""
-    least = [F.min(c).alias(c) for c in ("fp", "counts", "size", "g0", "g1")]
-    distinct = facts.groupBy("c1", "c2").agg(F.min(place()).alias("first"), F.count("*").alias("n"), *least)
+    least = [F.min(c).alias(c) for c in ("fp", "counts", "size", "g0", "g1", "g2")]
+    distinct = facts.groupBy("c1", "c2").agg(F.min(place()).alias("first"), F.min(at()).alias("at"), F.count("*").alias("n"), *least)
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "*"), "lines")  # the node numbers are fixed from here on
-    shared = shared_buckets(distinct.select("node", "fp", "counts", "size", "g0", "g1"))
+    shared = shared_buckets(distinct.select("node", "fp", "counts", "size", "g0", "g1", "g2"))
+
+    first = stored(first_pairs(shared, similarity, bits), "line-pairs")
+    # the lines of either step, so that texts are read once: pairs of two have met in the first
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.filter("n > 2").select("node")).distinct()
+    wanted = stored(distinct.join(nodes, "node", "left_semi").select("node", "at", "c1", "c2"), "line-wanted")
+    found = maybe_in(lines.select(at().alias("at"), "line"), wanted, "at").join(wanted, "at").select("node", "c1", "c2", once(words=words_of("line"))).select("node", "c1", "c2", "made.words")
+    same = [F.col(c) == x for c, x in zip(("c1", "c2"), codes_of(F.array_join("words", " ")), strict=True)]
+    texts = stored(found.filter(same[0] & same[1]).groupBy("node").agg(F.first("words").alias("words")), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "c1", "c2")
-        wanted = stored(wanted, "line-wanted")
-        found = maybe_in(lines.select("c1", "c2", "words"), wanted, "c1")
-        texts = stored(found.join(wanted, ["c1", "c2"]).groupBy("node").agg(F.first("words").alias("words")), "line-texts")
         text = lambda node, words: texts.select(F.col("node").alias(node), F.col("words").alias(words))
         return stored(alike(pairs.join(text("a", "x"), "a").join(text("b", "y"), "b"), similarity), "line-links")
 
-    first = stored(first_pairs(shared, similarity, bits), "line-pairs")
-    links = verified(first)
-    roots = stored(components(links), "line-roots")
+    roots = stored(components(verified(first)), "line-roots")
     more = stored(other_pairs(shared, roots, similarity, bits).join(first, ["a", "b"], "left_anti"), "line-pairs")
     if not more.isEmpty():
-        roots = stored(components(links.unionByName(verified(more))), "line-roots")
-    member = distinct.drop("fp", "counts", "size", "g0", "g1").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
+        joined = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(joined.unionByName(verified(more))), "line-roots")
+    member = distinct.drop("at", "fp", "counts", "size", "g0", "g1", "g2").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     member = stored(member, "line-members")
     return with_group(member, member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("c1", "c2", "keep")
 
@@ -222,13 +254,13 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     groups = stored(line_groups(lines, facts, **options), "line-groups")
     # a line may be a large share of all: the join's exchanges are its own, so Spark splits them
     gone = (
-        facts.drop("fp", "counts", "size", "g0", "g1").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
+        facts.select("c1", "c2", "doc_id", "copy", "line_no").join(groups.withColumnsRenamed({"c1": "g1", "c2": "g2"}), (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")))
         .filter(place() != F.col("keep")).groupBy(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).agg(F.collect_set("line_no").alias("gone"))
     )
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_copy")), "left")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))  # by a hash set, in order
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    rows = rows.select("doc_id", "text", "gone", once(lines=F.split("text", "\n"))).select("doc_id", "text", "gone", "made.lines")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))  # by a hash set, in order
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
     return rows.select("doc_id", n.cast("bigint").alias("n_lines"), (n - F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))).cast("bigint").alias("n_kept"), text.alias("text"))
