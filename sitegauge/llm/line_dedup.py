@@ -58,8 +58,9 @@ def once(**columns: Column) -> Column:
     return F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("made")
 
 
-def words_of(line: str) -> Column:
-    return F.array_remove(F.split(F.lower(line), f"[{SEPARATORS}]+"), "")
+def norm_of(line: str) -> Column:
+    """The line's words with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(line), f"[{SEPARATORS}]+", " "))
 
 
 def codes_of(norm: str | Column) -> tuple[Column, Column]:
@@ -69,9 +70,10 @@ def codes_of(norm: str | Column) -> tuple[Column, Column]:
 def occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, copy, line_no, line, words, norm, c1, c2)`` of each line with letters or digits; norm is its words with spaces
     between them, equal lines have equal c1 and c2."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = lines.filter(F.col("line").rlike(f"[A-Z]|[^{SEPARATORS}]")).select("*", words_of("line").alias("words"))
-    return found.select("*", F.array_join("words", " ").alias("norm")).select("*", *codes_of("norm"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")  # hashed before it is cut, once
+    lines = texts.select("doc_id", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = lines.filter(F.col("line").rlike(f"[A-Z]|[^{SEPARATORS}]")).select("*", norm_of("line").alias("norm"))
+    return found.select("*", F.split("norm", " ").alias("words"), *codes_of("norm"))
 
 
 def at() -> Column:
@@ -95,7 +97,7 @@ def line_facts(lines: DataFrame) -> DataFrame:
     lines the edges span the least half, quarter, ... of all hashes. Words are summed in lanes of six bits, one long for each block.
     """
     own = ["c1", "c2", "doc_id", "copy", "line_no", "size"]
-    hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))  # words are hashed as they are cut, no row holds them
     rows = lines.select(*own[:5], F.char_length("norm").alias("size"), once(h=hashes)).select(*own, "made.h")
     rows = rows.withColumn("halved", F.greatest(F.lit(0), F.floor(F.log2(F.size("h") / LONG))).cast("int"))
     within = [k * ((1 << 64) // BLOCKS) for k in range(BLOCKS)] + [(1 << 64) - 1]
@@ -211,11 +213,21 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     back = F.least(F.col("back"), F.least(F.size("x"), F.size("y")) - F.col("front"))
     rows = rows.select("a", "b", "most", once(**{c: _middle(c, F.col("front"), back, F.col("long")) for c in ("x", "y")})).select("a", "b", "most", "made.*")
     rows = rows.filter("abs(char_length(x) - char_length(y)) <= most")
-    within = lambda k: F.expr(f"levenshtein(x, y, least({k}, most)) >= 0")
+    within = lambda k: F.expr(f"levenshtein(x, y, CASE WHEN most <= 2 * {k} THEN most ELSE {k} END) >= 0")
     small = F.when(within(16), True)
-    for k in (64, 256, 1024, 4096):  # each step tried only where the distance may be larger still
-        small = small.when(F.col("most") <= k // 4, False).when(within(k), True)
-    return rows.filter(small.when(F.col("most") <= 4096, False).otherwise(within("most"))).select("a", "b")
+    for k in (64, 256, 1024, 4096):  # a step goes to ``most`` at once where that is at most twice its own, and is the last one then
+        small = small.when(F.col("most") <= k // 2, False).when(within(k), True)
+    return rows.filter(small.when(F.col("most") <= 8192, False).otherwise(F.expr("levenshtein(x, y, most) >= 0"))).select("a", "b")
+
+
+def regrouped(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` with the groups joined that ``links(a, b)`` join: of the groups only their roots are gone through again."""
+    for c in ("a", "b"):
+        of = roots.select(F.col("node").alias(c), F.col("root").alias("_root"))
+        links = links.join(of, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    tops = stored(components(links.select("a", "b")), "line-tops")
+    moved = with_group(roots, tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    return moved.select("node", F.coalesce("_top", "root").alias("root")).unionByName(tops.join(roots, "node", "left_anti"))
 
 
 def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, bits: int = BITS) -> DataFrame:
@@ -229,19 +241,19 @@ def line_groups(lines: DataFrame, facts: DataFrame, similarity: float = SIMILARI
     # the lines of either step, so that texts are read once: pairs of two have met in the first
     nodes = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.filter("n > 2").select("node")).distinct()
     wanted = stored(distinct.join(nodes, "node", "left_semi").select("node", "at", "c1", "c2"), "line-wanted")
-    found = maybe_in(lines.select(at().alias("at"), "line"), wanted, "at").join(wanted, "at").select("node", "c1", "c2", once(words=words_of("line"))).select("node", "c1", "c2", "made.words")
-    same = [F.col(c) == x for c, x in zip(("c1", "c2"), codes_of(F.array_join("words", " ")), strict=True)]
-    texts = stored(found.filter(same[0] & same[1]).groupBy("node").agg(F.first("words").alias("words")), "line-texts")
+    found = maybe_in(lines.select(at().alias("at"), "line"), wanted, "at").join(wanted, "at").select("node", "c1", "c2", once(norm=norm_of("line"))).select("node", "c1", "c2", "made.norm")
+    same = [F.col(c) == x for c, x in zip(("c1", "c2"), codes_of("norm"), strict=True)]
+    texts = stored(found.filter(same[0] & same[1]).groupBy("node").agg(F.first("norm").alias("norm")), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        text = lambda node, words: texts.select(F.col("node").alias(node), F.col("words").alias(words))
-        return stored(alike(pairs.join(text("a", "x"), "a").join(text("b", "y"), "b"), similarity), "line-links")
+        text = lambda node, norm: texts.select(F.col("node").alias(node), F.col("norm").alias(norm))
+        both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b")  # cut into words after the joins: arrays of them are far larger
+        return stored(alike(both.select("a", "b", *[F.split(c, " ").alias(c) for c in ("x", "y")]), similarity), "line-links")
 
     roots = stored(components(verified(first)), "line-roots")
     more = stored(other_pairs(shared, roots, similarity, bits).join(first, ["a", "b"], "left_anti"), "line-pairs")
     if not more.isEmpty():
-        joined = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stored(components(joined.unionByName(verified(more))), "line-roots")
+        roots = stored(regrouped(roots, verified(more)), "line-roots")
     member = distinct.drop("at", "fp", "counts", "size", "g0", "g1", "g2").join(roots, "node", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "node"))
     member = stored(member, "line-members")
     return with_group(member, member.groupBy("root").agg(F.min("first").alias("keep")), "root").select("c1", "c2", "keep")

@@ -45,3 +45,22 @@ def test_lines_that_only_case_and_signs_tell_apart(docs):
     rows = [(1, "ÄRGER über Straßen\nÉté 2024"), (2, "ärger, ÜBER; straßen!\n— … —\nété-2024"), (3, "»« \n\t\nK")]
     got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
     assert got == {1: rows[0][1], 2: "— … —", 3: rows[2][1]}
+
+
+def test_texts_are_hashed_once_and_words_are_in_no_row(spark, docs):
+    """The hash of a text is made below the cut into lines, and facts are made of lines without an array of their words."""
+    plan = line_facts(occurrences(docs([(1, "some line\nother line")])))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("posexplode(") < plan.index("xxhash64(text#") and "AS words#" not in plan
+
+
+def test_groups_are_joined_by_their_roots_alone(spark, monkeypatch):
+    """Links between groups must not send all nodes through the rounds again."""
+    from sitegauge.llm import line_dedup
+
+    seen, real = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    roots = spark.createDataFrame([(n, n - n % 10) for n in range(100)], "node bigint, root bigint")
+    links = spark.createDataFrame([(13, 27), (29, 44), (200, 91), (300, 301), (55, 58)], "a bigint, b bigint")
+    got = {r.node: r.root for r in line_dedup.regrouped(roots, links).collect()}
+    want = {n: 10 if 10 <= n < 50 and n // 10 != 3 else n - n % 10 for n in range(100)} | {200: 90, 300: 300, 301: 300}
+    assert got == want and seen == [5]
