@@ -74,24 +74,27 @@ def generic_bots(lines: DataFrame, bots: tuple = BOTS, col: str = "line") -> Dat
 
 def robots_rules(docs: DataFrame) -> DataFrame:
     """``(site, group_id, agent, kind, pattern, pos, crawl_delay)`` of robots.txt bodies: successive user-agent lines share
-    a group, one after a rule opens a new group, rules before the first are dropped, blank lines end nothing.
+    a group, one after a rule opens a new group, rules before the first are dropped, blank lines end nothing. Each row
+    is a file, read for itself within the row, also where a site has several.
 
     ``crawl_delay`` is the last valid one of the group. Sitemap lines belong to no group: they have number 0, no agent and
     their address as pattern.
     """
-    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
-    rows = docs.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "raw")).select("site", "pos", F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"), F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"), F.contains(line, F.lit(":")).alias("ok"))
-    rows, none = rows.filter("ok"), F.lit(None).cast("double").alias("crawl_delay")
-    maps = rows.filter("field = 'sitemap' AND value != ''").select("site", F.lit(0).cast("bigint").alias("group_id"), F.lit("").alias("agent"), F.lit("sitemap").alias("kind"), F.col("value").alias("pattern"), "pos", none)
-    rows = rows.filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
-    w = Window.partitionBy("site").orderBy("pos")  # one robots file
-    agent = F.col("field") == "user-agent"
-    rows = rows.withColumn("new", (agent & (F.coalesce(F.lag("field").over(w), F.lit("-")) != "user-agent")).cast("int")).withColumn("group_id", F.sum("new").over(w)).filter("group_id > 0")
-    delay = F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value AS double)"))
-    rows = rows.withColumn("crawl_delay", F.last(delay, ignorenulls=True).over(Window.partitionBy("site", "group_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    agents = rows.filter(agent).select("site", "group_id", F.lower("value").alias("agent"))
-    rules = rows.filter(~agent).select("site", "group_id", F.col("field").alias("kind"), F.col("value").alias("pattern"), "pos", "crawl_delay")
-    return agents.join(rules, ["site", "group_id"]).select("site", "group_id", "agent", "kind", "pattern", "pos", "crawl_delay").unionByName(maps)
+    said = lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))
+    read = lambda x, i: F.struct(i.alias("pos"), F.lower(F.trim(F.substring_index(said(x), ":", 1))).alias("field"), F.trim(F.regexp_replace(said(x), "^[^:]*:", "")).alias("value"), F.contains(said(x), F.lit(":")).alias("ok"))
+    once = lambda c, name: F.explode(F.array(c)).alias(name)  # noqa: E731  # a generator's column is computed once
+    files = docs.select("site", once(F.filter(F.transform(F.split("body", r"\r?\n"), read), lambda x: x["ok"]), "all"))
+    maps = files.select("site", F.explode(F.filter("all", lambda x: (x["field"] == "sitemap") & (x["value"] != ""))).alias("m"))
+    maps = maps.select("site", F.lit(0).cast("bigint").alias("group_id"), F.lit("").alias("agent"), F.lit("sitemap").alias("kind"), F.col("m.value").alias("pattern"), "m.pos", F.lit(None).cast("double").alias("crawl_delay"))
+    lines = files.select("site", once(F.filter("all", lambda x: x["field"].isin("user-agent", "allow", "disallow", "crawl-delay")), "lines"))
+    agent = lambda x: x["field"] == "user-agent"
+    opens = F.transform("lines", lambda x, i: F.when(agent(x) & ~F.coalesce(agent(F.get("lines", i - 1)), F.lit(False)), i))
+    starts = lines.select("site", "lines", once(F.filter(opens, lambda i: i.isNotNull()), "starts"))
+    groups = starts.select("site", F.posexplode(F.transform("starts", lambda at, g: F.slice("lines", at + 1, F.coalesce(F.get("starts", g + 1), F.size("lines")) - at))).alias("g", "group"))
+    delays = F.filter(F.transform(F.filter("group", lambda x: x["field"] == "crawl-delay"), lambda x: x["value"].try_cast("double")), lambda d: d.isNotNull())
+    of_group = groups.select("site", (F.col("g") + 1).cast("bigint").alias("group_id"), F.filter("group", lambda x: ~agent(x)).alias("rules"), F.try_element_at(delays, F.lit(-1)).alias("crawl_delay"), F.explode(F.filter("group", agent)).alias("a"))
+    rules = of_group.select("site", "group_id", F.lower("a.value").alias("agent"), "crawl_delay", F.explode("rules").alias("r"))
+    return rules.select("site", "group_id", "agent", F.col("r.field").alias("kind"), F.col("r.value").alias("pattern"), "r.pos", "crawl_delay").unionByName(maps)
 
 
 def with_robots_policy(fetches: DataFrame) -> DataFrame:

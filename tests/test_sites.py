@@ -191,3 +191,11 @@ def test_rounds_move_their_frontier_only(spark, monkeypatch):
     finally:
         for name in ("links_of_a_round", "nodes_of_a_round"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_robots_files_of_one_site_are_read_apart(spark):
+    body = "Sitemap: https://a/s\nUser-agent: X\nUser-agent: Y\nCrawl-delay: 2\nDisallow: /{0}\nUser-agent: *\nDisallow: /all{0}"
+    docs = spark.createDataFrame([("a", body.format(1)), ("a", body.format(2)), ("a", body.format(2)), ("b", "Disallow: /lost\nUser-agent: X")], "site string, body string").repartition(3)
+    got = sorted((r.group_id, r.agent, r.kind, r.pattern, r.pos, r.crawl_delay) for r in logs.robots_rules(docs).collect())
+    one = lambda n: [(0, "", "sitemap", "https://a/s", 0, None), *[(1, who, *what, 2.0) for who in "xy" for what in (("crawl-delay", "2", 3), ("disallow", f"/{n}", 4))], (2, "*", "disallow", f"/all{n}", 6, None)]
+    assert got == sorted(one(1) + one(2) + one(2), key=lambda r: r[:5])
