@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pages import is_indexable, is_noindex
-from ..functions.sites import keys
+from ..functions.sites import keys, page_keys
 from ..functions.urls import host_key, url_key
 
 #: Traces of client-side frameworks in markup.
@@ -38,7 +38,10 @@ def js_dependency(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def render_gap(raw: DataFrame, rendered: DataFrame) -> DataFrame:
-    both = raw.select("url", F.col("words").alias("raw_words")).join(rendered.select("url", F.col("words").alias("rendered_words")), "url")
+    """Words of a page as served and as rendered. With ``page_id`` on both sides a row meets that of its own page, also
+    where pages share an address."""
+    by = [*page_keys(raw, rendered), "url"]
+    both = raw.select(*by, F.col("words").alias("raw_words")).join(rendered.select(*by, F.col("words").alias("rendered_words")), by)
     gap = F.round((F.col("rendered_words") - F.col("raw_words")) / F.greatest("rendered_words", F.lit(1)), 4)
     return both.withColumn("gap", gap).withColumn("js_dependent", (F.col("rendered_words") > 1.5 * F.col("raw_words")) & (F.col("rendered_words") > 100))
 

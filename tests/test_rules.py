@@ -112,3 +112,9 @@ def test_equal_samples_keep_their_own_citations(spark):
     rows = spark.createDataFrame([("r", "p", "v", 1, cited("https://A/", "https://b/", "https://a/", "")), ("r", "p", "v", 1, cited("https://a/")), ("r", "q", "v", 1, "{}")], "run string, prompt string, provider string, sample int, json string")
     got = sorted((x.prompt, x.key, x.url or "", x.title or "") for x in vendors.flatten_ai_samples(rows).collect())
     assert got == [("p", "https://a/", "https://A/", "T"), ("p", "https://a/", "https://a/", "T"), ("p", "https://b/", "https://b/", "T"), ("p", "t", "", "T"), ("q", "", "", "")]
+
+
+def test_pages_of_one_address_are_told_apart(spark):
+    words = lambda *rows: spark.createDataFrame(list(rows), "page_id int, url string, words int")
+    got = {(x.page_id, x.raw_words, x.rendered_words) for x in checks.render_gap(words((1, "u", 10), (2, "u", 20), (3, "v", 5)), words((1, "u", 300), (2, "u", 20), (3, "v", 5))).collect()}
+    assert got == {(1, 10, 300), (2, 20, 20), (3, 5, 5)}
