@@ -57,16 +57,18 @@ def crawler_block_signals(variants: DataFrame) -> DataFrame:
 
 def served_content_divergence(variants: DataFrame) -> DataFrame:
     """Bots against two human fetches of a page ``(url, role, status, hash, words)``; roles human_before, human_after
-    and bots. A bot diverges only above max(0.15, 3 x the humans' variance) against both."""
+    and bots. A bot diverges only above max(0.15, 3 x the humans' variance) against both. With ``page_id`` the fetches of
+    each page are apart, also where pages share an address."""
+    by = [*page_keys(variants), "url"]
     ok = F.col("status") == 200
-    human = variants.filter(F.col("role").isin("human_before", "human_after")).groupBy("url").agg(F.max(F.when(ok & (F.col("role") == "human_before"), F.struct("hash", "words"))).alias("h1"), F.max(F.when(ok & (F.col("role") == "human_after"), F.struct("hash", "words"))).alias("h2"))
+    human = variants.filter(F.col("role").isin("human_before", "human_after")).groupBy(*by).agg(F.max(F.when(ok & (F.col("role") == "human_before"), F.struct("hash", "words"))).alias("h1"), F.max(F.when(ok & (F.col("role") == "human_after"), F.struct("hash", "words"))).alias("h2"))
     off = lambda a, b: F.abs(a - b) / F.greatest(a, b, F.lit(1))
     natural = F.when(F.col("h1.hash") == F.col("h2.hash"), 0.0).otherwise(off(F.col("h1.words"), F.col("h2.words")))
-    rows = variants.filter(~F.col("role").isin("human_before", "human_after")).join(human, "url", "left")
+    rows = variants.filter(~F.col("role").isin("human_before", "human_after")).join(human, by, "left")
     limit = F.greatest(F.lit(0.15), 3 * natural)
     far = (off(F.col("words"), F.col("h1.words")) > limit) & (off(F.col("words"), F.col("h2.words")) > limit)
     state = F.when(F.col("h1").isNull() | F.col("h2").isNull(), "not_checked").when(~ok, "blocked").when(far, "diverges").otherwise("same")
-    return rows.select("url", "role", state.alias("state"))
+    return rows.select(*by, "role", state.alias("state"))
 
 
 def hreflang_not_reciprocal(pages: DataFrame) -> DataFrame:

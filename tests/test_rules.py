@@ -118,3 +118,9 @@ def test_pages_of_one_address_are_told_apart(spark):
     words = lambda *rows: spark.createDataFrame(list(rows), "page_id int, url string, words int")
     got = {(x.page_id, x.raw_words, x.rendered_words) for x in checks.render_gap(words((1, "u", 10), (2, "u", 20), (3, "v", 5)), words((1, "u", 300), (2, "u", 20), (3, "v", 5))).collect()}
     assert got == {(1, 10, 300), (2, 20, 20), (3, 5, 5)}
+
+
+def test_fetches_of_pages_of_one_address_are_told_apart(spark):
+    rows = [(p, "u", role, status, "h", w) for p, last, w in ((1, 200, 100), (2, 500, 100), (3, 200, 10)) for role, status, w in (("human_before", 200, 100), ("human_after", last, 100), ("bot", 200, w))]
+    got = {x.page_id: x.state for x in checks.served_content_divergence(spark.createDataFrame(rows, "page_id int, url string, role string, status int, hash string, words int")).collect()}
+    assert got == {1: "same", 2: "not_checked", 3: "diverges"}
