@@ -93,21 +93,24 @@ def canonical_disagreement(rows: DataFrame) -> DataFrame:
 
 
 def assert_pages(pages: DataFrame, assertions: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """``(url, kind, expected[, name])`` against page records: pass or fail of each.
+    """``(url, kind, expected[, name])`` against page records: pass or fail of each, on every record of its address.
 
     Kinds: title, text_present, text_absent, status, canonical, indexable (``expected`` true or false), header
     (``name`` in the map ``headers``) and robots_allowed (agent ``name`` by ``allowed(url, agent, allowed)``). What isn't known fails.
+    A record with a column ``fetched`` that is false stands for a page of which nothing is known. With ``page_id`` in
+    ``pages`` and ``allowed``, a record meets what its own page allows, also where pages share an address.
     """
     rows = assertions if "name" in assertions.columns else assertions.withColumn("name", F.lit(None).cast("string"))
-    if allowed is not None:
-        rows = rows.join(allowed.select("url", F.col("agent").alias("name"), "allowed"), ["url", "name"], "left")
-    else:
-        rows = rows.withColumn("allowed", F.lit(None).cast("boolean"))
+    by = [*([] if allowed is None else page_keys(pages, allowed)), "url"]
     known = lambda c, kind="string": F.col(c) if c in pages.columns else F.lit(None).cast(kind)
     text = known("text") if "text" in pages.columns else known("html")
     directives = F.lower(F.concat_ws(" ", known("x_robots_tag"), known("meta_robots")))
-    facts = pages.select("url", *[known(c).alias(f"_{c}") for c in ("title", "status", "canonical")], known("headers", "map<string,string>").alias("_headers"), _squeezed(text).alias("_text"), (~directives.rlike("noindex|none")).alias("_indexable"), F.lit(True).alias("_known"))
+    facts = pages.select(*by, *[known(c).alias(f"_{c}") for c in ("title", "status", "canonical")], known("headers", "map<string,string>").alias("_headers"), _squeezed(text).alias("_text"), (~directives.rlike("noindex|none")).alias("_indexable"), (known("fetched", "boolean") if "fetched" in pages.columns else F.lit(True)).alias("_known"))
     rows = rows.join(facts, "url", "left")
+    if allowed is not None:
+        rows = rows.join(allowed.select(*by, F.col("agent").alias("name"), "allowed"), [*by, "name"], "left")
+    else:
+        rows = rows.withColumn("allowed", F.lit(None).cast("boolean"))
     wanted, kind = F.col("expected"), F.col("kind")
     ok = (
         F.when(kind == "title", F.trim("_title") == wanted).when(kind == "text_present", F.contains("_text", _squeezed(wanted))).when(kind == "text_absent", ~F.contains("_text", _squeezed(wanted)))

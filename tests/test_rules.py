@@ -124,3 +124,11 @@ def test_fetches_of_pages_of_one_address_are_told_apart(spark):
     rows = [(p, "u", role, status, "h", w) for p, last, w in ((1, 200, 100), (2, 500, 100), (3, 200, 10)) for role, status, w in (("human_before", 200, 100), ("human_after", last, 100), ("bot", 200, w))]
     got = {x.page_id: x.state for x in checks.served_content_divergence(spark.createDataFrame(rows, "page_id int, url string, role string, status int, hash string, words int")).collect()}
     assert got == {1: "same", 2: "not_checked", 3: "diverges"}
+
+
+def test_assertions_meet_each_record_of_their_address(spark):
+    pages_ = spark.createDataFrame([(1, "u", "T", True), (2, "u", "T", False), (3, "u", "X", True)], "page_id int, url string, title string, fetched boolean")
+    asked = spark.createDataFrame([("u", "title", None, "T"), ("u", "robots_allowed", "b", "false"), ("v", "title", None, "T")], "url string, kind string, name string, expected string")
+    allowed = spark.createDataFrame([(1, "u", "b", True), (2, "u", "b", False), (3, "u", "b", False)], "page_id int, url string, agent string, allowed boolean")
+    got = sorted((x.url, x.kind, x["pass"]) for x in checks.assert_pages(pages_, asked, allowed).collect())
+    assert got == [("u", "robots_allowed", False), ("u", "robots_allowed", False), ("u", "robots_allowed", True), ("u", "title", False), ("u", "title", False), ("u", "title", True), ("v", "title", False)]
