@@ -121,7 +121,7 @@ def _applying(rules: DataFrame, agents: DataFrame, by: list[str]) -> DataFrame:
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """The longest matching pattern decides, Allow wins ties, empty patterns match nothing, no match allows.
     Groups that name the agent count, else those of ``*``, on each site for itself. Paths meet only patterns whose
-    part before the first ``*`` begins them; those are then tried."""
+    part before the first ``*`` begins them; those are then tried. Each row of ``urls`` has its own, equal ones too."""
     by = keys(urls, rules)
     u = urls.select(*by, "url", path_of("url").alias("path")).distinct()
     r = rules if "group_id" in rules.columns else rules.withColumn("group_id", F.lit(1))
@@ -132,7 +132,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     met = prefix_hits(u, r, by).filter(F.rlike("path", F.col("re"))).select(*by, "url", "kind", "pattern")
     none = F.lit(None).cast("string")
     best = met.unionByName(u.select(*by, "url", none.alias("kind"), none.alias("pattern"))).groupBy(*by, "url").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("a")))).alias("kind"))
-    return best.select(*by, "url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
+    return urls.select(*by, "url").join(best, [*by, "url"], "left").select(*by, "url", F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
 
 
 def crawler_access_audit(rules: DataFrame, bots: tuple = BOTS) -> DataFrame:

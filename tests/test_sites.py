@@ -199,3 +199,10 @@ def test_robots_files_of_one_site_are_read_apart(spark):
     got = sorted((r.group_id, r.agent, r.kind, r.pattern, r.pos, r.crawl_delay) for r in logs.robots_rules(docs).collect())
     one = lambda n: [(0, "", "sitemap", "https://a/s", 0, None), *[(1, who, *what, 2.0) for who in "xy" for what in (("crawl-delay", "2", 3), ("disallow", f"/{n}", 4))], (2, "*", "disallow", f"/all{n}", 6, None)]
     assert got == sorted(one(1) + one(2) + one(2), key=lambda r: r[:5])
+
+
+def test_each_address_has_its_answer(spark):
+    rules = logs.robots_rules(spark.createDataFrame([("a", "User-agent: *\nDisallow: /x")], "site string, body string"))
+    urls = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/x"), ("a", "https://a/y"), ("b", "https://a/x"), ("b", None)], "site string, url string")
+    got = sorted((r.site, r.url or "", r.allowed) for r in logs.robots_allowed(urls, rules, "Bot").collect())
+    assert got == [("a", "https://a/x", False), ("a", "https://a/x", False), ("a", "https://a/y", True), ("b", "", True), ("b", "https://a/x", True)]
