@@ -213,15 +213,16 @@ def _found(text: str, pattern: str, kind: str) -> Column:
     return F.slice(made, 2, F.greatest(F.size(made) - 1, F.lit(0)))
 
 
-def staleness_phrases(pages: DataFrame, year: int, col: str = "text", around: int = 60, guard: int = 20) -> DataFrame:
+def staleness_phrases(pages: DataFrame, year: int, col: str = "text", around: int = 60, guard: int = 20, marks: tuple[str, ...] = PRICE_OR_RATING) -> DataFrame:
     """``(page_id, kind, phrase, context)``: past years, relative-time phrases, past copyright years, versions, with
-    ``around`` characters of context on both sides. Versions within ``guard`` characters of a price or rating are left out."""
+    ``around`` characters of context on both sides. Versions within ``guard`` characters of a price or rating, told by the
+    lower-case ``marks``, are left out."""
     rows = pages.select("page_id", F.translate(F.coalesce(F.col(col), F.lit("")), "\u0001\u0002", "  ").alias("_t"))
     kinds = [_found("_t", r"\b20[0-9]{2}\b", "hardcoded_year"), _found("_t", RELATIVE_TIME, "relative_time_phrase"), _found("_t", r"(?i)(?:©|\(c\)|copyright)\s*20[0-9]{2}", "copyright_year"), _found("_t", VERSION, "version_reference")]
     rows = rows.select("page_id", "_t", F.explode(F.concat(*kinds)).alias("m")).select("page_id", "_t", "m.*")
     window = lambda n: F.substring("_t", F.greatest(F.col("start") - n, F.lit(0)) + 1, F.char_length("phrase") + n + F.least(F.col("start"), F.lit(n)))
     priced = F.lit(False)
-    for mark in PRICE_OR_RATING:
+    for mark in marks:
         priced = priced | F.contains(F.lower(window(guard)), F.lit(mark))
     dated = F.col("kind").isin("hardcoded_year", "copyright_year")
     ok = F.when(dated, F.substring("phrase", -4, 4).cast("int") < year).when(F.col("kind") == "version_reference", ~priced).otherwise(True)

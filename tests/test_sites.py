@@ -206,3 +206,9 @@ def test_each_address_has_its_answer(spark):
     urls = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/x"), ("a", "https://a/y"), ("b", "https://a/x"), ("b", None)], "site string, url string")
     got = sorted((r.site, r.url or "", r.allowed) for r in logs.robots_allowed(urls, rules, "Bot").collect())
     assert got == [("a", "https://a/x", False), ("a", "https://a/x", False), ("a", "https://a/y", True), ("b", "", True), ("b", "https://a/x", True)]
+
+
+def test_marks_of_prices_can_be_named(spark):
+    rows = spark.createDataFrame([(1, "License, Version 2.0.\nOnly $$$ here. We offer Gadget 9.9 price and more than enough words, then Widget 2.3 costs $5")], "page_id int, text string")
+    assert {r.phrase for r in texts.staleness_phrases(rows, 2026).collect()} == set()
+    assert {r.phrase for r in texts.staleness_phrases(rows, 2026, marks=("gadget 9.9 price",)).collect()} == {"Version 2.0", "Widget 2.3"}
