@@ -77,3 +77,26 @@ def test_no_terms(spark):
     assert texts.near_duplicate_topics(empty, other).collect() == []
     got = texts.best_match(other.withColumnRenamed("b", "a"), other).collect()
     assert {(r.a, r.b) for r in got} == {(1, None), (2, 2), (3, None)}
+
+
+def test_only_rows_without_a_good_match_go_on(spark, monkeypatch):
+    """Best matches of 0.71, 0.41, 0.25 and 0.14: each step takes one row out."""
+    left = spark.createDataFrame([(k, f"own{k}", 1) for k in range(4)], "a int, term string, w int")
+    right = spark.createDataFrame([(k, w, 1) for k, n in enumerate((2, 6, 16, 50)) for w in (f"own{k}", *(f"w{k}x{i}" for i in range(n - 1)))], "b int, term string, w int")
+    seen, real = {}, similar.similar
+    monkeypatch.setattr(similar, "similar", lambda one, two, least: seen.update({round(least, 2): one.select("cls").distinct().count()}) or real(one, two, least))
+    got = {r.a: (r.b, r.score) for r in similar.nearest(*similar.index(left, right), 1, 0.08).collect()}
+    assert got == {0: (0, 0.7071), 1: (1, 0.4082), 2: (2, 0.25), 3: (3, 0.1414)}
+    assert seen == {0.7: 4, 0.5: 3, 0.35: 3, 0.2: 2, 0.08: 1}
+
+
+@pytest.mark.parametrize("least", [0.1, 0.35, 0.7])
+def test_long_vectors_share_bits(spark, least):
+    """Vectors of up to 150 terms have several terms to a bit; copies with a few terms changed reach any threshold."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    both = [{k: {w: r.randint(1, 3) if k % 2 else 2 for w in r.sample(words, r.randint(1, 150))} for k in range(20)} for _ in "ab"]
+    both[1] |= {100 + k: dict(list(v.items())[: max(1, len(v) * 2 // 3)]) for k, v in both[0].items()}
+    want = {(a, b): c for a, b in itertools.product(*both) if (c := cosine(both[0][a], both[1][b])) >= least}
+    got = {(x.a, x.b): x.score for x in similar.cosine_pairs(*frames(spark, both), least).collect()}
+    assert set(got) == set(want) and all(abs(s - want[p]) < 1e-9 for p, s in got.items()) and len(want) >= 15
