@@ -246,13 +246,15 @@ def anchor_candidates(paragraphs: DataFrame, titles: DataFrame, least: int = 2,
     ``(para_id, text)`` in which a run of ``least`` to ``most`` words (and 6 characters) of their title stands outside links;
     ``phrase`` is the longest such run."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9'’-]+"), F.lit(0))
-    runs = lambda c: F.explode(F.array_distinct(F.concat(*[ngrams(words(c), n) for n in range(least, most + 1)]))).alias("phrase")
+    cut_once = lambda df, k, c: df.select(k, F.explode(F.array(words(c))).alias("_w"))  # noqa: E731  # a generator's column is computed once
+    runs = F.explode(F.array_distinct(F.concat(*[ngrams(F.col("_w"), n) for n in range(least, most + 1)]))).alias("phrase")
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"\[[^\]]*\]\([^)]*\)", " \u0001 ")
     cut = paragraphs.select("para_id", F.explode(F.split(plain, "[^A-Za-z0-9'’ -]+")).alias("part"))  # a run stands between marks
-    a = cut.select("para_id", runs(F.col("part"))).distinct()
-    b = titles.select("title_id", runs(F.coalesce("title", F.lit("")))).filter(F.char_length("phrase") >= 6)
+    a = cut_once(cut, "para_id", F.col("part")).select("para_id", runs).distinct()
+    b = cut_once(titles, "title_id", F.coalesce("title", F.lit(""))).select("title_id", runs).filter(F.char_length("phrase") >= 6)
     met = first_by(a.join(b, "phrase"), ["para_id", "title_id"], -F.char_length("phrase"), F.col("phrase"))
-    va, vb = text_terms(paragraphs, "text", "para_id"), text_terms(titles, "text", "title_id")
+    # the same filters as a join sets, so that Spark shuffles a side's terms once for both uses
+    va, vb = (text_terms(df, "text", k).filter(F.col(k).isNotNull() & F.col("term").isNotNull()) for df, k in ((paragraphs, "para_id"), (titles, "title_id")))
     norm = lambda df, k: df.groupBy(k).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"n_{k}"))
     dots = met.join(va.withColumnRenamed("n", "wa"), "para_id").join(vb.withColumnRenamed("n", "wb"), ["title_id", "term"]).groupBy("para_id", "title_id", "phrase").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     score = F.round(F.col("dot") / (F.col("n_para_id") * F.col("n_title_id")), 4)

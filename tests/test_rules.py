@@ -132,3 +132,14 @@ def test_assertions_meet_each_record_of_their_address(spark):
     allowed = spark.createDataFrame([(1, "u", "b", True), (2, "u", "b", False), (3, "u", "b", False)], "page_id int, url string, agent string, allowed boolean")
     got = sorted((x.url, x.kind, x["pass"]) for x in checks.assert_pages(pages_, asked, allowed).collect())
     assert got == [("u", "robots_allowed", False), ("u", "robots_allowed", False), ("u", "robots_allowed", True), ("u", "title", False), ("u", "title", False), ("u", "title", True), ("v", "title", False)]
+
+
+def test_a_title_is_cut_into_words_once(spark):
+    """Not again for each of its runs: that would take the square of a long title's length."""
+    paragraphs = spark.createDataFrame([(1, "We know the quick brown fox well, and [quick brown](x) too.")], "para_id int, text string")
+    titles = spark.createDataFrame([(1, "Quick brown fox", "the quick brown fox"), (2, "word " * 3000 + "know the quick", "we know the quick brown fox"), (3, None, None)], "title_id int, title string, text string")
+    found = texts.anchor_candidates(paragraphs, titles)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    runs = [line for line in plan.splitlines() if "slice(" in line]
+    assert runs and not any("regexp_extract_all" in line for line in runs)
+    assert {(r.title_id, r.phrase) for r in found.collect()} == {(1, "quick brown fox"), (2, "know the quick")}
